@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Examples are a bounded sample of the labelled rows (at most `per_class` of each label, by a hash of
-the id). Terms are words and the five-letter heads of longer words; those kept lean to label 1 by a
+the id). Terms are words and the heads (4 to 7 letters) of longer words; those kept lean to label 1 by a
 log-odds z-score among the examples (at most `max_terms`). Document frequencies count all
 documents. A document's k nearest examples are found exactly: blocks of examples are taken by their
 bounds (sums of block maxima) until no bound reaches the k-th best cosine. Votes weighted by cosine
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-PER_CLASS, MAX_TERMS, MIN_Z = 2000, 4000, 2.5
-NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 10, 1.0, 64
-HEAD = 5
+PER_CLASS, MAX_TERMS, MIN_Z = 2000, 4000, 3.0
+NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 20, 1.0, 64
+HEADS = (4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -38,8 +38,7 @@ def term_counts(text: str | None, known: dict[str, int] | None = None) -> Counte
     """Counts of the text's terms; with known, only those, by number."""
     out: Counter = Counter()
     for w, n in Counter(LETTERS.findall((text or "").lower())).items():
-        names = (w, w[:HEAD] + "*") if len(w) > HEAD else (w,)
-        for t in names:
+        for t in (w, *(w[:k] + "*" for k in HEADS if len(w) > k)):
             if known is None:
                 out[t] += n
             elif (i := known.get(t)) is not None:
