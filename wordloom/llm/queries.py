@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, sharding, simhash, topk, toxicity
+from . import decontamination, html_extract, mixing, sharding, simhash, suffix_dedup, topk, toxicity
 from .common import table
 
 
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_benchmark_decontamination": lambda s, d: decontamination.contamination_digest(table(s, d, "documents"), table(s, d, "benchmark")),
         "op4_toxicity": lambda s, d: toxicity.toxicity_digest(table(s, d, "documents"), table(s, d, "labels")),
+        "op5_html_extraction": lambda s, d: html_extract.extract_digest(table(s, d, "pages")),
         "op6_source_mixing": lambda s, d: mixing.mixture_digest(table(s, d, "documents")),
+        "op7_suffix_dedup": lambda s, d: suffix_dedup.repeats_digest(table(s, d, "documents")),
         "op8_exact_topk": lambda s, d: topk.topk_digest(table(s, d, "embeddings")),
         "op9_simhash": lambda s, d: simhash.simhash_digest(table(s, d, "documents")),
         "op10_sharding": lambda s, d: sharding.shard_digest(table(s, d, "documents")),
