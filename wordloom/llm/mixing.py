@@ -42,21 +42,28 @@ def source_targets(sizes: DataFrame, weights: tuple = (1, 2, 3), max_copies: int
     level = (F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
         F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
     )
-    per = per.withColumn("level", level).withColumn("open", F.col("cap") >= F.col("level") * F.col("w"))
-    fill = F.min(F.when(F.col("open"), F.col("level"))).over(everything)
-    per = per.withColumn("target", F.coalesce(F.least("cap", F.col("w") * fill), F.col("cap")))
+    # Levels rise while sources are capped and fall after that, so the highest is the one that all open sources share.
+    fill = F.max("level").over(everything)
+    per = per.withColumn("level", level)
+    per = per.withColumn("target", F.least("cap", F.col("w") * fill))
     per = per.withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.lit(max_copies), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("long"))
     return per.withColumn("left", F.col("target") - F.col("copies") * F.col("source_size")).select("src", "source_size", "target", "copies", "left")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (1, 2, 3), max_copies: int = 3, weight_col: str | None = None, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and copies (times the mix takes the document) for each row."""
+def identity(source_col: str, text_col: str) -> dict:
+    """src_key and size_key: a row's source (null last) and size."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    return {"src_key": F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")), "size_key": F.regexp_count(text, F.lit(WORD)).cast("long")}
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (1, 2, 3), max_copies: int = 3, weight_col: str | None = None, seed: str = SEED) -> DataFrame:
+    """doc_id, src, size, source_size, target and copies (times the mix takes the document) for each row."""
+    keys = identity(source_col, text_col)
     base = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
-            F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")).alias("src"),
-            F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+            keys["src_key"].alias("src"),
+            keys["size_key"].alias("size"),
             (F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)).alias("weight"),
             F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long").alias("h"),
         )
@@ -84,7 +91,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     chosen = at_edge.withColumn("extra", (2 * F.col("before") + F.col("size") <= 2 * F.col("left")).cast("long")).drop("before")
     others = state.where(F.col("edge").isNull() | (F.col("step") != F.col("edge")))
     others = others.withColumn("extra", ((F.col("left") > 0) & (F.col("edge").isNull() | (F.col("step") < F.col("edge")))).cast("long"))
-    return chosen.unionByName(others).select("doc_id", "size", "source_size", "target", F.when(F.col("size") == 0, F.greatest("copies", F.lit(1))).otherwise(F.least(F.lit(max_copies), F.col("copies") + F.col("extra"))).cast("long").alias("copies"))
+    return chosen.unionByName(others).select("doc_id", "src", "size", "source_size", "target", F.when(F.col("size") == 0, F.greatest("copies", F.lit(1))).otherwise(F.least(F.lit(max_copies), F.col("copies") + F.col("extra"))).cast("long").alias("copies"))
 
 
 def mixture_digest(docs: DataFrame) -> DataFrame:
@@ -103,8 +110,8 @@ WITH b AS (
 ), l AS (
   SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM q
-), f AS (SELECT min(level) AS fill FROM l WHERE cap >= level * w
-), t AS (SELECT src, source_size, coalesce(least(cap, w * fill), cap) AS target FROM l, f
+), f AS (SELECT max(level) AS fill FROM l
+), t AS (SELECT src, source_size, least(cap, w * fill) AS target FROM l, f
 ), c AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END::BIGINT AS copies FROM t
 ), r AS (
   SELECT doc_id, size, source_size, target, copies, target - copies * source_size AS rest,
