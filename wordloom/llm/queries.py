@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, mixing, sharding, simhash, suffix_dedup, topk, toxicity
+import corpus_pipeline
+
+from . import decontamination, html_extract, licences, mixing, pii, sharding, simhash, suffix_dedup, topk, toxicity
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_pii_pseudonyms": lambda s, d: pii.pii_digest(table(s, d, "documents")),
+        "op2_licence_scan": lambda s, d: licences.licence_digest(table(s, d, "documents")),
         "op3_benchmark_decontamination": lambda s, d: decontamination.contamination_digest(table(s, d, "documents"), table(s, d, "benchmark")),
         "op4_toxicity": lambda s, d: toxicity.toxicity_digest(table(s, d, "documents"), table(s, d, "labels")),
         "op5_html_extraction": lambda s, d: html_extract.extract_digest(table(s, d, "pages")),
@@ -24,4 +29,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": decontamination.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_exact_topk": topk.ORACLE}
+    sql = {"op3_benchmark_decontamination": decontamination.ORACLE, "op6_source_mixing": mixing.ORACLE, "op8_exact_topk": topk.ORACLE}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -95,27 +95,28 @@ def fingerprints(texts: list[bytes], k: int, seeds: tuple[int, ...] = (42,)) ->
 
 
 def fingerprint_rows(docs: DataFrame, k: int, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (array of long words) of every row, in batches of bounded bytes."""
+    """doc_id, text_key (XXH64 of the text) and fp (array of long words) of every row, in batches of bounded bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(ids: list, texts: list) -> pd.DataFrame:
+        def out(ids: list, keys: list, texts: list) -> pd.DataFrame:
             fp = fingerprints(texts, k, seeds).view(np.int64)
-            return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "fp": list(fp)})
+            return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "text_key": keys, "fp": list(fp)})
 
         for frame in batches:
-            ids, texts, held = [], [], 0
-            for i, t in zip(frame["doc_id"], frame["text"]):
+            ids, keys, texts, held = [], [], [], 0
+            for i, x, t in zip(frame["doc_id"], frame["text_key"], frame["text"]):
                 ids.append(None if pd.isna(i) else int(i))
+                keys.append(x)
                 texts.append(bytes(t) if t is not None else b"")
                 held += len(texts[-1])
                 if held > 4_000_000:
-                    yield out(ids, texts)
-                    ids, texts, held = [], [], 0
+                    yield out(ids, keys, texts)
+                    ids, keys, texts, held = [], [], [], 0
             if ids:
-                yield out(ids, texts)
+                yield out(ids, keys, texts)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return picked.mapInPandas(run, "doc_id long, fp array<long>")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(text_col).alias("text_key"))
+    return picked.mapInPandas(run, "doc_id long, text_key long, fp array<long>")
 
 
 @dataclass(frozen=True)
@@ -246,12 +247,12 @@ def near_links(classes: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, k: int, scheme: Scheme, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links) of every row."""
+    """doc_id, text_key, fp and component_id (smallest doc_id reachable over links) of every row."""
     rows = cut(fingerprint_rows(docs, k, seeds, id_col, text_col))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL"))
     roots = components(near_links(classes, scheme))
     named = classes.join(roots, classes.doc_id == roots.node, "left").select("fp", F.coalesce("root", "doc_id").alias("component_id"))
-    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp", "left").select("doc_id", "text_key", "fp", "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:

@@ -154,14 +154,14 @@ def build(terms: list[str], df: np.ndarray, documents: int, examples: list[tuple
 
 
 def _vectors(docs: DataFrame, known: dict[str, int]) -> DataFrame:
-    """doc_id, terms, counts of the kept terms in every document."""
+    """doc_id, text_key (XXH64 of the text), terms and counts of the kept terms of every document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             found = [sorted(term_counts(t, known).items()) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "terms": [[i for i, _ in f] for f in found], "counts": [[n for _, n in f] for f in found]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text_key": frame["text_key"], "terms": [[i for i, _ in f] for f in found], "counts": [[n for _, n in f] for f in found]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, terms array<int>, counts array<int>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInPandas(run, "doc_id long, text_key long, terms array<int>, counts array<int>")
 
 
 def fit_and_vectors(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_terms: int = MAX_TERMS) -> tuple[Model, DataFrame]:
@@ -195,7 +195,7 @@ def fit_and_vectors(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, max_terms: int = MAX_TERMS) -> DataFrame:
-    """doc_id, score and the evidence (example ids and cosines) of every row."""
+    """doc_id, text_key, score and the evidence (example ids and cosines) of every row."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model, vectors = fit_and_vectors(picked, labels, per_class, max_terms)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class and max_terms
@@ -204,9 +204,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         m = shared.value
         for frame in batches:
             out = [m.score(np.asarray(t, np.int64), np.asarray(c, float)) for t, c in zip(frame["terms"], frame["counts"])]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "score": [min(1.0, max(0.0, s)) for s, _, _ in out], "examples": [m.ids[w] for _, w, _ in out], "cosines": [np.minimum(c, 1.0) for _, _, c in out]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text_key": frame["text_key"], "score": [min(1.0, max(0.0, s)) for s, _, _ in out], "examples": [m.ids[w] for _, w, _ in out], "cosines": [np.minimum(c, 1.0) for _, _, c in out]})
 
-    return vectors.mapInPandas(run, "doc_id long, score double, examples array<long>, cosines array<double>")
+    return vectors.mapInPandas(run, "doc_id long, text_key long, score double, examples array<long>, cosines array<double>")
 
 
 def training(labels: DataFrame) -> DataFrame:
