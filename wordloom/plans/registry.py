@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql_text, text_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return text_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql_text.twins()
