@@ -25,44 +25,39 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BLOCK, QUERIES = 8192, 2048
-#: Final scores are resolved once no more vectors than this can qualify.
-RESOLVE = 256
+#: Final scores are resolved once no more than this share of a block, or this many vectors, can qualify.
+RESOLVE_SHARE, RESOLVE = 8, 256
 
 
-def read_lists(ids: np.ndarray, v: np.ndarray, order: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (score, position) of one query in a block; order holds each dimension's ascending list."""
-    n, dims = v.shape
+def read_lists(ids: np.ndarray, v: np.ndarray, order: np.ndarray, ranked: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (score, position) of one query in a block; order and ranked: each dimension's ascending list and its values."""
+    n = len(ids)
     live = np.flatnonzero(q)
-    if n <= RESOLVE or not len(live):
-        rest = np.arange(n)
-    else:
-        down = q[live] > 0
-        lists = np.where(down[:, None], order[live][:, ::-1], order[live])
-        gains = v[lists, live[:, None]] * q[live][:, None]
-        worst = gains[:, -1].astype(float)
-        part = np.zeros(n)
-        seen = np.zeros((n, len(live)), np.float32)
-        col = np.broadcast_to(np.arange(len(live))[:, None], gains.shape)
-        done, depth, rest = 0, max(16, n // 16), np.arange(n)
-        while done < n:
-            upto = min(n, max(done + 1, depth))
-            at = lists[:, done:upto]
-            part += np.bincount(at.ravel(), weights=gains[:, done:upto].ravel().astype(float), minlength=n)
-            seen[at, col[:, done:upto]] = 1
-            done, depth = upto, depth * 2
-            if done == n:
-                upper = lower = part
-            else:
-                place = gains[:, done].astype(float)
-                upper = part + place.sum() - seen @ place.astype(np.float64)
-                lower = part + worst.sum() - seen @ worst.astype(np.float64)
-            eligible = lower[ids != own]
-            if len(eligible) <= k:
-                rest = np.arange(n)
+    rest = np.arange(n)
+    enough = max(RESOLVE, n // RESOLVE_SHARE)
+    if n > enough and len(live):
+        part, seen = np.zeros(n), np.zeros((len(live), n), np.float32)
+        place, worst = np.zeros(len(live)), np.zeros(len(live))
+        done, other = 0, ids != own
+        for upto in (n // 2, n * 3 // 4, n * 7 // 8):
+            for j, d in enumerate(live):
+                down = q[d] > 0
+                piece = slice(n - upto, n - done) if down else slice(done, upto)
+                at = order[d, piece]
+                part[at] += ranked[d, piece] * float(q[d])
+                seen[j, at] = 1
+                place[j] = ranked[d, n - upto - 1 if down else upto] * float(q[d])
+                worst[j] = ranked[d, 0 if down else n - 1] * float(q[d])
+            done = upto
+            # Single precision is enough for bounds that give way by their rounding.
+            slack = 1 + 1e-5 * (np.abs(place).sum() + np.abs(worst).sum())
+            upper = part + place.sum() - place.astype(np.float32) @ seen
+            lower = (part + worst.sum() - worst.astype(np.float32) @ seen)[other]
+            if len(lower) <= k:
                 break
-            floor = np.partition(eligible, len(eligible) - k)[len(eligible) - k]
-            rest = np.flatnonzero(upper >= floor - 0.5)
-            if len(rest) <= RESOLVE:
+            floor = np.partition(lower, len(lower) - k)[len(lower) - k]
+            rest = np.flatnonzero(upper >= floor - slack)
+            if len(rest) <= enough:
                 break
     rest = rest[ids[rest] != own]
     score = v[rest] @ q
@@ -102,8 +97,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
             ids, v = opened(vs, dims)
             qids, qv = opened(qs, dims)
             order = np.argsort(v, axis=0, kind="stable").T.copy()
+            ranked = np.take_along_axis(v.T, order, axis=1).astype(float)
             for i in range(len(qids)):
-                score, at = read_lists(ids, v, order, qv[i], qids[i], k)
+                score, at = read_lists(ids, v, order, ranked, qv[i], qids[i], k)
                 out.append(pd.DataFrame({"query_id": np.full(len(at), qids[i]), "row": i, "vec_id": ids[at], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "row": [], "vec_id": [], "score": []}).astype("int64")
 
