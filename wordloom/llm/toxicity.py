@@ -29,23 +29,34 @@ from pyspark.sql import functions as F
 from .common import cut
 
 PER_CLASS, MAX_TERMS, MIN_Z = 2000, 4000, 3.0
-NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 20, 1.0, 64
+NEIGHBOURS, PRIOR_WEIGHT, BLOCK, SEED_BLOCKS = 20, 1.0, 64, 6
 HEADS = (4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def term_counts(text: str | None, known: dict[str, int] | None = None) -> Counter:
-    """Counts of the text's terms; with known, only those, by number."""
+def names(word: str) -> list[str]:
+    """The terms a word stands for: itself and its heads."""
+    return [word, *(word[:k] + "*" for k in HEADS if len(word) > k)]
+
+
+def term_counts(text: str | None, known: dict[str, int] | None = None, starts: frozenset = frozenset()) -> Counter:
+    """Counts of the text's terms; with known, only those, by number. starts: the known terms' first letters (HEADS[0] of them)."""
     out: Counter = Counter()
     for w, n in Counter(LETTERS.findall((text or "").lower())).items():
-        for t in (w, *(w[:k] + "*" for k in HEADS if len(w) > k)):
-            if known is None:
+        if known is None:
+            for t in names(w):
                 out[t] += n
-            elif (i := known.get(t)) is not None:
-                out[i] += n
+        elif w[: HEADS[0]] in starts:
+            for t in names(w):
+                if (i := known.get(t)) is not None:
+                    out[i] += n
     return out
 
 
+def first_letters(known: dict[str, int]) -> frozenset:
+    return frozenset(t.removesuffix("*")[: HEADS[0]] for t in known)
+
+
 @dataclass
 class Model:
     """The index (postings by term, with block starts and maxima) and what turns votes into scores."""
@@ -68,34 +79,37 @@ class Model:
         size = np.sqrt((w * w).sum())
         return w / size if size > 0 else w
 
-    def _blocks(self, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of those blocks that share a term, and their cosines."""
-        lo, hi = self.starts[terms][:, blocks], self.starts[terms][:, blocks + 1]
-        n = (hi - lo).ravel()
-        at = np.repeat(lo.ravel(), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        gain = np.repeat(np.repeat(w, len(blocks)), n) * self.values[at]
-        who, back = np.unique(self.rows[at], return_inverse=True)
-        return who, np.bincount(back, weights=gain, minlength=len(who))
+    def _cosines(self, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """The cosines of all examples as far as those blocks hold them, else 0."""
+        begin = self.starts[terms]
+        lo, hi = begin[:, blocks].ravel(), begin[:, blocks + 1].ravel()
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.rows[at], weights=np.repeat(np.repeat(w, len(blocks)), n) * self.values[at], minlength=len(self.ids))
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k best examples and cosines, exactly; `without` leaves one example out."""
+        """The k best examples and cosines, exactly; `without` leaves one example out.
+
+        The blocks of highest bounds give a floor, the k-th best cosine among them; only blocks whose bound reaches it are read too.
+        """
         bound = w @ self.peaks[terms]
         order = np.argsort(-bound, kind="stable")
-        who, cos = np.zeros(0, np.int64), np.zeros(0)
-        done, take = 0, 2
-        while done < len(order) and bound[order[done]] > 0:
-            floor = np.sort(cos)[-k] if len(cos) >= k else 0.0
-            if bound[order[done]] < floor - 1e-9:
-                break
-            more = order[done : done + take]
-            more = more[(bound[more] > 0) & (bound[more] >= floor - 1e-9)]
-            done, take = done + take, take * 4
-            a, c = self._blocks(terms, w, more)
-            keep = a != without
-            who, cos = np.concatenate([who, a[keep]]), np.concatenate([cos, c[keep]])
-            best = np.lexsort((who, -np.round(cos, 9)))[:k]
-            who, cos = who[best], cos[best]
-        return who, cos
+        order = order[: int((bound > 0).sum())]
+        seeds = np.sort(order[:SEED_BLOCKS])
+        cos = self._cosines(terms, w, seeds)
+        if without >= 0:
+            cos[without] = 0
+        floor = np.partition(cos, -k)[-k] if len(cos) >= k else 0.0
+        others = order[SEED_BLOCKS:]
+        others = np.sort(others[bound[others] >= floor - 1e-9])
+        if len(others):
+            cos += self._cosines(terms, w, others)
+            if without >= 0:
+                cos[without] = 0
+            floor = np.partition(cos, -k)[-k] if len(cos) >= k else 0.0
+        who = np.flatnonzero((cos > 0) & (cos >= floor - 1e-9))
+        best = np.lexsort((who, -np.round(cos[who], 9)))[:k]
+        return who[best], cos[who[best]]
 
     def vote(self, who: np.ndarray, cos: np.ndarray) -> float:
         return float((cos @ self.labels[who] + PRIOR_WEIGHT * self.prior) / (cos.sum() + PRIOR_WEIGHT))
@@ -156,9 +170,11 @@ def build(terms: list[str], df: np.ndarray, documents: int, examples: list[tuple
 def _vectors(docs: DataFrame, known: dict[str, int]) -> DataFrame:
     """doc_id, text_key (XXH64 of the text), terms and counts of the kept terms of every document."""
 
+    starts = first_letters(known)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            found = [sorted(term_counts(t, known).items()) for t in frame["text"]]
+            found = [sorted(term_counts(t, known, starts).items()) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text_key": frame["text_key"], "terms": [[i for i, _ in f] for f in found], "counts": [[n for _, n in f] for f in found]})
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInPandas(run, "doc_id long, text_key long, terms array<int>, counts array<int>")
@@ -176,8 +192,8 @@ def fit_and_vectors(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for y, text in zip(frame["y"], frame["text"]):
-                names = list(term_counts(text))
-                yield pd.DataFrame({"term": names, "y": [int(y)] * len(names)})
+                found = list(term_counts(text))
+                yield pd.DataFrame({"term": found, "y": [int(y)] * len(found)})
 
     a, b = (F.sum(F.col("y") if s else 1 - F.col("y")) + 0.5 for s in (1, 0))
     na, nb = (min(per_class, sizes.get(s, 0)) + 1 for s in (1, 0))
