@@ -23,7 +23,9 @@ def rows(frame: pd.DataFrame) -> list:
         if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, float):
-            return round(v, 9)
+            return int(v) if v == int(v) else round(v, 9)
+        if hasattr(v, "isoformat"):
+            return v.isoformat()[:10]
         return [norm(x) for x in v] if isinstance(v, list | tuple) else str(v) if not isinstance(v, int | bool | str) else v
     return sorted((repr([norm(v) for v in r]) for r in frame.itertuples(index=False, name=None)))
 

@@ -35,9 +35,15 @@ def sql_bare(text: str) -> str:
 def spans(text: Column, pattern: str) -> Column:
     """All matches of a pattern: array of (start, end, value), in code points from 0, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
-    before = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.char_length(x)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.char_length(x))
-    return F.transform(found, lambda v, i: F.struct(before(i).alias("start"), (before(i) + F.char_length(v)).alias("end"), v.alias("value")))
+    pieces = F.filter(F.zip_with(F.split(text, pattern, -1), found, lambda g, v: F.struct(F.char_length(g).alias("gap"), v.alias("value"))), lambda p: p["value"].isNotNull())
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+
+    def step(s: Column, p: Column) -> Column:
+        begin = s["at"] + p["gap"]
+        end = begin + F.char_length(p["value"])
+        return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(begin.alias("start"), end.alias("end"), p["value"].alias("value"))).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda s: s["out"])
 
 
 def count(text: Column, spec: str) -> Column:

@@ -53,7 +53,7 @@ def _factors(words: Column, threshold: float) -> Column:
     start = F.struct(F.lit(0.0).alias("f"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"))
 
     def step(s: Column, w: Column) -> Column:
-        seen = F.array_union(s["seen"], F.array(w))
+        seen = F.when(F.array_contains(s["seen"], w), s["seen"]).otherwise(F.array_append(s["seen"], w))
         n = s["n"] + 1
         full = F.size(seen) / n <= threshold
         return F.struct(F.when(full, s["f"] + 1).otherwise(s["f"]).alias("f"), F.when(full, F.array().cast("array<string>")).otherwise(seen).alias("seen"), F.when(full, 0).otherwise(n).alias("n"))

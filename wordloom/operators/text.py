@@ -26,8 +26,12 @@ def word_count(text: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<string>"))
+    """All runs of n words; shifted copies are zipped, so the words are computed a fixed number of times."""
+    k = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    out = F.slice(words, F.lit(1), k)
+    for i in range(2, n + 1):
+        out = F.zip_with(out, F.slice(words, F.lit(i), k), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def paragraph_list(text: Column) -> Column:

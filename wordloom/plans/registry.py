@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sql_text, text_queries
+from . import legal_queries, sql_legal, sql_text, text_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return text_queries.queries()
+    return text_queries.queries() | legal_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql_text.twins()
+    return sql_text.twins() | sql_legal.twins()
