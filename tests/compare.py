@@ -20,7 +20,7 @@ def rows(frame: pd.DataFrame) -> list:
     plain = lambda v: v.tolist() if hasattr(v, "tolist") else v
     def norm(v):
         v = plain(v)
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if isinstance(v, float):
             return int(v) if v == int(v) else round(v, 9)

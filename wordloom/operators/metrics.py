@@ -49,26 +49,39 @@ def paragraph_shape(docs: DataFrame) -> DataFrame:
     return a.select("doc_id", F.when(F.col("k") >= 3, F.round(F.col("sd") / F.col("m"), 4)).otherwise(0.0).alias("paragraph_shape_cv"))
 
 
-def _factors(words: Column, threshold: float) -> Column:
-    start = F.struct(F.lit(0.0).alias("f"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n"))
-
-    def step(s: Column, w: Column) -> Column:
-        seen = F.when(F.array_contains(s["seen"], w), s["seen"]).otherwise(F.array_append(s["seen"], w))
-        n = s["n"] + 1
-        full = F.size(seen) / n <= threshold
-        return F.struct(F.when(full, s["f"] + 1).otherwise(s["f"]).alias("f"), F.when(full, F.array().cast("array<string>")).otherwise(seen).alias("seen"), F.when(full, 0).otherwise(n).alias("n"))
-
-    def done(s: Column) -> Column:
-        return s["f"] + F.when(s["n"] > 0, (1 - F.size(s["seen"]) / s["n"]) / (1 - threshold)).otherwise(0.0)
-
-    return F.aggregate(words, start, step, done)
-
-
 def mtld(docs: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """Measure of textual lexical diversity, mean of both directions; a fold over the words of each document."""
-    w = docs.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("w")).withColumn("n", F.size("w").cast("double"))
-    one = lambda words: F.element_at(F.transform(F.array(_factors(words, threshold)), lambda f: F.when(f > 0, F.col("n") / f).otherwise(F.col("n"))), 1)
-    return w.select("doc_id", F.round((one(F.col("w")) + one(F.reverse("w"))) / 2, 4).alias("mtld"))
+    """Measure of textual lexical diversity, mean of both directions.
+
+    A factor ends where distinct words over words fall to the threshold. The fold is sequential in
+    each text and needs a growing set, which array functions copy at each word; so it runs over Arrow batches.
+    """
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def diversity(texts: pd.Series) -> pd.Series:
+        import regex
+
+        letters = regex.compile(r"\p{L}+")
+
+        def one(words: list) -> float:
+            factors, seen, n = 0.0, set(), 0
+            for w in words:
+                seen.add(w)
+                n += 1
+                if len(seen) / n <= threshold:
+                    factors, n = factors + 1, 0
+                    seen.clear()
+            if n:
+                factors += (1 - len(seen) / n) / (1 - threshold)
+            return len(words) / factors if factors > 0 else float(len(words))
+
+        def both(text: str | None) -> float:
+            words = letters.findall((text or "").lower())
+            return round((one(words) + one(words[::-1])) / 2, 4)
+
+        return texts.map(both)
+
+    return docs.select("doc_id", diversity("text").alias("mtld"))
 
 
 def connective_density(docs: DataFrame) -> DataFrame:
