@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +56,6 @@ def mtld(docs: DataFrame, threshold: float = 0.72) -> DataFrame:
     A factor ends where distinct words over words fall to the threshold. The fold is sequential in
     each text and needs a growing set, which array functions copy at each word; so it runs over Arrow batches.
     """
-    import pandas as pd
-
     @F.pandas_udf("double")
     def diversity(texts: pd.Series) -> pd.Series:
         import regex
