@@ -93,7 +93,7 @@ def sentence_findings(docs: DataFrame) -> DataFrame:
     named = F.filter("f", lambda x: x["rule"] == "style_frame")
     framed = F.filter("f", lambda x: (x["weight10"] == 7) & x["rewritable"])
     clear = F.filter("f", lambda x: (x["rule"] != "style_frame") | ~F.exists(framed, lambda y: (x["start"] >= y["start"]) & (x["start"] < y["end"])))
-    s = s.select("doc_id", "paragraph_index", "sentence_index", F.explode(F.when(F.size(named) > 0, clear).otherwise(F.col("f"))).alias("x"))
+    s = s.select("doc_id", "paragraph_index", "sentence_index", F.explode_outer(F.when(F.size(named) > 0, clear).otherwise(F.col("f"))).alias("x")).where("x IS NOT NULL")
     return s.select("doc_id", "paragraph_index", "sentence_index", "x.family", "x.rule", "x.start", "x.end", "x.evidence", "x.weight10", "x.rewritable", "x.ord")
 
 
@@ -116,7 +116,7 @@ def lookaround_findings(docs: DataFrame) -> DataFrame:
     """Antitheses, and coordinated triples whose last two members have like numbers of words."""
     s = T.split_sentences(docs)
     family, rule, pattern, weight = LOOKAROUND[0]
-    a = s.select("doc_id", "paragraph_index", "sentence_index", F.explode(F.slice(P.spans(F.col("text"), pattern), 1, 1)).alias("x")).select("*", F.lit(family).alias("family"), F.lit(rule).alias("rule"), F.lit(weight).alias("weight10"))
+    a = s.select("doc_id", "paragraph_index", "sentence_index", F.explode_outer(F.slice(P.spans(F.col("text"), pattern), 1, 1)).alias("x")).where("x IS NOT NULL").select("*", F.lit(family).alias("family"), F.lit(rule).alias("rule"), F.lit(weight).alias("weight10"))
     k = lambda g: F.transform(F.regexp_extract_all(F.col("text"), F.lit(TRICOLON), g), T.word_count)
     t = s.where(F.col("text").rlike(TRICOLON)).select("doc_id", "paragraph_index", "sentence_index", F.explode(F.arrays_zip(P.spans(F.col("text"), TRICOLON).alias("x"), k(1).alias("b"), k(2).alias("c"))).alias("z"))
     t = t.where((F.least("z.b", "z.c") >= 2) & (F.greatest("z.b", "z.c") / F.least("z.b", "z.c") <= 1.6)).select("doc_id", "paragraph_index", "sentence_index", F.col("z.x").alias("x"), F.lit("tricolon").alias("family"), F.lit("tricolon").alias("rule"), F.lit(6).alias("weight10"))

@@ -58,7 +58,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     made += [(rule, t.rlike(P.spark_pattern(spec)), _first(t, spec, fresh), score, risk) for rule, spec, fresh, score, risk in REPLACEMENTS]
     each = F.array(*[F.when(hit, F.struct(F.lit(i).alias("gen_order"), F.lit(rule).alias("rule"), out.alias("candidate"), F.lit(score).alias("score"), F.lit(risk).alias("risk"))) for i, (rule, hit, out, score, risk) in enumerate(made)])
     any_hit = t.rlike("|".join([r"—|--| {2}|[ \t][,;:!?.]|[,;:]\p{L}", *[f"(?:{P.spark_pattern(x[1])})" for x in DROPS + REPLACEMENTS]]))
-    s = s.where(any_hit).select("doc_id", "paragraph_index", "sentence_index", F.col("text").alias("original"), F.explode(F.filter(each, lambda c: c.isNotNull())).alias("c"))
+    s = s.where(any_hit).select("doc_id", "paragraph_index", "sentence_index", F.col("text").alias("original"), F.explode_outer(F.filter(each, lambda c: c.isNotNull())).alias("c")).where("c IS NOT NULL")
     return s.select("doc_id", "paragraph_index", "sentence_index", "original", "c.gen_order", "c.rule", "c.candidate", "c.score", "c.risk")
 
 

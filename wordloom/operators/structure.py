@@ -94,8 +94,8 @@ def nearest_template(docs: DataFrame, templates: DataFrame, floor: float = 0.4)
     """
     t = templates.select("item_id", pairs(F.col("text")).alias("ps"))
     d = docs.select("doc_id", pairs(F.col("text")).alias("ps"))
-    posting = t.select("item_id", F.size("ps").alias("nt"), F.explode("ps").alias("pair"))
-    flat = d.select("doc_id", F.size("ps").alias("nd"), F.explode("ps").alias("pair"))
+    posting = t.select("item_id", F.size("ps").alias("nt"), F.explode_outer("ps").alias("pair"))
+    flat = d.select("doc_id", F.size("ps").alias("nd"), F.explode_outer("ps").alias("pair"))
     shared = flat.join(posting, "pair").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.max("nt").alias("nt"), F.max("nd").alias("nd"))
     s = shared.where(F.col("k") / F.col("nt") >= floor).select("doc_id", "item_id", F.round(2 * F.col("k") / (F.col("nt") + F.col("nd")), 4).alias("f1"), F.round(F.col("k") / F.col("nt"), 4).alias("recall"))
     return s.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("f1"), "item_id"))).where("r = 1").drop("r")

@@ -44,20 +44,21 @@ def sentence_list(paragraph: Column) -> Column:
 
 def split_paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph_index (from 0), text of each non-blank paragraph; a null text has none."""
-    return docs.select("doc_id", F.posexplode(paragraph_list(F.col("text"))).alias("paragraph_index", "text"))
+    # Outer, with the empty row dropped after: an inner explode would have the optimizer split each text twice, to drop empty lists.
+    return docs.select("doc_id", F.posexplode_outer(paragraph_list(F.col("text"))).alias("paragraph_index", "text")).where("text IS NOT NULL")
 
 
 def split_sentences(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph_index, sentence_index, text of each sentence."""
     p = split_paragraphs(docs)
-    return p.select("doc_id", "paragraph_index", F.posexplode(sentence_list(F.col("text"))).alias("sentence_index", "text"))
+    return p.select("doc_id", "paragraph_index", F.posexplode_outer(sentence_list(F.col("text"))).alias("sentence_index", "text")).where("text IS NOT NULL")
 
 
 def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
     """ngram and its count over all documents."""
     words = docs.select(tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    made = F.explode("w") if n == 1 else F.explode(ngrams(F.col("w"), n))
-    return words.select(made.alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
+    made = F.explode_outer("w") if n == 1 else F.explode_outer(ngrams(F.col("w"), n))
+    return words.select(made.alias("ngram")).where("ngram IS NOT NULL").groupBy("ngram").agg(F.count("*").alias("n"))
 
 
 def sentence_openings(docs: DataFrame, length: int = 2) -> DataFrame:
