@@ -81,7 +81,10 @@ def _density() -> Column:
 
 
 def _any() -> str:
-    return "|".join(f"(?:{P.spark_pattern(r[3])})" for r in RULES)
+    """A pattern that holds wherever a rule may match; it looks at word starts only, with one look-behind for all rules."""
+    starts = [r[3].lstrip("^")[1:] for r in RULES if "<" in r[3]]
+    others = [r[3] for r in RULES if "<" not in r[3]]
+    return P.spark_pattern("<(?:" + "|".join(starts) + ")|" + "|".join(f"(?:{o})" for o in others))
 
 
 def sentence_findings(docs: DataFrame) -> DataFrame:
