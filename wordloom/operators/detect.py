@@ -71,8 +71,7 @@ def _hits(order: int, rule: tuple) -> Column:
 
 
 def _density() -> Column:
-    words = T.tokens(F.col("text"))
-    n = F.size(words)
+    words, n = F.col("w"), F.size("w")
     whole = F.struct(F.lit(0).alias("start"), F.char_length("text").cast("int").alias("end"), F.substring("text", 1, 120).alias("value"))
     vague = F.size(F.filter(words, lambda w: w.rlike(VAGUE)))
     nominal = F.size(F.filter(words, lambda w: (F.char_length(w) >= NOMINAL_LETTERS) & w.rlike(NOMINAL)))
@@ -92,7 +91,7 @@ def sentence_findings(docs: DataFrame) -> DataFrame:
     s = T.split_sentences(docs)
     # One pass decides whether any rule can match; most sentences take the short way.
     rules = F.when(F.col("text").rlike(_any()), F.concat(*[_hits(i, r) for i, r in enumerate(RULES)])).otherwise(F.array().cast(SCHEMA))
-    s = s.withColumn("f", F.concat(rules, _density()))
+    s = s.withColumn("w", T.tokens(F.col("text"))).withColumn("f", F.concat(rules, _density()))
     named = F.filter("f", lambda x: x["rule"] == "style_frame")
     framed = F.filter("f", lambda x: (x["weight10"] == 7) & x["rewritable"])
     clear = F.filter("f", lambda x: (x["rule"] != "style_frame") | ~F.exists(framed, lambda y: (x["start"] >= y["start"]) & (x["start"] < y["end"])))
