@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import text as T
+
 Z_FLOOR, MIN_MODELS, DOC_SHARE, HOLDOUT_RATIO = 1.96, 2, 0.10, 2.0
 
 
@@ -35,8 +38,6 @@ def log_odds(a: DataFrame, b: DataFrame, min_count: int = 5, prior_scale: float
 def auc(scored: DataFrame) -> DataFrame:
     """Area under the curve of score against label 0/1, by rank sums; scored has score, label."""
     per = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    from pyspark.sql import Window as W
-
     below = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
     won = per.withColumn("b", F.coalesce(F.sum("q").over(below), F.lit(0)))
     t = won.agg(F.sum(F.col("p") * F.col("b") + 0.5 * F.col("p") * F.col("q")).alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
@@ -57,3 +58,23 @@ def candidates(model_terms: DataFrame, human: DataFrame, doc_share: DataFrame, h
     out = out.join(holdout.withColumnRenamed("n", "h"), "term", "left").crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(held_total))
     rate, held = F.col("count_a") / F.col("ta"), F.coalesce("h", F.lit(0)) / F.col("th")
     return out.where((held == 0) | (rate / held >= HOLDOUT_RATIO)).select("term", "z", "models", F.round("share", 4).alias("doc_share"))
+
+
+def common_terms(docs: DataFrame, k: int = 20) -> DataFrame:
+    """The k most frequent words of over four letters; ties in alphabetical order."""
+    w = docs.select(F.explode_outer(F.filter(T.tokens(F.coalesce("text", F.lit(""))), lambda x: F.char_length(x) > 4)).alias("term")).where("term IS NOT NULL")
+    return w.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(k)
+
+
+def merged(entries: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Reviewed entries (term, z, status, note) with the numbers of a new measurement; status and note never change, new terms are candidates."""
+    j = entries.alias("o").join(fresh.select("term", F.col("z").alias("z_new")).alias("f"), "term", "full")
+    return j.select("term", F.coalesce("z_new", "z").alias("z"), F.coalesce("status", F.lit("candidate")).alias("status"), F.coalesce("note", F.lit("")).alias("note"))
+
+
+def heading_support(headings: DataFrame, documents: int, required: float = 0.8) -> DataFrame:
+    """heading (without its number), share of documents that have it, required or expected, median line: a checklist learnt from examples."""
+    h = headings.withColumn("heading", F.lower(F.trim(F.regexp_replace("heading", r"^(?:§\s*\d+[a-z]?\.?|[IVXLC]+\.|\d+(?:\.\d+)*[.)]?)\s*", "")))).where("heading <> ''")
+    a = h.groupBy("heading").agg(F.countDistinct("doc_id").alias("k"), F.percentile("line", F.lit(0.5)).alias("line")).where("k >= 2")
+    share = F.col("k") / F.lit(documents)
+    return a.select("heading", F.round(share, 4).alias("share"), F.when(share >= required, "required").otherwise("expected").alias("severity"), F.col("line").alias("median_line"))

@@ -81,3 +81,19 @@ def inventory(text: Column, category: str) -> Column:
 
 def sensitive_inventory(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *[F.array_join(inventory(F.coalesce("text", F.lit("")), c), " | ").alias(c) for c in INVENTORY])
+
+
+def deontic_profile(docs: DataFrame) -> DataFrame:
+    """Prohibitions, permissions and obligations of each document; a prohibition's words count as nothing else."""
+    t = F.coalesce("text", F.lit(""))
+    left = F.regexp_replace(t, P.spark_pattern(PROHIBITION), " ")
+    return docs.select("doc_id", P.count(t, PROHIBITION).alias("prohibitions"), P.count(left, PERMISSION).alias("permissions"), P.count(left, OBLIGATION).alias("obligations"))
+
+
+def style_compliance(docs: DataFrame, forbidden: list[str], preferred: dict[str, str]) -> DataFrame:
+    """Forbidden phrases that occur, and deprecated terms that occur without the preferred one."""
+    t = F.lower(F.coalesce("text", F.lit("")))
+    bad = F.array(*[F.when(F.contains(t, F.lit(p)), F.lit(p)) for p in forbidden])
+    old = F.array(*[F.when(F.contains(t, F.lit(o)) & ~F.contains(t, F.lit(n)), F.lit(o)) for o, n in preferred.items()])
+    keep = lambda a: F.array_join(F.filter(a, lambda x: x.isNotNull()), ", ")
+    return docs.select("doc_id", keep(bad).alias("forbidden"), keep(old).alias("deprecated"))

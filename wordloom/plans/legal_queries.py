@@ -92,10 +92,27 @@ def _decisions(s: SparkSession, d: str) -> DataFrame:
     return reports.rule_decisions(e.select(F.concat_ws(",", "rule", F.lit("any")).alias("rules"), "decision"))
 
 
+#: An office's style: phrases that it forbids, and terms with those it prefers.
+FORBIDDEN, PREFERRED = ["istotne znaczenie", "z jednej strony"], {"lokal": "mieszkanie", "zapłat": "płatność"}
+
+
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    """Reviewed entries (here frequent words of even documents) against a measurement on odd ones."""
+    old = corpus.common_terms(_even(_docs(s, d))).select("term", F.col("n").cast("double").alias("z"), F.lit("rejected").alias("status"), F.lit("seen").alias("note"))
+    return corpus.merged(old, corpus.common_terms(_odd(_docs(s, d))).select("term", F.col("n").cast("double").alias("z")))
+
+
+def _heading_support(s: SparkSession, d: str) -> DataFrame:
+    docs = _seeded(s, d)
+    return corpus.heading_support(structure.headings(docs), docs.count())
+
+
 def queries() -> dict:
     seed = lambda f: lambda s, d: f(_seeded(s, d))
     text = lambda f, name: lambda s, d: _docs(s, d).select("doc_id", f(F.coalesce("text", F.lit(""))).alias(name))
     return {
+        "common_terms": lambda s, d: corpus.common_terms(_docs(s, d)), "merged_entries": _merged, "heading_support": _heading_support,
+        "deontic_profile": seed(features.deontic_profile), "style_compliance": seed(lambda x: features.style_compliance(x, FORBIDDEN, PREFERRED)),
         "log_odds": _log_odds, "model_support": _model_support, "slop_candidates": _candidates, "detector_auc": _auc,
         "strip_markup": lambda s, d: _table(s, d, "pages").select("page_id", T.strip_markup(F.coalesce("html", F.lit(""))).alias("plain")),
         "drop_boilerplate": text(lambda t: T.drop_boilerplate(T.extract_reasoning(t)), "body"),

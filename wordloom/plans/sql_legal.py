@@ -6,6 +6,7 @@ from wordloom.functions import patterns as P
 from wordloom.operators import detect, features, legal, structure
 
 from . import sql_text as S
+from .legal_queries import FORBIDDEN, PREFERRED
 
 TOK = r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')"
 
@@ -87,7 +88,16 @@ def twins() -> dict[str, str]:
     date, amount = legal.DATE.replace(r"(?<!\d)", "").replace(r"(?!\d)", ""), legal.AMOUNT
     bad_case = r"([IVXLC]+)\s+([A-Z][A-Za-z]{0,4})\s+(\d{1,6})/(\d{4}|\d{2})"
     units = "(SELECT unnest([{'code': 'kc', 'article': '6'}, {'code': 'kc', 'article': '415'}, {'code': 'kpc', 'article': '187'}], recursive := true))"
+    common = lambda source: f"SELECT term, count(*) AS n FROM (SELECT unnest({TOK}) AS term FROM {source}) WHERE len(term) > 4 GROUP BY term ORDER BY n DESC, term LIMIT 20"
+    listed = lambda xs: f"array_to_string(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL), ', ')"
+    bad = listed(f"CASE WHEN contains(t, '{p}') THEN '{p}' END" for p in FORBIDDEN)
+    old = listed(f"CASE WHEN contains(t, '{o}') AND NOT contains(t, '{p}') THEN '{o}' END" for o, p in PREFERRED.items())
     return {
+        "common_terms": common("documents"),
+        "merged_entries": f"SELECT coalesce(o.term, f.term) AS term, coalesce(f.n, o.n)::DOUBLE AS z, CASE WHEN o.term IS NULL THEN 'candidate' ELSE 'rejected' END AS status, CASE WHEN o.term IS NULL THEN '' ELSE 'seen' END AS note FROM ({common('(SELECT * FROM documents WHERE doc_id % 2 = 0)')}) o FULL JOIN ({common('(SELECT * FROM documents WHERE doc_id % 2 = 1)')}) f ON o.term = f.term",
+        "heading_support": headings() + r", hs AS (SELECT doc_id, line, lower(trim(regexp_replace(heading, '^(?:§\s*\d+[a-z]?\.?|[IVXLC]+\.|\d+(?:\.\d+)*[.)]?)\s*', ''))) AS heading FROM h), ha AS (SELECT heading, count(DISTINCT doc_id) AS k, quantile_cont(line, 0.5)::DOUBLE AS median_line FROM hs WHERE heading <> '' GROUP BY heading HAVING k >= 2) SELECT heading, round(k / (SELECT count(*) FROM d), 4) AS share, CASE WHEN k / (SELECT count(*) FROM d) >= 0.8 THEN 'required' ELSE 'expected' END AS severity, median_line FROM ha",
+        "deontic_profile": f"WITH d AS ({S.SEEDED}) SELECT doc_id, {n(features.PROHIBITION)}::INTEGER AS prohibitions, {n(features.PERMISSION, left)}::INTEGER AS permissions, {n(features.OBLIGATION, left)}::INTEGER AS obligations FROM d",
+        "style_compliance": f"WITH d AS ({S.SEEDED}), x AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM d) SELECT doc_id, {bad} AS forbidden, {old} AS deprecated FROM x",
         "log_odds": f"WITH a AS ({terms('(SELECT * FROM documents WHERE lang = $$en$$)')}), b AS ({terms('(SELECT * FROM documents WHERE lang <> $$en$$)')}) " + log_odds(5),
         "model_support": f"WITH a AS ({terms('documents', 'source')}), b AS ({terms('benchmark')}) SELECT * FROM ({log_odds(1, 'source')}) WHERE log_odds > 0 AND count_a >= 2",
         "slop_candidates": f"""WITH m AS ({terms(even, 'model')}), b AS ({terms('benchmark')}), pool AS (WITH a AS (SELECT term, sum(n)::BIGINT AS n FROM m GROUP BY term) {log_odds(5)}),
