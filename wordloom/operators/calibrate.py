@@ -61,7 +61,9 @@ def calibrate(docs: DataFrame, profile: DataFrame) -> DataFrame:
 
 def verdicts(signals: DataFrame) -> DataFrame:
     """score and verdict of each document."""
-    s = signals.groupBy("doc_id").agg(F.round(F.least(F.lit(1.0), F.sum(F.round(F.col("exceedance") * F.col("weight") * 10000).cast("long")) / 10000.0 / F.sum("weight")), 4).alias("score"))
+    # In integers (weights are halves), so that ties round alike everywhere.
+    s = signals.groupBy("doc_id").agg(F.sum(F.round(F.col("exceedance") * F.col("weight") * 10000).cast("long")).alias("n"), F.sum((F.col("weight") * 2).cast("long")).alias("w2"))
+    s = s.select("doc_id", F.least(F.lit(1.0), F.expr("(4 * n + w2) div (2 * w2)") / 10000.0).alias("score"))
     return s.withColumn("verdict", F.when(F.abs(F.col("score") - THRESHOLD) <= BAND, "borderline").when(F.col("score") >= THRESHOLD, "above_human_range").otherwise("within_human_range"))
 
 

@@ -103,7 +103,7 @@ def calibrated() -> str:
   WHERE doc_id % 2 = 1 AND (signal NOT IN ('sentence_burstiness', 'paragraph_shape_cv') OR p50 > 0) AND (signal <> 'paragraph_shape_cv' OR value > 0))
 , cs AS (SELECT doc_id, signal, value AS observed, CASE WHEN side = 'low' THEN p50 ELSE p95 END AS baseline, CASE WHEN side = 'high' THEN CASE WHEN value <= greatest(p95, 0.5) THEN 0 ELSE round(least(1.0, (value - greatest(p95, 0.5)) / greatest(p95, 0.5)), 4) END
   WHEN side = 'low' THEN CASE WHEN p50 <= 0 OR value >= p50 THEN 0 ELSE round(least(1.0, (p50 - value) / (0.5 * p50)), 4) END ELSE 0 END::DOUBLE AS exceedance, weight FROM c0)
-, vd AS (SELECT doc_id, score, CASE WHEN abs(score - 0.25) <= 0.035 THEN 'borderline' WHEN score >= 0.25 THEN 'above_human_range' ELSE 'within_human_range' END AS verdict FROM (SELECT doc_id, round(least(1.0, sum(round(exceedance * weight * 10000)::BIGINT) / 10000.0 / sum(weight)), 4) AS score FROM cs GROUP BY doc_id))
+, vd AS (SELECT doc_id, score, CASE WHEN abs(score - 0.25) <= 0.035 THEN 'borderline' WHEN score >= 0.25 THEN 'above_human_range' ELSE 'within_human_range' END AS verdict FROM (SELECT doc_id, least(1.0, ((4 * sum(round(exceedance * weight * 10000)::BIGINT) + sum((weight * 2)::BIGINT)) // (2 * sum((weight * 2)::BIGINT)))::DOUBLE / 10000.0) AS score FROM cs GROUP BY doc_id))
 """
 
 
