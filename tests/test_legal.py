@@ -62,6 +62,16 @@ def test_references(spark):
     assert {(r.article, r.status) for r in legal.verify(legal.statute_references(d), units).collect()} == {("415", "confirmed"), ("6", "not_found"), ("9", "unknown_act")}
 
 
+def test_letter_parts(spark):
+    letter = "Urząd Miasta\n\nul. Długa 1\nDECYZJA nr 12\nTreść. Od decyzji przysługuje odwołanie.\n  Pouczenie\nOdwołanie wnosi się w terminie."
+    plain = "Pan Jan\nTreść pisma. Można wnieść skargę. Koniec. Decyzją tą kończy się sprawa."
+    got = {r.doc_id: r for r in legal.letter_parts(frame(spark, [letter, plain, "", None, "Pouczeniem jest to."])).collect()}
+    assert got[0].head == "Urząd Miasta\nul. Długa 1" and got[0].instruction == "Pouczenie\nOdwołanie wnosi się w terminie."
+    assert got[0].titles.split(" | ")[2] == "decyzja nr 12"
+    assert got[1].head == plain and got[1].instruction == "Można wnieść skargę."
+    assert all((got[i].head, got[i].titles, got[i].instruction) == ("", "", "") for i in (2, 3)) and got[4].instruction == ""
+
+
 def test_structure(spark):
     d = frame(spark, ["§ 1. Przedmiot umowy\nTreść pierwsza.\n§ 3. Czynsz\nTreść druga.", "Czynsz najpierw.\nPrzedmiot umowy potem."])
     assert [r.heading for r in structure.headings(d).where("doc_id = 0").orderBy("line").collect()] == ["§ 1. Przedmiot umowy", "§ 3. Czynsz"]

@@ -72,6 +72,34 @@ def remedies(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.lower("x.value").alias("remedy"), F.col("x.start").alias("start"), F.substring(F.col("text"), F.col("x.start") + 1, F.least(F.lit(400), end - F.col("x.start"))).alias("window"))
 
 
+# Titles of letters, and the verbs that grant a remedy.
+TITLES = ["decyzja", "postanowienie", "wyrok", "nakaz zapłaty", "wezwanie", "upomnienie", "pozew", "wypowiedzenie"]
+GRANTS = ["przysługuje", "można wnieść", "może wnieść", "można złożyć", "może złożyć", "wnosi się", "należy wnieść"]
+HEAD_LINES, TITLE_CHARS, TITLE_LINES = 15, 90, 45
+LINE_END = r"\r\n|\n|\r"
+#: In both dialects but for the flags: from a line's "Pouczenie" to the end.
+INSTRUCTION = rf"^[{P.BLANK}]*(pouczeni[ea](?:[^\p{{L}}\p{{N}}_].*)?)\z"
+
+
+def letter_parts(docs: DataFrame) -> DataFrame:
+    """doc_id, head, titles, instruction of a letter.
+
+    The head is what stands above the title within the first lines that are not blank, or all of these without a title; titles are the short
+    lines of the beginning; the instruction starts at its heading, without one it is the sentences that grant a remedy. A null text is empty.
+    """
+    flat = lambda x: F.lower(T.strip(F.regexp_replace(x, f"[{P.BLANK}]+", " ")))
+    is_title = lambda x: (F.char_length(flat(x)) <= TITLE_CHARS) & flat(x).rlike(rf"^(?:{'|'.join(TITLES)})(?!\p{{L}})")
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("lines", F.split("text", LINE_END, -1))
+    d = d.withColumn("first", F.slice(F.filter("lines", lambda x: T.strip(x) != ""), 1, HEAD_LINES))
+    d = d.withColumn("title_at", F.array_position(F.transform("first", is_title), True).cast("int"))
+    head = F.when(F.col("title_at") > 0, F.slice("first", F.lit(1), F.greatest(F.col("title_at") - 1, F.lit(0)))).otherwise(F.col("first"))
+    short = F.filter(F.slice("lines", 1, TITLE_LINES), lambda x: F.char_length(T.strip(x)).between(1, TITLE_CHARS))
+    granting = F.filter(F.split("text", T.SENTENCE_GAP, -1), lambda x: x.rlike(f"(?iu){'|'.join(GRANTS)}"))
+    headed = F.regexp_extract("text", f"(?imsud){INSTRUCTION}", 1)
+    instruction = F.when(headed != "", headed).otherwise(F.array_join(granting, " "))
+    return d.select("doc_id", F.array_join(head, "\n").alias("head"), F.array_join(F.transform(short, flat), " | ").alias("titles"), instruction.alias("instruction"))
+
+
 # Public holidays of every year as (month, day).
 HOLIDAYS = [(1, 1), (1, 6), (5, 1), (5, 3), (8, 15), (11, 1), (11, 11), (12, 25), (12, 26)]
 EVE_SINCE = 2025

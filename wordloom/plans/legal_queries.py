@@ -124,7 +124,7 @@ def queries() -> dict:
         "headings": seed(structure.headings), "numbering_issues": seed(structure.numbering_issues), "section_check": seed(structure.section_check), "order_issues": seed(structure.order_issues),
         "classify_family": seed(structure.classify_family), "classify_category": seed(structure.classify_category),
         "nearest_template": lambda s, d: structure.nearest_template(_docs(s, d), _table(s, d, "benchmark")),
-        "statute_references": seed(legal.statute_references), "case_references": seed(legal.case_references), "verify_references": _verified, "letter_facts": seed(legal.letter_facts), "letter_remedies": seed(legal.remedies),
+        "statute_references": seed(legal.statute_references), "case_references": seed(legal.case_references), "verify_references": _verified, "letter_facts": seed(legal.letter_facts), "letter_remedies": seed(legal.remedies), "letter_parts": seed(legal.letter_parts),
         "holidays": lambda s, d: legal.holidays(_table(s, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()),
         "deadlines_days": _deadlines("day", 14), "deadlines_months": _deadlines("month", 1),
         "batch_summary": lambda s, d: reports.batch_summary(detect.document_signal(_seeded(s, d))), "rule_decisions": _decisions,

@@ -78,6 +78,18 @@ dd AS (SELECT term_end, (term_end + k::INTEGER)::DATE AS day FROM (SELECT DISTIN
 SELECT id, delivered, term_end, last_day, (last_day - term_end)::INTEGER AS moved FROM o JOIN l USING (term_end)"""
 
 
+def letter_parts() -> str:
+    flat = lambda v: f"lower(regexp_replace(regexp_replace({v}, '[{S.B}]+', ' ', 'g'), {S.STRIP}))"
+    strip = lambda v: f"regexp_replace({v}, {S.STRIP})"
+    return rf"""WITH d AS ({S.SEEDED}), x AS (SELECT doc_id, text, string_split_regex(text, '{legal.LINE_END}') AS l FROM (SELECT doc_id, coalesce(text, '') AS text FROM d)),
+h AS (SELECT *, list_filter(l, lambda v: {strip('v')} <> '')[1:{legal.HEAD_LINES}] AS f FROM x),
+t AS (SELECT *, coalesce(list_position(list_transform(f, lambda v: len({flat('v')}) <= {legal.TITLE_CHARS} AND regexp_matches({flat('v')}, '^(?:{'|'.join(legal.TITLES)})(?:[^\p{{L}}]|$)')), true), 0) AS title_at,
+  regexp_extract(text, '(?ims){legal.INSTRUCTION}', 1) AS headed, string_split(regexp_replace(text, '([.!?])[{S.B}]+(\p{{Lu}}|__PROTECTED_)', '\1' || chr(31) || '\2', 'g'), chr(31)) AS sent FROM h)
+SELECT doc_id, coalesce(array_to_string(CASE WHEN title_at > 0 THEN f[1:title_at - 1] ELSE f END, chr(10)), '') AS head,
+  coalesce(array_to_string(list_transform(list_filter(l[1:{legal.TITLE_LINES}], lambda v: len({strip('v')}) BETWEEN 1 AND {legal.TITLE_CHARS}), lambda v: {flat('v')}), ' | '), '') AS titles,
+  CASE WHEN headed <> '' THEN headed ELSE coalesce(array_to_string(list_filter(sent, lambda v: regexp_matches(v, '(?i){'|'.join(legal.GRANTS)}')), ' '), '') END AS instruction FROM t"""
+
+
 def twins() -> dict[str, str]:
     even = "(SELECT *, source AS model FROM documents WHERE doc_id % 2 = 0)"
     f = S.sentences(S.SEEDED) + f", x AS (SELECT doc_id, paragraph_index, sentence_index, text, regexp_extract_all(lower(text), '\\p{{L}}+') AS l FROM s)"
@@ -123,6 +135,7 @@ SELECT doc_id, arg_min(section, position) AS section, arg_min(ns, position) AS b
 k AS (SELECT doc_id, item_id, count(*) AS k, any_value(nd) AS nd, any_value(nt) AS nt FROM (SELECT doc_id, len(ps) AS nd, unnest(ps) AS pair FROM dp) JOIN (SELECT item_id, len(ps) AS nt, unnest(ps) AS pair FROM tp) USING (pair) GROUP BY ALL)
 SELECT doc_id, item_id, f1, recall FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY f1 DESC, item_id) AS r FROM (SELECT doc_id, item_id, round(2 * k / (nd + nt), 4) AS f1, round(k / nt, 4) AS recall FROM k WHERE k / nt >= 0.4)) WHERE r = 1""",
         "case_references": f"WITH d AS ({S.SEEDED}), y AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{N}}_]){bad_case}(?:$|[^0-9])')) AS m FROM d) SELECT DISTINCT doc_id, regexp_extract(m, '{bad_case}', 1) || ' ' || regexp_extract(m, '{bad_case}', 2) || ' ' || regexp_extract(m, '{bad_case}', 3) || '/' || right(regexp_extract(m, '{bad_case}', 4), 2) AS signature FROM y",
+        "letter_parts": letter_parts(),
         "holidays": f"WITH {holidays('SELECT DISTINCT year(o_orderdate) AS year FROM orders')} SELECT year::INTEGER AS year, day FROM ho",
         "deadlines_days": deadlines("14"), "deadlines_months": deadlines("INTERVAL 1 MONTH"),
         "batch_summary": al + "SELECT count(*) AS documents, sum((findings > 0)::INTEGER)::BIGINT AS with_findings, sum(findings)::BIGINT AS findings, round(avg(signal_score), 4) AS mean_score, max(signal_score) AS max_score FROM ds",
