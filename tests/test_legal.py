@@ -79,6 +79,12 @@ def test_structure(spark):
     assert [(r.doc_id, r.section, r.before) for r in structure.order_issues(d).collect()] == [(1, "czynsz", "przedmiot")]
 
 
+def test_section_bodies(spark):
+    texts = ["§ 1. Przedmiot umowy\nLokal przy ulicy Długiej w Warszawie.\n§ 2. Czynsz\nBrak.\n§ 3. Wypowiedzenie", "Mówimy o czynszu, bo czynsz jest wysoki.\nWięcej.", "", None]
+    got = {(r.doc_id, r.section): (r.line, r.body_words, r.empty) for r in structure.section_bodies(frame(spark, texts)).collect()}
+    assert got == {(0, "przedmiot"): (0, 6, False), (0, "czynsz"): (2, 1, True), (0, "wypowiedzenie"): (4, 0, True)}
+
+
 def test_auc_and_log_odds(spark):
     scored = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.4, 1), (0.9, 1)], "score double, label int")
     assert corpus.auc(scored).first().auc == 0.875

@@ -50,6 +50,34 @@ def section_check(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array(*made)).alias("s")).select("doc_id", "s.section", "s.status", "s.position")
 
 
+UNIT = r"^(?:§\s*\d+[a-z]?|[IVXLC]+\.|\d+(?:\.\d+)*[.)])"
+EXTRA_WORDS, MIN_BODY = 2, 4
+
+
+def section_bodies(docs: DataFrame) -> DataFrame:
+    """doc_id, section, line, body_words, empty of each section that a heading titles.
+
+    A section stands at the first line with the first phrase of its list that occurs; the line titles it if it is a numbered heading, or one with
+    few words beside the phrase. The body runs to the later of the next heading and the next section, else to the end.
+    """
+    low = F.lower("text")
+    rank = {name: F.coalesce(*[F.when(F.contains(low, F.lit(p)), j) for j, p in enumerate(phrases)], F.lit(None)) for name, _, _, phrases in SECTIONS}
+    d = lines(docs).select("doc_id", "line", "text", is_heading(F.col("text")).alias("is_heading"), F.regexp_count("text", F.lit(f"[^{T.BLANK}]+")).alias("words"), *[F.when(j.isNotNull(), F.struct(j.alias("j"), "line")).alias(name) for name, j in rank.items()])
+    doc = W.partitionBy("doc_id")
+    first = {name: F.min(name).over(doc) for name in rank}
+    starts = {name: F.coalesce(m["line"] == F.col("line"), F.lit(False)) for name, m in first.items()}
+    d = d.withColumn("total", F.sum("words").over(doc)).withColumn("up_to", F.sum("words").over(doc.orderBy("line").rowsBetween(W.unboundedPreceding, 0)))
+    d = d.select("doc_id", "line", "text", "is_heading", "words", "total", "up_to", *[F.when(at, F.col(name)["j"]).alias(name) for name, at in starts.items()])
+    # Words before the next heading or section; backwards, because only frames that grow are cheap.
+    later = doc.orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1)
+    before = lambda flag: F.coalesce(F.min(F.when(flag, F.col("up_to") - F.col("words"))).over(later), F.col("total"))
+    d = d.withColumn("body_words", F.greatest(before(F.col("is_heading")), before(F.coalesce(*rank).isNotNull())) - F.col("up_to"))
+    titled = lambda name, phrases: F.col("text").rlike(UNIT) | (F.size(T.tokens(F.replace(low, F.element_at(F.array(*map(F.lit, phrases)), F.col(name) + 1), F.lit(" ")))) <= EXTRA_WORDS)
+    found = F.array(*[F.when(F.col(name).isNotNull() & titled(name, phrases), F.lit(name)) for name, _, _, phrases in SECTIONS])
+    d = d.where("is_heading").select("doc_id", "line", "body_words", F.explode(found).alias("section")).where("section IS NOT NULL")
+    return d.select("doc_id", "section", "line", "body_words", (F.col("body_words") < MIN_BODY).alias("empty"))
+
+
 def order_issues(docs: DataFrame) -> DataFrame:
     """The first section of a document that stands before one that the list has earlier."""
     rank = F.create_map(*[x for i, (n, *_) in enumerate(SECTIONS) for x in (F.lit(n), F.lit(i))])

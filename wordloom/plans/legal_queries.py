@@ -121,7 +121,7 @@ def queries() -> dict:
         "protect_restore": _protection,
         "sentence_features": seed(features.sentence_features), "paragraph_features": seed(features.paragraph_features), "anchor_retention": _anchors, "sensitive_inventory": seed(features.sensitive_inventory),
         "rewrite_candidates": seed(lambda x: rewrite.gates(rewrite.candidates(x)).drop("gen_order")), "rewrite_best": seed(rewrite.rewrite_best), "gate_reasons": _gate_reasons, "rewrite_documents": seed(rewrite.rewrite),
-        "headings": seed(structure.headings), "numbering_issues": seed(structure.numbering_issues), "section_check": seed(structure.section_check), "order_issues": seed(structure.order_issues),
+        "headings": seed(structure.headings), "numbering_issues": seed(structure.numbering_issues), "section_check": seed(structure.section_check), "order_issues": seed(structure.order_issues), "section_bodies": seed(structure.section_bodies),
         "classify_family": seed(structure.classify_family), "classify_category": seed(structure.classify_category),
         "nearest_template": lambda s, d: structure.nearest_template(_docs(s, d), _table(s, d, "benchmark")),
         "statute_references": seed(legal.statute_references), "case_references": seed(legal.case_references), "verify_references": _verified, "letter_facts": seed(legal.letter_facts), "letter_remedies": seed(legal.remedies), "letter_parts": seed(legal.letter_parts),

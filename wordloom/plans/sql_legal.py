@@ -63,6 +63,17 @@ def headings() -> str:
   OR (NOT regexp_matches(heading, ':\s*\S|_{{4,}}|\.{{4,}}') AND NOT regexp_matches(heading, '[.,;:]$') AND regexp_matches(heading, '^\p{{Lu}}'))))"""
 
 
+def section_bodies() -> str:
+    phrases = ", ".join(f"('{name}', {j}, '{p}')" for name, _, _, listed in structure.SECTIONS for j, p in enumerate(listed))
+    return headings() + rf""", ln AS (SELECT p.doc_id, p.paragraph_index AS line, p.text, h.heading IS NOT NULL AS is_h, len(regexp_extract_all(p.text, '[^{S.B}]+')) AS n FROM p LEFT JOIN h ON h.doc_id = p.doc_id AND h.line = p.paragraph_index),
+st AS (SELECT doc_id, section, phrase, line, text, is_h FROM ln, (VALUES {phrases}) v(section, j, phrase) WHERE contains(lower(text), phrase) QUALIFY row_number() OVER (PARTITION BY doc_id, section ORDER BY j, line) = 1),
+ti AS (SELECT doc_id, section, line FROM st WHERE is_h AND (regexp_matches(text, '{structure.UNIT}') OR len(regexp_extract_all(replace(lower(text), phrase, ' '), '\p{{L}}+')) <= {structure.EXTRA_WORDS})),
+nh AS (SELECT ti.doc_id, ti.section, ti.line, coalesce(min(h.line), 1e9) AS a FROM ti LEFT JOIN h ON h.doc_id = ti.doc_id AND h.line > ti.line GROUP BY ALL),
+ns AS (SELECT nh.doc_id, nh.section, nh.line, nh.a, coalesce(min(st.line), 1e9) AS b FROM nh LEFT JOIN st ON st.doc_id = nh.doc_id AND st.line > nh.line GROUP BY ALL),
+bo AS (SELECT ns.doc_id, ns.section, ns.line, coalesce(sum(ln.n), 0)::BIGINT AS body_words FROM ns LEFT JOIN ln ON ln.doc_id = ns.doc_id AND ln.line > ns.line AND ln.line < greatest(ns.a, ns.b) GROUP BY ALL)
+SELECT *, body_words < {structure.MIN_BODY} AS empty FROM bo"""
+
+
 def holidays(years: str) -> str:
     """CTEs ho: day, from a query of years."""
     fixed = " UNION ALL ".join(f"SELECT year, make_date(year, {m}, {d}) AS day FROM ey" for m, d in legal.HOLIDAYS)
@@ -128,6 +139,7 @@ SELECT doc_id, paragraph_index, sum(n)::BIGINT AS words, round(avg(n), 4) AS mea
         "headings": headings() + " SELECT * FROM h",
         "numbering_issues": headings() + r", v AS (SELECT doc_id, line, regexp_extract(heading, '^§\s*(\d{1,9})', 1)::BIGINT AS value FROM h WHERE regexp_matches(heading, '^§\s*\d')), g AS (SELECT *, lag(value) OVER (PARTITION BY doc_id ORDER BY line) AS b FROM v) SELECT doc_id, line, value, b + 1 AS expected, CASE WHEN value <= b THEN 'repeat' ELSE 'gap' END AS issue FROM g WHERE value <> b + 1",
         "section_check": sections() + " SELECT * FROM sc",
+        "section_bodies": section_bodies(),
         "order_issues": sections() + f""", q AS (SELECT *, list_position([{', '.join(f"'{x[0]}'" for x in structure.SECTIONS)}], section) AS rank FROM sc WHERE position IS NOT NULL), w AS (SELECT *, lead(rank) OVER o AS nr, lead(section) OVER o AS ns, lead(position) OVER o AS np FROM q WINDOW o AS (PARTITION BY doc_id ORDER BY position, rank))
 SELECT doc_id, arg_min(section, position) AS section, arg_min(ns, position) AS before FROM w WHERE nr < rank AND np > position GROUP BY doc_id""",
         "classify_family": family(), "classify_category": category(),
