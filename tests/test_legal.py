@@ -80,9 +80,9 @@ def test_structure(spark):
 
 
 def test_section_bodies(spark):
-    texts = ["§ 1. Przedmiot umowy\nLokal przy ulicy Długiej w Warszawie.\n§ 2. Czynsz\nBrak.\n§ 3. Wypowiedzenie", "Mówimy o czynszu, bo czynsz jest wysoki.\nWięcej.", "", None]
+    texts = ["§ 1. Przedmiot umowy\nLokal przy ulicy Długiej w Warszawie.\n§ 2. Czynsz\nBrak.\n§ 3. Wypowiedzenie", "Mówimy o czynszu, bo czynsz jest wysoki.\nWięcej.", "", None, "Czynsz za najem\nJeden.", "Czynsz za najem lokalu\nJeden."]
     got = {(r.doc_id, r.section): (r.line, r.body_words, r.empty) for r in structure.section_bodies(frame(spark, texts)).collect()}
-    assert got == {(0, "przedmiot"): (0, 6, False), (0, "czynsz"): (2, 1, True), (0, "wypowiedzenie"): (4, 0, True)}
+    assert got == {(0, "przedmiot"): (0, 6, False), (0, "czynsz"): (2, 1, True), (0, "wypowiedzenie"): (4, 0, True), (4, "czynsz"): (0, 1, True)}
 
 
 def test_auc_and_log_odds(spark):
