@@ -3,6 +3,7 @@ import re
 from wordloom.functions import patterns as P
 from wordloom.operators import metrics
 from wordloom.operators import text as T
+from wordloom.plans import registry
 
 
 def frame(spark, texts):
@@ -62,3 +63,13 @@ def test_syllables(spark):
 def test_strip_markup_and_spacing(spark):
     assert frame(spark, ["<p>A &amp; b</p><br/>c<td>d</td>"]).select(T.strip_markup(T.F.col("text")).alias("x")).first().x == "A & b\n\nc d"
     assert frame(spark, ["a  b , c;d ...  e"]).select(T.normalize_spacing(T.F.col("text")).alias("x")).first().x == "a b, c; d ... e"
+
+
+def test_calibration_returns_every_document(spark, tmp_path):
+    ids = [0, 1, 2, 3, 4, 5, -3, None]
+    text = "Strony zawarły umowę najmu. Najemca zapłacił czynsz w terminie. Potem oddał klucze i opuścił lokal."
+    spark.createDataFrame([(i, text) for i in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = registry.queries()
+    assert {r.doc_id for r in run["document_diagnosis"](spark, str(tmp_path)).collect()} == set(ids)
+    for name in ("calibration", "calibration_signals", "review_gate"):
+        assert {r.doc_id for r in run[name](spark, str(tmp_path)).collect()} >= {0, 1, 2, 3, 4, 5, -3}, name

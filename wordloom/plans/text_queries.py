@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wordloom.operators import calibrate, detect, metrics
 from wordloom.operators import text as T
@@ -18,15 +21,22 @@ def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeded(_docs(spark, sf_dir))
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The documents that are calibrated (odd ids), and the profile of the others: a corpus split, as in cross-validation."""
-    d = _seeded(spark, sf_dir)
-    return d.where("doc_id % 2 = 1"), calibrate.reference_profile(d.where("doc_id % 2 = 0"))
+def _profile(docs: DataFrame) -> DataFrame:
+    """The profile of the even ids."""
+    return calibrate.reference_profile(docs.where("doc_id % 2 = 0"))
+
+
+def _crossed(docs: DataFrame, f: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """f over every document, each half against the other's profile: odd ids against the even ones, all others against the odd ones."""
+    odd = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
+    one, other = docs.where(odd), docs.where(~odd)
+    return f(one, _profile(docs)).unionByName(f(other, calibrate.reference_profile(one)))
 
 
 def queries() -> dict:
     plain = lambda f: lambda s, d: f(_docs(s, d))
     seed = lambda f: lambda s, d: f(_seeded(s, d))
+    crossed = lambda f: lambda s, d: _crossed(_seeded(s, d), f)
     return {
         "split_paragraphs": plain(T.split_paragraphs),
         "split_sentences": plain(T.split_sentences),
@@ -46,10 +56,10 @@ def queries() -> dict:
         "family_rates": seed(detect.family_rates),
         "document_signal": seed(detect.document_signal),
         "paragraph_diagnosis": seed(detect.paragraph_diagnosis),
-        "reference_profile": lambda s, d: _halves(s, d)[1],
-        "calibration_signals": lambda s, d: calibrate.calibrate(*_halves(s, d)),
-        "calibration": lambda s, d: calibrate.verdicts(calibrate.calibrate(*_halves(s, d))),
-        "review_gate": lambda s, d: calibrate.review(*_halves(s, d)),
-        "tone": lambda s, d: calibrate.tone(*_halves(s, d)),
-        "document_diagnosis": lambda s, d: calibrate.diagnosis(*_halves(s, d)),
+        "reference_profile": seed(_profile),
+        "calibration_signals": crossed(calibrate.calibrate),
+        "calibration": crossed(lambda d, p: calibrate.verdicts(calibrate.calibrate(d, p))),
+        "review_gate": crossed(calibrate.review),
+        "tone": crossed(calibrate.tone),
+        "document_diagnosis": crossed(calibrate.diagnosis),
     }
