@@ -61,8 +61,13 @@ def shingle_spans(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, n
 def fingerprints(texts: list[bytes], k: int, seeds: tuple[int, ...] = (42,)) -> np.ndarray:
     """One row of 64-bit words, a word for each seed, for each text."""
     buf, starts, lens, text = shingle_spans(texts, k)
-    out = np.zeros((len(texts), len(seeds)), np.uint64)
-    n = np.bincount(text, minlength=len(texts))
+    return majorities(xxh64(buf, starts, lens, seeds[0]), text, len(texts), seeds)
+
+
+def majorities(base: np.ndarray, text: np.ndarray, texts: int, seeds: tuple[int, ...]) -> np.ndarray:
+    """The fingerprints of so many texts from their shingles' hashes with the first seed; text is the owner, ascending."""
+    out = np.zeros((texts, len(seeds)), np.uint64)
+    n = np.bincount(text, minlength=texts)
     some = np.flatnonzero(n)
     if not len(some):
         return out
@@ -72,7 +77,6 @@ def fingerprints(texts: list[bytes], k: int, seeds: tuple[int, ...] = (42,)) ->
         if (bounds[i] - bounds[cuts[-1]]) > 400_000:
             cuts.append(i)
     cuts.append(len(some))
-    base = xxh64(buf, starts, lens, seeds[0])
     for s in range(len(seeds)):
         if s == 0:
             h = base
