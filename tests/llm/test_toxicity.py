@@ -63,3 +63,14 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in T.toxicity_digest(d, none).collect()} == {0.5}
     assert T.toxicity_digest(d.limit(0), none).count() == 0
+
+
+def test_few_labels_and_rare_words_count(spark):
+    """Six toxic examples of three words, two of each: too few for a z-score of 3."""
+    calm = lambda i: " ".join(f"plain{(i * 7 + k) % 40}" for k in range(12))
+    bad = ["vermin", "moron", "lowlife"]
+    rows = [(i, f"{calm(i)} {bad[i % 3]}" if i < 6 else calm(i)) for i in range(52)] + [(100 + k, f"{calm(k + 9)} {w}") for k, w in enumerate(bad)] + [(200, calm(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(52)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in T.toxicity(docs, labels).collect()}
+    assert min(got[100 + k] for k in range(3)) >= 0.7 > got[200]

@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Examples are a bounded sample of the labelled rows (at most `per_class` of each label, by a hash of
-the id). Terms are words and the heads (4 to 7 letters) of longer words; those kept lean to label 1 by a
-log-odds z-score among the examples (at most `max_terms`). Document frequencies count all
+the id). Terms are words and the heads (4 to 7 letters) of longer words; those kept occur in two examples of
+label 1 at least and lean to it by their log-odds (at most `max_terms`, by z-score), however few the labels. Document frequencies count all
 documents. A document's k nearest examples are found exactly: blocks of examples are taken by their
 bounds (sums of block maxima) until no bound reaches the k-th best cosine. Votes weighted by cosine
 are calibrated by isotonic regression over leave-one-out votes of the examples, weighted back to
@@ -26,9 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, stored
 
-PER_CLASS, MAX_TERMS, MIN_Z = 2000, 4000, 3.0
+#: A term has about 1 KB in the model; 100,000 are its bound.
+PER_CLASS, MAX_TERMS, MIN_TOXIC = 2000, 100_000, 2
 NEIGHBOURS, PRIOR_WEIGHT, BLOCK, SEED_BLOCKS = 20, 1.0, 64, 6
 HEADS = (4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -198,9 +199,9 @@ def fit_and_vectors(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     a, b = (F.sum(F.col("y") if s else 1 - F.col("y")) + 0.5 for s in (1, 0))
     na, nb = (min(per_class, sizes.get(s, 0)) + 1 for s in (1, 0))
     z = (F.log(F.col("a") / na) - F.log(F.col("b") / nb)) / F.sqrt(1 / F.col("a") + 1 / F.col("b"))
-    lean = texts.mapInPandas(features, "term string, y int").groupBy("term").agg(a.alias("a"), b.alias("b")).withColumn("z", z).where(F.col("z") >= MIN_Z)
+    lean = texts.mapInPandas(features, "term string, y int").groupBy("term").agg(a.alias("a"), b.alias("b")).withColumn("z", z).where((F.col("z") > 0) & (F.col("a") > MIN_TOXIC))
     terms = sorted(r["term"] for r in lean.orderBy(F.desc("z"), "term").limit(max_terms).collect())
-    vectors = cut(_vectors(docs, {t: i for i, t in enumerate(terms)}))
+    vectors = stored(_vectors(docs, {t: i for i, t in enumerate(terms)}))
     documents = vectors.count()
     df = np.zeros(len(terms))
     for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each kept term
