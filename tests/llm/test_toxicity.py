@@ -1,6 +1,8 @@
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from wordloom.llm import toxicity as T
@@ -32,30 +34,62 @@ def test_held_out_rows_and_odd_texts(spark):
     assert sum(r.predicted == int(r.doc_id % 5 == 0) for r in held) >= 0.97 * len(held)
 
 
-def test_neighbours_equal_brute_force():
-    r = random.Random(2)
-    terms = [f"t{i}" for i in range(40)]
-    examples = []
-    for i in range(500):
-        t = sorted(r.sample(range(40), r.randint(0, 9)))
-        examples.append((i, i % 2, t, [r.randint(1, 4) for _ in t]))
-    df = np.array([r.randint(1, 300) for _ in terms], float)
-    m = T.build(terms, df, 1000, examples, {0: 250, 1: 250})
-
-    def vector(t, c):
-        w = {a: (1 + math.log(n)) * m.idf[a] for a, n in zip(t, c)}
-        size = math.sqrt(sum(x * x for x in w.values()))
-        return {a: x / size for a, x in w.items()} if size else w
-
-    for i in range(60):
-        _, _, t, c = examples[i]
-        if not t:
-            continue
-        q = vector(t, c)
-        scored = sorted((-round(sum(q.get(a, 0) * x for a, x in vector(e[2], e[3]).items()), 9), k) for k, e in enumerate(examples))
-        want = [(k, -s) for s, k in scored if s < 0][: T.NEIGHBOURS]
-        who, cos = m.nearest(np.array(t), m.unit(np.array(t), np.array(c, float)))
-        assert who.tolist() == [k for k, _ in want] and np.allclose(cos, [s for _, s in want])
+def brute(docs, labels):
+    """Score of each text by comparing it with every example, word for word."""
+    find = lambda t: Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+    texts = dict(docs)
+    rows = sorted((i, y) for i, y in labels.items() if i in texts)
+    df = Counter(w for _, t in docs for w in find(t))
+    n1 = sum(y for _, y in rows)
+    n0 = len(rows) - n1
+
+    def weight(w):
+        base = math.log((len(docs) + 1) / (df[w] + 1)) + 1e-6
+        a, b = (sum(1 for i, y in rows if y == s and w in find(texts[i])) + 0.5 for s in (1, 0))
+        if a + b == 1:
+            return base
+        return base * (1 + max(0.0, (math.log(a / (n1 + 1)) - math.log(b / (n0 + 1))) / math.sqrt(1 / a + 1 / b)))
+
+    weights = {w: weight(w) for w in df}
+
+    def unit(t):
+        v = {w: (1 + math.log(n)) * weights[w] for w, n in find(t).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()} if size else v
+
+    units = {i: unit(texts[i]) for i, _ in rows}
+    prior = n1 / len(rows)
+
+    def vote(q, without=None):
+        cos = sorted((-round(sum(q.get(w, 0) * x for w, x in units[i].items()), 9), i, y) for i, y in rows if i != without)
+        cos = [(-c, y) for c, _, y in cos if c < 0][: T.NEIGHBOURS]
+        return (sum(c * y for c, y in cos) + T.PRIOR_WEIGHT * prior) / (sum(c for c, _ in cos) + T.PRIOR_WEIGHT)
+
+    x = np.array([vote(units[i], i) for i, _ in rows])
+    xs, ys = T.isotonic(x, np.array([float(y) for _, y in rows]), np.ones(len(rows)))
+    return [(i, float(np.interp(vote(unit(t)), xs, ys))) for i, t in docs]
+
+
+def test_whole_operator_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 8)
+    monkeypatch.setattr(T, "SEED_BLOCKS", 2)
+    docs, labels = corpus(260)
+    docs += [(900, ""), (901, "unheard words only"), (902, "w1 w2 idiot")]
+    y = {i: t for i, _, t in labels}
+    got = {r.doc_id: r for r in T.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for i, score in brute(docs, y):
+        assert abs(got[i].score - score) < 1e-6, i
+    assert len(got[902].examples) == T.NEIGHBOURS and list(got[902].cosines) == sorted(got[902].cosines, reverse=True) and not len(got[900].examples)
+
+
+def test_a_sample_within_its_bytes(spark):
+    docs, labels = corpus(200)
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = T.fit(d, lab, per_class=30, sample_bytes=2000)
+    size = {i: len(t) for i, t in docs}
+    for y in (0, 1):
+        mine = m.ids[m.labels == y].tolist()
+        assert 0 < len(mine) <= 30 and sum(size[i] for i in mine) <= 2000
 
 
 def test_without_labels(spark):

@@ -1,127 +1,138 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Examples are a bounded sample of the labelled rows (at most `per_class` of each label, by a hash of
-the id). Terms are words and the heads (4 to 7 letters) of longer words; those kept occur in two examples of
-label 1 at least and lean to it by their log-odds (at most `max_terms`, by z-score), however few the labels. Document frequencies count all
-documents. A document's k nearest examples are found exactly: blocks of examples are taken by their
-bounds (sums of block maxima) until no bound reaches the k-th best cosine. Votes weighted by cosine
-are calibrated by isotonic regression over leave-one-out votes of the examples, weighted back to
-the classes' sizes; a document without any kept term gets the share of label 1 among such examples.
-
-Defined results: null and empty texts have no terms; a doc_id labelled twice takes its larger label,
-null labels are left out; equal cosines go to the smaller example; without examples of both
-labels every score is the share of label 1 (0.5 without labels); repeated rows are scored each; an
-empty table gives an empty result; no column but id, text and the labels' toxic is read.
+Examples are a bounded sample of the labelled rows: at most `per_class` rows and `sample_bytes` of
+text of each label, in the order of a hash of the id. The index holds every word of the examples.
+A word weighs (1 + log tf) * idf * (1 + its z-score where it leans to label 1); document frequencies
+count all documents, exactly for the examples' words and in hash buckets for all others, which can
+match no example but count in a text's length. A document's k nearest examples are found exactly:
+blocks of like examples are taken by their bounds (sums of block maxima) until no bound reaches the
+k-th best cosine. Votes weighted by cosine, with each example standing for its share of its label's
+rows, are calibrated by isotonic regression over the examples' leave-one-out votes.
+
+Defined results: null and empty texts have no words, no neighbours, and the score that the prior
+alone gets; a doc_id labelled twice takes its larger label, one with several texts its smallest;
+null labels are left out; equal cosines go to the smaller example; without examples of both labels
+every score is the share of label 1 (0.5 without labels); repeated rows are scored each; an empty
+table gives an empty result; no column but id, text and the labels' toxic is read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut
 
-#: A term has about 1 KB in the model; 100,000 are its bound.
-PER_CLASS, MAX_TERMS, MIN_TOXIC = 2000, 100_000, 2
-NEIGHBOURS, PRIOR_WEIGHT, BLOCK, SEED_BLOCKS = 20, 1.0, 64, 6
-HEADS = (4, 5, 6, 7)
+#: The sample's bounds; they bound the index, the model and what the driver reads.
+PER_CLASS, SAMPLE_BYTES = 2000, 16_000_000
+NEIGHBOURS, PRIOR_WEIGHT, BLOCK, SEED_BLOCKS = 20, 0.2, 64, 6
+#: Hash buckets of the document frequencies of words that no example has.
+BUCKETS = 1 << 18
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def names(word: str) -> list[str]:
-    """The terms a word stands for: itself and its heads."""
-    return [word, *(word[:k] + "*" for k in HEADS if len(word) > k)]
+def word_counts(text: str | None) -> Counter:
+    return Counter(LETTERS.findall((text or "").lower()))
 
 
-def term_counts(text: str | None, known: dict[str, int] | None = None, starts: frozenset = frozenset()) -> Counter:
-    """Counts of the text's terms; with known, only those, by number. starts: the known terms' first letters (HEADS[0] of them)."""
-    out: Counter = Counter()
-    for w, n in Counter(LETTERS.findall((text or "").lower())).items():
-        if known is None:
-            for t in names(w):
-                out[t] += n
-        elif w[: HEADS[0]] in starts:
-            for t in names(w):
-                if (i := known.get(t)) is not None:
-                    out[i] += n
-    return out
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def first_letters(known: dict[str, int]) -> frozenset:
-    return frozenset(t.removesuffix("*")[: HEADS[0]] for t in known)
+def ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (n[0] of them), begin[1], ..."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 @dataclass
 class Model:
-    """The index (postings by term, with block starts and maxima) and what turns votes into scores."""
+    """The index (cells of one term and one block, with their postings and maxima) and what turns votes into scores."""
 
     terms: dict[str, int]
-    idf: np.ndarray
-    ids: np.ndarray
-    labels: np.ndarray
-    rows: np.ndarray
-    values: np.ndarray
-    starts: np.ndarray  # terms x (blocks + 1): where a block's postings begin
-    peaks: np.ndarray  # terms x blocks
-    votes: np.ndarray
-    scores: np.ndarray
-    none: float
+    weight: np.ndarray  # of each term
+    other: np.ndarray  # weight of the words of each bucket
     prior: float
-
-    def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        size = np.sqrt((w * w).sum())
-        return w / size if size > 0 else w
-
-    def _cosines(self, terms: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """The cosines of all examples as far as those blocks hold them, else 0."""
-        begin = self.starts[terms]
-        lo, hi = begin[:, blocks].ravel(), begin[:, blocks + 1].ravel()
-        n = hi - lo
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return np.bincount(self.rows[at], weights=np.repeat(np.repeat(w, len(blocks)), n) * self.values[at], minlength=len(self.ids))
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    stands: np.ndarray = field(default_factory=lambda: np.zeros(0))  # rows that an example stands for
+    blocks: int = 0
+    term_cells: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    cell_block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    cell_start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    peaks: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rows: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    votes: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    scores: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms in the index, and their shares of its unit vector over all of its words."""
+        get = self.terms.get
+        at = np.array([get(w, -1) for w in counts], np.int64)
+        tf = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+        known = at >= 0
+        w = tf[known] * self.weight[at[known]]
+        size = float(w @ w)
+        if not known.all():
+            u = tf[~known] * self.other[[bucket(x) for x, k in zip(counts, known.tolist()) if not k]]
+            size += float(u @ u)
+        return at[known], (w / np.sqrt(size) if size > 0 else w)
+
+    def _cosines(self, cells: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Cosines of all examples as far as those cells hold them; w: the query's weight at each cell."""
+        begin = self.cell_start[cells]
+        n = self.cell_start[cells + 1] - begin
+        at = ragged(begin, n)
+        return np.bincount(self.rows[at], weights=np.repeat(w, n) * self.values[at], minlength=len(self.ids))
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k best examples and cosines, exactly; `without` leaves one example out.
 
         The blocks of highest bounds give a floor, the k-th best cosine among them; only blocks whose bound reaches it are read too.
         """
-        bound = w @ self.peaks[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[: int((bound > 0).sum())]
-        seeds = np.sort(order[:SEED_BLOCKS])
-        cos = self._cosines(terms, w, seeds)
-        if without >= 0:
-            cos[without] = 0
-        floor = np.partition(cos, -k)[-k] if len(cos) >= k else 0.0
-        others = order[SEED_BLOCKS:]
-        others = np.sort(others[bound[others] >= floor - 1e-9])
-        if len(others):
-            cos += self._cosines(terms, w, others)
+        begin = self.term_cells[terms]
+        n = self.term_cells[terms + 1] - begin
+        cells = ragged(begin, n)
+        w = np.repeat(w, n)
+        block = self.cell_block[cells]
+        bound = np.bincount(block, weights=w * self.peaks[cells], minlength=self.blocks)
+        chosen = np.zeros(self.blocks, bool)
+        chosen[np.argsort(-bound, kind="stable")[:SEED_BLOCKS]] = True
+        now = chosen[block]
+        cos = self._cosines(cells[now], w[now])
+
+        def floor() -> float:
             if without >= 0:
                 cos[without] = 0
-            floor = np.partition(cos, -k)[-k] if len(cos) >= k else 0.0
-        who = np.flatnonzero((cos > 0) & (cos >= floor - 1e-9))
-        best = np.lexsort((who, -np.round(cos[who], 9)))[:k]
+            return float(np.partition(cos, -k)[-k]) if len(cos) >= k else 0.0
+
+        least = floor()
+        more = (~chosen & (bound > 0) & (bound >= least - 1e-9))[block]
+        if more.any():
+            cos += self._cosines(cells[more], w[more])
+            least = floor()
+        who = np.flatnonzero((cos > 0) & (cos >= least - 1e-9))
+        best = np.lexsort((self.ids[who], -np.round(cos[who], 9)))[:k]
         return who[best], cos[who[best]]
 
     def vote(self, who: np.ndarray, cos: np.ndarray) -> float:
-        return float((cos @ self.labels[who] + PRIOR_WEIGHT * self.prior) / (cos.sum() + PRIOR_WEIGHT))
+        w = cos * self.stands[who]
+        return float((w @ self.labels[who] + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        if not len(terms) or not len(self.ids):
-            return self.none, np.zeros(0, np.int64), np.zeros(0)
-        who, cos = self.nearest(terms, self.unit(terms, counts))
-        if not len(who):
-            return self.none, who, cos
-        return float(np.interp(self.vote(who, cos), self.votes, self.scores)), who, cos
+    def score(self, counts: Counter) -> tuple[float, np.ndarray, np.ndarray]:
+        """Score, and the examples and cosines that it rests on."""
+        if not len(self.ids):
+            return self.prior, np.zeros(0, np.int64), np.zeros(0)
+        who, cos = self.nearest(*self.vector(counts))
+        return float(np.clip(np.interp(self.vote(who, cos), self.votes, self.scores), 0.0, 1.0)), self.ids[who], np.minimum(cos, 1.0)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,94 +147,125 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([b[2] / b[0] for b in blocks]), np.array([b[1] / b[0] for b in blocks])
 
 
-def build(terms: list[str], df: np.ndarray, documents: int, examples: list[tuple[int, int, list[int], list[int]]], sizes: dict[int, int]) -> Model:
-    """The model of examples (id, label, term numbers, counts); sizes: all labelled rows by label."""
+def idf(df: np.ndarray, documents: int) -> np.ndarray:
+    return np.log((documents + 1) / (np.minimum(df, documents) + 1)) + 1e-6
+
+
+def lean(counts: list[Counter], labels: np.ndarray, terms: dict[str, int]) -> np.ndarray:
+    """1 plus the z-score of each term's log-odds for label 1, where positive."""
+    with_ = np.zeros((2, len(terms)))
+    for c, y in zip(counts, labels.astype(int)):
+        with_[y, [terms[w] for w in c]] += 1
+    b, a = with_ + 0.5
+    n = np.array([(labels == 0).sum(), (labels == 1).sum()]) + 1.0
+    return 1 + np.maximum(0.0, (np.log(a / n[1]) - np.log(b / n[0])) / np.sqrt(1 / a + 1 / b))
+
+
+def _clustered(t: np.ndarray, r: np.ndarray, v: np.ndarray, n: int, terms: int) -> np.ndarray:
+    """An order of the examples in which like ones stand together: by the nearest of n / BLOCK leaders."""
+    leaders = np.arange(0, n, BLOCK)
+    place = np.full(n, -1)
+    place[leaders] = np.arange(len(leaders))
+    dense = np.zeros((len(leaders), terms), np.float32)
+    mine = place[r] >= 0
+    dense[place[r[mine]], t[mine]] = v[mine]
+    near = np.stack([np.bincount(r, weights=v * row[t], minlength=n) for row in dense])
+    return np.lexsort((np.arange(n), -near.max(axis=0), near.argmax(axis=0)))
+
+
+def build(counts: list[Counter], ids: list[int], labels: list[int], df: np.ndarray, other: np.ndarray, documents: int, sizes: dict[int, int], terms: dict[str, int]) -> Model:
+    """The model of the examples; df: of each term, other: of each bucket; sizes: all labelled rows by label."""
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.5
-    blocks = max(1, -(-len(examples) // BLOCK))
-    y = np.array([e[1] for e in examples], float)
-    m = Model({t: i for i, t in enumerate(terms)}, np.log((documents + 1) / (df + 1)) + 1e-6, np.array([e[0] for e in examples], np.int64), y, np.zeros(0, np.int64), np.zeros(0), np.zeros((len(terms), blocks + 1), np.int64), np.zeros((len(terms), blocks)), np.array([0.0, 1.0]), np.array([0.0, 1.0]), prior, prior)
-    if not len(examples) or y.min() == y.max():
-        m.ids = np.zeros(0, np.int64)
+    y = np.array(labels, float)
+    m = Model(terms, np.zeros(len(terms)), idf(other, documents), prior)
+    if not len(y) or y.min() == y.max():
         return m
-    units = [m.unit(np.array(e[2], np.int64), np.array(e[3], float)) for e in examples]
-    t = np.concatenate([np.array(e[2], np.int64) for e in examples])
-    r = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
-    v = np.concatenate(units)
-    order = np.lexsort((r, t))
-    t, m.rows, m.values = t[order], r[order], v[order]
-    cell = t * blocks + m.rows // BLOCK
-    m.starts = np.searchsorted(cell, (np.arange(len(terms))[:, None] * blocks + np.arange(blocks + 1)[None, :]).ravel()).reshape(len(terms), blocks + 1)
-    np.maximum.at(m.peaks.reshape(-1), cell, m.values)
-    weight = np.array([sizes[int(l)] / max(1, (y == l).sum()) for l in y])
-    votes, has = np.zeros(len(examples)), np.array([len(e[2]) > 0 for e in examples])
-    for i, e in enumerate(examples):
-        if has[i]:
-            who, cos = m.nearest(np.array(e[2], np.int64), units[i], without=i)
-            votes[i] = m.vote(who, cos)
-    if has.any():
-        m.votes, m.scores = isotonic(votes[has], y[has], weight[has])
-    bare = ~has
-    m.none = float((weight[bare] @ y[bare] + prior) / (weight[bare].sum() + 1))
+    m.weight = idf(df, documents) * lean(counts, y, terms)
+    unit = [m.vector(c) for c in counts]
+    n = len(unit)
+    t, v = (np.concatenate([u[k] for u in unit]) for k in (0, 1))
+    r = np.repeat(np.arange(n), [len(u[0]) for u in unit])
+    order = _clustered(t, r, v, n, len(terms))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    m.ids, m.labels = np.array(ids, np.int64)[order], y[order]
+    m.stands = np.array([sizes[int(l)] / (y == l).sum() for l in m.labels])
+    m.blocks = -(-n // BLOCK)
+    r = place[r]
+    by = np.lexsort((r, t))
+    t, m.rows, m.values = t[by], r[by], v[by]
+    cell = t * m.blocks + m.rows // BLOCK
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    m.cell_start = np.concatenate([first, [len(cell)]])
+    m.cell_block = cell[first] % m.blocks
+    m.peaks = np.maximum.reduceat(m.values, first)
+    m.term_cells = np.searchsorted(cell[first] // m.blocks, np.arange(len(terms) + 1))
+    votes = np.array([m.vote(*m.nearest(*unit[i], without=k)) for k, i in enumerate(order)])
+    m.votes, m.scores = isotonic(votes, m.labels, m.stands)
     return m
 
 
-def _vectors(docs: DataFrame, known: dict[str, int]) -> DataFrame:
-    """doc_id, text_key (XXH64 of the text), terms and counts of the kept terms of every document."""
+def frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Document frequencies of the terms and of the other words' buckets, and the number of documents.
 
-    starts = first_letters(known)
+    A task adds up its documents before it sends anything; at most len(terms) + BUCKETS + 1 numbers come back.
+    """
+    n = len(terms)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            found = [sorted(term_counts(t, known, starts).items()) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text_key": frame["text_key"], "terms": [[i for i, _ in f] for f in found], "counts": [[n for _, n in f] for f in found]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros(n + BUCKETS + 1, np.int64)
+        for frame in frames:
+            for text in frame["text"]:
+                words = set(LETTERS.findall((text or "").lower()))
+                np.add.at(held, [terms[w] if w in terms else n + bucket(w) for w in words] + [len(held) - 1], 1)
+        some = np.flatnonzero(held)
+        yield pd.DataFrame({"at": some, "n": held[some]})
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInPandas(run, "doc_id long, text_key long, terms array<int>, counts array<int>")
+    out = np.zeros(n + BUCKETS + 1)
+    got = docs.select("text").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(float)
+    return out[:n], out[n:-1], int(out[-1])
 
 
-def fit_and_vectors(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_terms: int = MAX_TERMS) -> tuple[Model, DataFrame]:
-    """The model, and the sparse vectors of all documents; docs has doc_id and text, labels doc_id and toxic."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """The model; docs has doc_id and text, labels doc_id and toxic."""
     spark = docs.sparkSession
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     known = cut(marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    picked = cut(known.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).union(known.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)))  # the documented sample
-    texts = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for y, text in zip(frame["y"], frame["text"]):
-                found = list(term_counts(text))
-                yield pd.DataFrame({"term": found, "y": [int(y)] * len(found)})
-
-    a, b = (F.sum(F.col("y") if s else 1 - F.col("y")) + 0.5 for s in (1, 0))
-    na, nb = (min(per_class, sizes.get(s, 0)) + 1 for s in (1, 0))
-    z = (F.log(F.col("a") / na) - F.log(F.col("b") / nb)) / F.sqrt(1 / F.col("a") + 1 / F.col("b"))
-    lean = texts.mapInPandas(features, "term string, y int").groupBy("term").agg(a.alias("a"), b.alias("b")).withColumn("z", z).where((F.col("z") > 0) & (F.col("a") > MIN_TOXIC))
-    terms = sorted(r["term"] for r in lean.orderBy(F.desc("z"), "term").limit(max_terms).collect())
-    vectors = stored(_vectors(docs, {t: i for i, t in enumerate(terms)}))
-    documents = vectors.count()
-    df = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row for each kept term
-        df[r["t"]] = r["count"]
-    first = vectors.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct("terms", "counts")).alias("v"))
-    examples = sorted((r["doc_id"], r["y"], list(r["v"]["terms"]), list(r["v"]["counts"])) for r in first.collect())  # bounded by the sample
-    return build(terms, df, documents, examples, sizes), vectors
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, max_terms: int = MAX_TERMS) -> DataFrame:
+    first = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    picked = cut(first(1).union(first(0)))  # the documented sample
+    texts = cut(docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")))
+    # Within the sample's bytes, in the order of the hash; a text beyond them is no example.
+    chosen, held = [], {0: 0, 1: 0}
+    for r in texts.select("doc_id", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if held[r["y"]] + r["size"] <= sample_bytes:
+            held[r["y"]] += r["size"]
+            chosen.append((r["doc_id"],))
+    rows = texts.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi").collect() if chosen else []
+    rows.sort(key=lambda r: r["doc_id"])
+    counts = [word_counts(r["text"]) for r in rows]
+    terms = {w: i for i, w in enumerate(sorted(set().union(*counts)))}
+    df, other, documents = frequencies(docs, terms) if terms else (np.zeros(0), np.zeros(BUCKETS), 0)
+    return build(counts, [r["doc_id"] for r in rows], [r["y"] for r in rows], df, other, documents, sizes, terms)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, text_key, score and the evidence (example ids and cosines) of every row."""
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model, vectors = fit_and_vectors(picked, labels, per_class, max_terms)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class and max_terms
+    shared = docs.sparkSession.sparkContext.broadcast(fit(picked, labels, per_class, sample_bytes))  # bounded by the sample
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for frame in batches:
-            out = [m.score(np.asarray(t, np.int64), np.asarray(c, float)) for t, c in zip(frame["terms"], frame["counts"])]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text_key": frame["text_key"], "score": [min(1.0, max(0.0, s)) for s, _, _ in out], "examples": [m.ids[w] for _, w, _ in out], "cosines": [np.minimum(c, 1.0) for _, _, c in out]})
-
-    return vectors.mapInPandas(run, "doc_id long, text_key long, score double, examples array<long>, cosines array<double>")
+        for frame in frames:
+            out = [m.score(word_counts(t)) for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "text_key": frame["text_key"].array, "score": [s for s, _, _ in out], "examples": [w for _, w, _ in out], "cosines": [c for _, _, c in out]})
+
+    # Ids travel as text: a long column with nulls would reach pandas as floating point.
+    scored = picked.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    scored = scored.mapInPandas(run, "doc_id string, text_key long, score double, examples array<long>, cosines array<double>")
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def training(labels: DataFrame) -> DataFrame:
