@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from wordloom.llm import sharding as S
 
 
@@ -23,12 +25,41 @@ def test_sizes_slots_and_groups(spark):
     assert max(sizes.values()) <= 1.02 * sum(sizes.values()) / 16 and max(n.values()) <= 1.1 * len(rows) / 16
 
 
-def test_equal_small_groups_stay_together(spark):
-    rows = [(i, f"pair {i // 2}" + "x" * (i // 2 % 90)) for i in range(4000)]
+def brute_pack(vectors, shards=16):
+    """Greedy packing by the rule, in plain Python: largest share first, highest dot product with what is left."""
+    total = [sum(v[d] for v in vectors) or 1 for d in range(3)]
+    shares = [[v[d] * shards / total[d] for d in range(3)] for v in vectors]
+    left = [[1.0] * 3 for _ in range(shards)]
+    out = [0] * len(vectors)
+    for i in sorted(range(len(vectors)), key=lambda i: (-max(shares[i]), i)):
+        dots = [round(sum(x * y for x, y in zip(l, shares[i])), 12) for l in left]
+        out[i] = dots.index(max(dots))
+        left[out[i]] = [x - y for x, y in zip(left[out[i]], shares[i])]
+    return out
+
+
+def test_packing_equals_brute_force():
+    rng = np.random.default_rng(5)
+    units = rng.integers(0, 500, (700, 3)).astype(float)
+    assert S.pack(units, 16).tolist() == brute_pack(units.tolist())
+
+
+@pytest.mark.parametrize("n", [10, 200, 1000, 10000])
+def test_groups_stay_whole_at_every_size(spark, n):
+    rows = [(i, f"group {i // 3 % max(3, n // 7)} " + "x" * (i // 3 % max(3, n // 7) % 90)) for i in range(n)]
+    size, groups = sum(len(t) + 1 for _, t in rows), Counter(t for _, t in rows)
     shards = defaultdict(set)
     for r in digest(spark, rows):
-        shards[r.text_crc32, r.size].add(r.shard)
-    assert all(len(s) == 1 for s in shards.values())
+        shards[r.text_crc32].add(r.shard)
+    for t, k in groups.items():
+        share = max(k * (len(t) + 1) * 16 / size, k * 16 / n, k * len(t.split()) * 16 / sum(len(t.split()) for _, t in rows))
+        assert len(shards[zlib.crc32(t.encode())]) == 1 or share > 1
+
+
+def test_rows_without_ids_of_a_huge_group_are_split(spark):
+    out = digest(spark, [(None, "one and the same")] * 3000 + [(i, f"text {i}") for i in range(3000)])
+    n = Counter(r.shard for r in out)
+    assert len(out) == 6000 and set(n) == set(range(16)) and max(n.values()) <= 1.5 * 6000 / 16
 
 
 def test_reruns_agree_and_empty(spark):

@@ -2,9 +2,10 @@
 
 Groups of equal texts are placed whole, each on the shard where the dot product of its vector
 (bytes, tokens, rows, as shares of a shard) with the shard's residual capacity is highest. So that
-the packing stays bounded at any size, small groups travel in a fixed number of bundles (by a hash
-of the text) and a group above 1/64 of a shard in any dimension is split by a hash of its ids: at
-most `3 * 64 * shards` groups can be that large, so those tables have a proven bound.
+the packing stays bounded at any size, groups above 1/64 of a shard in any dimension are packed one
+by one (at most `3 * 64 * shards` groups can be that large) and all others travel whole in a fixed
+number of bundles, by a hash of the text. Only a group that alone exceeds a whole shard is split, by
+a hash of its rows, into pieces of 1/64 of a shard: no shard could hold it beside the law of near-equal bytes.
 
 Defined results: a null text counts no bytes and is grouped with the empty text; repeated rows
 are rows of their own with slots of their own; an empty table gives an empty result; other columns
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut
 
 BUNDLES = 8192
-#: A group above this share of a shard, in any dimension, is split.
-SPLIT = 64
+#: A group above one part in so many of a shard, in any dimension, is packed by itself.
+ALONE = 64
 #: Rows numbered by one task.
 SLOT_ROWS = 4096
 DIMENSIONS = ("bytes", "tokens", "rows")
@@ -44,9 +45,11 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     """doc_id, size, tokens, text_crc32, shard and slot of every row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # Kept before it is used, so that the rows' numbers stay what they are.
     base = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
+            F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id()).alias("row"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
             F.crc32(text).alias("text_crc32"),
@@ -57,19 +60,19 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     total = base.agg(*sums).first()
     if not total["rows"]:
         return spark.createDataFrame([], "doc_id long, size long, tokens long, text_crc32 long, shard int, slot long")
-    parts = F.greatest(*[F.ceil(F.col(d) * (shards * SPLIT) / max(1, total[d])) for d in DIMENSIONS])
-    groups = base.groupBy("g", "text_crc32").agg(*sums)
-    large = cut(groups.withColumn("pieces", parts).where("pieces > 1").select("g", "text_crc32", "pieces"))
+    share = F.greatest(*[F.col(d) * shards / max(1, total[d]) for d in DIMENSIONS])
+    groups = base.groupBy("g", "text_crc32").agg(*sums).withColumn("share", share)
+    large = cut(groups.where(F.col("share") * ALONE > 1).select("g", "text_crc32", F.when(F.col("share") > 1, F.ceil(F.col("share") * ALONE)).otherwise(1).cast("int").alias("pieces")))
     unit = F.when(F.col("pieces").isNull(), F.struct(F.lit(0).cast("long").alias("a"), F.pmod("g", F.lit(BUNDLES)).alias("b"))).otherwise(
-        F.struct(F.col("g").alias("a"), (F.pmod(F.xxhash64("doc_id", "g"), F.col("pieces")) + BUNDLES).alias("b"))
+        F.struct(F.col("g").alias("a"), (F.pmod(F.xxhash64("row", "g"), F.col("pieces")) + BUNDLES).alias("b"))
     )
-    placed = base.join(F.broadcast(large), ["g", "text_crc32"], "left").select("doc_id", "size", "tokens", "text_crc32", unit.alias("unit"))
+    placed = base.join(F.broadcast(large), ["g", "text_crc32"], "left").select("doc_id", "row", "size", "tokens", "text_crc32", unit.alias("unit"))
     units = placed.groupBy("unit").agg(*sums).select("unit.a", "unit.b", *DIMENSIONS).orderBy("a", "b").collect()  # bounded: bundles and pieces
     where = pack(np.array([[u[d] for d in DIMENSIONS] for u in units], dtype=float), shards)
     homes = spark.createDataFrame([(u["a"], u["b"], int(s)) for u, s in zip(units, where)], "a long, b long, shard int")
-    rows = placed.join(F.broadcast(homes), (F.col("unit.a") == homes.a) & (F.col("unit.b") == homes.b)).select("doc_id", "size", "tokens", "text_crc32", "shard")
+    rows = placed.join(F.broadcast(homes), (F.col("unit.a") == homes.a) & (F.col("unit.b") == homes.b)).select("doc_id", "row", "size", "tokens", "text_crc32", "shard")
     subs = max(1, -(-total["rows"] // (shards * SLOT_ROWS)))
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(subs)))
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("row", "text_crc32"), F.lit(subs)))
     ahead = rows.groupBy("shard", "sub").count()
     ahead = ahead.withColumn("ahead", F.sum("count").over(W.partitionBy("shard").orderBy("sub").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("count")).drop("count")
     nth = F.row_number().over(W.partitionBy("shard", "sub").orderBy("doc_id", "size", "text_crc32"))
