@@ -30,7 +30,6 @@ def test_exact_with_odd_vectors(spark):
 
 
 def test_lists_are_read_in_steps(spark, monkeypatch):
-    monkeypatch.setattr(topk, "RESOLVE", 16)
     monkeypatch.setattr(topk, "RESOLVE_SHARE", 64)
     monkeypatch.setattr(topk, "BLOCK", 512)
     check(spark, rows(2500, 12, 2) + [(5000 + i, [0.25] * 12) for i in range(40)])
@@ -40,3 +39,9 @@ def test_few_candidates_and_none(spark):
     check(spark, rows(4, 6, 3))
     check(spark, rows(1, 6, 3))
     assert topk.topk_digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_two_query_rows_of_one_id_and_different_lengths(spark):
+    data = [(i, [float(i % 7), 1.0, i / 13]) for i in range(1, 13)] + [(i, [float(i % 5), i / 3]) for i in range(21, 33)] + [(100, [1.0, 2.0, 3.0]), (100, [2.0, 1.0])]
+    check(spark, data)
+    assert topk.topk_digest(spark.createDataFrame(data, "vec_id long, embedding array<double>")).count() == 20

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 BLOCK, QUERIES = 8192, 2048
-#: Final scores are resolved once no more than this share of a block, or this many vectors, can qualify.
-RESOLVE_SHARE, RESOLVE = 8, 256
+#: Final scores are resolved once no more than this share of a block can qualify.
+RESOLVE_SHARE = 8
 
 
 def read_lists(ids: np.ndarray, v: np.ndarray, order: np.ndarray, ranked: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,8 +34,8 @@ def read_lists(ids: np.ndarray, v: np.ndarray, order: np.ndarray, ranked: np.nda
     n = len(ids)
     live = np.flatnonzero(q)
     rest = np.arange(n)
-    enough = max(RESOLVE, n // RESOLVE_SHARE)
-    if n > enough and len(live):
+    enough = max(k, n // RESOLVE_SHARE)
+    if len(live):
         part, seen = np.zeros(n), np.zeros((len(live), n), np.float32)
         place, worst = np.zeros(len(live)), np.zeros(len(live))
         done, other = 0, ids != own
@@ -69,7 +69,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     """query_id, rank, vec_id, score: each query row's k best other rows by the product of floor(scale * x)."""
     x = F.col(vec_col).cast("array<double>")
     usable = F.col(vec_col).isNotNull() & (F.size(vec_col) > 0) & F.col(id_col).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
-    rows = cut(vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale)).alias("v"), is_query.alias("q")))
+    rows = cut(vectors.where(F.coalesce(usable, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale)).alias("v"), is_query.alias("q"), F.monotonically_increasing_id().alias("row")))  # kept, so that a row's number stays
     n, nq = rows.count(), rows.where("q").count()
     blocks, chunks = max(1, -(-n // BLOCK)), max(1, -(-nq // QUERIES))
 
@@ -77,30 +77,30 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         for frame in batches:
             for (part, dims), g in frame.groupby([frame["part"], frame["v"].map(len)]):
                 v = np.stack(g["v"].to_numpy()).astype(np.int64)
-                yield pd.DataFrame({"part": [part], "dims": [dims], "ids": [g["vec_id"].to_numpy(np.int64).tobytes()], "data": [v.tobytes()]})
+                yield pd.DataFrame({"part": [part], "dims": [dims], "ids": [g[["vec_id", "row"]].to_numpy(np.int64).tobytes()], "data": [v.tobytes()]})
 
     def packed(df: DataFrame, parts: int) -> DataFrame:
-        dealt = df.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
+        dealt = df.select("vec_id", "v", "row", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"))
         return dealt.repartition("part").mapInPandas(pack, "part int, dims int, ids binary, data binary")
 
     queries = packed(rows.where("q"), chunks).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.col("part").cast("long") * blocks + b)))
     stock = packed(rows, blocks).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda c: c.cast("long") * blocks + F.col("part"))))
 
-    def opened(frame: pd.DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    def opened(frame: pd.DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mine = frame[frame["dims"] == dims]
-        ids = np.concatenate([np.frombuffer(b, np.int64) for b in mine["ids"]])
-        return ids, np.concatenate([np.frombuffer(b, np.int64).reshape(-1, dims) for b in mine["data"]])
+        ids = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in mine["ids"]])
+        return ids[:, 0], ids[:, 1], np.concatenate([np.frombuffer(b, np.int64).reshape(-1, dims) for b in mine["data"]])
 
     def meet(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         out = []
         for dims in sorted(set(qs["dims"]) & set(vs["dims"])):
-            ids, v = opened(vs, dims)
-            qids, qv = opened(qs, dims)
+            ids, _, v = opened(vs, dims)
+            qids, qrow, qv = opened(qs, dims)
             order = np.argsort(v, axis=0, kind="stable").T.copy()
             ranked = np.take_along_axis(v.T, order, axis=1).astype(float)
             for i in range(len(qids)):
                 score, at = read_lists(ids, v, order, ranked, qv[i], qids[i], k)
-                out.append(pd.DataFrame({"query_id": np.full(len(at), qids[i]), "row": i, "vec_id": ids[at], "score": score}))
+                out.append(pd.DataFrame({"query_id": np.full(len(at), qids[i]), "row": qrow[i], "vec_id": ids[at], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "row": [], "vec_id": [], "score": []}).astype("int64")
 
     met = queries.groupBy("cell").cogroup(stock.groupBy("cell")).applyInPandas(meet, "query_id long, row long, vec_id long, score long")
