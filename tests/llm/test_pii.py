@@ -72,6 +72,30 @@ def test_dates_stay_dates(spark):
     assert out[3] == ("2021-02-30", []) and out[4] == ("1.43.173", [])
 
 
+def test_dates_in_other_layouts(spark):
+    iso = run(spark, ["2021-12-25"])[0][0]
+    y, m, d = iso.split("-")
+    name = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"][int(m) - 1]
+    texts = ["12/25/2021", "25/12/2021", "December 25, 2021", "25 December 2021", "Dec. 25, 2021", "on 25. December, 2021."]
+    want = [f"{m}/{d}/{y}", f"{d}/{m}/{y}", f"{name} {int(d)}, {y}", f"{int(d)} {name} {y}", f"{name[:3]}. {int(d)}, {y}", f"on {int(d)}. {name}, {y}."]
+    assert [t for t, _ in run(spark, texts)] == want
+    a, b = run(spark, ["3/4/2020", "2020-04-03"])
+    assert [int(x) for x in a[0].split("/")] == [int(x) for x in b[0].split("-")][::-1]
+    for text in ("25/25/2021", "May 35, 2021", "mayor 2021", "0/0/2020"):
+        assert run(spark, [text]) == [(text, [])]
+
+
+def test_key_comes_from_the_session_or_is_new(spark):
+    docs = spark.createDataFrame([(1, "4111111111111111")], "doc_id long, text string")
+    one, other = P.pii_digest(docs).first(), P.pii_digest(docs).first()
+    assert one.text != other.text
+    spark.conf.set(P.KEY_SETTING, "held")
+    try:
+        assert P.pii_digest(docs).first() == P.pii_digest(docs).first() == P.pii_digest(docs, "held").first()
+    finally:
+        spark.conf.unset(P.KEY_SETTING)
+
+
 def test_feistel_is_a_bijection(spark):
     from pyspark.sql import functions as F
 

@@ -14,15 +14,27 @@ names cannot clash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: The setting that holds the key; without the key, runs are not linked to one another.
+KEY_SETTING = "spark.wordloom.pii.key"
 #: Formats, in the order in which they are tried at a place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 IPV4 = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![\p{L}\p{N}]|\.[0-9])"
 SSN = r"(?<![\p{L}\p{N}-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\p{L}\p{N}]|-[0-9])"
-DATE = r"(?<![\p{L}\p{N}./-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![\p{L}\p{N}]|[./-][0-9])|(?<![\p{L}\p{N}./-])[0-3][0-9][./][01][0-9][./](?:19|20)[0-9]{2}(?![\p{L}\p{N}]|[./-][0-9])"
+MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+DATES = (
+    r"(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![\p{L}\p{N}]|[./-][0-9])",
+    r"[0-3][0-9]\.[01][0-9]\.(?:19|20)[0-9]{2}(?![\p{L}\p{N}]|[./-][0-9])",
+    r"[0-3]?[0-9]/[0-3]?[0-9]/(?:19|20)[0-9]{2}(?![\p{L}\p{N}]|[./-][0-9])",
+    rf"{MONTH}\.? [0-3]?[0-9],? (?:19|20)[0-9]{{2}}(?![\p{{L}}\p{{N}}]|[./-][0-9])",
+    rf"[0-3]?[0-9]\.? {MONTH}\.?,? (?:19|20)[0-9]{{2}}(?![\p{{L}}\p{{N}}]|[./-][0-9])",
+)
+DATE = r"(?<![\p{L}\p{N}./-])(?:" + "|".join(DATES) + ")"
 PHONE = r"(?<![\p{L}\p{N}])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4})?(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 CARD = r"(?<![\p{L}\p{N}.-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}]|[.-][0-9])"
@@ -105,14 +117,29 @@ def _ipv4(key: str, m: Column) -> Column:
 
 
 def _date(key: str, m: Column) -> Column:
-    iso = m.rlike("^[0-9]{4}-")
-    sep = F.substring(m, 3, 1)
-    parsed = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.translate(m, "/", "."), "dd.MM.yyyy"))
+    """The day is permuted and shown in the layout it came in; a slashed date is day-first unless only month-first is a date."""
+    iso, written = m.rlike("^[0-9]{4}-"), m.rlike("[A-Za-z]")
+    part = F.regexp_extract_all(m, F.lit("[0-9]+"), 0)
+    first, second = part[0].cast("int"), part[1].cast("int")
+    us = (~iso) & (~written) & (second > 12)
+    name = F.regexp_extract(m, "[A-Za-z]+", 0)
+    named = ((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(name, 1, 3))) + 2) / 3).cast("int")
+    ymd = lambda y, mo, d: F.format_string("%04d-%02d-%02d", y.cast("int"), mo.cast("int"), d.cast("int"))
+    parsed = F.try_to_date(F.when(iso, m).when(written, ymd(part[1], named, first)).when(us, ymd(part[2], first, second)).otherwise(ymd(part[2], second, first)), "yyyy-MM-dd")
     day = F.datediff(parsed, F.lit(FIRST_DAY).cast("date"))
     out = feistel(key, F.lit("date"), F.floor(day / DAYS), day % DAYS, F.lit(YEARS), F.lit(DAYS))
     fresh = _once(out, lambda s: F.date_add(F.lit(FIRST_DAY).cast("date"), (s["l"] * DAYS + s["r"]).cast("int")))
-    shown = _once(fresh, lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(d, "dd"), sep, F.date_format(d, "MM"), sep, F.date_format(d, "yyyy"))))
-    return F.when(parsed.isNotNull() & (day >= 0) & (day < YEARS * DAYS), shown).otherwise(m)
+
+    def shown(d: Column) -> Column:
+        show = lambda pattern: F.date_format(d, pattern)
+        gap = F.split(m, "[A-Za-z]+|[0-9]+", -1)
+        padded = (F.length(part[0]) == 2) & (F.length(part[1]) == 2)
+        numbers = lambda x, y: F.when(padded, F.concat(show(x * 2), gap[1], show(y * 2), gap[2], show("yyyy"))).otherwise(F.concat(show(x), gap[1], show(y), gap[2], show("yyyy")))
+        month = F.when(F.length(name) > 4, show("MMMM")).otherwise(show("MMM"))
+        words = F.when(m.rlike("^[A-Za-z]"), F.concat(month, gap[1], show("d"), gap[2], show("yyyy"))).otherwise(F.concat(show("d"), gap[1], month, gap[2], show("yyyy")))
+        return F.when(iso, show("yyyy-MM-dd")).when(written, words).when(us, numbers("M", "d")).otherwise(numbers("d", "M"))
+
+    return F.when(parsed.isNotNull() & (day >= 0) & (day < YEARS * DAYS), _once(fresh, shown)).otherwise(m)
 
 
 def _phone(key: str, m: Column) -> Column:
@@ -192,9 +219,14 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     return base.select("doc_id", F.when(F.size("values") > 0, whole).otherwise(F.col("text")).alias("text"), F.when(F.col("text").isNull(), F.array().cast("array<struct<kind:string,pseudonym:string>>")).otherwise(found).alias("found"))
 
 
-def pii_digest(docs: DataFrame, key: str = "wordloom") -> DataFrame:
-    """doc_id, the pseudonymised text, and how many values of each kind were replaced."""
-    out = pseudonymise(docs, key)
+def session_key(spark: SparkSession) -> str:
+    """The secret that the session names, or a new random one: without it no pseudonym can be traced back."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+
+
+def pii_digest(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, the pseudonymised text, and how many values of each kind were replaced; key: the session's where not given."""
+    out = pseudonymise(docs, key or session_key(docs.sparkSession))
     count = lambda kind: F.size(F.filter("found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(kind) for kind in KINDS]
     return out.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), *counts)
