@@ -47,5 +47,22 @@ def test_weights_lean_the_sample(spark):
     out = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, q double"), weight_col="q").where("src = '0b'").collect()
     heavy = sum(x.copies for x in out if x.doc_id % 4 == 0)
     assert heavy > 1.3 * sum(x.copies for x in out if x.doc_id % 4)
+
+
+def test_longer_documents_are_likelier_in_the_query(spark):
+    rows = [(i, "w " * (10 if i % 2 else 1000), "a" if i % 4 > 1 else "b") for i in range(4000)]
+    out = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("src = '0a'").collect()
+    least = min(x.copies for x in out)
+    share = {n: sum(x.copies - least for x in out if x.size == n) / sum(1 for x in out if x.size == n) for n in (10, 1000)}
+    assert 0 < share[10] < 0.4 * share[1000] < 0.41
+
+
+def test_rows_without_ids_draw_by_their_texts(spark):
+    rows = [(None, "w " * (i % 9 + 1) + f"t{i}", "a" if i % 2 else None) for i in range(300)]
+    out = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 300 and len({x.copies for x in out}) > 1
+
+
+def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mixture_digest(docs).count() == 0

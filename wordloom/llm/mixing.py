@@ -51,31 +51,33 @@ def source_targets(sizes: DataFrame, weights: tuple = (1, 2, 3), max_copies: int
 
 
 def identity(source_col: str, text_col: str) -> dict:
-    """src_key and size_key: a row's source (null last) and size."""
+    """src_key, size_key and text_key: a row's source (null last), size and text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return {"src_key": F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")), "size_key": F.regexp_count(text, F.lit(WORD)).cast("long")}
+    return {"src_key": F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")), "size_key": F.regexp_count(text, F.lit(WORD)).cast("long"), "text_key": F.xxhash64(text)}
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (1, 2, 3), max_copies: int = 3, weight_col: str | None = None, seed: str = SEED) -> DataFrame:
-    """doc_id, src, size, source_size, target and copies (times the mix takes the document) for each row."""
+    """doc_id, src, size, text_key, source_size, target and copies (times the mix takes the document) for each row."""
     keys = identity(source_col, text_col)
+    # In thousandths, as whole numbers: sums then agree in every order.
+    weight = F.greatest(F.lit(0.0), F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))) if weight_col else F.sqrt(keys["size_key"].cast("double"))
+    drawn = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     base = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
             keys["src_key"].alias("src"),
             keys["size_key"].alias("size"),
-            (F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)).alias("weight"),
-            F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long").alias("h"),
+            keys["text_key"].alias("text_key"),
+            F.floor(weight * 1000).cast("long").alias("weight"),
+            F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), drawn)), 1, 13), 16, 10).cast("long").alias("h"),
         )
     )
-    targets = cut(source_targets(base, weights, max_copies))
-    if weight_col:
-        targets = cut(targets.join(base.groupBy("src").agg(F.avg("weight").alias("mean")), "src"))
-    else:
-        targets = targets.withColumn("mean", F.lit(1.0))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    means = base.groupBy("src").agg((F.sum((wide("size") * wide("weight")).cast("decimal(38,0)")).cast("double") / F.sum("size").cast("double")).alias("mean"))
+    targets = cut(source_targets(base, weights, max_copies).join(means, "src"))
     u = (F.col("h") + 0.5) / PLACES
     share = F.col("left") / F.col("source_size")
-    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), share * F.when(F.col("mean") > 0, F.col("weight") / F.col("mean")).otherwise(1.0)))
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), share * F.when(F.col("mean") > 0, F.col("weight").cast("double") / F.col("mean")).otherwise(1.0)))
     ranked = base.join(small(targets, 10_000), "src").withColumn("odds", F.when(F.col("source_size") > 0, (u / (1 - u)) / (p / (1 - p))).otherwise(0.0))
     # Steps are equal spans of odds/(1+odds) over the source's own p, so that each holds about as many documents.
     spread = F.col("odds") * (F.greatest(share, F.lit(1e-12)) / F.greatest(1 - share, F.lit(1e-12)))
@@ -91,7 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     chosen = at_edge.withColumn("extra", (2 * F.col("before") + F.col("size") <= 2 * F.col("left")).cast("long")).drop("before")
     others = state.where(F.col("edge").isNull() | (F.col("step") != F.col("edge")))
     others = others.withColumn("extra", ((F.col("left") > 0) & (F.col("edge").isNull() | (F.col("step") < F.col("edge")))).cast("long"))
-    return chosen.unionByName(others).select("doc_id", "src", "size", "source_size", "target", F.when(F.col("size") == 0, F.greatest("copies", F.lit(1))).otherwise(F.least(F.lit(max_copies), F.col("copies") + F.col("extra"))).cast("long").alias("copies"))
+    return chosen.unionByName(others).select("doc_id", "src", "size", "text_key", "source_size", "target", F.when(F.col("size") == 0, F.greatest("copies", F.lit(1))).otherwise(F.least(F.lit(max_copies), F.col("copies") + F.col("extra"))).cast("long").alias("copies"))
 
 
 def mixture_digest(docs: DataFrame) -> DataFrame:
@@ -103,20 +105,22 @@ def mixture_digest(docs: DataFrame) -> DataFrame:
 ORACLE = """
 WITH b AS (
   SELECT doc_id, coalesce('0' || source, '1') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS h
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))), 1, 13))::BIGINT AS h
   FROM documents
-), p AS (SELECT src, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::DOUBLE AS w FROM b GROUP BY src
+), v AS (SELECT *, floor(sqrt(size::DOUBLE) * 1000)::BIGINT AS weight, (h + 0.5) / 4503599627370496.0::DOUBLE AS u FROM b
+), p AS (SELECT src, sum(size)::BIGINT AS source_size, sum(size::HUGEINT * weight)::DOUBLE / sum(size)::DOUBLE AS mean, ((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::DOUBLE AS w FROM v GROUP BY src
 ), q AS (SELECT *, (source_size * 3)::DOUBLE AS cap FROM p
 ), l AS (
   SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM q
 ), f AS (SELECT max(level) AS fill FROM l
-), t AS (SELECT src, source_size, least(cap, w * fill) AS target FROM l, f
+), t AS (SELECT src, source_size, mean, least(cap, w * fill) AS target FROM l, f
 ), c AS (SELECT *, CASE WHEN source_size > 0 THEN least(3, floor(target / source_size)) ELSE 0 END::BIGINT AS copies FROM t
+), o AS (
+  SELECT doc_id, size, v.src, source_size, target, copies, target - copies * source_size AS rest, u,
+    greatest(1e-12::DOUBLE, least(1 - 1e-12::DOUBLE, (target - copies * source_size) / source_size * (weight::DOUBLE / mean))) AS p FROM v JOIN c USING (src)
 ), r AS (
-  SELECT doc_id, size, source_size, target, copies, target - copies * source_size AS rest,
-    sum(size) OVER (PARTITION BY b.src ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
-  FROM b JOIN c USING (src)
+  SELECT *, sum(size) OVER (PARTITION BY src ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before FROM o
 )
 SELECT doc_id, size, source_size, target,
   (size * least(3, copies + CASE WHEN rest > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
