@@ -22,6 +22,68 @@ def test_families_unknown_and_prose(spark):
     assert sum(r.doc_id == 0 for r in got) == 2 and all(r.paragraph == 1 and r.confirmed == (r.family != "unknown") for r in got)
 
 
+# Written by hand, not by the rules that training notices come from.
+HELD = [
+    ("You can copy this under the terms of the MIT license", "MIT"),
+    ("Dual use is fine: our code falls under Apache 2.0", "Apache-2.0"),
+    ("Photos: CC BY-SA 4.0, unless noted", "CC-BY-SA"),
+    ("Texts on this page may be shared under CC BY-ND 4.0", "CC-BY-ND"),
+    ("We ship it under the BSD Zero Clause License", "0BSD"),
+    ("The library is covered by GPL v2", "GPL-2.0"),
+    ("Made available under the Mozilla Public License, Version 2.0 by its makers", "MPL-2.0"),
+    ("This data set is in CC0 1.0 Universal", "CC0"),
+    ("The firmware is provided under the GNU Lesser General Public License, version 3", "LGPL"),
+    ("Sources: AGPL 3.0 or any later one", "AGPL-3.0"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "BSD"),
+    ("The MIT License does not apply", None),
+    ("This chapter is not licensed under the Apache License 2.0", None),
+    ("The museum renewed its alcohol license in May", None),
+    ("Copyrighted.", "unknown"),
+    ("Licensees must redistribute nothing", "unknown"),
+    ("This software comes under the Pumpkin Patch License 12", "unknown"),
+    ("Der Hund ging mit der Katze ins Haus", None),
+]
+
+
+def test_held_out_notices_written_by_hand(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(HELD)]
+    found = {r.doc_id: r.family for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [(t, found.get(i), want) for i, (t, want) in enumerate(HELD) if found.get(i) != want and not (want == "unknown" and found.get(i) is None)]
+    assert len(wrong) <= 2, wrong
+    assert all(found.get(i) not in ("MIT", "CC-BY", "BSD") for i, (t, w) in enumerate(HELD) if w in (None, "CC-BY-ND", "0BSD")), found
+
+
+def test_no_cued_paragraph_is_lost(spark):
+    """Every paragraph with a cue is scored, also one without a known n-gram."""
+    texts = ["Lizenz: zqx licenseeism", "copyrightish zzz", "licensure qqqq", "x" * 200000 + " licence"]
+    flat = L.paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert flat.count() == len(texts)
+    model = (["none", "unknown"], spark.createDataFrame([], "gram string, w array<double>"), [0.0, 1.0])
+    got = L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=model).collect()
+    assert len(got) == len(texts) and all(r.family == "unknown" and not r.confirmed for r in got)
+
+
+def test_wrapped_paragraphs_are_one(spark):
+    text = """intro
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License.
+end"""
+    got = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.paragraph, r.family) for r in got] == [(1, "GPL-3.0")]
+
+
+def test_a_paragraph_without_cue_cannot_be_confirmed():
+    import re as _re
+
+    pattern = _re.compile(L.cue().replace("\\p{L}\\p{N}", "^\\W_").replace("[^^", "[").replace("[\\W_]+", "[\\W_]+"))
+    inside = lambda c, g: any(g[i : i + len(c)] == c for i in range(len(g) - len(c) + 1))
+    for _, t in L.template_texts():
+        whole = L.text_grams(t)
+        assert sum(not any(inside(c, g) for c in L.cover()) for g in whole) < L.MIN_SHARE * len(whole)
+        assert pattern.search(t), t
+
+
 def test_grams_equal_brute_force(spark):
     from pyspark.sql import functions as F
 

@@ -1,21 +1,29 @@
 """Licence scan: a trained paragraph classifier over word n-grams, in DataFrame expressions only.
 
-Paragraphs (lines) with a licence cue are classified by multinomial logistic regression over the
-presence of word 1- to 3-grams. It is trained here on notices that a rule builds from the
-families' names and usual sentences, on invented licences (class `unknown`) and on prose that only
-mentions such words (class `none`). A temperature, fitted on held-out notices, calibrates the
+A paragraph is a line with the lines that it is wrapped over: a line end inside a sentence (a small
+letter follows, or a line of wrapping width that no sentence ends) is read as a space. Paragraphs are
+classified by multinomial logistic regression over the presence of word 1- to 3-grams. It is trained
+here on notices that a rule builds from the families' names and usual sentences, on invented licences
+(class `unknown`), and on prose that only mentions such words or says that a licence does not hold (class
+`none`). A temperature, fitted on sentences and names that training leaves out, calibrates the
 probabilities; a prediction below `MIN_P` becomes `unknown`. A family is confirmed if the paragraph
 holds at least `MIN_SHARE` of the n-grams of one of the family's templates; a family that no template
-confirms becomes `unknown` too. Paragraphs without a cue word are of class none by definition.
+confirms becomes `unknown` too.
 
-Defined results: null and empty texts have no paragraphs; repeated rows are reported as often as they
-occur; ties between classes go to the alphabetically first; an empty table gives an empty result; other
-columns are not read.
+Only paragraphs with a cue are scored. Cues are general words (licence, copyright, ...) and, by a cover
+computed from the templates, words and word pairs without which no paragraph can hold `MIN_SHARE` of
+any template's n-grams; so a paragraph without a cue could never be confirmed, and is of class none by definition,
+as is one that has none of the general words and that no template confirms.
+
+Defined results: null and empty texts have no paragraphs; a cued paragraph without any known n-gram is
+scored by the classes' offsets alone; repeated rows are reported as often as they occur; ties between
+classes go to the alphabetically first; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import cache, reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -26,15 +34,20 @@ MIN_P, MIN_SHARE = 0.5, 0.6
 #: n-grams that the model knows at most; they and their weights are broadcast.
 MAX_GRAMS = 20_000
 TOKEN = r"[\p{L}\p{N}]+(?:[.+][\p{L}\p{N}]+)*"
-CUE = r"(?i)licen[sc]|copyright|copyleft|spdx|public domain|creative commons|\bcc[ -]?(?:by|0)\b|all rights reserved|redistribut|warrant|\bgnu\b|\bgpl|permission is hereby"
+TOKENS = re.compile(r"[^\W_]+(?:[.+][^\W_]+)*")
+#: A line end inside a sentence: after a line of wrapping width that no sentence ends, or before a small letter.
+WRAP = r"\r?\n(?<=(?:^|\n)[^\n]{59,100}[^\n.!?:;]\n)(?=[\p{L}\p{N}(])|\r?\n(?<=[\p{L},][\r\n]{1,2})(?=\p{Ll})"
+GENERAL = r"licen[sc]|copyright|copyleft|spdx|public domain|creative commons|\bcc[ -]?(?:by|0)\b|all rights reserved|redistribut|warrant|\bgnu\b|\bgpl|permission is hereby"
 
 # The names under which licences are known.
 NAMES = {
     "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPL 3.0", "AGPL-3.0-or-later", "Affero GPL v3"],
     "Apache-2.0": ["Apache License, Version 2.0", "Apache 2.0", "Apache-2.0", "Apache Software License 2.0", "Apache License 2.0"],
+    "0BSD": ["BSD Zero Clause License", "0BSD", "Zero-Clause BSD", "BSD 0-Clause License"],
     "BSD": ["BSD License", "BSD 3-Clause License", "BSD 2-Clause License", "BSD-3-Clause", "BSD-2-Clause", "New BSD License", "Simplified BSD License"],
     "CC-BY": ["Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC-BY-4.0", "CC BY 3.0"],
     "CC-BY-NC": ["Creative Commons Attribution NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC-BY-NC-4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 4.0", "CC BY-NC 3.0"],
+    "CC-BY-ND": ["Creative Commons Attribution NoDerivatives 4.0 International License", "CC BY-ND 4.0", "CC-BY-ND-4.0", "CC BY-ND 3.0"],
     "CC-BY-SA": ["Creative Commons Attribution ShareAlike 4.0 International License", "CC BY-SA 4.0", "CC-BY-SA-4.0", "CC BY-SA 3.0"],
     "CC0": ["CC0 1.0 Universal", "CC0-1.0", "CC0 Public Domain Dedication", "Creative Commons Zero"],
     "GPL-2.0": ["GNU General Public License, version 2", "GPL v2", "GPL-2.0-only", "GNU GPL 2.0"],
@@ -48,6 +61,18 @@ NAMES = {
 }
 # Sentences in which notices name a licence.
 OPENERS = ["Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "Distributed under the terms of the {}.", "This project is available under the {}.", "SPDX-License-Identifier: {}", "License: {}", "The code in this repository is covered by the {}; see LICENSE for details.", "You may use this file under the {} license.", "Copyright (c) 2020 the authors. Released under {}."]
+# Sentences that say a licence does not hold (class none).
+NEGATED = ["The {} does not apply.", "The {} does not apply to this file.", "This file is not licensed under the {}.", "It is no longer available under the {}.", "Not released under the {}."]
+# Short forms in which a name of one word stands as a template.
+SHORT = ["{} License", "License: {}", "Licensed under {}", "Licensed under the {}", "Released under the {}", "SPDX-License-Identifier: {}"]
+# Words too usual to be cues by themselves.
+USUAL = frozenset(
+    "a an the of to in on and or is are be it its by for with without under at as this that you may not use used any all from if either either/or has have only permitted provided following conditions above "
+    "list new free public general version part parts terms work file files form forms source binary code software person persons notice documentation associated obtaining charge purpose fee subject extent "
+    "possible law author related rights domain international published foundation simplified into mit isc copy obtain except must kind express implied released was met binary distribute distributed modify reproduce compliance http".split()
+)
+# Words of which no pair is a cue.
+SMALL = frozenset("a an the of to in on and or is are be it its by for with without under at as this that into from not".split())
 # Usual sentences of the families' own texts.
 SENTENCES = {
     "Apache-2.0": ["you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
@@ -69,11 +94,49 @@ WHO = ["She", "He", "My neighbour", "The driver", "A student", "The company"]
 DID = ["holds a pilot license", "lost the driving licence", "applied for a hunting license", "read about copyright", "signed a warranty for the car", "talked about a search warrant", "asked the city for a trade license"]
 
 
-def notices() -> list[tuple[str, str]]:
-    """(family, paragraph) of all training notices, by rule from the fixed values."""
-    named = [(family, opener.format(name)) for family, names in NAMES.items() for name in names for opener in OPENERS]
-    prose = [("none", f"{who} {did}{end}") for who in WHO for did in DID for end in (" last year.", " and a permit.")]
-    return named + prose + [(family, s) for family, several in SENTENCES.items() for s in several for _ in range(4)]
+def notices() -> list[tuple[str, str, bool]]:
+    """(family, paragraph, held out for the temperature) of all training notices, by rule from the fixed values."""
+    named = [(family, opener.format(name), (k + j) % 4 == 3) for family, names in NAMES.items() for k, name in enumerate(names) for j, opener in enumerate(OPENERS)]
+    denied = [("none", x.format(name), (k + j) % 4 == 3) for family, names in NAMES.items() if family != "unknown" for k, name in enumerate(names) for j, x in enumerate(NEGATED)]
+    prose = [("none", f"{who} {did}{end}", (i + j) % 4 == 3) for i, who in enumerate(WHO) for j, did in enumerate(DID) for end in (" last year.", " and a permit.")]
+    return named + denied + prose + [(family, s, False) for family, several in SENTENCES.items() for s in several for _ in range(4)]
+
+
+def template_texts() -> list[tuple[str, str]]:
+    """(family, text) of the templates that confirm a family: its names, those of one word in their short forms, and its usual sentences."""
+    names = [(f, x) for f, several in NAMES.items() if f != "unknown" for n in several for x in ([n] if len(TOKENS.findall(n)) > 1 else [s.format(n) for s in SHORT])]
+    return names + [(f, s) for f, several in SENTENCES.items() if f not in ("unknown", "none") for s in several]
+
+
+def text_grams(text: str) -> set[tuple[str, ...]]:
+    w = TOKENS.findall(text.lower())
+    return {tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+
+
+@cache
+def cover() -> list[tuple[str, ...]]:
+    """Words and word pairs such that the n-grams of each template without any of them are less than MIN_SHARE of it.
+
+    Greedy: the candidate that takes the most n-grams from templates not yet covered; unusual words before pairs.
+    """
+    open_ = [(text_grams(t), text_grams(t)) for _, t in template_texts()]
+    chosen: list[tuple[str, ...]] = []
+    inside = lambda c, g: any(g[i : i + len(c)] == c for i in range(len(g) - len(c) + 1))
+    while open_ := [(left, whole) for left, whole in open_ if len(left) >= MIN_SHARE * len(whole)]:
+        gain: dict[tuple[str, ...], int] = {}
+        for left, _ in open_:
+            for c in {g for g in left if (len(g) == 2 and not SMALL.issuperset(g)) or (len(g) == 1 and g[0] not in USUAL and re.search("[a-z]{2}", g[0]))}:
+                gain[c] = gain.get(c, 0) + sum(inside(c, g) for g in left)
+        best = min(gain, key=lambda c: (len(c), -gain[c], c))
+        chosen.append(best)
+        open_ = [({g for g in left if not inside(best, g)}, whole) for left, whole in open_]
+    return sorted(chosen)
+
+
+def cue() -> str:
+    """The pattern of a paragraph that is scored."""
+    quoted = ["[^\\p{L}\\p{N}]+".join(re.escape(w) for w in c) for c in cover()]
+    return rf"(?i){GENERAL}|(?<![\p{{L}}\p{{N}}])(?:{'|'.join(quoted)})(?![\p{{L}}\p{{N}}])"
 
 
 def grams(text: Column) -> Column:
@@ -89,15 +152,15 @@ def grams(text: Column) -> Column:
 
 def train(spark: SparkSession) -> tuple[list[str], DataFrame, list[float]]:
     """Classes, weights (gram, w: a weight for each class, over the temperature), and the classes' offsets."""
-    rows = [(i, family, text) for i, (family, text) in enumerate(notices())]
-    data = spark.createDataFrame(rows, "i long, family string, text string").withColumn("grams", grams(F.col("text")))
-    classes = sorted({f for _, f, _ in rows})
+    rows = [(i, family, text, held) for i, (family, text, held) in enumerate(notices())]
+    data = spark.createDataFrame(rows, "i long, family string, text string, held boolean").withColumn("grams", grams(F.col("text")))
+    classes = sorted({f for _, f, _, _ in rows})
     label = reduce(lambda c, k: c.when(F.col("family") == classes[k], float(k)), range(1, len(classes)), F.when(F.col("family") == classes[0], 0.0))
     data = data.withColumn("label", label).coalesce(1).cache()
     vectorizer = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=MAX_GRAMS, minDF=2.0).fit(data)
     learner = LogisticRegression(maxIter=40, regParam=0.003, family="multinomial", standardization=False)
-    part = learner.fit(vectorizer.transform(data.where("i % 4 <> 0")))
-    held = vectorizer.transform(data.where("i % 4 = 0"))
+    part = learner.fit(vectorizer.transform(data.where("NOT held")))
+    held = vectorizer.transform(data.where("held"))
     from pyspark.ml.functions import vector_to_array
 
     logits = part.transform(held).select("label", vector_to_array("rawPrediction").alias("z")).cache()
@@ -114,23 +177,30 @@ def train(spark: SparkSession) -> tuple[list[str], DataFrame, list[float]]:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """template, family, size and gram of the texts that confirm a family: its names (with a cue) and usual sentences."""
-    texts = [(f, n) for f, names in NAMES.items() if f != "unknown" for n in names] + [(f, s) for f, several in SENTENCES.items() if f not in ("unknown", "none") for s in several]
-    t = spark.createDataFrame([(i, f, x) for i, (f, x) in enumerate(texts)], "template int, of string, text string").withColumn("grams", grams(F.col("text")))
+    """template, of (its family), size and gram of all templates."""
+    t = spark.createDataFrame([(i, f, x) for i, (f, x) in enumerate(template_texts())], "template int, of string, text string").withColumn("grams", grams(F.col("text")))
     return t.select("template", "of", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraph (number of the line), text, family, p, share (of the best template of the family), confirmed; a row for each licence-like paragraph."""
+def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, paragraph (its number in the text), line, n: the paragraphs with a cue, and how many equal rows have them."""
+    lines = F.filter(F.transform(F.split(F.regexp_replace(text_col, WRAP, " "), "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))), lambda s: s["line"].rlike(cue()))
+    cued = docs.where(F.col(text_col).rlike(cue())).select(F.col(id_col).alias("doc_id"), F.explode(lines).alias("p"))
+    return cued.select("doc_id", "p.paragraph", "p.line").groupBy("doc_id", "paragraph", "line").agg(F.count("*").alias("n"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[list[str], DataFrame, list[float]] | None = None) -> DataFrame:
+    """doc_id, paragraph, text, family, p, share (of the best template of the family), confirmed; a row for each licence-like paragraph.
+
+    model: what `train` returned; trained anew where not given.
+    """
     spark = docs.sparkSession
-    classes, weights, offsets = train(spark)
-    lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))), lambda s: s["line"].rlike(CUE))
-    cued = docs.where(F.col(text_col).rlike(CUE)).select(F.col(id_col).alias("doc_id"), F.explode(lines).alias("p"))
+    classes, weights, offsets = model or train(spark)
     key = ["doc_id", "paragraph", "line"]
-    paragraphs = cued.select("doc_id", "p.paragraph", "p.line").groupBy(*key).agg(F.count("*").alias("n"))
-    flat = paragraphs.select(*key, "n", F.explode(grams(F.col("line"))).alias("gram")).join(F.broadcast(weights), "gram")  # at most MAX_GRAMS rows
-    sums = [(F.sum(F.col("w")[k]) + F.lit(offsets[k])).alias(f"z{k}") for k in range(len(classes))]
-    scored = flat.groupBy(*key, "n").agg(*sums, F.collect_list("gram").alias("known"))
+    flat = paragraphs(docs, id_col, text_col).select(*key, "n", F.explode_outer(grams(F.col("line"))).alias("gram"))
+    flat = flat.join(F.broadcast(weights), "gram", "left")  # at most MAX_GRAMS rows
+    sums = [(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) + F.lit(offsets[k])).alias(f"z{k}") for k in range(len(classes))]
+    scored = flat.groupBy(*key, "n").agg(*sums, F.collect_list(F.when(F.col("w").isNotNull(), F.col("gram"))).alias("known"))
     z = F.array(*[F.col(f"z{k}") for k in range(len(classes))])
     scored = scored.withColumn("z", z).withColumn("best", F.array_position("z", F.array_max("z")).cast("int"))
     p = 1 / F.aggregate(F.transform("z", lambda x: F.exp(x - F.array_max("z"))), F.lit(0.0), lambda s, x: s + x)
@@ -141,6 +211,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     share = F.coalesce("t.share", F.lit(0.0))
     sure = (F.col("s.p") >= MIN_P) & (share >= MIN_SHARE)
     out = out.select("s.doc_id", "s.paragraph", F.col("s.line").alias("text"), F.when(sure, F.col("s.class")).otherwise("unknown").alias("family"), "s.p", share.alias("share"), (sure & (F.col("s.class") != "unknown")).alias("confirmed"), "s.n")
+    out = out.where(F.col("confirmed") | F.col("text").rlike(f"(?i){GENERAL}"))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n", "copy")
 
 
