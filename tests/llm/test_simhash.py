@@ -70,3 +70,9 @@ def test_links_of_planted_distances(spark):
 
 def test_empty_table_gives_no_rows(spark):
     assert S.simhash_digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_ids_link_and_name_nothing(spark):
+    rows = [(None, "a b c d"), (7, "A b C d"), (None, "q r s t u v"), (9, "z y x w")]
+    got = [(r.doc_id, r.component_id) for r in S.simhash_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 7), (7, 7), (None, None), (9, 9)], key=repr)

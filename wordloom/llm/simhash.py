@@ -6,11 +6,12 @@ differing bits: the fingerprint is cut into segments, each with a radius of 0 or
 linked fingerprints agree in some segment up to its radius. Each segment has a table by its value,
 dealt over tasks by the value's leading bits; a probe enumerates the Hamming ball of its value,
 fetches the table's matches and verifies complete distances. A task returns only a spanning forest
-of its links, so large groups never become all their pairs.
+of its links, so large groups never become all their pairs; a part too large for a task is cut into blocks.
 
 Defined results: null and wordless texts have fingerprint zero, linked like any other; a text of
-fewer words than a shingle is one shingle; a repeated doc_id keeps its rows; an empty table gives
-an empty result; other columns are not read.
+fewer words than a shingle is one shingle; a repeated doc_id keeps its rows; a row without an id links
+like any other and gets the smallest id of its component, null if there is none; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, dealt_out
 from .components import components
 from .xxh import xxh64
 
@@ -33,6 +34,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Pairs whose distances a task verifies at once.
 CHUNK = 1 << 21
+#: Rows of a table part that a task takes.
+CELL_ROWS = 1 << 20
+#: Ids are below this.
+NO_ID = 1 << 62
 
 
 def shingle_spans(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -226,6 +231,7 @@ def near_links(classes: DataFrame, scheme: Scheme) -> DataFrame:
                 yield pd.DataFrame({
                     "cell": [t << 20 | int(to[a]) for a in edge[:-1]],
                     "guest": [bool(guest[a]) for a in edge[:-1]],
+                    "n": np.diff(edge),
                     "data": [packed[row[a:b]].tobytes() for a, b in zip(edge[:-1], edge[1:])],
                 })
 
@@ -246,16 +252,19 @@ def near_links(classes: DataFrame, scheme: Scheme) -> DataFrame:
         a, b = _links(rows[:, 0].view(np.int64), fp, key, guest, low, radius, scheme.distance)
         return pd.DataFrame({"a": a, "b": b})
 
-    dealt = classes.mapInPandas(deal, "cell long, guest boolean, data binary")
-    return dealt.groupBy("cell").applyInPandas(match, "a long, b long")
+    dealt = dealt_out(classes.mapInPandas(deal, "cell long, guest boolean, n long, data binary"), CELL_ROWS)
+    return dealt.groupBy("cell", "block").applyInPandas(match, "a long, b long")
 
 
 def near_groups(docs: DataFrame, k: int, scheme: Scheme, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, fp and component_id (smallest doc_id reachable over links) of every row."""
     rows = cut(fingerprint_rows(docs, k, seeds, id_col, text_col))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL"))
+    # A class without any id stands behind all ids, so that it joins others but names no component.
+    stand_in = F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(NO_ID))
+    classes = cut(rows.groupBy("fp").agg(F.coalesce(F.min("doc_id"), stand_in).alias("doc_id")))
     roots = components(near_links(classes, scheme))
-    named = classes.join(roots, classes.doc_id == roots.node, "left").select("fp", F.coalesce("root", "doc_id").alias("component_id"))
+    root = F.coalesce("root", "doc_id")
+    named = classes.join(roots, classes.doc_id == roots.node, "left").select("fp", F.when(root < NO_ID, root).alias("component_id"))
     return rows.join(named, "fp", "left").select("doc_id", "text_key", "fp", "component_id")
 
 
