@@ -37,6 +37,7 @@ NEIGHBOURS, PRIOR_WEIGHT, BLOCK, SEED_BLOCKS = 20, 0.2, 64, 6
 #: Hash buckets of the document frequencies of words that no example has.
 BUCKETS = 1 << 18
 LETTERS = re.compile(r"[^\W\d_]+")
+NONE = np.zeros(0)
 
 
 def word_counts(text: str | None) -> Counter:
@@ -77,14 +78,16 @@ class Model:
         """The text's terms in the index, and their shares of its unit vector over all of its words."""
         get = self.terms.get
         at = np.array([get(w, -1) for w in counts], np.int64)
-        tf = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+        tf = np.fromiter(counts.values(), float, len(counts))
         known = at >= 0
-        w = tf[known] * self.weight[at[known]]
-        size = float(w @ w)
-        if not known.all():
-            u = tf[~known] * self.other[[bucket(x) for x, k in zip(counts, known.tolist()) if not k]]
-            size += float(u @ u)
-        return at[known], (w / np.sqrt(size) if size > 0 else w)
+        return self.unit(at[known], tf[known], tf[~known], [bucket(x) for x, k in zip(counts, known.tolist()) if not k])
+
+    def unit(self, terms: np.ndarray, tf: np.ndarray, other_tf: np.ndarray, others: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The terms and their shares, from counts of the terms and of other words (by bucket)."""
+        w = (1 + np.log(tf)) * self.weight[terms]
+        u = (1 + np.log(other_tf)) * self.other[others] if others else np.zeros(0)
+        size = float(w @ w) + float(u @ u)
+        return terms, (w / np.sqrt(size) if size > 0 else w)
 
     def _cosines(self, cells: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Cosines of all examples as far as those cells hold them; w: the query's weight at each cell."""
@@ -151,41 +154,41 @@ def idf(df: np.ndarray, documents: int) -> np.ndarray:
     return np.log((documents + 1) / (np.minimum(df, documents) + 1)) + 1e-6
 
 
-def lean(counts: list[Counter], labels: np.ndarray, terms: dict[str, int]) -> np.ndarray:
-    """1 plus the z-score of each term's log-odds for label 1, where positive."""
-    with_ = np.zeros((2, len(terms)))
-    for c, y in zip(counts, labels.astype(int)):
-        with_[y, [terms[w] for w in c]] += 1
-    b, a = with_ + 0.5
-    n = np.array([(labels == 0).sum(), (labels == 1).sum()]) + 1.0
-    return 1 + np.maximum(0.0, (np.log(a / n[1]) - np.log(b / n[0])) / np.sqrt(1 / a + 1 / b))
+def lean(t: np.ndarray, r: np.ndarray, labels: np.ndarray, terms: int) -> np.ndarray:
+    """1 plus the z-score of each term's log-odds for label 1, where positive; t and r: the term and example of each posting."""
+    a, b = (np.bincount(t, weights=labels[r] == s, minlength=terms) + 0.5 for s in (1, 0))
+    na, nb = (labels == 1).sum() + 1.0, (labels == 0).sum() + 1.0
+    return 1 + np.maximum(0.0, (np.log(a / na) - np.log(b / nb)) / np.sqrt(1 / a + 1 / b))
 
 
 def _clustered(t: np.ndarray, r: np.ndarray, v: np.ndarray, n: int, terms: int) -> np.ndarray:
-    """An order of the examples in which like ones stand together: by the nearest of n / BLOCK leaders."""
-    leaders = np.arange(0, n, BLOCK)
-    place = np.full(n, -1)
-    place[leaders] = np.arange(len(leaders))
-    dense = np.zeros((len(leaders), terms), np.float32)
-    mine = place[r] >= 0
-    dense[place[r[mine]], t[mine]] = v[mine]
-    near = np.stack([np.bincount(r, weights=v * row[t], minlength=n) for row in dense])
-    return np.lexsort((np.arange(n), -near.max(axis=0), near.argmax(axis=0)))
-
-
-def build(counts: list[Counter], ids: list[int], labels: list[int], df: np.ndarray, other: np.ndarray, documents: int, sizes: dict[int, int], terms: dict[str, int]) -> Model:
-    """The model of the examples; df: of each term, other: of each bucket; sizes: all labelled rows by label."""
+    """An order of the examples in which like ones stand together: by the nearest of n / BLOCK leaders. Postings go by example."""
+    begin = np.searchsorted(r, np.arange(n + 1))
+    best, which = np.full(n, -1.0), np.zeros(n, np.int64)
+    row = np.zeros(terms)
+    for k, leader in enumerate(range(0, n, BLOCK)):
+        mine = slice(begin[leader], begin[leader + 1])
+        row[t[mine]] = v[mine]
+        cos = np.bincount(r, weights=v * row[t], minlength=n)
+        which[cos > best], best = k, np.maximum(cos, best)
+        row[t[mine]] = 0
+    return np.lexsort((np.arange(n), -best, which))
+
+
+def build(texts: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: list[int], df: np.ndarray, other: np.ndarray, documents: int, sizes: dict[int, int], terms: dict[str, int]) -> Model:
+    """The model of the examples (term numbers and counts); df: of each term, other: of each bucket; sizes: all labelled rows by label."""
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.5
     y = np.array(labels, float)
     m = Model(terms, np.zeros(len(terms)), idf(other, documents), prior)
     if not len(y) or y.min() == y.max():
         return m
-    m.weight = idf(df, documents) * lean(counts, y, terms)
-    unit = [m.vector(c) for c in counts]
-    n = len(unit)
-    t, v = (np.concatenate([u[k] for u in unit]) for k in (0, 1))
-    r = np.repeat(np.arange(n), [len(u[0]) for u in unit])
+    n = len(texts)
+    t = np.concatenate([x[0] for x in texts])
+    r = np.repeat(np.arange(n), [len(x[0]) for x in texts])
+    m.weight = idf(df, documents) * lean(t, r, y, len(terms))
+    unit = [m.unit(at, tf.astype(float), NONE, []) for at, tf in texts]
+    v = np.concatenate([u[1] for u in unit])
     order = _clustered(t, r, v, n, len(terms))
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
@@ -194,7 +197,7 @@ def build(counts: list[Counter], ids: list[int], labels: list[int], df: np.ndarr
     m.blocks = -(-n // BLOCK)
     r = place[r]
     by = np.lexsort((r, t))
-    t, m.rows, m.values = t[by], r[by], v[by]
+    t, m.rows, m.values = t[by], r[by].astype(np.int32), v[by]
     cell = t * m.blocks + m.rows // BLOCK
     first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     m.cell_start = np.concatenate([first, [len(cell)]])
@@ -243,12 +246,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_b
         if held[r["y"]] + r["size"] <= sample_bytes:
             held[r["y"]] += r["size"]
             chosen.append((r["doc_id"],))
-    rows = texts.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi").collect() if chosen else []
-    rows.sort(key=lambda r: r["doc_id"])
-    counts = [word_counts(r["text"]) for r in rows]
-    terms = {w: i for i, w in enumerate(sorted(set().union(*counts)))}
+    ids, ys, counted, terms = [], [], [], {}
+    if chosen:
+        for r in texts.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi").orderBy("doc_id").toLocalIterator():
+            words = word_counts(r["text"])
+            ids.append(r["doc_id"])
+            ys.append(r["y"])
+            counted.append((np.array([terms.setdefault(w, len(terms)) for w in words], np.int64), np.fromiter(words.values(), np.int32, len(words))))
     df, other, documents = frequencies(docs, terms) if terms else (np.zeros(0), np.zeros(BUCKETS), 0)
-    return build(counts, [r["doc_id"] for r in rows], [r["y"] for r in rows], df, other, documents, sizes, terms)
+    return build(counted, ids, ys, df, other, documents, sizes, terms)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
