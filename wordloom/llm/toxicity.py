@@ -5,8 +5,8 @@ text of each label, in the order of a hash of the id. The index holds every word
 A word weighs (1 + log tf) * idf * (1 + its z-score where it leans to label 1); document frequencies
 count all documents, exactly for the examples' words and in hash buckets for all others, which can
 match no example but count in a text's length. A document's k nearest examples are found exactly:
-blocks of like examples are taken by their bounds (sums of block maxima) until no bound reaches the
-k-th best cosine. Votes weighted by cosine, with each example standing for its share of its label's
+the lists of the most frequent words are read whole, as rows of a matrix; for all others, blocks of like
+examples are taken by their bounds (sums of block maxima) until no bound reaches the k-th best cosine. Votes weighted by cosine, with each example standing for its share of its label's
 rows, are calibrated by isotonic regression over the examples' leave-one-out votes.
 
 Defined results: null and empty texts have no words, no neighbours, and the score that the prior
@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ from .common import cut
 #: The sample's bounds; they bound the index, the model and what the driver reads.
 PER_CLASS, SAMPLE_BYTES = 2000, 16_000_000
 NEIGHBOURS, PRIOR_WEIGHT, BLOCK, SEED_BLOCKS = 20, 0.2, 64, 6
+#: A word is frequent if more than one in so many examples has it; at most so many words are. Documents multiplied at once.
+FREQUENT, MATRIX_ROWS, GROUP = 16, 512, 64
 #: Hash buckets of the document frequencies of words that no example has.
 BUCKETS = 1 << 18
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -65,6 +68,9 @@ class Model:
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
     stands: np.ndarray = field(default_factory=lambda: np.zeros(0))  # rows that an example stands for
     blocks: int = 0
+    block_at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    row_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of each term in the matrix, or -1
+    often: tuple[np.ndarray, np.ndarray, np.ndarray] = (NONE, NONE, NONE)  # matrix row, example and value of its postings
     term_cells: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     cell_block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     cell_start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
@@ -74,6 +80,16 @@ class Model:
     votes: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     scores: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
 
+    @cached_property
+    def matrix(self) -> np.ndarray:
+        """Frequent terms x examples; made where it is used."""
+        out = np.zeros((int(self.row_of.max(initial=-1)) + 1, len(self.ids)))
+        out[self.often[0], self.often[1]] = self.often[2]
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "matrix"}
+
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms in the index, and their shares of its unit vector over all of its words."""
         get = self.terms.get
@@ -96,21 +112,21 @@ class Model:
         at = ragged(begin, n)
         return np.bincount(self.rows[at], weights=np.repeat(w, n) * self.values[at], minlength=len(self.ids))
 
-    def nearest(self, terms: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k best examples and cosines, exactly; `without` leaves one example out.
+    def nearest(self, terms: np.ndarray, w: np.ndarray, cos: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k best examples and cosines, exactly; cos: what the frequent terms give; `without` leaves one example out.
 
-        The blocks of highest bounds give a floor, the k-th best cosine among them; only blocks whose bound reaches it are read too.
+        The blocks of highest bounds give a floor, the k-th best cosine as far as it is read; only blocks whose bound reaches it are read too.
         """
         begin = self.term_cells[terms]
         n = self.term_cells[terms + 1] - begin
         cells = ragged(begin, n)
         w = np.repeat(w, n)
         block = self.cell_block[cells]
-        bound = np.bincount(block, weights=w * self.peaks[cells], minlength=self.blocks)
+        bound = np.maximum.reduceat(cos, self.block_at) + np.bincount(block, weights=w * self.peaks[cells], minlength=self.blocks)
         chosen = np.zeros(self.blocks, bool)
         chosen[np.argsort(-bound, kind="stable")[:SEED_BLOCKS]] = True
         now = chosen[block]
-        cos = self._cosines(cells[now], w[now])
+        cos = cos + self._cosines(cells[now], w[now])
 
         def floor() -> float:
             if without >= 0:
@@ -122,20 +138,35 @@ class Model:
         if more.any():
             cos += self._cosines(cells[more], w[more])
             least = floor()
-        who = np.flatnonzero((cos > 0) & (cos >= least - 1e-9))
+        who = np.flatnonzero((cos > 1e-12) & (cos >= least - 1e-9))
         best = np.lexsort((self.ids[who], -np.round(cos[who], 9)))[:k]
         return who[best], cos[who[best]]
 
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of each vector; own: the example that each one is, to be left out."""
+        for at in range(0, len(vectors), GROUP):
+            some = vectors[at : at + GROUP]
+            frequent = np.zeros((len(some), len(self.matrix)))
+            rare = []
+            for i, (terms, w) in enumerate(some):
+                row = self.row_of[terms]
+                often = row >= 0
+                frequent[i, row[often]] = w[often]
+                rare.append((terms[~often], w[~often]))
+            for i, (cos, (terms, w)) in enumerate(zip(frequent @ self.matrix, rare)):
+                yield self.nearest(terms, w, cos, without=-1 if own is None else int(own[at + i]))
+
     def vote(self, who: np.ndarray, cos: np.ndarray) -> float:
         w = cos * self.stands[who]
         return float((w @ self.labels[who] + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
 
-    def score(self, counts: Counter) -> tuple[float, np.ndarray, np.ndarray]:
-        """Score, and the examples and cosines that it rests on."""
+    def scores_of(self, texts: list[Counter]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Score of each text, and the examples and cosines that it rests on."""
         if not len(self.ids):
-            return self.prior, np.zeros(0, np.int64), np.zeros(0)
-        who, cos = self.nearest(*self.vector(counts))
-        return float(np.clip(np.interp(self.vote(who, cos), self.votes, self.scores), 0.0, 1.0)), self.ids[who], np.minimum(cos, 1.0)
+            yield from ((self.prior, np.zeros(0, np.int64), NONE) for _ in texts)
+            return
+        for who, cos in self.nearest_of([self.vector(c) for c in texts]):
+            yield float(np.clip(np.interp(self.vote(who, cos), self.votes, self.scores), 0.0, 1.0)), self.ids[who], np.minimum(cos, 1.0)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,15 +227,25 @@ def build(texts: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: li
     m.stands = np.array([sizes[int(l)] / (y == l).sum() for l in m.labels])
     m.blocks = -(-n // BLOCK)
     r = place[r]
+    m.block_at = np.arange(0, n, BLOCK)
+    held = np.bincount(t, minlength=len(terms))
+    often = np.argsort(-held, kind="stable")[:MATRIX_ROWS]
+    often = often[held[often] * FREQUENT > n]
+    m.row_of = np.full(len(terms), -1, np.int16)
+    m.row_of[often] = np.arange(len(often))
+    mine = m.row_of[t] >= 0
+    m.often = m.row_of[t[mine]].astype(np.int16), r[mine].astype(np.int32), v[mine]
+    t, r, v = t[~mine], r[~mine], v[~mine]
     by = np.lexsort((r, t))
     t, m.rows, m.values = t[by], r[by].astype(np.int32), v[by]
     cell = t * m.blocks + m.rows // BLOCK
-    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    m.cell_start = np.concatenate([first, [len(cell)]])
-    m.cell_block = cell[first] % m.blocks
-    m.peaks = np.maximum.reduceat(m.values, first)
-    m.term_cells = np.searchsorted(cell[first] // m.blocks, np.arange(len(terms) + 1))
-    votes = np.array([m.vote(*m.nearest(*unit[i], without=k)) for k, i in enumerate(order)])
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    m.cell_start = np.concatenate([first, [len(cell)]]).astype(np.int32)
+    m.cell_block = (cell[first] % m.blocks).astype(np.int32)
+    m.peaks = np.maximum.reduceat(m.values, first) if len(cell) else NONE
+    m.term_cells = np.searchsorted(cell[first] // m.blocks, np.arange(len(terms) + 1)).astype(np.int32)
+    del t, r, v, by, cell, first, texts, mine
+    votes = np.array([m.vote(*x) for x in m.nearest_of([unit[i] for i in order], np.arange(n))])
     m.votes, m.scores = isotonic(votes, m.labels, m.stands)
     return m
 
@@ -219,9 +260,11 @@ def frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, np.
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(n + BUCKETS + 1, np.int64)
         for frame in frames:
+            seen: Counter = Counter()
             for text in frame["text"]:
-                words = set(LETTERS.findall((text or "").lower()))
-                np.add.at(held, [terms[w] if w in terms else n + bucket(w) for w in words] + [len(held) - 1], 1)
+                seen.update(set(LETTERS.findall((text or "").lower())))
+            np.add.at(held, [terms[w] if w in terms else n + bucket(w) for w in seen], np.fromiter(seen.values(), np.int64, len(seen)))
+            held[-1] += len(frame)
         some = np.flatnonzero(held)
         yield pd.DataFrame({"at": some, "n": held[some]})
 
@@ -246,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_b
         if held[r["y"]] + r["size"] <= sample_bytes:
             held[r["y"]] += r["size"]
             chosen.append((r["doc_id"],))
-    ids, ys, counted, terms = [], [], [], {}
+    ids, ys, counted, terms = [], [], [], {}  # numbers only: texts and their words are not kept
     if chosen:
         for r in texts.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi").orderBy("doc_id").toLocalIterator():
             words = word_counts(r["text"])
@@ -265,8 +308,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for frame in frames:
-            out = [m.score(word_counts(t)) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "text_key": frame["text_key"].array, "score": [s for s, _, _ in out], "examples": [w for _, w, _ in out], "cosines": [c for _, _, c in out]})
+            for at in range(0, len(frame), 2048):
+                part = frame.iloc[at : at + 2048]
+                out = list(m.scores_of([word_counts(t) for t in part["text"]]))
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "text_key": part["text_key"].array, "score": [s for s, _, _ in out], "examples": [w for _, w, _ in out], "cosines": [c for _, _, c in out]})
 
     # Ids travel as text: a long column with nulls would reach pandas as floating point.
     scored = picked.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
@@ -274,6 +319,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, reject: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below `reject`, with all their columns; scored where they are read, so nothing is shuffled."""
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(picked, labels))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = shared.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                yield part.filter(pa.array([s < reject for s, _, _ in m.scores_of([word_counts(t) for t in part.column(at).to_pylist()])], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training(labels: DataFrame) -> DataFrame:
     """The labelled rows that may be learnt from."""
     return labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
