@@ -44,9 +44,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """df marked for broadcast if a count shows at most max_rows rows, else df as it is (a shuffle join)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Bytes up to which a table with a size column is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, max_rows: int, size: Column | None = None) -> DataFrame:
+    """df marked for broadcast if a count shows at most max_rows rows (and sizes of at most BROADCAST_BYTES), else df as it is (a shuffle join)."""
+    rows, held = df.select((size if size is not None else F.lit(0)).cast("long").alias("size")).limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and held <= BROADCAST_BYTES else df
 
 
 def dealt_out(pieces: DataFrame, limit: int) -> DataFrame:

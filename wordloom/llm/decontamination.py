@@ -6,8 +6,8 @@ their lists by the terms' offsets and intersects them; the alignments that are l
 word by word, so the matches are exact. `phrase_hits` returns exact phrases, `near_hits` documents
 that hold all terms of an item within a span of words.
 
-Defined results: null and wordless texts have no words and no hits; a null doc_id is a document;
-rows that repeat a doc_id are each judged on their own text; an item without words never occurs;
+Defined results: null and wordless texts have no words and no hits; a row without an id is a document,
+known by its text; rows that repeat a doc_id are each judged on their own text; an item without words never occurs;
 items that repeat an item_id count once; empty tables give no hits; other columns are not read.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, cut, small, stored
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of benchmark tables up to which they are broadcast; above it they are joined by shuffles.
+#: Rows of benchmark tables up to which they are broadcast (their words' bytes are checked too); above it they are joined by shuffles.
 BROADCAST_ROWS = 2_000_000
 WINDOW = 13
 
@@ -32,7 +32,7 @@ def words(text: Column) -> Column:
 def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored postings (term, doc_id, pos) of those terms (a column term) in all documents."""
     flat = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words(F.col(text_col))).alias("pos", "word"))
-    return stored(flat.join(small(terms, BROADCAST_ROWS), flat.word == terms.word).select("term", "doc_id", "pos"))
+    return stored(flat.join(small(terms, BROADCAST_ROWS, F.octet_length("word") + 16), flat.word == terms.word).select("term", "doc_id", "pos"))
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -66,7 +66,7 @@ def alignments(index: DataFrame, terms: DataFrame, items: DataFrame) -> DataFram
     anchors = anchors.select("item_key", "off", F.element_at("item", F.col("off") + 1).alias("word")).join(terms, "word").select("term", "item_key", "off")
     lists = index.join(small(cut(anchors), BROADCAST_ROWS), "term").select("doc_id", "item_key", (F.col("pos") - F.col("off")).alias("at"), "off")
     met = lists.groupBy("doc_id", "item_key", "at").agg(F.collect_set("off").alias("offs"))
-    met = met.join(small(items.select("item_key", "pairs"), BROADCAST_ROWS), "item_key")
+    met = met.join(small(items.select("item_key", "pairs"), BROADCAST_ROWS, F.size("pairs") * 24), "item_key")
     return met.where(F.exists("pairs", lambda p: F.size(F.array_except(p, F.col("offs"))) == 0)).select("doc_id", "item_key", "at")
 
 
@@ -84,13 +84,16 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col:
     """For each document row: doc_id, n_words, hits (item_id, start: each match of a window, in words), hit_words, and the kept columns."""
     item = cut(item_words(items, item_id, item_text).distinct().withColumn("item_key", F.monotonically_increasing_id()))
     terms = vocabulary(item)
-    index = build_index(docs, terms, id_col, text_col)
+    # Rows without an id go by their text, so that they are no single list.
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62)) - F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 61)))
+    index = build_index(docs.select(key.alias("key"), F.col(text_col).alias("text")), terms, "key", "text")
     pairs = rarest_pairs(item, terms, index, window)
-    found = alignments(index, terms, pairs).join(small(pairs.select("item_key", "item_id", "item", "len"), BROADCAST_ROWS), "item_key")
+    bytes_of = F.aggregate("item", F.lit(0).cast("long"), lambda s, w: s + F.octet_length(w) + 16)
+    found = alignments(index, terms, pairs).join(small(pairs.select("item_key", "item_id", "item", "len"), BROADCAST_ROWS, bytes_of), "item_key")
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "len", "at")).alias("cands"))
     per_doc = per_doc.select(F.col("doc_id").alias("found_id"), "cands")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"), *[F.col(c).alias(f"kept_{c}") for c in keep or [] if c != text_col])
-    joined = base.join(per_doc, base.doc_id.eqNullSafe(per_doc.found_id), "left").withColumn("doc", words(F.col("body")))
+    base = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.col(text_col).alias("body"), *[F.col(c).alias(f"kept_{c}") for c in keep or [] if c != text_col])
+    joined = base.join(per_doc, base.key == per_doc.found_id, "left").withColumn("doc", words(F.col("body")))
     hit = F.transform("cands", lambda c: F.struct(c["item_id"].alias("item_id"), c["at"].alias("at"), c["len"].alias("len"), _windows(c, _span(c, F.col("doc"))).alias("wins")))
     joined = joined.withColumn("n_words", F.size("doc").cast("long")).withColumn("m", F.when(F.col("cands").isNotNull(), F.filter(hit, lambda h: F.size(h["wins"]) > 0)))
     hits = F.coalesce(F.flatten(F.transform("m", lambda h: F.transform(h["wins"], lambda s: F.struct(h["item_id"].alias("item_id"), (h["at"] + s).alias("start"), h["len"].alias("len"))))), F.array().cast("array<struct<item_id:bigint,start:int,len:int>>"))
