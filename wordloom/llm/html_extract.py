@@ -1,21 +1,25 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tokens: tags with their path, and text blocks. Tokens of a host's pages that
-share an occurrence vector (how often each page has them) form an equivalence class; the vector is
-summed up as a fingerprint, so that no host's pages ever meet in one task. Frequent classes make up the host's
-template, ordered by their tokens' mean places; in a page they are valid as far as they occur in that order, nested by
-position. A template's text is boilerplate, and what stands between its tokens are the page's slots. From the slots the article is
-taken: those in article or main elements, else all outside menus, headers, footers, sidebars, notices,
-adverts, forms and comments that are not mostly links.
+A page is a sequence of tokens: block tags with their path and attributes, and text blocks with their
+path. The occurrence vector of a token says how often each page of the host has it; pages that share
+their article (all text outside marked regions) are one page here, so that copies of an article can't
+look like a template. Tokens of one vector form an equivalence class; the vector is summed up as a
+fingerprint, so that no host's pages ever meet in one task. A class is kept if it is large (`MIN_SIZE`
+tokens), has a tag, and is frequent (`MIN_PAGES` pages, all of a host of two, and a share of
+`SUPPORT` of the host's pages). In a page a class is valid if its tokens occur in the class's order, as
+often as each other, and nested: within one slot of the classes accepted before, from the most frequent
+down. The accepted classes are the page's template: their text is boilerplate, inside articles too, and
+what stands between their tokens are slots. From the slots the article is taken: those in article or
+main elements, else all outside menus, headers, footers, sidebars, notices, adverts, forms and
+comments that are not mostly links.
 
 Defined results: null and empty pages have the empty text; a page without a host is of host '';
-unclosed, stray and cut-off tags are tolerated; repeated page_ids are pages of their own; an empty table
-gives an empty result; other columns are not read.
+a host of one page, or of copies of one article, has no template; unclosed, stray and cut-off tags are
+tolerated; repeated page_ids are pages of their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import bisect
 import html as entities
 import re
 from collections.abc import Iterator
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: A text block is of the template if so many pages, and so large a share of its host's pages, have it.
-MIN_PAGES, SUPPORT = 5, 0.3
+#: Tokens, pages and share of the host's pages that make a class large and frequent.
+MIN_SIZE, MIN_PAGES, SUPPORT = 3, 3, 0.3
 #: Share of a block's letters in links from which it counts as a menu.
 LINKS = 0.6
 #: Template tokens up to which the templates are broadcast.
@@ -68,10 +72,10 @@ def _outside(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, int, float]]:
-    """Text blocks in page order: path, text, whether outside main text, 1 in main and 2 in an article, share of letters in links."""
-    out: list[tuple[str, str, bool, int, float]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, outside, article level
+def parse(page: str) -> list[tuple[str, str | None, bool, int, float]]:
+    """Tags and text blocks in page order: path, text (None: the tag of that path), whether outside main text, 1 in main and 2 in an article, share of letters in links."""
+    out: list[tuple[str, str | None, bool, int, float]] = []
+    stack: list[tuple[str, bool, int, str]] = []  # name, outside (itself or around), article level, path
     text: list[str] = []
     linked, in_link = 0, 0
 
@@ -80,10 +84,16 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, float]]:
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append(("/".join(n for n, _, _ in stack), joined, any(o for _, o, _ in stack), max([a for _, _, a in stack], default=0), linked / len(joined)))
+                _, outside, level, path = stack[-1] if stack else ("", False, 0, "")
+                out.append((path, joined, outside, level, linked / len(joined)))
             text.clear()
         linked = 0
 
+    def push(name: str, attrs: str, out_of: bool, level: int) -> None:
+        _, outside, _, path = stack[-1] if stack else ("", False, 0, "")
+        stack.append((name, outside or out_of, level, f"{path}/{name}"))
+        out.append((f"{path}/{name}{attrs}", None, outside or out_of, level, 0.0))
+
     for m in TOKEN.finditer(page):
         name = m["name"]
         if name is None:
@@ -127,25 +137,31 @@ def blocks(page: str) -> list[tuple[str, str, bool, int, float]]:
                         break
         if name in VOID or attrs.endswith("/"):
             continue
-        level = max([a for _, _, a in stack], default=0)
+        level = stack[-1][2] if stack else 0
         out_of = _outside(name, attrs, level > 0 or name == "article")
         if name == "article":
             level = 2
         elif name == "main" or re.search(r"role\s*=\s*[\"']?main\b", attrs, re.I):
             level = max(level, 1)
         if block:
-            stack.append((name, out_of, level))
+            push(name, attrs, out_of, level)
         elif out_of:
             flush()
-            stack.append((name, out_of, level))
+            push(name, attrs, out_of, level)
     flush()
     return out
 
 
 def tokens(page: str) -> tuple[list[tuple], np.ndarray]:
-    """The page's blocks and their tokens (hashes of path and text)."""
-    got = blocks(page)
-    return got, np.array([xxhash.xxh64_intdigest(f"{p}\0{t}") for p, t, *_ in got], np.uint64).view(np.int64)
+    """The page's tags and blocks, and their tokens (hashes of path and text)."""
+    got = parse(page)
+    return got, np.array([xxhash.xxh64_intdigest(p if t is None else f"{p}\0{t}") for p, t, *_ in got], np.uint64).view(np.int64)
+
+
+def content(got: list[tuple]) -> int:
+    """A fingerprint of the text outside marked regions and menus: what copies of an article share."""
+    inside = max([b[3] for b in got if b[1] is not None and not b[2]], default=0)
+    return xxhash.xxh64_intdigest("\0".join(t for _, t, outside, level, links in got if t is not None and not outside and level >= inside and links <= LINKS)) - (1 << 63)
 
 
 def host(url: str | None) -> str:
@@ -153,69 +169,79 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _occurrences(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Summed over a batch for each host and token: pages, the occurrence vector's fingerprint, least and largest relative place."""
+def _pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each page's host, content, and its distinct tokens with their counts, first places (in thousandths of the page) and whether they are tags."""
     for frame in frames:
         rows = []
-        for u, i, h in zip(frame["url"], frame["page_id"], frame["html"]):
-            where = host(u)
+        for u, h in zip(frame["url"], frame["html"]):
             got, ids = tokens(h or "")
             names, at, n = np.unique(ids, return_index=True, return_counts=True)
-            for t, a, c in zip(names.tolist(), at.tolist(), n.tolist()):
-                mark = xxhash.xxh64_intdigest(f"{i}\0{c}") - (1 << 63)
-                rows.append((where, False, t, mark, a / len(ids)))
-            rows.append((where, True, 0, 0, 0.0))
-        if rows:
-            d = pd.DataFrame(rows, columns=["host", "whole", "token", "mark", "place"])
-            g = d.groupby(["host", "whole", "token"], sort=False)
-            yield g.agg(pages=("mark", "size"), mark=("mark", lambda x: np.bitwise_xor.reduce(x.to_numpy())), places=("place", "sum")).reset_index()
-
-
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, support: float = SUPPORT) -> DataFrame:
-    """host, token, place: the tokens of each host's valid classes; pages has page_id, url, html."""
-    counted = pages.mapInPandas(_occurrences, "host string, whole boolean, token long, pages long, mark long, places double")
-    per = cut(counted.groupBy("host", "whole", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("mark").alias("mark"), F.sum("places").alias("places")).where("whole OR pages >= 2"))
-    sizes = per.where("whole").select("host", F.col("pages").alias("host_pages"))
-    frequent = per.where("NOT whole").join(sizes, "host").where((F.col("pages") >= min_pages) & (F.col("pages") >= support * F.col("host_pages")))
-    classes = frequent.groupBy("host", "pages", "mark").agg(F.collect_list(F.struct(F.round(F.col("places") / F.col("pages"), 9).alias("place"), "token")).alias("members"))
-    return classes.select("host", F.explode("members").alias("m")).select("host", "m.token", "m.place")
-
-
-def in_order(places: list[float | None]) -> list[bool]:
-    """Marks the longest run of known places that rises: there classes nest by position; what breaks the order is no template here."""
-    tails, at, back = [], [], [-1] * len(places)
-    for i, p in enumerate(places):
-        if p is None:
+            tags = np.array([got[a][1] is None for a in at], bool)
+            rows.append((host(u), content(got), names, n.astype(np.int32), (at * 1000 // max(1, len(ids))).astype(np.int32), tags))
+        yield pd.DataFrame(rows, columns=["host", "content", "tokens", "counts", "places", "tags"])
+
+
+def templates(pages: DataFrame, min_size: int = MIN_SIZE, min_pages: int = MIN_PAGES, support: float = SUPPORT) -> DataFrame:
+    """host, token, class, nth, pages, size: the tokens of each host's large and frequent equivalence classes, numbered in their order."""
+    seen = pages.mapInPandas(_pages, "host string, content long, tokens array<long>, counts array<int>, places array<int>, tags array<boolean>")
+    one = seen.dropDuplicates(["host", "content"])  # copies of an article are one page
+    flat = one.select("host", "content", F.explode(F.arrays_zip("tokens", "counts", "places", "tags")).alias("t"))
+    per = flat.groupBy("host", "t.tokens").agg(
+        F.count("*").alias("pages"), F.bit_xor(F.xxhash64("content", "t.counts")).alias("mark"), F.sum(F.col("t.counts").cast("long")).alias("times"), F.avg("t.places").alias("place"), F.bool_or("t.tags").alias("tag")
+    )
+    per = cut(per.where("pages >= 2").withColumnRenamed("tokens", "token"))
+    # The most frequent token of a host is in each of its pages (the page's first tag), or nearly so.
+    sizes = per.groupBy("host").agg(F.max("pages").alias("all"))
+    frequent = per.join(sizes, "host").where((F.col("pages") >= F.least(F.lit(min_pages), "all")) & (F.col("pages") >= support * F.col("all")))
+    classes = frequent.groupBy("host", "pages", "mark", "times").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("members"), F.bool_or("tag").alias("tag"))
+    classes = classes.where(F.col("tag") & (F.size("members") >= min_size))
+    return classes.select("host", F.xxhash64("pages", "mark", "times").alias("class"), "pages", F.size("members").alias("size"), F.posexplode("members").alias("nth", "m")).select("host", "m.token", "class", "nth", "pages", "size")
+
+
+def of_template(ids: np.ndarray, template: dict[int, tuple[int, int, int, int]]) -> dict[int, int]:
+    """The places of the page's template tokens and the pages that share them; template: class, nth, pages, size of a token.
+
+    Classes are taken from the most frequent and largest down. One is valid if its places, in page order, count through the
+    class again and again, and if no accepted token stands inside one of these rounds.
+    """
+    places: dict[int, list[tuple[int, int]]] = {}
+    rank: dict[int, tuple[int, int, int]] = {}
+    for at, t in enumerate(ids.tolist()):
+        if (m := template.get(t)) is not None:
+            places.setdefault(m[0], []).append((at, m[1]))
+            rank[m[0]] = (-m[2], -m[3], m[0])
+    taken = np.zeros(len(ids) + 1, np.int64)  # accepted tokens before each place
+    out: dict[int, int] = {}
+    for name in sorted(places, key=rank.__getitem__):
+        size = -rank[name][1]
+        found = places[name]
+        if len(found) % size or any(nth != i % size for i, (_, nth) in enumerate(found)):
             continue
-        k = bisect.bisect_right(tails, p)
-        back[i] = at[k - 1] if k else -1
-        tails[k : k + 1], at[k : k + 1] = [p], [i]
-    out, i = [False] * len(places), at[-1] if at else -1
-    while i >= 0:
-        out[i], i = True, back[i]
+        rounds = [(found[i][0], found[i + size - 1][0]) for i in range(0, len(found), size)]
+        if out:
+            before = np.cumsum(taken)
+            if any(before[b] - before[a] for a, b in rounds):
+                continue
+        for at, _ in found:
+            out[at] = -rank[name][0]
+            taken[at] = 1
     return out
 
 
-def main_text(got: list[tuple], ids: np.ndarray, template: dict[int, float]) -> list[str]:
-    """The article's blocks: slots of the template that lie in the main part."""
-    known = in_order([template.get(int(t)) if b[3] < 2 else None for b, t in zip(got, ids)]) if template else [False] * len(got)
-    slots = list(zip(got, known))
-    level = max([b[3] for b, known in slots if not b[2] and not known], default=0)
-    out = []
-    for (path, text, outside, at, links), known in slots:
-        if outside or known or at < level:
-            continue
-        if level == 0 and links > LINKS:
-            continue
-        out.append(text)
-    return out
+def main_text(got: list[tuple], ids: np.ndarray, template: dict[int, tuple[int, int, int, int]]) -> list[str]:
+    """The article's blocks: what stands in the slots of the template that lie in the main part."""
+    known = of_template(ids, template) if template else {}
+    # Two pages alone don't tell an article's own words from a template's.
+    slots = [b for at, b in enumerate(got) if b[1] is not None and not (at in known and (b[3] == 0 or known[at] >= MIN_PAGES))]
+    level = max([b[3] for b in slots if not b[2]], default=0)
+    return [text for _, text, outside, at, links in slots if not outside and at >= level and (level > 0 or links <= LINKS)]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url and text of every page."""
     picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     found = cut(templates(picked))
-    per_host = found.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("token", "place"))).alias("template"))
+    per_host = found.groupBy("host").agg(F.collect_list(F.struct("token", "class", "nth", "pages", "size")).alias("template"))
     with_host = picked.withColumn("host", F.coalesce(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))
     if found.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
         joined = with_host.join(F.broadcast(per_host), "host", "left")
@@ -224,14 +250,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         joined = with_host.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(32)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, dict] = {}  # the templates of the hosts seen last
         for frame in frames:
             out = []
-            for h, t in zip(frame["html"], frame["template"]):
+            for h, name, t in zip(frame["html"], frame["host"], frame["template"]):
+                if name not in held:
+                    if len(held) >= 64:
+                        held.clear()
+                    held[name] = {m["token"]: (m["class"], m["nth"], m["pages"], m["size"]) for m in t} if t is not None else {}
                 got, ids = tokens(h or "")
-                out.append("\n\n".join(main_text(got, ids, dict(t) if t is not None else {})))
-            yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": out})
+                out.append("\n\n".join(main_text(got, ids, held[name])))
+            yield pd.DataFrame({"page_id": frame["page_id"].array, "url": frame["url"], "text": out})
 
-    return joined.select("page_id", "url", "html", "template").mapInPandas(run, "page_id long, url string, text string")
+    # Ids travel as text: a long column with nulls would reach pandas as floating point.
+    done = joined.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "host", "template").mapInPandas(run, "page_id string, url string, text string")
+    return done.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def extract_digest(pages: DataFrame) -> DataFrame:
