@@ -2,6 +2,7 @@
 
 Examples are a bounded sample of the labelled rows: at most `per_class` rows and `sample_bytes` of
 text of each label, in the order of a hash of the id. The index holds every word of the examples.
+Words are known by their 64-bit hashes, so that no list of words is held anywhere.
 A word weighs (1 + log tf) * idf * (1 + its z-score where it leans to label 1); document frequencies
 count all documents, exactly for the examples' words and in hash buckets for all others, which can
 match no example but count in a text's length. A document's k nearest examples are found exactly:
@@ -19,7 +20,6 @@ table gives an empty result; no column but id, text and the labels' toxic is rea
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,6 +27,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ NEIGHBOURS, PRIOR_WEIGHT, BLOCK, SEED_BLOCKS = 20, 0.2, 64, 6
 FREQUENT, MATRIX_ROWS, GROUP = 16, 512, 64
 #: Hash buckets of the document frequencies of words that no example has.
 BUCKETS = 1 << 18
+#: Words whose places a task remembers.
+REMEMBERED = 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 NONE = np.zeros(0)
 
@@ -47,8 +50,29 @@ def word_counts(text: str | None) -> Counter:
     return Counter(LETTERS.findall((text or "").lower()))
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+def hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+
+
+class Places:
+    """Places of words: the number of a term, or, for all other words, len(terms) + the bucket."""
+
+    def __init__(self, terms: np.ndarray) -> None:
+        self.terms, self.known = terms, {}
+
+    def of(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if new := [w for w in words if w not in known]:
+            if len(known) > REMEMBERED:
+                known.clear()
+                new = words
+            known.update(zip(new, self._find(hashes(new)).tolist()))
+        return np.array([known[w] for w in words], np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        n = len(self.terms)
+        at = np.minimum(np.searchsorted(self.terms, h), max(0, n - 1))
+        return np.where(self.terms[at] == h, at, n + (h % np.uint64(BUCKETS)).astype(np.int64)) if n else (h % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -60,9 +84,8 @@ def ragged(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Model:
     """The index (cells of one term and one block, with their postings and maxima) and what turns votes into scores."""
 
-    terms: dict[str, int]
-    weight: np.ndarray  # of each term
-    other: np.ndarray  # weight of the words of each bucket
+    terms: np.ndarray  # hashes, ascending
+    weight: np.ndarray  # of each term, then of each bucket
     prior: float
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -88,22 +111,23 @@ class Model:
         return out
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "matrix"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("matrix", "places")}
+
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.terms)
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms in the index, and their shares of its unit vector over all of its words."""
-        get = self.terms.get
-        at = np.array([get(w, -1) for w in counts], np.int64)
-        tf = np.fromiter(counts.values(), float, len(counts))
-        known = at >= 0
-        return self.unit(at[known], tf[known], tf[~known], [bucket(x) for x, k in zip(counts, known.tolist()) if not k])
-
-    def unit(self, terms: np.ndarray, tf: np.ndarray, other_tf: np.ndarray, others: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The terms and their shares, from counts of the terms and of other words (by bucket)."""
-        w = (1 + np.log(tf)) * self.weight[terms]
-        u = (1 + np.log(other_tf)) * self.other[others] if others else np.zeros(0)
-        size = float(w @ w) + float(u @ u)
-        return terms, (w / np.sqrt(size) if size > 0 else w)
+        at, w = self.unit(self.places.of(list(counts)), np.fromiter(counts.values(), float, len(counts)))
+        known = at < len(self.terms)
+        return at[known], w[known]
+
+    def unit(self, places: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places and their shares of the unit vector."""
+        w = (1 + np.log(tf)) * self.weight[places]
+        size = float(w @ w)
+        return places, (w / np.sqrt(size) if size > 0 else w)
 
     def _cosines(self, cells: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Cosines of all examples as far as those cells hold them; w: the query's weight at each cell."""
@@ -206,19 +230,18 @@ def _clustered(t: np.ndarray, r: np.ndarray, v: np.ndarray, n: int, terms: int)
     return np.lexsort((np.arange(n), -best, which))
 
 
-def build(texts: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: list[int], df: np.ndarray, other: np.ndarray, documents: int, sizes: dict[int, int], terms: dict[str, int]) -> Model:
-    """The model of the examples (term numbers and counts); df: of each term, other: of each bucket; sizes: all labelled rows by label."""
+def build(terms: np.ndarray, t: np.ndarray, r: np.ndarray, tf: np.ndarray, ids: list[int], labels: list[int], df: np.ndarray, documents: int, sizes: dict[int, int]) -> Model:
+    """The model of the examples' postings (term, example, count; by example); df: of each term, then of each bucket; sizes: all labelled rows by label."""
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.5
     y = np.array(labels, float)
-    m = Model(terms, np.zeros(len(terms)), idf(other, documents), prior)
+    m = Model(terms, idf(df, documents), prior)
     if not len(y) or y.min() == y.max():
         return m
-    n = len(texts)
-    t = np.concatenate([x[0] for x in texts])
-    r = np.repeat(np.arange(n), [len(x[0]) for x in texts])
-    m.weight = idf(df, documents) * lean(t, r, y, len(terms))
-    unit = [m.unit(at, tf.astype(float), NONE, []) for at, tf in texts]
+    n = len(y)
+    m.weight[: len(terms)] *= lean(t, r, y, len(terms))
+    begin = np.searchsorted(r, np.arange(n + 1))
+    unit = [m.unit(t[a:b], tf[a:b].astype(float)) for a, b in zip(begin[:-1], begin[1:])]
     v = np.concatenate([u[1] for u in unit])
     order = _clustered(t, r, v, n, len(terms))
     place = np.empty(n, np.int64)
@@ -244,34 +267,42 @@ def build(texts: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: li
     m.cell_block = (cell[first] % m.blocks).astype(np.int32)
     m.peaks = np.maximum.reduceat(m.values, first) if len(cell) else NONE
     m.term_cells = np.searchsorted(cell[first] // m.blocks, np.arange(len(terms) + 1)).astype(np.int32)
-    del t, r, v, by, cell, first, texts, mine
+    del t, r, v, by, cell, first, mine
     votes = np.array([m.vote(*x) for x in m.nearest_of([unit[i] for i in order], np.arange(n))])
     m.votes, m.scores = isotonic(votes, m.labels, m.stands)
     return m
 
 
-def frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Document frequencies of the terms and of the other words' buckets, and the number of documents.
+def frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """Document frequencies of the terms and then of the other words' buckets, and the number of documents.
 
     A task adds up its documents before it sends anything; at most len(terms) + BUCKETS + 1 numbers come back.
     """
-    n = len(terms)
+    n = len(terms) + BUCKETS
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the sample
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(n + BUCKETS + 1, np.int64)
+        held, places = np.zeros(n + 1, np.int64), Places(shared.value)
         for frame in frames:
             seen: Counter = Counter()
             for text in frame["text"]:
                 seen.update(set(LETTERS.findall((text or "").lower())))
-            np.add.at(held, [terms[w] if w in terms else n + bucket(w) for w in seen], np.fromiter(seen.values(), np.int64, len(seen)))
-            held[-1] += len(frame)
+            np.add.at(held, places.of(list(seen)), np.fromiter(seen.values(), np.int64, len(seen)))
+            held[n] += len(frame)
         some = np.flatnonzero(held)
         yield pd.DataFrame({"at": some, "n": held[some]})
 
-    out = np.zeros(n + BUCKETS + 1)
-    got = docs.select("text").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out[got["at"].to_numpy(np.int64)] = got["n"].to_numpy(float)
-    return out[:n], out[n:-1], int(out[-1])
+    out = np.zeros(n + 1)
+    got = docs.select("text").mapInPandas(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out[:n], int(out[n])
+
+
+def postings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes and counts of each example's words."""
+    for frame in frames:
+        counts = [word_counts(t) for t in frame["text"]]
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "words": [hashes(list(c)).tobytes() for c in counts], "counts": [np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in counts]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
@@ -289,15 +320,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_b
         if held[r["y"]] + r["size"] <= sample_bytes:
             held[r["y"]] += r["size"]
             chosen.append((r["doc_id"],))
-    ids, ys, counted, terms = [], [], [], {}  # numbers only: texts and their words are not kept
-    if chosen:
-        for r in texts.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi").orderBy("doc_id").toLocalIterator():
-            words = word_counts(r["text"])
-            ids.append(r["doc_id"])
-            ys.append(r["y"])
-            counted.append((np.array([terms.setdefault(w, len(terms)) for w in words], np.int64), np.fromiter(words.values(), np.int32, len(words))))
-    df, other, documents = frequencies(docs, terms) if terms else (np.zeros(0), np.zeros(BUCKETS), 0)
-    return build(counted, ids, ys, df, other, documents, sizes, terms)
+    if not chosen:
+        return build(np.zeros(0, np.uint64), NONE, NONE, NONE, [], [], np.zeros(BUCKETS), 0, sizes)
+    rows = texts.join(F.broadcast(spark.createDataFrame(chosen, "doc_id long")), "doc_id", "left_semi")
+    got = rows.select("doc_id", "y", "text").mapInPandas(postings, "doc_id long, y int, words binary, counts binary").orderBy("doc_id").toArrow()
+    words, counts = got.column("words").to_pylist(), got.column("counts").to_pylist()
+    terms, t = np.unique(np.frombuffer(b"".join(words), np.uint64), return_inverse=True)
+    r = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) // 8 for w in words])
+    tf = np.frombuffer(b"".join(counts), np.int32)
+    ids, ys = got.column("doc_id").to_pylist(), got.column("y").to_pylist()
+    del got, words, counts
+    df, documents = frequencies(docs, terms)
+    return build(terms, t.astype(np.int32), r, tf, ids, ys, df, documents, sizes)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
