@@ -29,10 +29,10 @@ def test_columns_by_name_letter_and_place(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from wordloom.operators import detect
+    from wordloom.operators import documents
 
     docs = spark.createDataFrame([(1, "Ponadto tak. Ponadto nie."), (2, "Nic.")], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))
     flows.diagnose_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
-    assert sorted(got.collect()) == sorted(detect.document_signal(docs).collect())
+    assert sorted(got.collect()) == sorted(documents.document_signal(docs).collect())

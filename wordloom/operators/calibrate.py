@@ -1,4 +1,7 @@
-"""Reference profiles built from a corpus, calibration against them, and the review of answers."""
+"""Reference profiles built from a corpus, calibration against them, and the review of answers.
+
+All of it reads the document table (`documents.document_table`), so the texts are read once.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import detect, metrics
+from . import detect, documents, metrics
 
 THRESHOLD, BAND, FLOOR = 0.25, 0.035, 0.5
-FAMILIES = sorted({r[0] for r in detect.RULES} | {"vague_reference", "nominalization", "repeated_opening"})
+FAMILIES = documents.FAMILIES
 # Metrics that are compared, the side on which they exceed, and their weights.
 SIGNALS = [("sentence_length_cv", "low", 1.5), ("sentence_burstiness", "low", 1.0), ("sentence_entropy", "low", 1.0), ("paragraph_shape_cv", "low", 1.0), ("mean_sentence_words", "low", 0.5), ("connective_density", "high", 1.0)]
 
@@ -23,31 +26,34 @@ def exceedance_low(observed: Column, p50: Column) -> Column:
     return F.when((p50 <= 0) | (observed >= p50), 0.0).otherwise(F.round(F.least(F.lit(1.0), (p50 - observed) / (0.5 * p50)), 4))
 
 
-def document_metrics(docs: DataFrame) -> DataFrame:
-    """A row for each document with words: all metrics that calibration reads."""
-    m = metrics.sentence_metrics(docs).where("words > 0").join(metrics.sentence_entropy(docs), "doc_id", "left").join(metrics.paragraph_shape(docs), "doc_id", "left")
-    return m.join(metrics.connective_density(docs), "doc_id").fillna(0.0, ["sentence_entropy", "paragraph_shape_cv"])
+def observations(table: DataFrame) -> DataFrame:
+    """doc_id, half, signal, value of each document with words: family rates (0 where it lacks the family) and metrics."""
+    names = [s for s, _, _ in SIGNALS] + ["opening_diversity"]
+    rate = lambda f: F.round(F.size(F.filter("found", lambda x: x["family"] == f)) / F.col("words") * 1000, 4)
+    values = [F.struct(F.lit(f"family:{f}").alias("signal"), rate(f).alias("value")) for f in FAMILIES] + [F.struct(F.lit(n).alias("signal"), F.col(n).alias("value")) for n in names]
+    return table.where("words > 0").select("doc_id", half().alias("half"), F.explode(F.array(*values)).alias("o")).select("doc_id", "half", "o.signal", "o.value")
 
 
-def observations(docs: DataFrame) -> DataFrame:
-    """doc_id, signal, value: family rates (0 where a document lacks the family) and metrics."""
-    m = document_metrics(docs)
-    families = m.select("doc_id", F.explode(F.array(*[F.lit(f) for f in FAMILIES])).alias("family"))
-    rates = families.join(detect.family_rates(docs).select("doc_id", "family", "per_1000_words"), ["doc_id", "family"], "left")
-    rates = rates.select("doc_id", F.concat(F.lit("family:"), "family").alias("signal"), F.coalesce("per_1000_words", F.lit(0.0)).alias("value"))
-    names = [s for s, _, _ in SIGNALS] + ["opening_diversity"]
-    return rates.unionByName(m.select("doc_id", F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*names))).alias("signal", "value")))
+def half() -> Column:
+    """The half that a document is of: odd ids and all others."""
+    return F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
+
+
+def reference_profile(table: DataFrame, *by: str) -> DataFrame:
+    """signal and its distribution over the documents (or over those of each half); paragraph shape counts only where positive."""
+    o = observations(table).where("signal <> 'paragraph_shape_cv' OR value > 0")
+    return o.groupBy(*by, "signal").agg(*metrics.distribution(F.col("value")))
 
 
-def reference_profile(docs: DataFrame) -> DataFrame:
-    """signal and its distribution over the documents; paragraph shape counts only where positive."""
-    o = observations(docs).where("signal <> 'paragraph_shape_cv' OR value > 0")
-    return o.groupBy("signal").agg(*metrics.distribution(F.col("value")))
+def crossed(table: DataFrame) -> DataFrame:
+    """Each document's observations beside the profile of the half it is not of."""
+    profile = reference_profile(table, "half").withColumn("half", ~F.col("half"))
+    return observations(table).join(F.broadcast(profile), ["half", "signal"])  # at most two rows for each signal
 
 
-def calibrate(docs: DataFrame, profile: DataFrame) -> DataFrame:
-    """doc_id, signal, observed, baseline, exceedance, weight of each document's signals."""
-    o = observations(docs).join(profile.select("signal", "p50", "p95"), "signal")
+def calibrate(table: DataFrame) -> DataFrame:
+    """doc_id, signal, observed, baseline, exceedance, weight of each document's signals, against the other half's profile."""
+    o = crossed(table)
     weight = F.when(F.col("signal").startswith("family:"), 1.0)
     side = F.when(F.col("signal").startswith("family:"), "high")
     for name, s, w in SIGNALS:
@@ -67,25 +73,27 @@ def verdicts(signals: DataFrame) -> DataFrame:
     return s.withColumn("verdict", F.when(F.abs(F.col("score") - THRESHOLD) <= BAND, "borderline").when(F.col("score") >= THRESHOLD, "above_human_range").otherwise("within_human_range"))
 
 
-def review(docs: DataFrame, profile: DataFrame) -> DataFrame:
+def review(docs: DataFrame) -> DataFrame:
     """doc_id, score, violations, first_family, needs_revision: the gate for answers."""
-    signals = calibrate(docs, profile)
-    order = W.partitionBy("doc_id").orderBy("paragraph_index", "sentence_index", "start", "ord")
-    first = detect.findings(docs).withColumn("k", F.row_number().over(order)).where("k = 1").select("doc_id", F.col("family").alias("first_family"))
-    over = signals.groupBy("doc_id").agg(F.sum((F.col("exceedance") > 0).cast("long")).alias("violations"))
-    out = verdicts(signals).join(over, "doc_id").join(first, "doc_id", "left")
+    signals = calibrate(documents.document_table(docs))
+    order = F.struct("paragraph_index", "sentence_index", "start", "ord")
+    first = detect.findings(docs).groupBy("doc_id").agg(F.min_by("family", order).alias("first_family"))
+    over = F.sum((F.col("exceedance") > 0).cast("long")).alias("violations")
+    out = verdicts(signals).join(signals.groupBy("doc_id").agg(over), "doc_id").join(first, "doc_id", "left")
     return out.select("doc_id", "score", "violations", "first_family", (F.col("score") >= THRESHOLD).alias("needs_revision"))
 
 
-def tone(docs: DataFrame, profile: DataFrame) -> DataFrame:
+def tone(table: DataFrame) -> DataFrame:
     """Metrics whose gap to the profile's span is wide: doc_id, signal, direction, gap."""
-    o = observations(docs).where(~F.col("signal").startswith("family:")).join(profile, "signal").where("p50 > 0")
+    o = crossed(table).where(~F.col("signal").startswith("family:")).where("p50 > 0")
     floor = F.when((F.col("p95") - F.col("p50")) / F.col("p50") < 0.10, 0.50).otherwise(0.15)
     high = (F.col("p95") > 0) & (F.col("value") > F.col("p95"))
     gap = F.when(high, (F.col("value") - F.col("p95")) / F.col("p95")).when(F.col("value") < F.col("p50"), (F.col("p50") - F.col("value")) / F.col("p50"))
     return o.withColumn("gap", F.round(gap, 4)).where(F.col("gap") >= floor).select("doc_id", "signal", F.when(high, "above").otherwise("below").alias("direction"), "gap")
 
 
-def diagnosis(docs: DataFrame, profile: DataFrame) -> DataFrame:
-    """The flagship: counts, raw and calibrated score, verdict of each document."""
-    return detect.document_signal(docs).join(metrics.sentence_metrics(docs).drop("words"), "doc_id", "left").join(verdicts(calibrate(docs, profile)), "doc_id", "left")
+def diagnosis(table: DataFrame) -> DataFrame:
+    """The flagship: counts, raw and calibrated score, verdict of each document; metrics are null without a sentence."""
+    m = ["sentences", "mean_sentence_words", "sentence_length_cv", "sentence_burstiness", "opening_diversity"]
+    shown = table.select("doc_id", *[F.when(F.col("sentences") > 0, F.col(c)).alias(c) for c in m])
+    return documents.signal(table).join(shown, "doc_id").join(verdicts(calibrate(table)), "doc_id", "left")

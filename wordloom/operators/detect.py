@@ -49,8 +49,10 @@ RULES = [
 LOOKAROUND = [("antithesis", "nie_lecz", r"(?iu)(?<![\p{L}\p{N}_])nie\s+(?:chodzi|jest\s+to)(?![\p{L}\p{N}_])[^.;]{3,80}?(?<![\p{L}\p{N}_])lecz(?![\p{L}\p{N}_])", 7)]
 TRICOLON = r"(?iu)(?<![,;:])(?<![\p{L}\p{N}_])\p{L}[^,;:.()]{10,70}?,\s+(\p{L}[^,;:.()]{10,70}?)\s+(?:oraz|a\s+także|i)\s+(\p{L}[^,;:.()]{10,70}?)(?=[.,;]|$)"
 OPENING = f"^<(?:warto_{SAY}|należy_{SAY}|ponadto|dodatkowo|co_więcej|z_kolei|oznacza_to|duże_znaczenie_ma|istotne_znaczenie_ma)>"
-VAGUE = r"^(?:powyższ\p{L}*|niniejsz\p{L}*|przedmiotow\p{L}*|ten|ta|to|taki|taka|takie|ona|ono|on)$"
-NOMINAL = r"(?:anie|enie|cie|ość|acja|izja|yzja)$"
+# Words that point at nothing named, and endings of nouns made from verbs.
+VAGUE_WORDS = r"(?:powyższ\p{L}*|niniejsz\p{L}*|przedmiotow\p{L}*|ten|ta|to|taki|taka|takie|ona|ono|on)"
+NOMINAL_ENDS = "(?:anie|enie|cie|ość|acja|izja|yzja)"
+VAGUE, NOMINAL = f"^{VAGUE_WORDS}$", f"{NOMINAL_ENDS}$"
 VAGUE_RATE, NOMINAL_RATE, MIN_WORDS, NOMINAL_LETTERS = 0.14, 0.11, 8, 7
 INFORMATIONAL = ("slop_ngram",)
 SCALE = 18.0
@@ -71,10 +73,11 @@ def _hits(order: int, rule: tuple) -> Column:
 
 
 def _density() -> Column:
-    words, n = F.col("w"), F.size("w")
+    """Counts by one pattern over the lower-cased sentence, in sentences that are long enough only."""
+    n = F.col("words")
     whole = F.struct(F.lit(0).alias("start"), F.char_length("text").cast("int").alias("end"), F.substring("text", 1, 120).alias("value"))
-    vague = F.size(F.filter(words, lambda w: w.rlike(VAGUE)))
-    nominal = F.size(F.filter(words, lambda w: (F.char_length(w) >= NOMINAL_LETTERS) & w.rlike(NOMINAL)))
+    vague = F.regexp_count(F.lower("text"), F.lit(rf"(?<!\p{{L}}){VAGUE_WORDS}(?!\p{{L}})"))
+    nominal = F.regexp_count(F.lower("text"), F.lit(rf"(?<!\p{{L}})(?=\p{{L}}{{{NOMINAL_LETTERS}}})\p{{L}}*{NOMINAL_ENDS}(?!\p{{L}})"))
     one = lambda order, family, rule, k, rate, rewritable: F.when((n >= MIN_WORDS) & (k / n >= rate), F.array(_finding(order, family, rule, 4, rewritable, whole))).otherwise(F.array().cast(SCHEMA))
     return F.concat(one(100, "vague_reference", "vague_density", vague, VAGUE_RATE, False), one(101, "nominalization", "nominal_density", nominal, NOMINAL_RATE, True))
 
@@ -86,17 +89,37 @@ def _any() -> str:
     return P.spark_pattern("<(?:" + "|".join(starts) + ")|" + "|".join(f"(?:{o})" for o in others))
 
 
-def sentence_findings(docs: DataFrame) -> DataFrame:
-    """One row for each finding inside a sentence: doc_id, paragraph_index, sentence_index, family, rule, start, end, evidence, weight10, rewritable, ord."""
-    s = T.split_sentences(docs)
-    # One pass decides whether any rule can match; most sentences take the short way.
+def sentences(docs: DataFrame, *keep: str) -> DataFrame:
+    """One row for each sentence, and one with a null text for what has none: doc_id, kept columns, paragraph_index, sentence_index, of (sentences of the paragraph), text, words, f (its findings), key (its opening frame).
+
+    All that findings and metrics need is computed here, in one pass over the texts.
+    """
+    p = docs.select("doc_id", *keep, F.posexplode_outer(T.paragraph_list(F.col("text"))).alias("paragraph_index", "text"))
+    p = p.select("doc_id", *keep, "paragraph_index", T.sentence_list(F.col("text")).alias("list"))
+    s = p.select("doc_id", *keep, "paragraph_index", F.size("list").alias("of"), F.posexplode_outer("list").alias("sentence_index", "text"))
+    s = s.withColumn("words", F.coalesce(T.word_count(F.col("text")), F.lit(0)))
+    # One pattern decides whether any rule can match; most sentences take the short way.
     rules = F.when(F.col("text").rlike(_any()), F.concat(*[_hits(i, r) for i, r in enumerate(RULES)])).otherwise(F.array().cast(SCHEMA))
-    s = s.withColumn("w", T.tokens(F.col("text"))).withColumn("f", F.concat(rules, _density()))
-    named = F.filter("f", lambda x: x["rule"] == "style_frame")
+    s = s.withColumn("f", F.concat(rules, F.when(F.col("words") >= MIN_WORDS, _density()).otherwise(F.array().cast(SCHEMA))))
     framed = F.filter("f", lambda x: (x["weight10"] == 7) & x["rewritable"])
     clear = F.filter("f", lambda x: (x["rule"] != "style_frame") | ~F.exists(framed, lambda y: (x["start"] >= y["start"]) & (x["start"] < y["end"])))
-    s = s.select("doc_id", "paragraph_index", "sentence_index", F.explode_outer(F.when(F.size(named) > 0, clear).otherwise(F.col("f"))).alias("x")).where("x IS NOT NULL")
-    return s.select("doc_id", "paragraph_index", "sentence_index", "x.family", "x.rule", "x.start", "x.end", "x.evidence", "x.weight10", "x.rewritable", "x.ord")
+    opening = P.spark_pattern(OPENING)
+    key = F.lower(F.regexp_replace(F.regexp_substr(F.col("text"), F.lit(opening)), f"[{P.BLANK}]+", " "))
+    f = F.when(F.exists("f", lambda x: x["rule"] == "style_frame"), clear).otherwise(F.col("f"))
+    return s.select("doc_id", *keep, "paragraph_index", "sentence_index", "of", "text", "words", f.alias("f"), F.when(F.col("text").rlike(opening), key).alias("key"))
+
+
+PLACE = ("doc_id", "paragraph_index", "sentence_index")
+
+
+def _rows(s: DataFrame, found: Column) -> DataFrame:
+    s = s.select(*PLACE, F.explode_outer(found).alias("x")).where("x IS NOT NULL")
+    return s.select(*PLACE, "x.family", "x.rule", "x.start", "x.end", "x.evidence", "x.weight10", "x.rewritable", "x.ord")
+
+
+def sentence_findings(docs: DataFrame) -> DataFrame:
+    """One row for each finding inside a sentence: doc_id, paragraph_index, sentence_index, family, rule, start, end, evidence, weight10, rewritable, ord."""
+    return _rows(sentences(docs), F.col("f"))
 
 
 def repeated_openings(docs: DataFrame) -> DataFrame:
@@ -104,14 +127,15 @@ def repeated_openings(docs: DataFrame) -> DataFrame:
     key = F.lower(F.regexp_replace(F.regexp_substr(F.col("text"), F.lit(P.spark_pattern(OPENING))), f"[{P.BLANK}]+", " "))
     s = T.split_sentences(docs).where(F.col("text").rlike(P.spark_pattern(OPENING))).withColumn("key", key)
     s = s.withColumn("n", F.count("*").over(W.partitionBy("doc_id", "key"))).where("n >= 2")
-    return s.select("doc_id", "paragraph_index", "sentence_index", "key", F.col("n").cast("long").alias("n"))
+    return s.select(*PLACE, "key", F.col("n").cast("long").alias("n"))
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """All findings with a stable order inside each document."""
-    r = repeated_openings(docs)
-    opened = r.select("doc_id", "paragraph_index", "sentence_index", F.lit("repeated_opening").alias("family"), F.lit("repeated_frame").alias("rule"), F.lit(0).alias("start"), F.char_length("key").cast("int").alias("end"), F.col("key").alias("evidence"), F.lit(6).alias("weight10"), F.lit(False).alias("rewritable"), F.lit(200).alias("ord"))
-    return sentence_findings(docs).unionByName(opened)
+    """All findings with a stable order inside each document, in one pass: openings come along as findings and stay where they repeat."""
+    opened = F.struct(F.lit(200).alias("ord"), F.lit("repeated_opening").alias("family"), F.lit("repeated_frame").alias("rule"), F.lit(0).alias("start"), F.char_length("key").cast("int").alias("end"), F.col("key").alias("evidence"), F.lit(6).alias("weight10"), F.lit(False).alias("rewritable"))
+    rows = _rows(sentences(docs), F.when(F.col("key").isNull(), F.col("f")).otherwise(F.concat("f", F.array(opened))))
+    repeated = F.count("*").over(W.partitionBy("doc_id", F.when(F.col("ord") == 200, F.col("evidence"))))
+    return rows.withColumn("n", repeated).where("ord <> 200 OR n >= 2").drop("n")
 
 
 def lookaround_findings(docs: DataFrame) -> DataFrame:
@@ -125,28 +149,12 @@ def lookaround_findings(docs: DataFrame) -> DataFrame:
     return a.unionByName(t).select("doc_id", "paragraph_index", "sentence_index", "family", "rule", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.value").alias("evidence"), "weight10")
 
 
-def _score(weight: Column, words: Column) -> Column:
+def score(weight: Column, words: Column) -> Column:
     return F.when(words > 0, F.round(F.least(F.lit(1.0), weight / 10.0 / words * 1000 / SCALE), 4)).otherwise(0.0)
 
 
-def document_signal(docs: DataFrame) -> DataFrame:
-    """words, findings and the raw density score of every document."""
-    f = findings(docs).where(~F.col("family").isin(*INFORMATIONAL)).groupBy("doc_id").agg(F.count("*").alias("findings"), F.sum("weight10").alias("w"))
-    d = docs.select("doc_id", T.word_count(F.coalesce("text", F.lit(""))).cast("long").alias("words"))
-    j = d.join(f, "doc_id", "left")
-    return j.select("doc_id", "words", F.coalesce("findings", F.lit(0)).cast("long").alias("findings"), _score(F.coalesce("w", F.lit(0)), F.col("words")).alias("signal_score"))
-
-
-def family_rates(docs: DataFrame) -> DataFrame:
-    """Count, rate and weight of each family in each document that has it."""
-    words = docs.select("doc_id", T.word_count(F.coalesce("text", F.lit(""))).alias("words"))
-    f = findings(docs).groupBy("doc_id", "family").agg(F.count("*").alias("n"), F.sum("weight10").alias("w"), F.sum(F.col("rewritable").cast("long")).alias("rewritable"))
-    return f.join(words, "doc_id").select("doc_id", "family", "n", F.round(F.col("n") / F.col("words") * 1000, 4).alias("per_1000_words"), F.round(F.col("w") / 10.0, 4).alias("weight_total"), "rewritable")
-
-
 def paragraph_diagnosis(docs: DataFrame) -> DataFrame:
     """words, sentences, findings inside sentences, and score of each paragraph."""
-    s = T.split_sentences(docs).groupBy("doc_id", "paragraph_index").agg(F.sum(T.word_count(F.col("text"))).cast("long").alias("words"), F.count("*").alias("sentences"))
-    f = sentence_findings(docs).groupBy("doc_id", "paragraph_index").agg(F.count("*").alias("findings"), F.sum("weight10").alias("w"))
-    j = s.join(f, ["doc_id", "paragraph_index"], "left")
-    return j.select("doc_id", "paragraph_index", "words", "sentences", F.coalesce("findings", F.lit(0)).cast("long").alias("findings"), _score(F.coalesce("w", F.lit(0)), F.col("words")).alias("signal_score"))
+    weight = F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + x["weight10"])
+    s = sentences(docs).where("text IS NOT NULL").groupBy("doc_id", "paragraph_index").agg(F.sum("words").cast("long").alias("words"), F.count("*").alias("sentences"), F.sum(F.size("f")).cast("long").alias("findings"), F.sum(weight).alias("w"))
+    return s.select("doc_id", "paragraph_index", "words", "sentences", "findings", score(F.col("w"), F.col("words")).alias("signal_score"))

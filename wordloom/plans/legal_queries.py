@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.operators import corpus, detect, features, legal, reports, rewrite, structure
+from wordloom.operators import corpus, documents, features, legal, reports, rewrite, structure
 from wordloom.operators import text as T
 
-from .fixtures import seeded
-
+from wordloom.functions.plans import table as _table
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from .fixtures import seeded
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +125,8 @@ def queries() -> dict:
         "statute_references": seed(legal.statute_references), "case_references": seed(legal.case_references), "verify_references": _verified, "letter_facts": seed(legal.letter_facts), "letter_remedies": seed(legal.remedies), "letter_parts": seed(legal.letter_parts),
         "holidays": lambda s, d: legal.holidays(_table(s, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()),
         "deadlines_days": _deadlines("day", 14), "deadlines_months": _deadlines("month", 1),
-        "batch_summary": lambda s, d: reports.batch_summary(detect.document_signal(_seeded(s, d))), "rule_decisions": _decisions,
+        "batch_summary": lambda s, d: reports.batch_summary(documents.document_signal(_seeded(s, d))), "rule_decisions": _decisions,
         "resume_remaining": lambda s, d: reports.remaining(_docs(s, d).select("doc_id", "source"), _table(s, d, "labels"), "doc_id"),
         "embedding_similarity": lambda s, d: reports.label_similarity(_table(s, d, "embeddings")),
-        "answer_signal": lambda s, d: detect.document_signal(_table(s, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 10000 + F.col("turn")).alias("doc_id"), "text")),
+        "answer_signal": lambda s, d: documents.document_signal(_table(s, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 10000 + F.col("turn")).alias("doc_id"), "text")),
     }

@@ -94,13 +94,13 @@ def distribution() -> str:
 
 
 def calibrated() -> str:
-    """CTEs from the seeded documents to pr (profile of even ids) and cs (signals of odd ids)."""
-    weight = " ".join(f"WHEN signal = '{n}' THEN {w}" for n, _, w in calibrate.SIGNALS)
-    side = " ".join(f"WHEN signal = '{n}' THEN '{s}'" for n, s, _ in calibrate.SIGNALS)
+    """CTEs from the seeded documents to pr (profile of each half: odd ids and all others), cs (signals against the other half's profile) and vd."""
+    weight = " ".join(f"WHEN ob.signal = '{n}' THEN {w}" for n, _, w in calibrate.SIGNALS)
+    side = " ".join(f"WHEN ob.signal = '{n}' THEN '{s}'" for n, s, _ in calibrate.SIGNALS)
     return sentence_metrics(SEEDED) + found_cte() + SIGNAL + observations("ob") + f"""
-, pr AS (SELECT signal, {distribution()} FROM ob WHERE doc_id % 2 = 0 AND (signal <> 'paragraph_shape_cv' OR value > 0) GROUP BY signal)
-, c0 AS (SELECT ob.*, p50, p95, CASE WHEN signal LIKE 'family:%' THEN 1.0 {weight} ELSE 0 END::DOUBLE AS weight, CASE WHEN signal LIKE 'family:%' THEN 'high' {side} ELSE 'none' END AS side FROM ob JOIN pr USING (signal)
-  WHERE doc_id % 2 = 1 AND (signal NOT IN ('sentence_burstiness', 'paragraph_shape_cv') OR p50 > 0) AND (signal <> 'paragraph_shape_cv' OR value > 0))
+, pr AS (SELECT coalesce(doc_id % 2 = 1, false) AS odd, signal, {distribution()} FROM ob WHERE signal <> 'paragraph_shape_cv' OR value > 0 GROUP BY ALL)
+, c0 AS (SELECT ob.*, p50, p95, CASE WHEN ob.signal LIKE 'family:%' THEN 1.0 {weight} ELSE 0 END::DOUBLE AS weight, CASE WHEN ob.signal LIKE 'family:%' THEN 'high' {side} ELSE 'none' END AS side FROM ob JOIN pr ON pr.signal = ob.signal AND pr.odd <> coalesce(doc_id % 2 = 1, false)
+  WHERE (ob.signal NOT IN ('sentence_burstiness', 'paragraph_shape_cv') OR p50 > 0) AND (ob.signal <> 'paragraph_shape_cv' OR value > 0))
 , cs AS (SELECT doc_id, signal, value AS observed, CASE WHEN side = 'low' THEN p50 ELSE p95 END AS baseline, CASE WHEN side = 'high' THEN CASE WHEN value <= greatest(p95, 0.5) THEN 0 ELSE round(least(1.0, (value - greatest(p95, 0.5)) / greatest(p95, 0.5)), 4) END
   WHEN side = 'low' THEN CASE WHEN p50 <= 0 OR value >= p50 THEN 0 ELSE round(least(1.0, (p50 - value) / (0.5 * p50)), 4) END ELSE 0 END::DOUBLE AS exceedance, weight FROM c0)
 , vd AS (SELECT doc_id, score, CASE WHEN abs(score - 0.25) <= 0.035 THEN 'borderline' WHEN score >= 0.25 THEN 'above_human_range' ELSE 'within_human_range' END AS verdict FROM (SELECT doc_id, least(1.0, ((4 * sum(round(exceedance * weight * 10000)::BIGINT) + sum((weight * 2)::BIGINT)) // (2 * sum((weight * 2)::BIGINT)))::DOUBLE / 10000.0) AS score FROM cs GROUP BY doc_id))
@@ -127,10 +127,10 @@ SELECT doc_id, CASE WHEN n > 0 AND s > 0 THEN round(0.4 * (n / s + 100.0 * hard
         "family_rates": al + "SELECT * FROM fr",
         "document_signal": al + SIGNAL + " SELECT * FROM ds",
         "paragraph_diagnosis": al + f", pd AS (SELECT doc_id, paragraph_index, sum(words)::BIGINT AS words, count(*) AS sentences FROM w GROUP BY ALL), pf AS (SELECT doc_id, paragraph_index, count(*) AS n, sum(weight10) AS wt FROM f1 GROUP BY ALL) SELECT doc_id, paragraph_index, words, sentences, coalesce(n, 0)::BIGINT AS findings, {score('coalesce(wt, 0)')} AS signal_score FROM pd LEFT JOIN pf USING (doc_id, paragraph_index)",
-        "reference_profile": cal + "SELECT * FROM pr",
+        "reference_profile": cal + f"SELECT signal, {distribution()} FROM ob WHERE signal <> 'paragraph_shape_cv' OR value > 0 GROUP BY signal",
         "calibration_signals": cal + "SELECT * FROM cs",
         "calibration": cal + "SELECT * FROM vd",
-        "document_diagnosis": cal + "SELECT ds.doc_id, ds.words, findings, signal_score, sentences, mean_sentence_words, sentence_length_cv, sentence_burstiness, opening_diversity, score, verdict FROM ds LEFT JOIN sm USING (doc_id) LEFT JOIN vd USING (doc_id) WHERE doc_id % 2 = 1",
+        "document_diagnosis": cal + "SELECT ds.doc_id, ds.words, findings, signal_score, sentences, mean_sentence_words, sentence_length_cv, sentence_burstiness, opening_diversity, score, verdict FROM ds LEFT JOIN sm USING (doc_id) LEFT JOIN vd USING (doc_id)",
         "review_gate": cal + ", fi AS (SELECT doc_id, family AS first_family FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index, sentence_index, start, ord) AS k FROM al) WHERE k = 1) SELECT doc_id, score, violations, first_family, score >= 0.25 AS needs_revision FROM vd JOIN (SELECT doc_id, sum((exceedance > 0)::INTEGER)::BIGINT AS violations FROM cs GROUP BY doc_id) USING (doc_id) LEFT JOIN fi USING (doc_id)",
-        "tone": cal + ", tn AS (SELECT ob.doc_id, signal, value, p50, p95, p95 > 0 AND value > p95 AS high, round(CASE WHEN p95 > 0 AND value > p95 THEN (value - p95) / p95 WHEN value < p50 THEN (p50 - value) / p50 END, 4) AS gap FROM ob JOIN pr USING (signal) WHERE doc_id % 2 = 1 AND signal NOT LIKE 'family:%' AND p50 > 0) SELECT doc_id, signal, CASE WHEN high THEN 'above' ELSE 'below' END AS direction, gap FROM tn WHERE gap >= CASE WHEN (p95 - p50) / p50 < 0.10 THEN 0.50 ELSE 0.15 END",
+        "tone": cal + ", tn AS (SELECT ob.doc_id, ob.signal, value, p50, p95, p95 > 0 AND value > p95 AS high, round(CASE WHEN p95 > 0 AND value > p95 THEN (value - p95) / p95 WHEN value < p50 THEN (p50 - value) / p50 END, 4) AS gap FROM ob JOIN pr ON pr.signal = ob.signal AND pr.odd <> coalesce(doc_id % 2 = 1, false) WHERE ob.signal NOT LIKE 'family:%' AND p50 > 0) SELECT doc_id, signal, CASE WHEN high THEN 'above' ELSE 'below' END AS direction, gap FROM tn WHERE gap >= CASE WHEN (p95 - p50) / p50 < 0.10 THEN 0.50 ELSE 0.15 END",
     }

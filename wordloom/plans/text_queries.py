@@ -5,38 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from wordloom.operators import calibrate, detect, metrics
+from wordloom.functions.plans import table
+from wordloom.operators import calibrate, detect, documents, metrics
 from wordloom.operators import text as T
 
 from .fixtures import seeded
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeded(_docs(spark, sf_dir))
 
 
-def _profile(docs: DataFrame) -> DataFrame:
-    """The profile of the even ids."""
-    return calibrate.reference_profile(docs.where("doc_id % 2 = 0"))
-
-
-def _crossed(docs: DataFrame, f: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """f over every document, each half against the other's profile: odd ids against the even ones, all others against the odd ones."""
-    odd = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
-    one, other = docs.where(odd), docs.where(~odd)
-    return f(one, _profile(docs)).unionByName(f(other, calibrate.reference_profile(one)))
-
-
 def queries() -> dict:
     plain = lambda f: lambda s, d: f(_docs(s, d))
     seed = lambda f: lambda s, d: f(_seeded(s, d))
-    crossed = lambda f: lambda s, d: _crossed(_seeded(s, d), f)
+    whole = lambda f: lambda s, d: f(documents.document_table(_seeded(s, d)))
     return {
         "split_paragraphs": plain(T.split_paragraphs),
         "split_sentences": plain(T.split_sentences),
@@ -53,13 +41,13 @@ def queries() -> dict:
         "findings": seed(lambda d: detect.findings(d).drop("ord")),
         "lookaround_findings": seed(detect.lookaround_findings),
         "repeated_openings": seed(detect.repeated_openings),
-        "family_rates": seed(detect.family_rates),
-        "document_signal": seed(detect.document_signal),
+        "family_rates": seed(documents.family_rates),
+        "document_signal": seed(documents.document_signal),
         "paragraph_diagnosis": seed(detect.paragraph_diagnosis),
-        "reference_profile": seed(_profile),
-        "calibration_signals": crossed(calibrate.calibrate),
-        "calibration": crossed(lambda d, p: calibrate.verdicts(calibrate.calibrate(d, p))),
-        "review_gate": crossed(calibrate.review),
-        "tone": crossed(calibrate.tone),
-        "document_diagnosis": crossed(calibrate.diagnosis),
+        "reference_profile": whole(calibrate.reference_profile),
+        "calibration_signals": whole(calibrate.calibrate),
+        "calibration": whole(lambda t: calibrate.verdicts(calibrate.calibrate(t))),
+        "review_gate": seed(calibrate.review),
+        "tone": whole(calibrate.tone),
+        "document_diagnosis": whole(calibrate.diagnosis),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from wordloom.operators import detect
+from wordloom.operators import documents
 
 
 def diagnose_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: str = "doc_id long, text string") -> StreamingQuery:
@@ -14,6 +14,6 @@ def diagnose_stream(spark: SparkSession, source: str, sink: str, checkpoint: str
 
     def batch(df: DataFrame, number: int) -> None:
         # A batch that is run again overwrites its own folder only.
-        detect.document_signal(df).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        documents.document_signal(df).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
