@@ -95,5 +95,5 @@ def tone(table: DataFrame) -> DataFrame:
 def diagnosis(table: DataFrame) -> DataFrame:
     """The flagship: counts, raw and calibrated score, verdict of each document; metrics are null without a sentence."""
     m = ["sentences", "mean_sentence_words", "sentence_length_cv", "sentence_burstiness", "opening_diversity"]
-    shown = table.select("doc_id", *[F.when(F.col("sentences") > 0, F.col(c)).alias(c) for c in m])
-    return documents.signal(table).join(shown, "doc_id").join(verdicts(calibrate(table)), "doc_id", "left")
+    shown = documents.signal(table, *[F.when(F.col("sentences") > 0, F.col(c)).alias(c) for c in m])
+    return shown.join(verdicts(calibrate(table)), "doc_id", "left")

@@ -52,10 +52,10 @@ def _weight(found: Column) -> Column:
     return F.aggregate(found, F.lit(0).cast("long"), lambda s, x: s + x["weight10"])
 
 
-def signal(table: DataFrame) -> DataFrame:
-    """words, findings and the raw density score of every document."""
+def signal(table: DataFrame, *more: Column) -> DataFrame:
+    """words, findings and the raw density score of every document, and further columns."""
     found = F.filter("found", lambda x: ~x["family"].isin(*detect.INFORMATIONAL))
-    return table.select("doc_id", "words", F.size(found).cast("long").alias("findings"), detect.score(_weight(found), F.col("words")).alias("signal_score"))
+    return table.select("doc_id", "words", F.size(found).cast("long").alias("findings"), detect.score(_weight(found), F.col("words")).alias("signal_score"), *more)
 
 
 def document_signal(docs: DataFrame) -> DataFrame:
