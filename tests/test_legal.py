@@ -12,7 +12,7 @@ def test_findings_have_exact_spans(spark):
     text = "Warto zauważyć, że to jest. Ponadto ma istotne znaczenie. Ponadto wygasło — i tak."
     got = {(r.rule, r.sentence_index, r.start, r.evidence) for r in detect.findings(frame(spark, [text])).collect()}
     assert ("drop_discourse_intro", 0, 0, "Warto zauważyć, że") in got and ("important_frame", 1, 8, "ma istotne znaczenie") in got
-    assert ("em_dash", 2, 15, " — ") in got and {g[0] for g in got} >= {"repeated_frame"} and not any(g[0] == "style_frame" for g in got)
+    assert ("em_dash", 2, 15, "to wygasło — i tak.") in got and {g[0] for g in got} >= {"repeated_frame"} and not any(g[0] == "style_frame" for g in got)
 
 
 def test_lookaround_findings(spark):
@@ -25,6 +25,45 @@ def test_exceedances(spark):
     assert tuple(row) == (0.5, 0.0, 0.5, 0.0)
 
 
+# Written by hand from the rules' definitions: text, then (rule, start, end, evidence).
+BY_HAND = [
+    ("To właśnie on.", [("to_wlasnie", 0, 10, "To właśnie")]), ("A to właśnie on.", [("to_wlasnie", 2, 12, "to właśnie")]), ("TO WŁAŚNIE ON.", []),
+    ("Już z treści wynika prawo.", [("juz", 0, 4, "Już")]), ("już z treści wynika prawo.", []), ("Już dziś z niej wynika.", []),
+    ("Ala  —  kot", [("em_dash", 3, 8, "Ala  —  kot")]), ("Bardzo długie zdanie -- i jeszcze dłuższe.", [("em_dash", 20, 24, "gie zdanie -- i jeszcze ")]),
+    ("Ma istotne znaczenie.", [("important_frame", 0, 20, "Ma istotne znaczenie")]), ("Z jednej strony tak.", [("z_jednej_strony", 0, 15, "Z jednej strony")]),
+    ("Podsumowując, tak.", [("summary_opener", 0, 12, "Podsumowując")]), ("Tak, podsumowując.", []), ("W znacznym stopniu również tak.", [("style_frame", 0, 18, "W znacznym stopniu")]),
+]
+
+
+def test_findings_by_hand(spark):
+    out = detect.sentence_findings(frame(spark, [t for t, _ in BY_HAND])).collect()
+    got = [sorted((r.rule, r.start, r.end, r.evidence) for r in out if r.doc_id == i) for i in range(len(BY_HAND))]
+    assert got == [sorted(w) for _, w in BY_HAND]
+
+
+def test_anchors_by_hand(spark):
+    """Stems keep five letters; low-signal words and infinitives of -ować are none."""
+    got = frame(spark, ["Najemca zapłacił czynsz, także odpowiedzialnością wykonania i budować znaczenie umowa"]).select(features.anchors(F.col("text")).alias("a")).first().a
+    assert got == ["najemc", "zapłacił", "czynsz", "odpowiedzialności", "wykon", "umowa"] or got == ["najemc", "zapłacił", "czynsz", "odpowiedzialności", "wykonani", "umowa"]
+
+
+def test_more_gates_and_style_rules(spark):
+    long = "Strony zgodnie ustalają, że najemca płaci czynsz w terminie siedmiu dni od doręczenia rachunku za lokal."
+    pairs = [("To jest tak.", "To basically jest tak.", "no_foreign_words"), ("To jest plan.", "To w celu jest plan.", "known_bad_patterns"), ("Ma płacić.", "Ma płacić, która trwa.", "no_stranded_relative_clause"), ("A i b.", "A oraz i b.", "no_double_conjunctions"), ("Tak.", "Tak oraz.", "no_dangling_connectors"), ("To (tak).", "To (tak.", "balanced_punctuation"), (long, "Strony ustalają, że najemca płaci.", "length_ratio"), ("Tak 0000.", "Tak __PROTECTED_0000__.", "placeholder_restore"), ("Ala __PROTECTED_0000__.", "Ala 0000.", "protected_fragments"), ("Ala oraz Ola płacą.", "Ala płaci. Ola płaci.", "sentence_split_safety"), ("Krótko.", "Krótko i na temat, choć dłużej.", None)]
+    got = rewrite.gates(spark.createDataFrame(pairs, "original string, candidate string, want string")).collect()
+    assert [(r.candidate, r.reason) for r in got if r.reason != r.want] == []
+    texts = ["Podsumowując umowa wygasa.", "Szczególną rolę w umowie odgrywa termin zapłaty.", "Umowa trwa w chwili obecnej.", "Wada przejawia się również w cenie."]
+    out = {(r.original, r.rule): r.candidate for r in rewrite.candidates(frame(spark, texts)).collect()}
+    assert out[texts[0], "legal_style:comma_after_podsumowujac"] == "Podsumowując, umowa wygasa." and out[texts[1], "legal_style:duze_znaczenie_ma"] == "Duże znaczenie w umowie ma termin zapłaty."
+    assert out[texts[2], "kancelaryzm"] == "Umowa trwa obecnie." and out[texts[3], "legal_style:widać_takze"] == "Wada widać także w cenie."
+
+
+def test_rewrite_keeps_what_stands_between(spark):
+    text = "To ma istotne znaczenie.  Tak jest.\n\n  \nCo tu?\tMa istotne znaczenie lokal.\n"
+    got = rewrite.rewrite(frame(spark, [text, None, "\n\n"]), 1).orderBy("doc_id").collect()
+    assert [r.text for r in got] == ["To ma duże znaczenie.  Tak jest.\n\n  \nCo tu?\tMa duże znaczenie lokal.\n", "", "\n\n"]
+
+
 def test_gates_name_the_first_failure(spark):
     pairs = [("Termin wynosi 14 dni.", "Termin wynosi 15 dni.", "numbers_preserved"), ("Strona nie zapłaciła.", "Strona zapłaciła.", "negation"), ("Strona może odstąpić.", "Strona musi odstąpić.", "deontic_modality"), ("Coś.", " ", "non_empty"), ("To ma istotne znaczenie.", "To ma duże znaczenie.", None)]
     got = rewrite.gates(spark.createDataFrame(pairs, "original string, candidate string, want string")).collect()

@@ -36,22 +36,24 @@ def test_ngrams(spark):
     assert {r.ngram: r.n for r in T.ngram_counts(d, 2).collect()} == {"a b": 2, "b c": 1, "c a": 1}
 
 
-def test_mtld_equals_brute_force(spark):
-    text = " ".join("abcdefgh"[(i * i + i // 3) % 8] for i in range(300))
+def test_mtld_by_hand(spark):
+    """"a a" runs out at its second word (1 of 2 distinct) in both directions; a text of different words has no factor at all."""
+    texts = {"a a a a": 2.0, "alfa beta gamma": 0.0, "": 0.0, "a b a": round((3 / 1 + 3 / 1) / 2, 4), "x1 a a a a 2y": 2.0}
+    got = metrics.mtld(frame(spark, list(texts))).orderBy("doc_id").collect()
+    # "a b a": 2 of 3 distinct is 0.667, at most 0.72, so one whole factor of three words.
+    assert [r.mtld for r in got] == list(texts.values())
+    word = lambda i: "abcdefgh"[(i * i + i // 3) % 8]
+    w = [word(i) for i in range(300)]
 
     def one(w):
-        f, seen, n = 0.0, set(), 0
-        for x in w:
-            seen.add(x)
-            n += 1
-            if len(seen) / n <= 0.72:
-                f, seen, n = f + 1, set(), 0
-        f += (1 - len(seen) / n) / 0.28 if n else 0
-        return len(w) / f if f else len(w)
+        n, k, begun = 0.0, 0, 0
+        for k in range(1, len(w) + 1):
+            if len(set(w[begun:k])) / (k - begun) <= 0.72:
+                n, begun = n + 1, k
+        rest = w[begun:]
+        return len(w) / (n + ((1 - len(set(rest)) / len(rest)) / 0.28 if rest else 0))
 
-    w = text.split()
-    got = {r.doc_id: r.mtld for r in metrics.mtld(frame(spark, [text, "", None])).collect()}
-    assert got == {0: round((one(w) + one(w[::-1])) / 2, 4), 1: 0.0, 2: 0.0}
+    assert metrics.mtld(frame(spark, [" ".join(w), None])).orderBy("doc_id").first().mtld == round((one(w) + one(w[::-1])) / 2, 4)
 
 
 def test_syllables(spark):
@@ -73,3 +75,15 @@ def test_calibration_returns_every_document(spark, tmp_path):
     assert {r.doc_id for r in run["document_diagnosis"](spark, str(tmp_path)).collect()} == set(ids)
     for name in ("calibration", "calibration_signals", "review_gate"):
         assert {r.doc_id for r in run[name](spark, str(tmp_path)).collect()} >= {0, 1, 2, 3, 4, 5, -3}, name
+
+
+def test_boilerplate_lines_and_reasoning(spark):
+    text = "Sygn. akt I C 1/20\nSędzia Anna K.\nsędzia\nsędziowski spór\ndnia 3 maja\nU Z A S A D N I E N I E\n12.\nIV)\n---\nza zgodność\nSąd ustalił."
+    out = frame(spark, [text]).select(T.drop_boilerplate(T.F.col("text")).alias("a"), T.extract_reasoning(T.F.col("text")).alias("b")).first()
+    assert out.a == "sędziowski spór\nU Z A S A D N I E N I E\nSąd ustalił." and out.b.startswith("12.")
+
+
+def test_slugs_and_masks(spark):
+    d = frame(spark, ["Umowa Najmu Żółtego — Domu, 2024!", "Pan Jan Kowalski ma 12,5 zł i pisze z jan@x.pl do sądu. Drugie."])
+    got = [(r.s, r.m) for r in d.orderBy("doc_id").select(T.slug(T.F.col("text")).alias("s"), T.masked_excerpt(T.F.col("text")).alias("m")).collect()]
+    assert got[0][0] == "umowa-najmu-zoltego-domu-2024" and got[1][1] == "[PODMIOT] ma [LICZBA] zł i pisze z [EMAIL] do sądu."

@@ -1,6 +1,6 @@
 """Patterns in a small word notation, compiled for Spark (Java) and for DuckDB (RE2, no look-around).
 
-`<` and `>` stand for a word's start and end, `_` for the white space between two words. Spark gets
+A leading `=` makes a pattern case-sensitive. `<` and `>` stand for a word's start and end, `_` for the white space between two words. Spark gets
 look-arounds over letters, digits and underscores. RE2 has none, so the SQL twin marks each word's
 start and end with control characters first and matches those; offsets don't count the marks.
 """
@@ -16,11 +16,11 @@ BLANK = r" \t\n\x0B\f\r\x{00A0}"
 
 def spark_pattern(spec: str) -> str:
     body = spec.replace("_", f"[{BLANK}]+").replace("<", f"(?<![{WORDCHAR}])").replace(">", f"(?![{WORDCHAR}])")
-    return f"(?iu){body}"
+    return f"(?u){body[1:]}" if spec.startswith("=") else f"(?iu){body}"
 
 
 def sql_pattern(spec: str) -> str:
-    return "(?i)" + spec.replace("_", "\x1f@\x1e").replace("<", "\x1e").replace(">", "\x1f").replace("@", f"[{BLANK}]+").replace("'", "''")
+    return ("" if spec.startswith("=") else "(?i)") + spec.removeprefix("=").replace("_", "\x1f@\x1e").replace("<", "\x1e").replace(">", "\x1f").replace("@", f"[{BLANK}]+").replace("'", "''")
 
 
 def sql_marked(text: str) -> str:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wordloom.functions import patterns as P
+
+from . import features
 from . import text as T
 
 Z_FLOOR, MIN_MODELS, DOC_SHARE, HOLDOUT_RATIO = 1.96, 2, 0.10, 2.0
@@ -72,6 +75,20 @@ def merged(entries: DataFrame, fresh: DataFrame) -> DataFrame:
     return j.select("term", F.coalesce("z_new", "z").alias("z"), F.coalesce("status", F.lit("candidate")).alias("status"), F.coalesce("note", F.lit("")).alias("note"))
 
 
+# Words of references, amounts and dates, and the words of one letter that stand for themselves.
+REFERENCE_WORDS = "art ust pkt lit nr poz dz kc kpc kp par".split()
+AMOUNT_DATE_WORDS = "zł złotych pln eur euro gr r rok roku stycznia lutego marca kwietnia maja czerwca lipca sierpnia września października listopada grudnia".split()
+ONE_LETTER = "a i o u w z".split()
+
+
+def protected(terms: DataFrame) -> DataFrame:
+    """terms with protected: whether a term touches a reference, an amount, a date, an abbreviation's letter, or modality."""
+    w = F.split("term", " ")
+    modal = F.greatest(*[F.col("term").rlike(P.spark_pattern(p)) for p in (features.PROHIBITION, features.PERMISSION, features.OBLIGATION)])
+    named = F.arrays_overlap(w, F.array(*map(F.lit, REFERENCE_WORDS + AMOUNT_DATE_WORDS)))
+    return terms.withColumn("protected", named | F.exists(w, lambda x: (F.char_length(x) == 1) & ~x.isin(ONE_LETTER)) | modal)
+
+
 def heading_support(headings: DataFrame, documents: int, required: float = 0.8) -> DataFrame:
     """heading (without its number), share of documents that have it, required or expected, median line: a checklist learnt from examples."""
     h = headings.withColumn("heading", F.lower(F.trim(F.regexp_replace("heading", r"^(?:§\s*\d+[a-z]?\.?|[IVXLC]+\.|\d+(?:\.\d+)*[.)]?)\s*", "")))).where("heading <> ''")

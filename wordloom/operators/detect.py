@@ -35,9 +35,10 @@ RULES = [
     ("empty_emphasis", "drop_most_classic", "first", "<najbardziej_klasyczną_postacią>", 7, True),
     ("abstract_frame", "practical_importance_frame", "first", r"<ma_(?:\p{L}+_)?znaczenie_praktyczne>", 7, True),
     ("abstract_frame", "style_frame", "all", "<(?:ma_(?:bardzo_)?(?:istotne|duże|szczególne)_znaczenie|(?:odgrywa|pełni)_(?:istotną|szczególną|ważną)_rolę|w_znacznym_stopniu)>", 6, False),
-    ("empty_emphasis", "to_wlasnie", "first", "<to_właśnie>", 5, True),
-    ("empty_emphasis", "znaczny_stopien_rowniez", "first", "<w_znacznym_stopniu_również>", 5, True),
-    ("typography_artifact", "em_dash", "all", r" ?(?:—|--) ?", 8, True),
+    ("empty_emphasis", "to_wlasnie", "first", "=<[Tt]o_właśnie>", 5, True),
+    ("empty_emphasis", "znaczny_stopien_rowniez", "first", "=<w_znacznym_stopniu_również>", 5, True),
+    ("empty_emphasis", "juz", "first", "=^<Już_", 5, True),
+    ("typography_artifact", "em_dash", "all", f"[{P.BLANK}]*(?:—|--)[{P.BLANK}]*", 8, True),
     ("balanced_pair", "z_jednej_strony", "first", "<z_jednej_strony>", 7, False),
     ("concessive_reversal", "nie_oznacza_to_ze", "first", "<nie_oznacza_to(?:_jednak)?>(?: ?, ?| )<że>", 6, False),
     ("practical_implication", "w_praktyce_oznacza", "first", "<w_praktyce_oznacza_to>", 6, False),
@@ -45,6 +46,10 @@ RULES = [
     ("summary_frame", "summary_opener", "first", "^<(?:podsumowując|reasumując|konkludując)>", 6, False),
     ("abstract_frame", "kluczowe_znaczenie", "first", "<kluczowe_znaczenie_ma>", 7, False),
 ]
+#: Rules that hold only where the sentence matches this too.
+ONLY_IF = {"juz": r"=^<Już_z_\p{L}+_wynika>"}
+#: Characters around a hit that its evidence shows.
+AROUND = {"em_dash": 10}
 #: Rules that need look-around or lazy matching, without a twin in RE2.
 LOOKAROUND = [("antithesis", "nie_lecz", r"(?iu)(?<![\p{L}\p{N}_])nie\s+(?:chodzi|jest\s+to)(?![\p{L}\p{N}_])[^.;]{3,80}?(?<![\p{L}\p{N}_])lecz(?![\p{L}\p{N}_])", 7)]
 TRICOLON = r"(?iu)(?<![,;:])(?<![\p{L}\p{N}_])\p{L}[^,;:.()]{10,70}?,\s+(\p{L}[^,;:.()]{10,70}?)\s+(?:oraz|a\s+także|i)\s+(\p{L}[^,;:.()]{10,70}?)(?=[.,;]|$)"
@@ -69,7 +74,13 @@ def _hits(order: int, rule: tuple) -> Column:
     found = F.slice(found, 1, 1) if kind == "first" else found
     if name == "transition":
         found = F.filter(found, lambda s: s["start"] > 2)
-    return F.when(F.col("text").rlike(P.spark_pattern(spec)), F.transform(found, lambda s: _finding(order, family, name, weight, rewritable, s))).otherwise(F.array().cast(SCHEMA))
+    if name in AROUND:
+        k = AROUND[name]
+        shown = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - k, F.lit(0)) + 1, s["end"] + k - F.greatest(s["start"] - k, F.lit(0)))
+        found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), shown(s).alias("value")))
+    if name in ONLY_IF:
+        found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), T.strip(s["value"]).alias("value")))
+    return F.when(F.col("text").rlike(P.spark_pattern(ONLY_IF.get(name, spec))), F.transform(found, lambda s: _finding(order, family, name, weight, rewritable, s))).otherwise(F.array().cast(SCHEMA))
 
 
 def _density() -> Column:
@@ -84,7 +95,7 @@ def _density() -> Column:
 
 def _any() -> str:
     """A pattern that holds wherever a rule may match; it looks at word starts only, with one look-behind for all rules."""
-    starts = [r[3].lstrip("^")[1:] for r in RULES if "<" in r[3]]
+    starts = [r[3].lstrip("=^")[1:] for r in RULES if "<" in r[3]]
     others = [r[3] for r in RULES if "<" not in r[3]]
     return P.spark_pattern("<(?:" + "|".join(starts) + ")|" + "|".join(f"(?:{o})" for o in others))
 

@@ -18,8 +18,12 @@ PERMISSION = r"<(?:może|mogą|uprawnien\p{L}*)>"
 OBLIGATION = r"<(?:musi|muszą|jest_zobowiązan\p{L}*|są_zobowiązan\p{L}*|należy|obowiązk\p{L}*)>"
 NEGATION = r"<(?:nie|brak\p{L}*|bez)>"
 NUMBER = r"\d+(?:[,.]\d+)?"
-STOPWORDS = ["oraz", "które", "która", "który", "których", "przez", "także", "również", "jednak", "ponadto", "natomiast", "należy", "warto", "jego", "jest", "będzie", "została", "został", "zostały", "tego", "przed", "ponieważ"]
-SUFFIXES = "(?:owania|owanie|owych|owego|aniem|eniem|ością|ości|ania|enia|anie|enie|ami|ach|ego|emu|ych|ymi|ość|om|ów|em|ie|ą|ę|y|i|a|e|u|o)$"
+# Words that carry no content, and endings that a stem of at least five letters loses.
+LOW_SIGNAL = (
+    "albo bardzo bowiem czyli danej danych danego dany duże duży duża jego jednak jeżeli które który która mają może mogą oraz przez również samo samą samego samych także takich takie takim tego temu tych ważne "
+    "właśnie znaczenie była było były jest ma mają oznacza polega przejawia widać został została zostało zostały"
+).split()
+SUFFIXES = "owanie owania owaniu owana owany owane ono ego emu ych ymi ami ach owi owa owy owe ona ony one enie ania anie ę ą a u e y i".split()
 
 
 def sentence_features(docs: DataFrame) -> DataFrame:
@@ -48,13 +52,17 @@ def paragraph_features(docs: DataFrame) -> DataFrame:
     return s.groupBy("doc_id", "paragraph_index").agg(F.sum("n").cast("long").alias("words"), F.round(F.avg("n"), 4).alias("mean_words"), F.round(F.var_pop("n"), 4).alias("var_words"), F.round(F.coalesce(F.avg(j), F.lit(0.0)), 4).alias("topic_continuity"))
 
 
+STEM = rf"^(\p{{L}}{{5,}}?)(?:{'|'.join(SUFFIXES)})$"
+
+
 def stem(word: Column) -> Column:
-    return F.regexp_replace(word, SUFFIXES, "")
+    """The word without its longest listed ending, if five letters stay."""
+    return F.regexp_replace(word, STEM, "$1")
 
 
 def anchors(text: Column) -> Column:
-    """Distinct stems of content words (five letters or more)."""
-    kept = F.filter(T.tokens(text), lambda w: (F.char_length(w) >= 5) & ~w.isin(STOPWORDS))
+    """Distinct stems of content words: five letters or more, no low-signal words, no infinitives of -ować and -owić."""
+    kept = F.filter(T.tokens(text), lambda w: (F.char_length(w) >= 5) & ~w.isin(LOW_SIGNAL) & ~w.rlike("ow(?:ać|ić)$"))
     return F.array_distinct(F.transform(kept, stem))
 
 

@@ -50,33 +50,33 @@ def paragraph_shape(docs: DataFrame) -> DataFrame:
     return a.select("doc_id", F.when(F.col("k") >= 3, F.round(F.col("sd") / F.col("m"), 4)).otherwise(0.0).alias("paragraph_shape_cv"))
 
 
+def factors(words: list[str], threshold: float) -> float:
+    """How often a text's diversity runs out: each stretch whose share of distinct words falls to the threshold is one, the rest its part of one."""
+    whole, seen, begun = 0, set(), 0
+    for at, w in enumerate(words, 1):
+        seen.add(w)
+        if len(seen) <= threshold * (at - begun):
+            whole, begun, seen = whole + 1, at, set()
+    left = len(words) - begun
+    return whole + ((left - len(seen)) / left / (1 - threshold) if left else 0.0)
+
+
 def mtld(docs: DataFrame, threshold: float = 0.72) -> DataFrame:
-    """Measure of textual lexical diversity, mean of both directions.
+    """Measure of textual lexical diversity: words per factor, mean of both directions; 0 where a direction has no factor.
 
-    A factor ends where distinct words over words fall to the threshold. The fold is sequential in
-    each text and needs a growing set, which array functions copy at each word; so it runs over Arrow batches.
+    The fold is sequential in each text and needs a growing set, which array functions copy at each word; so it runs
+    over Arrow batches. Words are runs of letters that touch no digit or underscore.
     """
     @F.pandas_udf("double")
     def diversity(texts: pd.Series) -> pd.Series:
         import regex
 
-        letters = regex.compile(r"\p{L}+")
-
-        def one(words: list) -> float:
-            factors, seen, n = 0.0, set(), 0
-            for w in words:
-                seen.add(w)
-                n += 1
-                if len(seen) / n <= threshold:
-                    factors, n = factors + 1, 0
-                    seen.clear()
-            if n:
-                factors += (1 - len(seen) / n) / (1 - threshold)
-            return len(words) / factors if factors > 0 else float(len(words))
+        letters = regex.compile(r"(?<![\p{L}\p{N}_])\p{L}++(?![\p{N}_])")
 
         def both(text: str | None) -> float:
             words = letters.findall((text or "").lower())
-            return round((one(words) + one(words[::-1])) / 2, 4)
+            per = [len(words) / f if f else 0.0 for f in (factors(words, threshold), factors(words[::-1], threshold))]
+            return round(sum(per) / 2, 4)
 
         return texts.map(both)
 

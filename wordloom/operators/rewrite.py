@@ -25,12 +25,46 @@ REPLACEMENTS = [
     ("legal_ai_style:important_function_frame", "<drugą_istotną_funkcją_jest>", "drugą ważną funkcją jest", 0.49, 0.08),
     ("legal_ai_style:drop_most_classic", "<najbardziej_klasyczną_postacią>", "klasyczną postacią", 0.48, 0.06),
 ]
+# Further replacements of formal and of office style, as above.
+STYLE = [
+    ("legal_style:comma_after_podsumowujac", r"<Podsumowując_(?=\p{L})", "Podsumowując, ", 0.9, 0.05),
+    ("legal_style:ma_granice", "<nie_jest_jednak_nieograniczone>", "ma jednak swoje granice", 0.78, 0.05),
+    ("legal_style:oznacza_to", "<polega_ona_na_tym, że>", "oznacza to, że", 0.72, 0.05),
+    ("legal_style:oznacza_to", "<polega_on_na_tym, że>", "oznacza to, że", 0.72, 0.05),
+    ("legal_style:duze_znaczenie", "<istotne_znaczenie_ma>", "duże znaczenie ma", 0.68, 0.05),
+    ("legal_style:jest_tez_wazne", "<ma_także_istotne_znaczenie>", "ma też duże znaczenie", 0.65, 0.05),
+    ("legal_style:to_ono", "<To_właśnie_ono>", "To ono", 0.58, 0.05),
+    ("legal_style:z_definicji", "<Już_z_tej_definicji_wynika, że>", "Z tej definicji wynika, że", 0.58, 0.05),
+    ("legal_style:system_czasu", "<Zgodnie_z_obowiązującym_go_systemem_i_rozkładem_czasu_pracy>", "zgodnie z obowiązującym systemem i rozkładem czasu pracy", 0.55, 0.05),
+    ("legal_style:widać_to_takze", "^<Przejawia_się_również_w>", "Widać to także w", 0.62, 0.05),
+    ("legal_style:widać_takze", "<przejawia_się_również_w>", "widać także w", 0.61, 0.05),
+]
+OFFICE = [
+    ("<na_gruncie_niniejszego>", "w tym"), ("<należy_zauważyć, że>", "warto zauważyć, że"), ("<należy_podkreślić, że>", "warto podkreślić, że"), ("<należy_zaznaczyć, że>", "warto zaznaczyć, że"),
+    ("<należy_wskazać, że>", "warto wskazać, że"), ("<wziąwszy_pod_uwagę>", "biorąc pod uwagę"), ("<zważywszy_na>", "biorąc pod uwagę"), ("<w_odniesieniu_do>", "co do"), ("<w_zakresie_dotyczącym>", "w zakresie"),
+    ("<w_chwili_obecnej>", "obecnie"), ("<w_konsekwencji>", "w rezultacie"), ("<mając_na_względzie>", "biorąc pod uwagę"), ("<z_uwagi_na_powyższe>", "z uwagi na to"), ("<w_związku_z_powyższym>", "w związku z tym"),
+    ("<w_przedmiocie>", "w sprawie"), ("<albowiem>", "ponieważ"), ("<aczkolwiek>", "choć"), ("<jednakowoż>", "jednak"), ("<każdorazowo>", "zawsze"),
+]
+OFFICE_SCORE, OFFICE_RISK = 0.6, 0.1
+#: Roles that somebody plays: the frame with what stands in it, and the plain verb.
+ROLES = [("legal_style:duze_znaczenie_maja", "odgrywają", "mają"), ("legal_style:duze_znaczenie_ma", "odgrywa", "ma")]
 DROPS = [
     ("ai_artifact:drop_discourse_intro", "^<(?:warto|należy)_(?:również_)?(?:wskazać|zauważyć|podkreślić|odnotować|zaznaczyć)>(?: ?, ?| )<że> +", 0.57, 0.20),
     ("ai_artifact:drop_repetitive_transition", "^<(?:ponadto|co_więcej|dodatkowo)>(?: ?, ?| )", 0.53, 0.17),
 ]
 MAX_GROWTH, MIN_RETENTION, MIN_ANCHORS = 1.6, 0.5, 4
+#: Lengths of the original from which a candidate may be too long or too short, and its least share.
+LONG, FULL, MIN_SHARE = 40, 80, 0.55
 DEONTIC = (features.PROHIBITION, features.PERMISSION, features.OBLIGATION)
+# Words and patterns that no candidate may hold, conjunctions, connectors, and rules that resolve a double negation.
+FOREIGN = "surprisingly actually basically honestly literally overall moreover".split()
+BAD = ["<w_celu_jest>", "<jest_(?:przeprowadzić|wykonać|wdrożyć|zastosować|wykorzystać)>", r"\.[ ]*<(?:Ponadto|Z_kolei)_(?:za|w|na|do|od|przy|bez|pod)>", r"\.[ ]*<Przy_czym_(?:za|w|na|do|od|bez|pod)>"]
+RELATIVE = "(?:który|która|które|którzy|których|którym|którego|której|któremu|którymi|którą)"
+STRANDED = rf"<\p{{L}}{{3,}}[ćc]> ?, ?<{RELATIVE}>"
+DOUBLED = "<(?:oraz|i|lub|albo|a_także)_(?:oraz|i|lub|albo|a_także)>"
+DANGLING = [r"(?u)(?:^|[.!?]\s+)(?:Ponadto|Z kolei|Jednak|Natomiast)\s*[.!?]", r"(?iu)(?<![\p{L}\p{N}_])(?:oraz|lub|albo|a także|ponieważ|jeżeli)\s*[.!?]?$"]
+RESOLVES = ["legal_style:ma_granice"]
+EMOTICON = r"[:;=]['^-]?[()\[\]]+"
 
 
 def _first(text: Column, spec: str, with_: str) -> Column:
@@ -55,9 +89,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     for rule, spec, score, risk in DROPS:
         hit = t.rlike(P.spark_pattern(spec))
         made.append((rule, hit & F.col("opened") if "transition" in rule else hit, _first(t, spec, ""), score, risk))
-    made += [(rule, t.rlike(P.spark_pattern(spec)), _first(t, spec, fresh), score, risk) for rule, spec, fresh, score, risk in REPLACEMENTS]
+    office = [("kancelaryzm", spec, fresh, OFFICE_SCORE, OFFICE_RISK) for spec, fresh in OFFICE]
+    made += [(rule, t.rlike(P.spark_pattern(spec)), _first(t, spec, fresh), score, risk) for rule, spec, fresh, score, risk in STYLE + REPLACEMENTS + office]
+    for rule, verb, plain in ROLES:
+        frame = rf"(?u)^(.*?)(?<![{P.WORDCHAR}])([Ss])zczególną rolę(\s+[^,.]{{3,80}}?)?\s+{verb}\s+(?=[^,.])"
+        fresh = F.regexp_replace(t, frame, f"$1<$2>uże znaczenie$3 {plain} ")
+        made.append((rule, t.rlike(frame), F.replace(F.replace(fresh, F.lit("<S>"), F.lit("D")), F.lit("<s>"), F.lit("d")), 0.56, 0.1))
     each = F.array(*[F.when(hit, F.struct(F.lit(i).alias("gen_order"), F.lit(rule).alias("rule"), out.alias("candidate"), F.lit(score).alias("score"), F.lit(risk).alias("risk"))) for i, (rule, hit, out, score, risk) in enumerate(made)])
-    any_hit = t.rlike("|".join([r"—|--| {2}|[ \t][,;:!?.]|[,;:]\p{L}", *[f"(?:{P.spark_pattern(x[1])})" for x in DROPS + REPLACEMENTS]]))
+    any_hit = t.rlike("|".join([r"—|--| {2}|[ \t][,;:!?.]|[,;:]\p{L}", *[f"(?:{P.spark_pattern(x[1])})" for x in DROPS + STYLE + REPLACEMENTS], *[f"(?:{P.spark_pattern(x)})" for x, _ in OFFICE], "(?:zczególną rolę)"]))
     s = s.where(any_hit).select("doc_id", "paragraph_index", "sentence_index", F.col("text").alias("original"), F.explode_outer(F.filter(each, lambda c: c.isNotNull())).alias("c")).where("c IS NOT NULL")
     return s.select("doc_id", "paragraph_index", "sentence_index", "original", "c.gen_order", "c.rule", "c.candidate", "c.score", "c.risk")
 
@@ -66,21 +105,33 @@ def gates(pairs: DataFrame) -> DataFrame:
     """pairs (original, candidate) with reason: the first gate that fails in order, null if all hold."""
     o, c = F.col("original"), F.col("candidate")
     same = lambda f: f(o) == f(c)
-    signs = [("(", ")"), ("[", "]"), ("„", "”")]
-    off = lambda t, a, b: F.abs(F.regexp_count(t, F.lit("\\Q" + a + "\\E")) - F.regexp_count(t, F.lit("\\Q" + b + "\\E")))
+    signs = [("(", ")"), ("[", "]"), ("„", "”"), ('"', '"')]
+    times = lambda t, a: F.regexp_count(F.regexp_replace(t, EMOTICON, ""), F.lit("\\Q" + a + "\\E"))
+    off = lambda t, a, b: times(t, a) % 2 if a == b else F.abs(times(t, a) - times(t, b))
     numbers = lambda t: F.regexp_extract_all(t, F.lit(features.NUMBER), 0)
     kept = F.size(F.array_intersect(features.anchors(o), features.anchors(c)))
+    holds = lambda t, spec: t.rlike(P.spark_pattern(spec))
+    held = lambda t: F.regexp_extract_all(t, F.lit(r"__PROTECTED_\d{4,}__"), 0)
+    n, m = F.char_length(o), F.char_length(c)
+    parts = lambda t: F.size(T.sentence_list(t))
+    resolves = F.col("rule").isin(RESOLVES) if "rule" in pairs.columns else F.lit(False)
     checks = [
         ("non_empty", T.strip(c) != ""),
-        ("no_double_conjunctions", ~c.rlike(r"(?iu)(?<![\p{L}])(oraz|ale|lecz|że)\s+\1(?![\p{L}])")),
-        ("no_dangling_connectors", ~c.rlike(r"(?iu)(?<![\p{L}])(?:oraz|lub|albo|że|ponieważ)\s*[.!?]?$")),
+        ("no_foreign_words", ~F.lower(c).rlike("|".join(FOREIGN))),
+        ("known_bad_patterns", ~F.greatest(*[holds(c, p) for p in BAD])),
+        ("no_stranded_relative_clause", ~holds(c, STRANDED)),
+        ("no_double_conjunctions", ~holds(c, DOUBLED)),
+        ("no_dangling_connectors", ~F.greatest(*[c.rlike(p) for p in DANGLING])),
         ("balanced_punctuation", ~F.greatest(*[(off(c, a, b) > off(o, a, b)) for a, b in signs])),
-        ("length_ratio", F.char_length(c) <= F.char_length(o) * MAX_GROWTH),
+        ("length_ratio", ~((n > LONG) & (m > n * MAX_GROWTH)) & ~((n > FULL) & (m < n * MIN_SHARE))),
         ("numbers_preserved", same(numbers)),
+        ("placeholder_restore", F.size(F.array_except(held(c), held(o))) == 0),
         *[(k, same(lambda t, k=k: features.inventory(t, k))) for k in features.INVENTORY],
         ("deontic_modality", F.least(*[P.count(o, p) == P.count(c, p) for p in DEONTIC])),
-        ("negation", P.count(o, features.NEGATION) == P.count(c, features.NEGATION)),
+        ("negation", resolves | (P.count(o, features.NEGATION) == P.count(c, features.NEGATION))),
         ("content_anchor_retention", (F.size(features.anchors(o)) < MIN_ANCHORS) | (kept / F.size(features.anchors(o)) >= MIN_RETENTION)),
+        ("sentence_split_safety", (parts(c) <= parts(o)) | ~holds(o, "<oraz>")),
+        ("protected_fragments", F.size(F.array_except(held(o), held(c))) == 0),
     ]
     return pairs.withColumn("reason", F.coalesce(*[F.when(~ok, F.lit(name)) for name, ok in checks]))
 
@@ -93,9 +144,25 @@ def rewrite_best(docs: DataFrame) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, steps: int = 2) -> DataFrame:
-    """doc_id and text after `steps` rounds of single best edits, sentence by sentence; paragraph and sentence gaps become one line end and one space."""
+    """doc_id and text after `steps` rounds of single best edits; what stands between sentences and paragraphs stays as it was.
+
+    Rows go by doc_id, which has to be unique; a null text is empty.
+    """
+    shown = lambda p: T.strip(p) != ""
     for _ in range(steps):
-        s = T.split_sentences(docs).join(rewrite_best(docs).select("doc_id", "paragraph_index", "sentence_index", "candidate"), ["doc_id", "paragraph_index", "sentence_index"], "left")
-        p = s.groupBy("doc_id", "paragraph_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentence_index", F.coalesce("candidate", "text").alias("t")))), lambda x: x["t"]), " ").alias("p"))
-        docs = p.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph_index", "p"))), lambda x: x["p"]), "\n").alias("text"))
+        text = F.coalesce("text", F.lit(""))
+        p = docs.select("doc_id", F.split(text, "\n+", -1).alias("ps"), F.regexp_extract_all(text, F.lit("\n+"), 0).alias("gaps"))
+        p = p.select("doc_id", "ps", "gaps", F.posexplode("ps").alias("p", "paragraph"))
+        p = p.select("doc_id", "p", "paragraph", F.coalesce(F.get("gaps", F.col("p")), F.lit("")).alias("gap"), (F.size(F.filter(F.slice("ps", F.lit(1), F.col("p") + 1), shown)) - 1).alias("paragraph_index"))
+        whole = F.regexp_extract(F.col("paragraph"), f"^[{T.BLANK}]*", 0)
+        s = p.select("doc_id", "p", "gap", "paragraph_index", "paragraph", whole.alias("indent"), T.sentence_gaps(F.col("paragraph")).alias("between"), F.posexplode_outer(F.split("paragraph", T.SENTENCE_GAP, -1)).alias("sentence_index", "raw"))
+        best = rewrite_best(docs).select("doc_id", "paragraph_index", "sentence_index", "candidate")
+        s = s.join(best, ["doc_id", "paragraph_index", "sentence_index"], "left")
+        # A sentence without its edges is what the candidate stands for; blank paragraphs have none.
+        edges = F.concat(F.regexp_extract("raw", f"^[{T.BLANK}]*", 0), F.col("candidate"), F.regexp_extract("raw", f"[{T.BLANK}]*$", 0))
+        fresh = F.when(F.col("candidate").isNotNull() & shown(F.col("paragraph")), edges).otherwise(F.col("raw"))
+        one = F.struct("sentence_index", F.concat(fresh, F.coalesce(F.get("between", F.col("sentence_index")), F.lit(""))).alias("t"))
+        joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "")
+        rows = s.groupBy("doc_id", "p").agg(F.first("gap").alias("gap"), joined(one).alias("t"))
+        docs = rows.groupBy("doc_id").agg(joined(F.struct("p", F.concat("t", "gap").alias("t"))).alias("text"))
     return docs

@@ -40,6 +40,28 @@ def numbering_issues(docs: DataFrame) -> DataFrame:
     return h.where("value <> before + 1").select("doc_id", "line", "value", (F.col("before") + 1).alias("expected"), F.when(F.col("value") <= F.col("before"), "repeat").otherwise("gap").alias("issue"))
 
 
+#: Units by kind of numbering: the pattern of a line and what its number is written in.
+UNITS = {"paragraph": r"^§\s*(\d{1,9})", "roman": r"^([IVXLC]+)\.(?:\s|$)", "arabic": r"^(\d{1,9})[.)](?:\s|$)"}
+ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100}
+
+
+def roman(number: Column) -> Column:
+    """The value of a Roman number: a sign before a larger one is taken off."""
+    signs = F.filter(F.split(number, ""), lambda c: c != "")
+    value = lambda c: sum((F.when(c == k, v).otherwise(0) for k, v in ROMAN.items()), F.lit(0))
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("seen"))
+    step = lambda s, c: F.struct((s["sum"] + F.when(value(c) < s["seen"], -value(c)).otherwise(value(c))).alias("sum"), value(c).alias("seen"))
+    return F.aggregate(F.reverse(signs), start, step, lambda s: s["sum"])
+
+
+def unit_issues(docs: DataFrame, numbering: str) -> DataFrame:
+    """Lines whose unit number is not one above the unit before: gaps, and repeats or steps back."""
+    u = lines(docs).withColumn("raw", F.regexp_extract(T.strip(F.col("text")), UNITS[numbering], 1)).where("raw <> ''")
+    u = u.withColumn("value", (roman(F.col("raw")) if numbering == "roman" else F.col("raw")).cast("long"))
+    u = u.withColumn("before", F.lag("value").over(W.partitionBy("doc_id").orderBy("line")))
+    return u.where("value <> before + 1").select("doc_id", "line", "raw", "value", (F.col("before") + 1).alias("expected"), F.when(F.col("value") <= F.col("before"), "repeat").otherwise("gap").alias("issue"))
+
+
 def section_check(docs: DataFrame) -> DataFrame:
     """doc_id, section, status, position of each section; the first phrase of the list that occurs decides the position."""
     t = F.lower(F.coalesce("text", F.lit("")))
@@ -98,6 +120,15 @@ def classify_family(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.when(best > 0, F.col("r")[0]["family"]).otherwise("client_communication").alias("family"), F.when(best > 0, conf).otherwise(0.34).alias("confidence"))
 
 
+#: Families that have a profile to be measured against.
+PROFILED = ["filing_official"]
+
+
+def family_profile(docs: DataFrame) -> DataFrame:
+    """doc_id, family, profile: the profile of the document's family, or uncalibrated."""
+    return classify_family(docs).select("doc_id", "family", F.when(F.col("family").isin(PROFILED), F.concat(F.lit("profile:"), F.col("family"))).otherwise("uncalibrated").alias("profile"))
+
+
 def classify_category(docs: DataFrame) -> DataFrame:
     """category, score, note: weighted terms behind a required one; close runners-up leave it unspecified."""
     t = F.lower(F.coalesce("text", F.lit("")))

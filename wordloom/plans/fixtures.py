@@ -17,6 +17,9 @@ FRAGMENTS = [
     "Realizacja, organizacja i weryfikacja świadczenia wymaga działanie, wykonanie, rozwiązanie oraz zabezpieczenie interesu.",
     "Pozew o zapłatę wnosi powód przeciwko pozwanemu. Wnoszę o zasądzenie kwoty 10.000,50 zł wraz z odsetkami od 1 maja 2022 r.",
     "Dostawca jest zobowiązany dostarczyć towar. Odpowiedzialność ponosi wykonawca. Wynagrodzenie wypłaca się do 10 dnia miesiąca.",
+    "Już z umowy wynika obowiązek zapłaty. Nie chodzi o sam termin lecz o skutek umowy. Umowa określa prawa najemcy lokalu, obowiązki wynajmującego lokalu oraz zasady rozliczeń stron.",
+    "1. Dostawca wyda towar.\n2. Odbiorca zapłaci cenę.\n4) Strony podpiszą protokół.\n4) Umowa wygasa. Sąd (...) w sprawie A. K. ustalił, że dłużnik zapłacił 300 zł.",
+    "I. Kara umowna\nKara umowna wynosi 100 zł.\nII. Czynsz\nCzynsz płaci najemca — zawsze z góry.\nIV. Przedmiot umowy\nPrzedmiotem umowy jest lokal. Podsumowując umowa wygasa w chwili obecnej.",
     "Najemca nie może oddać lokalu w podnajem bez zgody wynajmującego. Kara umowna wynosi 5% ceny. Ustawa z dnia 23 kwietnia 1964 r. (Dz. U. z 2020 r. poz. 1740).",
 ]
 

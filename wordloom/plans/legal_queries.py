@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.operators import corpus, documents, features, legal, reports, rewrite, structure
+from wordloom.operators import corpus, documents, features, legal, outcomes, reports, rewrite, structure
 from wordloom.operators import text as T
 
 from wordloom.functions.plans import table as _table
 
-from .fixtures import seeded
+from .fixtures import FRAGMENTS, seeded
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,14 +27,6 @@ def _terms(docs: DataFrame, *by: str) -> DataFrame:
     return w.select(*by, F.explode("w").alias("term")).groupBy(*by, "term").agg(F.count("*").alias("n"))
 
 
-def _even(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id % 2 = 0")
-
-
-def _odd(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id % 2 = 1")
-
-
 def _log_odds(s: SparkSession, d: str) -> DataFrame:
     """English against all other documents."""
     return corpus.log_odds(_terms(_docs(s, d).where("lang = 'en'")), _terms(_docs(s, d).where("lang <> 'en'")))
@@ -46,12 +38,12 @@ def _model_support(s: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
-    """Sources play models on even documents, the benchmark human text, odd documents the holdout."""
-    even = _even(_docs(s, d))
-    models = _terms(even.withColumn("model", F.col("source")), "model")
-    w = even.select("doc_id", F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("w"))
-    share = w.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("k")).crossJoin(F.broadcast(even.agg(F.count("*").alias("t")))).select("term", (F.col("k") / F.col("t")).alias("share"))
-    return corpus.candidates(models, _terms(_table(s, d, "benchmark")), share, _terms(_odd(_docs(s, d)).where("lang <> 'en'")))
+    """The other languages play models, English documents human text, the benchmark the holdout."""
+    mine = _docs(s, d).where("lang <> 'en'")
+    models = _terms(mine.withColumn("model", F.col("lang")), "model")
+    w = mine.select("doc_id", F.array_distinct(T.tokens(F.coalesce("text", F.lit("")))).alias("w"))
+    share = w.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("k")).crossJoin(F.broadcast(mine.agg(F.count("*").alias("t")))).select("term", (F.col("k") / F.col("t")).alias("share"))
+    return corpus.candidates(models, _terms(_docs(s, d).where("lang = 'en'")), share, _terms(_table(s, d, "benchmark")))
 
 
 def _auc(s: SparkSession, d: str) -> DataFrame:
@@ -84,20 +76,42 @@ def _verified(s: SparkSession, d: str) -> DataFrame:
     return legal.verify(legal.statute_references(_seeded(s, d)), units)
 
 
-def _decisions(s: SparkSession, d: str) -> DataFrame:
-    """Edits that reviewers decided: here by the document's number."""
-    e = rewrite.candidates(_seeded(s, d)).withColumn("decision", F.element_at(F.array(F.lit("accepted"), F.lit("rejected"), F.lit("undecided")), (F.col("doc_id") % 3 + 1).cast("int")))
-    return reports.rule_decisions(e.select(F.concat_ws(",", "rule", F.lit("any")).alias("rules"), "decision"))
+def _outcomes(s: SparkSession, d: str) -> DataFrame:
+    """Outcomes of a run, here made from the documents' numbers and sizes."""
+    i, n = F.coalesce("doc_id", F.lit(0)), F.coalesce("n_chars", F.lit(0))
+    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    return _docs(s, d).select(
+        "doc_id", "lang", pick(STATUSES, F.floor(n / 7)).alias("status"), F.when(i % 3 == 0, "").otherwise(F.coalesce("source", F.lit(""))).alias("model"), pick(["model", "rules_fallback", "rules"], i).alias("backend"),
+        (i % 5 == 0).alias("needs_review"), (n % 3).alias("unresolved"), (i % 2).alias("warnings"), n.alias("words"), (n % 4).alias("changes_applied"), (n % 6).alias("findings_before"), (n % 2).alias("findings_after"),
+        (n % 5).alias("model_segments"), (n % 9).alias("rule_segments"), (i % 4).alias("model_rejections"), (i % 6).alias("model_errors"), ((n % 100) / 100.0).alias("signal_before"), ((n % 50) / 100.0).alias("signal_after"), ((i % 10) / 20.0).alias("risk"),
+        F.concat_ws(", ", pick(["spacing", "em_dash", "office"], i), pick(["spacing", "frame"], n)).alias("rules"), pick(["accepted", "rejected", "undecided"], n).alias("decision"),
+    )
+
 
+def _unit_issues(numbering: str):
+    return lambda s, d: structure.unit_issues(_seeded(s, d), numbering)
 
+
+STATUSES = ["ok", "ok", "failed_safety", "ok", "failed_quality", "model_unavailable"]
 #: An office's style: phrases that it forbids, and terms with those it prefers.
 FORBIDDEN, PREFERRED = ["istotne znaczenie", "z jednej strony"], {"lokal": "mieszkanie", "zapłat": "płatność"}
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:
-    """Reviewed entries (here frequent words of even documents) against a measurement on odd ones."""
-    old = corpus.common_terms(_even(_docs(s, d))).select("term", F.col("n").cast("double").alias("z"), F.lit("rejected").alias("status"), F.lit("seen").alias("note"))
-    return corpus.merged(old, corpus.common_terms(_odd(_docs(s, d))).select("term", F.col("n").cast("double").alias("z")))
+    """Reviewed entries (here the benchmark's frequent words) and a new measurement, on the documents."""
+    old = corpus.common_terms(_table(s, d, "benchmark")).select("term", F.col("n").cast("double").alias("z"), F.lit("rejected").alias("status"), F.lit("seen").alias("note"))
+    return corpus.merged(old, corpus.common_terms(_docs(s, d)).select("term", F.col("n").cast("double").alias("z")))
+
+
+def _backfilled(s: SparkSession, d: str) -> DataFrame:
+    """Documents whose labels lack a value take it from a fresh count."""
+    labels = _table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").cast("long").alias("quality"))
+    old = _docs(s, d).select("doc_id").join(labels, "doc_id", "left")
+    return reports.backfilled(old, _docs(s, d).select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("quality")), "doc_id", ["quality"])
+
+
+def _protected(s: SparkSession, d: str) -> DataFrame:
+    return corpus.protected(T.ngram_counts(_seeded(s, d), 2).select(F.col("ngram").alias("term"))).where("protected").select("term")
 
 
 def _heading_support(s: SparkSession, d: str) -> DataFrame:
@@ -125,7 +139,13 @@ def queries() -> dict:
         "statute_references": seed(legal.statute_references), "case_references": seed(legal.case_references), "verify_references": _verified, "letter_facts": seed(legal.letter_facts), "letter_remedies": seed(legal.remedies), "letter_parts": seed(legal.letter_parts),
         "holidays": lambda s, d: legal.holidays(_table(s, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()),
         "deadlines_days": _deadlines("day", 14), "deadlines_months": _deadlines("month", 1),
-        "batch_summary": lambda s, d: reports.batch_summary(documents.document_signal(_seeded(s, d))), "rule_decisions": _decisions,
+        "batch_summary": lambda s, d: reports.batch_summary(documents.document_signal(_seeded(s, d))), "rule_decisions": lambda s, d: reports.rule_decisions(_outcomes(s, d)),
+        "readiness": lambda s, d: outcomes.readiness(_outcomes(s, d)).select("doc_id", "readiness"), "flow_summary": lambda s, d: outcomes.flow_summary(_outcomes(s, d)), "ai_use_summary": lambda s, d: outcomes.ai_use_summary(_outcomes(s, d)),
+        "benchmark_summary": lambda s, d: outcomes.benchmark_summary(_outcomes(s, d)), "quality_summary": lambda s, d: outcomes.quality_summary(_outcomes(s, d)), "edit_rates": lambda s, d: outcomes.edit_rates(_outcomes(s, d), "lang", "en", "de"),
+        "style_statistics": lambda s, d: outcomes.style_statistics(_docs(s, d)), "rule_separation": lambda s, d: outcomes.separation(_seeded(s, d), F.pmod("doc_id", F.lit(len(FRAGMENTS))) < 5),
+        "protected_terms": _protected, "backfilled_labels": _backfilled, "family_profile": seed(structure.family_profile), "document_facts": seed(legal.document_facts),
+        "roman_units": _unit_issues("roman"), "arabic_units": _unit_issues("arabic"), "paragraph_units": _unit_issues("paragraph"),
+        "slugs": text(lambda t: T.slug(F.substring(t, 1, 200)), "slug"), "masked_excerpts": lambda s, d: _seeded(s, d).select("doc_id", T.masked_excerpt(F.coalesce("text", F.lit(""))).alias("excerpt")),
         "resume_remaining": lambda s, d: reports.remaining(_docs(s, d).select("doc_id", "source"), _table(s, d, "labels"), "doc_id"),
         "embedding_similarity": lambda s, d: reports.label_similarity(_table(s, d, "embeddings")),
         "answer_signal": lambda s, d: documents.document_signal(_table(s, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 10000 + F.col("turn")).alias("doc_id"), "text")),

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from wordloom.functions import patterns as P
-from wordloom.operators import detect, features, legal, structure
+from wordloom.operators import corpus, detect, features, legal, structure
+from wordloom.operators import text as T
 
 from . import sql_text as S
-from .legal_queries import FORBIDDEN, PREFERRED
+from .fixtures import FRAGMENTS
+from .legal_queries import FORBIDDEN, PREFERRED, STATUSES
 
 TOK = r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')"
 
@@ -101,8 +103,107 @@ SELECT doc_id, coalesce(array_to_string(CASE WHEN title_at > 0 THEN f[1:title_at
   CASE WHEN headed <> '' THEN headed ELSE coalesce(array_to_string(list_filter(sent, lambda v: regexp_matches(v, '(?i){'|'.join(legal.GRANTS)}')), ' '), '') END AS instruction FROM t"""
 
 
+def outcomes() -> str:
+    """CTEs o (outcomes made from the documents) and rd (with readiness)."""
+    pick = lambda xs, k: "[" + ", ".join(f"'{x}'" for x in xs) + f"][({k}) % {len(xs)} + 1]"
+    return f"""WITH b AS (SELECT *, coalesce(doc_id, 0) AS i, coalesce(n_chars, 0) AS n FROM documents), o AS (SELECT doc_id, lang, {pick(STATUSES, 'n // 7')} AS status, CASE WHEN i % 3 = 0 THEN '' ELSE coalesce(source, '') END AS model,
+  {pick(['model', 'rules_fallback', 'rules'], 'i')} AS backend, i % 5 = 0 AS needs_review, n % 3 AS unresolved, i % 2 AS warnings, n AS words, n % 4 AS changes_applied, n % 6 AS findings_before, n % 2 AS findings_after, n % 5 AS model_segments, n % 9 AS rule_segments,
+  i % 4 AS model_rejections, i % 6 AS model_errors, (n % 100) / 100.0::DOUBLE AS signal_before, (n % 50) / 100.0::DOUBLE AS signal_after, (i % 10) / 20.0::DOUBLE AS risk,
+  [{pick(['spacing', 'em_dash', 'office'], 'i')}, {pick(['spacing', 'frame'], 'n')}] AS rules, {pick(['accepted', 'rejected', 'undecided'], 'n')} AS decision FROM b),
+rd AS (SELECT *, CASE WHEN status <> 'ok' THEN 'failed' WHEN needs_review OR unresolved > 0 OR warnings > 0 THEN 'ready_with_warnings' ELSE 'ready' END AS readiness FROM o)"""
+
+
+def units(numbering: str) -> str:
+    """Lines with their unit numbers, and those that are not one above the unit before."""
+    roman = "list_sum(list_transform(range(1, len(raw) + 1), lambda k: CASE WHEN k < len(raw) AND v[raw[k]] < v[raw[k + 1]] THEN -v[raw[k]] ELSE v[raw[k]] END))"
+    value = f"(SELECT {roman} FROM (SELECT MAP {{'I': 1, 'V': 5, 'X': 10, 'L': 50, 'C': 100}} AS v))" if numbering == "roman" else "raw"
+    return S.sentences(S.SEEDED) + rf""", u AS (SELECT doc_id, paragraph_index AS line, regexp_extract(regexp_replace(text, {S.STRIP}), '{structure.UNITS[numbering]}', 1) AS raw FROM p),
+uv AS (SELECT doc_id, line, raw, ({value})::BIGINT AS value FROM u WHERE raw <> ''), ub AS (SELECT *, lag(value) OVER (PARTITION BY doc_id ORDER BY line) AS b FROM uv)
+SELECT doc_id, line, raw, value, b + 1 AS expected, CASE WHEN value <= b THEN 'repeat' ELSE 'gap' END AS issue FROM ub WHERE value <> b + 1"""
+
+
+def plain_markup(text: str) -> str:
+    out = f"regexp_replace(regexp_replace({text}, '{T.BLOCK_END}', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+    for name, char in T.ENTITIES.items():
+        out = f"replace({out}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    out = rf"regexp_replace({out}, '[ \t\x{{00A0}}]+', ' ', 'g')"
+    out = rf"array_to_string(list_transform(string_split({out}, chr(10)), lambda l: regexp_replace(l, '^[ \r]+|[ \r]+$', '', 'g')), chr(10))"
+    return rf"regexp_replace(regexp_replace({out}, '\n{{3,}}', chr(10) || chr(10), 'g'), {S.STRIP})"
+
+
+def articles() -> str:
+    """CTE ar: doc_id, article, code of each article."""
+    body = r"art\.\s*(\d+[a-z]?)(?:\s*§\s*(?:\d+[a-z]?))?(?:\s*ust\.\s*(?:\d+[a-z]?))?(?:\s*pkt\s*(?:\d+[a-z]?))?"
+    code = legal.CODE.replace("(?iu)^", "").replace("(?iu)", "")
+    forms = " ".join(f"WHEN form = '{f}' THEN '{k}'" for f, k in legal.CODES.items())
+    return rf"""WITH d AS ({S.SEEDED}), m AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?i)(?:^|[^\p{{L}}\p{{N}}_]){body}(?:{code})?')) AS t FROM d),
+fm AS (SELECT doc_id, regexp_extract(t, '(?i){body}', 1) AS article, lower(regexp_extract(t, '(?i){body}(?:{code})', 2)) AS form FROM m),
+ar AS (SELECT doc_id, article, CASE {forms} WHEN contains(form, 'cywiln') THEN 'kc' WHEN contains(form, 'pracy') THEN 'kp' WHEN contains(form, 'karn') THEN 'kk' END AS code FROM fm)"""
+
+
+K = len(FRAGMENTS)
+
+
+def more() -> dict[str, str]:
+    o, word = outcomes(), r"\p{L}\p{N}_"
+    n = lambda flag: f"coalesce(sum(({flag})::INTEGER), 0)::BIGINT"
+    total = lambda c, where="true": f"coalesce(sum(CASE WHEN {where} THEN {c} END), 0)::BIGINT AS {c}"
+    ok = "status = 'ok'"
+    mean = lambda x, where: f"round(coalesce(avg(CASE WHEN {where} THEN {x} END), 0), 4)"
+    rate = lambda g: f"1000 * sum(CASE WHEN lang = '{g}' THEN changes_applied END) / sum(CASE WHEN lang = '{g}' THEN words END)"
+    modal = " OR ".join(f"regexp_matches({P.sql_marked('term')}, '{P.sql_pattern(p)}')" for p in (features.PROHIBITION, features.PERMISSION, features.OBLIGATION))
+    listed = ", ".join(f"'{x}'" for x in corpus.REFERENCE_WORDS + corpus.AMOUNT_DATE_WORDS)
+    one = ", ".join(f"'{x}'" for x in corpus.ONE_LETTER)
+    remedy, seeded = legal.REMEDY, S.SEEDED
+    term = legal.TERM.replace("(?iu)", "(?i)")
+    amount = legal.AMOUNT.replace("(?iu)", "(?i)").replace(r"(?![\p{L}])", r"(?:[^\p{L}]|$)")
+    distinct = lambda p, col="text": f"coalesce((SELECT string_agg(x, '; ' ORDER BY k) FROM (SELECT x, min(k) AS k FROM (SELECT unnest(l) AS x, unnest(range(len(l))) AS k FROM (SELECT regexp_extract_all({col}, '{p}', 1) AS l)) GROUP BY x)), '')"
+    boiler = T.BOILERPLATE
+    email, number, name = (
+        rf"\x1e[{word}]+\x1f(?:[.+-]+\x1e[{word}]+\x1f)*@\x1e[{word}]+\x1f(?:[.-]+\x1e[{word}]+\x1f)*\.\x1e[A-Za-z]{{2,}}\x1f", r"\x1e\d+\x1f(?:[.,]\x1e\d+\x1f)?", r"(?:\x1e[A-ZĄĆĘŁŃÓŚŹŻ][a-ząćęłńóśźż]+\x1f(?: +|$)){2,}"
+    )
+    flat = f"regexp_replace(regexp_replace(coalesce(text, ''), '[{S.B}]+', ' ', 'g'), {S.STRIP})"
+    first = rf"left(string_split(regexp_replace({flat}, '([.!?]) +', '\1' || chr(29)), chr(29))[1], {T.EXCERPT})"
+    masked = P.sql_marked(first)
+    for pattern, mask in ((email, "[EMAIL]"), (number, "[LICZBA]"), (name, "[PODMIOT] ")):
+        masked = f"regexp_replace({masked}, '{pattern}', '{mask}', 'g')"
+    plain = f"translate(lower(substr(coalesce(text, ''), 1, 200)), '{T.MARKED}', '{T.PLAIN}')"
+    return {
+        "rule_decisions": o + ", e AS (SELECT unnest(rules) AS rule, decision FROM o) SELECT rule, " + ", ".join(f"{n(f'decision = {chr(39)}{x}{chr(39)}')} AS {x}" for x in ("accepted", "rejected", "undecided")) + " FROM e GROUP BY rule",
+        "readiness": o + " SELECT doc_id, readiness FROM rd",
+        "flow_summary": o + f" SELECT count(*) AS items, {n(ok)} AS ok, {n('status <> ' + chr(39) + 'ok' + chr(39))} AS failed, {n(ok + ' AND needs_review')} AS needs_review, {n('readiness = ' + chr(39) + 'ready' + chr(39))} AS ready, {n('readiness = ' + chr(39) + 'ready_with_warnings' + chr(39))} AS ready_with_warnings, "
+        + ", ".join(total(c, ok) for c in ("words", "changes_applied", "findings_before", "findings_after")) + f", {mean('signal_before', ok)} AS mean_signal_before, {mean('signal_after', ok)} AS mean_signal_after, {mean('signal_after - signal_before', ok)} AS mean_signal_delta FROM rd",
+        "ai_use_summary": o + f" SELECT coalesce((SELECT string_agg(model, ', ' ORDER BY model) FROM (SELECT DISTINCT model FROM o WHERE {ok} AND model <> '')), '') AS models, {n('model_segments > 0')} AS documents_with_model_edits, " + ", ".join(total(c) for c in ("model_segments", "rule_segments", "model_rejections", "model_errors")) + f", {n('backend = ' + chr(39) + 'rules_fallback' + chr(39))} AS model_unavailable FROM o WHERE {ok}",
+        "benchmark_summary": o + " SELECT count(*) AS runs, " + ", ".join(f"{n(f'status = {chr(39)}{x}{chr(39)}')} AS {x}" for x in ("ok", "failed_safety", "failed_quality", "model_unavailable")) + f", {total('changes_applied')}, {total('model_rejections')}, {mean('risk', 'changes_applied > 0')} AS average_risk FROM o",
+        "quality_summary": o + " SELECT status, count(*) AS runs, round(avg((changes_applied > 0)::INTEGER), 4) AS changed_share, round(avg(changes_applied), 4) AS mean_changes, round(avg(signal_before - signal_after), 4) AS mean_gain FROM o GROUP BY status",
+        "edit_rates": o + f", r AS (SELECT {rate('en')} AS a, {rate('de')} AS b FROM o) SELECT round(a, 2) AS edits_per_1k, round(b, 2) AS edits_per_1k_against, round(round(a, 2) / greatest(b, 0.01), 2) AS edit_ratio FROM r",
+        "style_statistics": rf"WITH x AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[A-Za-zĄ-ż]+') AS w, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[{S.B}]+', '\1' || chr(31), 'g'), chr(31)), lambda s: regexp_replace(s, {S.STRIP}) <> '')) AS s FROM documents) SELECT round(sum(len(w)) / sum(s), 2) AS mean_sentence_words, round((SELECT count(DISTINCT t) FROM (SELECT unnest(w) AS t FROM x)) / sum(len(w)), 4) AS type_token_ratio, round(sum(len(w)) / count(*), 2) AS mean_document_words FROM x",
+        "rule_separation": S.sentences(S.SEEDED) + S.found_cte() + f", wm AS (SELECT doc_id % {K} < 5 AS model, sum(words) AS words FROM dw GROUP BY ALL), rc AS (SELECT rule, sum((doc_id % {K} < 5)::INTEGER) AS na, sum((doc_id % {K} >= 5)::INTEGER) AS nb FROM f1 GROUP BY rule), rr AS (SELECT rule, 1000 * na / (SELECT words FROM wm WHERE model) AS a, 1000 * nb / (SELECT words FROM wm WHERE NOT model) AS b, 1000 * greatest(nb::DOUBLE, 0.1) / (SELECT words FROM wm WHERE NOT model) AS c FROM rc) SELECT rule, round(a, 4) AS model_rate, round(b, 4) AS human_rate, round(a / c, 4) AS ratio FROM rr WHERE round(a / c, 4) >= 3",
+        "protected_terms": f"SELECT DISTINCT term FROM (SELECT unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS term FROM (SELECT {TOK} AS l FROM ({seeded}))) WHERE list_has_any(string_split(term, ' '), [{listed}]) OR len(list_filter(string_split(term, ' '), lambda x: len(x) = 1 AND x NOT IN ({one}))) > 0 OR {modal}",
+        "backfilled_labels": "SELECT doc_id, coalesce(quality, n_chars, 0)::BIGINT AS quality FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id)",
+        "family_profile": f"SELECT doc_id, family, CASE WHEN family = 'filing_official' THEN 'profile:' || family ELSE 'uncalibrated' END AS profile FROM ({family()})",
+        "document_facts": rf"WITH d AS ({seeded}), c AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:^|[^{word}])art\.\s*\d+'))::BIGINT AS articles, len(regexp_extract_all(text, '(?:^|[^{word}])[IVXLC]+\s+[A-Z][A-Za-z]{{0,4}}\s+\d{{1,6}}/(?:\d{{4}}|\d{{2}})(?:$|[^0-9])'))::BIGINT AS cases, {P.sql_count('text', remedy)}::BIGINT AS remedies FROM d) SELECT * FROM c WHERE articles + cases + remedies > 0",
+        "roman_units": units("roman"), "arabic_units": units("arabic"), "paragraph_units": units("paragraph"),
+        "slugs": f"SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace({plain}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), {T.SLUG}), '-$', '') AS slug FROM documents",
+        "masked_excerpts": f"SELECT doc_id, regexp_replace({P.sql_bare(masked)}, {S.STRIP}) AS excerpt FROM ({seeded})",
+        "strip_markup": f"SELECT page_id, {plain_markup('html')} AS plain FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)",
+        "drop_boilerplate": f"SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(coalesce(text, ''), '(?is){T.REASONING}', ''), chr(10)), lambda l: NOT regexp_matches(l, '(?i){boiler}')), chr(10)) AS body FROM documents",
+        "anonymisation_rate": rf"SELECT doc_id, CASE WHEN n > 0 THEN round(k / n, 4) ELSE 0 END::DOUBLE AS rate FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\p{{L}}+')) AS n, len(regexp_extract_all(coalesce(text, ''), '{T.GAP}')) + len(regexp_extract_all(coalesce(text, ''), '(?:^|[^{word}]){T.INITIALS}')) AS k FROM documents)",
+        "verify_references": articles() + ", un AS (SELECT * FROM (VALUES ('kc', '6'), ('kc', '415'), ('kpc', '187')) v(code, article)) SELECT doc_id, code, article, CASE WHEN EXISTS (SELECT 1 FROM un WHERE un.code = a.code AND un.article = a.article) THEN 'confirmed' WHEN a.code IN (SELECT code FROM un) THEN 'not_found' ELSE 'unknown_act' END AS status FROM (SELECT DISTINCT doc_id, code, article FROM ar) a",
+        "letter_facts": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM ({seeded})) SELECT doc_id, {distinct('(?:^|[^0-9])([0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4})(?:[^0-9]|$)')} AS dates, {distinct(amount)} AS amounts, nullif(regexp_extract(text, '{term}', 1), '')::INTEGER AS term_value, nullif(regexp_extract(text, '{term}', 2), '') AS term_unit, nullif(regexp_extract(text, '{term}', 3), '') AS term_start FROM d",
+        "anchor_retention": S.sentences(S.SEEDED) + rf""", x AS (SELECT doc_id AS id, arg_min(text, paragraph_index * 1000000 + sentence_index) AS o, arg_max(text, paragraph_index * 1000000 + sentence_index) AS c FROM s GROUP BY doc_id),
+y AS (SELECT id, {anchors('o')} AS a, {anchors('c')} AS b FROM x) SELECT id, len(a)::INTEGER AS anchors, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(a), 4) ELSE 1 END::DOUBLE AS retention, array_to_string(list_sort(list_filter(a, lambda v: NOT list_contains(b, v))), ',') AS lost FROM y""",
+    }
+
+
+def anchors(text: str) -> str:
+    low = ", ".join(f"'{w}'" for w in features.LOW_SIGNAL)
+    kept = rf"list_filter(regexp_extract_all(lower({text}), '\p{{L}}+'), lambda w: len(w) >= 5 AND w NOT IN ({low}) AND NOT regexp_matches(w, 'ow(?:ać|ić)$'))"
+    return rf"list_distinct(list_transform({kept}, lambda w: regexp_replace(w, '{features.STEM}', '\1')))"
+
+
 def twins() -> dict[str, str]:
-    even = "(SELECT *, source AS model FROM documents WHERE doc_id % 2 = 0)"
+    mine = "(SELECT *, lang AS model FROM documents WHERE lang <> 'en')"
     f = S.sentences(S.SEEDED) + f", x AS (SELECT doc_id, paragraph_index, sentence_index, text, regexp_extract_all(lower(text), '\\p{{L}}+') AS l FROM s)"
     n = lambda spec, col="text": P.sql_count(col, spec)
     vague, nominal = f"len(list_filter(l, lambda x: regexp_matches(x, '{detect.VAGUE}')))", f"len(list_filter(l, lambda x: len(x) >= 7 AND regexp_matches(x, '{detect.NOMINAL}')))"
@@ -115,17 +216,17 @@ def twins() -> dict[str, str]:
     listed = lambda xs: f"array_to_string(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL), ', ')"
     bad = listed(f"CASE WHEN contains(t, '{p}') THEN '{p}' END" for p in FORBIDDEN)
     old = listed(f"CASE WHEN contains(t, '{o}') AND NOT contains(t, '{p}') THEN '{o}' END" for o, p in PREFERRED.items())
-    return {
+    return more() | {
         "common_terms": common("documents"),
-        "merged_entries": f"SELECT coalesce(o.term, f.term) AS term, coalesce(f.n, o.n)::DOUBLE AS z, CASE WHEN o.term IS NULL THEN 'candidate' ELSE 'rejected' END AS status, CASE WHEN o.term IS NULL THEN '' ELSE 'seen' END AS note FROM ({common('(SELECT * FROM documents WHERE doc_id % 2 = 0)')}) o FULL JOIN ({common('(SELECT * FROM documents WHERE doc_id % 2 = 1)')}) f ON o.term = f.term",
+        "merged_entries": f"SELECT coalesce(o.term, f.term) AS term, coalesce(f.n, o.n)::DOUBLE AS z, CASE WHEN o.term IS NULL THEN 'candidate' ELSE 'rejected' END AS status, CASE WHEN o.term IS NULL THEN '' ELSE 'seen' END AS note FROM ({common('benchmark')}) o FULL JOIN ({common('documents')}) f ON o.term = f.term",
         "heading_support": headings() + r", hs AS (SELECT doc_id, line, lower(trim(regexp_replace(heading, '^(?:§\s*\d+[a-z]?\.?|[IVXLC]+\.|\d+(?:\.\d+)*[.)]?)\s*', ''))) AS heading FROM h), ha AS (SELECT heading, count(DISTINCT doc_id) AS k, quantile_cont(line, 0.5)::DOUBLE AS median_line FROM hs WHERE heading <> '' GROUP BY heading HAVING k >= 2) SELECT heading, round(k / (SELECT count(*) FROM d), 4) AS share, CASE WHEN k / (SELECT count(*) FROM d) >= 0.8 THEN 'required' ELSE 'expected' END AS severity, median_line FROM ha",
         "deontic_profile": f"WITH d AS ({S.SEEDED}) SELECT doc_id, {n(features.PROHIBITION)}::INTEGER AS prohibitions, {n(features.PERMISSION, left)}::INTEGER AS permissions, {n(features.OBLIGATION, left)}::INTEGER AS obligations FROM d",
         "style_compliance": f"WITH d AS ({S.SEEDED}), x AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM d) SELECT doc_id, {bad} AS forbidden, {old} AS deprecated FROM x",
         "log_odds": f"WITH a AS ({terms('(SELECT * FROM documents WHERE lang = $$en$$)')}), b AS ({terms('(SELECT * FROM documents WHERE lang <> $$en$$)')}) " + log_odds(5),
         "model_support": f"WITH a AS ({terms('documents', 'source')}), b AS ({terms('benchmark')}) SELECT * FROM ({log_odds(1, 'source')}) WHERE log_odds > 0 AND count_a >= 2",
-        "slop_candidates": f"""WITH m AS ({terms(even, 'model')}), b AS ({terms('benchmark')}), pool AS (WITH a AS (SELECT term, sum(n)::BIGINT AS n FROM m GROUP BY term) {log_odds(5)}),
-sup AS (WITH a AS (SELECT * FROM m) SELECT term, count(*) AS models FROM ({log_odds(1, 'model')}) WHERE log_odds > 0 AND count_a >= 2 GROUP BY term), sh AS (SELECT term, count(*) / (SELECT count(*) FROM {even}) AS share FROM (SELECT unnest(list_distinct({TOK})) AS term FROM {even}) GROUP BY term),
-ho AS ({terms("(SELECT * FROM documents WHERE doc_id % 2 = 1 AND lang <> 'en')")})
+        "slop_candidates": f"""WITH m AS ({terms(mine, 'model')}), b AS ({terms("(SELECT * FROM documents WHERE lang = 'en')")}), pool AS (WITH a AS (SELECT term, sum(n)::BIGINT AS n FROM m GROUP BY term) {log_odds(5)}),
+sup AS (WITH a AS (SELECT * FROM m) SELECT term, count(*) AS models FROM ({log_odds(1, 'model')}) WHERE log_odds > 0 AND count_a >= 2 GROUP BY term), sh AS (SELECT term, count(*) / (SELECT count(*) FROM {mine}) AS share FROM (SELECT unnest(list_distinct({TOK})) AS term FROM {mine}) GROUP BY term),
+ho AS ({terms('benchmark')})
 SELECT pool.term, z, models, round(share, 4) AS doc_share FROM pool JOIN sup USING (term) JOIN sh USING (term) LEFT JOIN ho USING (term) WHERE z >= 1.96 AND models >= 2 AND share >= 0.1
   AND (ho.n IS NULL OR (count_a / (SELECT sum(count_a) FROM pool)) / (ho.n / (SELECT sum(n) FROM ho)) >= 2)""",
         "detector_auc": r"WITH x AS (SELECT len(regexp_extract_all(coalesce(text, ''), '\p{L}+')) AS score, quality AS label FROM documents JOIN labels USING (doc_id)) SELECT round(avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END), 4) AS auc FROM x a, x b WHERE a.label = 1 AND b.label = 0",

@@ -52,10 +52,17 @@ def found_cte() -> str:
         bare = (lambda x: x) if column == "text" else P.sql_bare
         cut = "[1:1]" if kind == "first" else ""
         where = " WHERE start > 2" if rule == "transition" else ""
+        only = P.sql_pattern(detect.ONLY_IF.get(rule, spec))
+        shown = "evidence"
+        if rule in detect.AROUND:
+            k = detect.AROUND[rule]
+            shown = f"substr(text, greatest(start - {k}, 0) + 1, start + len(evidence) + {k} - greatest(start - {k}, 0))"
+        elif rule in detect.ONLY_IF:
+            shown = f"regexp_replace(evidence, {STRIP})"
         parts.append(
-            f"SELECT doc_id, paragraph_index, sentence_index, '{family}' AS family, '{rule}' AS rule, start, start + len(evidence) AS \"end\", evidence, {weight} AS weight10, {str(rewritable).lower()} AS rewritable, {i} AS ord FROM ("
-            f"SELECT doc_id, paragraph_index, sentence_index, {bare('m[k]')} AS evidence, len({bare('array_to_string(g[1:k], chr(32) || chr(32))')}) - 2 * (k - 1) + len({bare('array_to_string(m[1:k - 1], chr(32) || chr(32))')}) - 2 * greatest(k - 2, 0) AS start FROM ("
-            f"SELECT doc_id, paragraph_index, sentence_index, m, g, unnest(range(1, len(m{cut}) + 1)) AS k FROM (SELECT doc_id, paragraph_index, sentence_index, regexp_extract_all({column}, '{pat}') AS m, string_split_regex({column}, '{pat}') AS g FROM mk WHERE regexp_matches({column}, '{pat}')))){where}"
+            f"SELECT doc_id, paragraph_index, sentence_index, '{family}' AS family, '{rule}' AS rule, start, start + len(evidence) AS \"end\", {shown} AS evidence, {weight} AS weight10, {str(rewritable).lower()} AS rewritable, {i} AS ord FROM ("
+            f"SELECT doc_id, paragraph_index, sentence_index, text, {bare('m[k]')} AS evidence, len({bare('array_to_string(g[1:k], chr(32) || chr(32))')}) - 2 * (k - 1) + len({bare('array_to_string(m[1:k - 1], chr(32) || chr(32))')}) - 2 * greatest(k - 2, 0) AS start FROM ("
+            f"SELECT doc_id, paragraph_index, sentence_index, text, m, g, unnest(range(1, len(m{cut}) + 1)) AS k FROM (SELECT doc_id, paragraph_index, sentence_index, text, regexp_extract_all({column}, '{pat}') AS m, string_split_regex({column}, '{pat}') AS g FROM mk WHERE regexp_matches({column}, '{only}')))){where}"
         )
     out.append(", f0 AS (" + " UNION ALL ".join(parts) + ")")
     vague, nominal = detect.VAGUE, detect.NOMINAL
