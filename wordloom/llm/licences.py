@@ -30,6 +30,8 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, stored
+
 MIN_P, MIN_SHARE = 0.5, 0.6
 #: n-grams that the model knows at most; they and their weights are broadcast.
 MAX_GRAMS = 20_000
@@ -117,17 +119,25 @@ def text_grams(text: str) -> set[tuple[str, ...]]:
 def cover() -> list[tuple[str, ...]]:
     """Words and word pairs such that the n-grams of each template without any of them are less than MIN_SHARE of it.
 
-    Greedy: the candidate that takes the most n-grams from templates not yet covered; unusual words before pairs.
+    Greedy: the candidate that takes the most n-grams from templates not yet covered; unusual words of four letters before
+    pairs with an unusual word, these before other pairs, and short unusual words last.
     """
+    unusual = lambda w: w not in USUAL and w not in SMALL and re.search("[a-z]", w)
+
+    def tier(c: tuple[str, ...]) -> int:
+        if len(c) == 1:
+            return 4 if not unusual(c[0]) else 0 if len(re.findall("[a-z]", c[0])) >= 4 or re.search("[0-9][a-z]{3}", c[0]) else 3
+        return 1 if any(unusual(w) for w in c) else 4 if SMALL.issuperset(c) else 2
+
     open_ = [(text_grams(t), text_grams(t)) for _, t in template_texts()]
     chosen: list[tuple[str, ...]] = []
     inside = lambda c, g: any(g[i : i + len(c)] == c for i in range(len(g) - len(c) + 1))
     while open_ := [(left, whole) for left, whole in open_ if len(left) >= MIN_SHARE * len(whole)]:
         gain: dict[tuple[str, ...], int] = {}
         for left, _ in open_:
-            for c in {g for g in left if (len(g) == 2 and not SMALL.issuperset(g)) or (len(g) == 1 and g[0] not in USUAL and re.search("[a-z]{2}", g[0]))}:
+            for c in {g for g in left if len(g) < 3 and tier(g) < 4}:
                 gain[c] = gain.get(c, 0) + sum(inside(c, g) for g in left)
-        best = min(gain, key=lambda c: (len(c), -gain[c], c))
+        best = min(gain, key=lambda c: (tier(c), -gain[c], c))
         chosen.append(best)
         open_ = [({g for g in left if not inside(best, g)}, whole) for left, whole in open_]
     return sorted(chosen)
@@ -183,10 +193,29 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraph (its number in the text), line, n: the paragraphs with a cue, and how many equal rows have them."""
+    """key, doc_id, paragraph (its number in the text), line: the paragraphs with a cue; rows that repeat a document share their keys."""
     lines = F.filter(F.transform(F.split(F.regexp_replace(text_col, WRAP, " "), "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))), lambda s: s["line"].rlike(cue()))
-    cued = docs.where(F.col(text_col).rlike(cue())).select(F.col(id_col).alias("doc_id"), F.explode(lines).alias("p"))
-    return cued.select("doc_id", "p.paragraph", "p.line").groupBy("doc_id", "paragraph", "line").agg(F.count("*").alias("n"))
+    cued = docs.where(F.col(text_col).rlike(cue())).select(F.col(id_col).alias("doc_id"), F.explode_outer(lines).alias("p")).where("p IS NOT NULL")
+    return cued.select(F.xxhash64("doc_id", "p.paragraph", "p.line").alias("key"), "doc_id", "p.paragraph", "p.line")
+
+
+def classified(found: DataFrame, model: tuple[list[str], DataFrame, list[float]]) -> DataFrame:
+    """key, class, p of each paragraph (key, line). Only numbers are shuffled; a key of several rows counts once."""
+    classes, weights, offsets = model
+    flat = found.select("key", F.posexplode_outer(grams(F.col("line"))).alias("k", "gram")).join(F.broadcast(weights), "gram", "left")  # at most MAX_GRAMS rows
+    rows = F.sum((F.coalesce("k", F.lit(0)) == 0).cast("int"))
+    sums = [(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) / rows + F.lit(offsets[k])).alias(f"z{k}") for k in range(len(classes))]
+    scored = flat.groupBy("key").agg(*sums).select("key", F.array(*[F.col(f"z{k}") for k in range(len(classes))]).alias("z"))
+    p = 1 / F.aggregate(F.transform("z", lambda x: F.exp(x - F.array_max("z"))), F.lit(0.0), lambda s, x: s + x)
+    best = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("z", F.array_max("z")).cast("int"))
+    return scored.select("key", best.alias("class"), p.alias("p"))
+
+
+def compared(found: DataFrame) -> DataFrame:
+    """key, share: of the best template of the paragraph's class; found has key, class, line."""
+    spark = found.sparkSession
+    flat = found.dropDuplicates(["key"]).select("key", "class", F.explode_outer(grams(F.col("line"))).alias("gram")).join(F.broadcast(templates(spark)), "gram").where(F.col("of") == F.col("class"))
+    return flat.groupBy("key", "template").agg((F.count("*") / F.max("size")).alias("share")).groupBy("key").agg(F.max("share").alias("share"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[list[str], DataFrame, list[float]] | None = None) -> DataFrame:
@@ -194,25 +223,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     model: what `train` returned; trained anew where not given.
     """
-    spark = docs.sparkSession
-    classes, weights, offsets = model or train(spark)
-    key = ["doc_id", "paragraph", "line"]
-    flat = paragraphs(docs, id_col, text_col).select(*key, "n", F.explode_outer(grams(F.col("line"))).alias("gram"))
-    flat = flat.join(F.broadcast(weights), "gram", "left")  # at most MAX_GRAMS rows
-    sums = [(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) + F.lit(offsets[k])).alias(f"z{k}") for k in range(len(classes))]
-    scored = flat.groupBy(*key, "n").agg(*sums, F.collect_list(F.when(F.col("w").isNotNull(), F.col("gram"))).alias("known"))
-    z = F.array(*[F.col(f"z{k}") for k in range(len(classes))])
-    scored = scored.withColumn("z", z).withColumn("best", F.array_position("z", F.array_max("z")).cast("int"))
-    p = 1 / F.aggregate(F.transform("z", lambda x: F.exp(x - F.array_max("z"))), F.lit(0.0), lambda s, x: s + x)
-    scored = scored.select(*key, "n", "known", F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("best")).alias("class"), p.alias("p"))
-    compared = scored.select(*key, "class", F.explode("known").alias("gram")).join(F.broadcast(templates(spark)), "gram").where(F.col("of") == F.col("class"))
-    shares = compared.groupBy(*key, "template").agg((F.count("*") / F.max("size")).alias("share")).groupBy(*key).agg(F.max("share").alias("share"))
-    out = scored.where("class <> 'none'").alias("s").join(shares.alias("t"), (F.col("s.doc_id").eqNullSafe(F.col("t.doc_id"))) & (F.col("s.paragraph") == F.col("t.paragraph")) & (F.col("s.line") == F.col("t.line")), "left")
-    share = F.coalesce("t.share", F.lit(0.0))
-    sure = (F.col("s.p") >= MIN_P) & (share >= MIN_SHARE)
-    out = out.select("s.doc_id", "s.paragraph", F.col("s.line").alias("text"), F.when(sure, F.col("s.class")).otherwise("unknown").alias("family"), "s.p", share.alias("share"), (sure & (F.col("s.class") != "unknown")).alias("confirmed"), "s.n")
-    out = out.where(F.col("confirmed") | F.col("text").rlike(f"(?i){GENERAL}"))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n", "copy")
+    found = paragraphs(docs, id_col, text_col)
+    scored = cut(classified(found, model or train(docs.sparkSession)).where("class <> 'none'"))
+    held = stored(found.join(scored, "key"))
+    share = F.coalesce("share", F.lit(0.0))
+    out = held.join(compared(held), "key", "left").withColumn("share", share)
+    sure = (F.col("p") >= MIN_P) & (F.col("share") >= MIN_SHARE)
+    out = out.withColumn("confirmed", sure & (F.col("class") != "unknown")).where(F.col("confirmed") | F.col("line").rlike(f"(?i){GENERAL}"))
+    return out.select("doc_id", "paragraph", F.col("line").alias("text"), F.when(sure, F.col("class")).otherwise("unknown").alias("family"), "p", "share", "confirmed")
 
 
 def licence_digest(docs: DataFrame) -> DataFrame:
