@@ -13,6 +13,9 @@ documents by a hash of their id. Before anything is sent, a task settles what re
 batch, and a bucket with many contexts in one batch is dealt out by context; its marker in the
 home bucket makes all others there look at single windows, so nothing is lost.
 
+Bytes are compared by their identifiers: samples by 48 bits of their bucket and 64 of their context, so that
+contexts of one bucket meet by 64 bits, single windows by 128 bits of two independent hashes.
+
 Defined results: null is the empty text; texts shorter than `length` lose nothing; documents without an
 id come after all others; rows that repeat a doc_id don't repeat one another; an empty table gives
 an empty result; other columns are not read.
@@ -38,6 +41,8 @@ LENGTH, GRAM = 50, 24
 BATCH, CELL_SAMPLES, CELL_BYTES = 3_000_000, 1_500_000, 16_000_000
 #: Contexts of one bucket in one batch from which the bucket is dealt out by context.
 HOT = 256
+#: Bytes of a bucket's identifier that travel.
+GRAM_BYTES = 6
 LAST = (1 << 63) - 1
 
 
@@ -153,7 +158,7 @@ def sample(frames: Iterator[pd.DataFrame], cells: int, buckets: int, length: int
         for c, i in parts(cell.astype(np.int64)):
             k = at[i]
             d, r, n = heads(doc[k], rows[s.doc[k]])
-            out.append((c, squeeze(d, r, n, np.diff(s.first[k], prepend=0).astype(np.int32), count[i].astype(np.uint8), hot[i].astype(np.uint8), narrow(s.gram[k], 5), narrow(s.context[k], 6))))
+            out.append((c, squeeze(d, r, n, np.diff(s.first[k], prepend=0).astype(np.int32), count[i].astype(np.uint8), hot[i].astype(np.uint8), narrow(s.gram[k], GRAM_BYTES), narrow(s.context[k], 8))))
         yield pd.DataFrame(out, columns=["cell", "data"])
 
 
@@ -166,7 +171,7 @@ def settle(frame: pd.DataFrame, cells: int, buckets: int) -> pd.DataFrame:
     doc, row = (np.concatenate([np.repeat(g[k], g[2]) for g in got]) for k in (0, 1))
     first = np.concatenate([np.cumsum(g[3], dtype=np.int64) for g in got])
     count, hot = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (4, 5))
-    gram, context = (np.concatenate([widen(g[k], w) for g in got]) for k, w in ((6, 5), (7, 6)))
+    gram, context = (np.concatenate([widen(g[k], w) for g in got]) for k, w in ((6, GRAM_BYTES), (7, 8)))
     order = np.lexsort((doc, context, gram))
     doc, row, first, count, hot, gram, context = (x[order] for x in (doc, row, first, count, hot, gram, context))
     g_new, c_new = _ends((gram,)), _ends((gram, context))
@@ -228,7 +233,8 @@ def open_windows(found: pd.DataFrame, texts: pd.DataFrame, cells: int, buckets:
         if not pending:
             return
         s = Samples([t for _, _, t in pending], length, q)
-        doc, row, at, key = [], [], [], []
+        checks = s.checks()
+        doc, row, at, key, check = [], [], [], [], []
         for k, (i, r, t) in enumerate(pending):
             first, count, open_ = rows[i, r]
             w = np.unique(spread(first[open_], count[open_]))
@@ -236,9 +242,10 @@ def open_windows(found: pd.DataFrame, texts: pd.DataFrame, cells: int, buckets:
             row.append(np.full(len(w), r, np.uint32))
             at.append(w)
             key.append(s.windows[s.begin[k] + w])
-        doc, row, at, key = (np.concatenate(x) for x in (doc, row, at, key))
-        order = np.lexsort((doc, key))
-        new = _ends((key[order],))
+            check.append(checks[s.begin[k] + w])
+        doc, row, at, key, check = (np.concatenate(x) for x in (doc, row, at, key, check))
+        order = np.lexsort((doc, check, key))
+        new = _ends((key[order], check[order]))
         later = np.zeros(len(doc), bool)
         later[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
         j = np.flatnonzero(later)
@@ -248,7 +255,7 @@ def open_windows(found: pd.DataFrame, texts: pd.DataFrame, cells: int, buckets:
         for c, i in parts((key[j] % np.uint64(cells)).astype(np.int64)):
             x = j[i]
             d, r, n = heads(doc[x], row[x])
-            out.append((c, squeeze(d, r, n, np.diff(at[x], prepend=0).astype(np.int32), key[x])))
+            out.append((c, squeeze(d, r, n, np.diff(at[x], prepend=0).astype(np.int32), key[x], check[x])))
         pending.clear()
 
     held = 0
@@ -270,12 +277,12 @@ def settle_windows(frame: pd.DataFrame, cells: int, buckets: int) -> pd.DataFram
     cell = int(frame["cell"].iloc[0])
     if cell >= cells:
         return pd.DataFrame({"bucket": cell - cells, "data": list(frame["data"])})
-    got = [expand(d, "i8", "u4", "i4", "i4", "u8") for d in frame["data"]]
+    got = [expand(d, "i8", "u4", "i4", "i4", "u8", "u8") for d in frame["data"]]
     doc, row = (np.concatenate([np.repeat(g[k], g[2]) for g in got]) for k in (0, 1))
     at = np.concatenate([np.cumsum(g[3], dtype=np.int64) for g in got])
-    key = np.concatenate([g[4] for g in got])
-    order = np.lexsort((doc, key))
-    new = _ends((key[order],))
+    key, check = (np.concatenate([g[k] for g in got]) for k in (4, 5))
+    order = np.lexsort((doc, check, key))
+    new = _ends((key[order], check[order]))
     later = order[doc[order] > doc[order][new][np.cumsum(new) - 1]]
     return pd.DataFrame(by_document(doc[later], row[later], at[later], np.ones(len(later), np.int64), np.zeros(len(later), bool), buckets), columns=["bucket", "data"])
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
+#: A second, independent base and table: with both, a window's identifier has 128 bits.
+BASE2 = 0xD6E8FEB86659FD93
+TABLE2 = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TABLE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -15,27 +18,36 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def gram_ids(buf: np.ndarray, q: int) -> np.ndarray:
+def gram_ids(buf: np.ndarray, q: int, table: np.ndarray = TABLE, base: int = BASE) -> np.ndarray:
     """The bucket identifier (64-bit polynomial hash) of the q bytes from each offset of buf."""
     with np.errstate(over="ignore"):
-        power, width, out, have = TABLE[buf], 1, None, 0
+        power, width, out, have = table[buf], 1, None, 0
         while True:
             if q & width:
                 if out is None:
                     out = power
                 else:  # what is gathered so far covers `have` bytes; the next part stands behind it
                     n = len(power) - have
-                    out = out[:n] * np.uint64(pow(BASE, width, 2**64)) + power[have : have + n]
+                    out = out[:n] * np.uint64(pow(base, width, 2**64)) + power[have : have + n]
                 have += width
             if have == q:
                 return out
             n = len(power) - width
             if n <= 0:
                 return np.zeros(0, np.uint64)
-            power = power[:n] * np.uint64(pow(BASE, width, 2**64)) + power[width : width + n]
+            power = power[:n] * np.uint64(pow(base, width, 2**64)) + power[width : width + n]
             width *= 2
 
 
+def window_ids(grams: np.ndarray, n: int, length: int, q: int) -> np.ndarray:
+    """Identifiers of the n windows: a window's bucket, refined by the buckets at later offsets."""
+    with np.errstate(over="ignore"):
+        h = mixed(grams[:n])
+        for s in [*range(q, length - q, q), length - q]:
+            h = mixed(h * np.uint64(5) + grams[s : s + n])
+    return h
+
+
 def window_min(x: np.ndarray, w: int) -> np.ndarray:
     """The minimum of x[i:i+w] for each i."""
     width = 1
@@ -51,12 +63,19 @@ class Samples:
 
     Each window belongs to the leftmost place of its smallest q-gram. gram: the place's bucket;
     context: identifies the bytes of all windows it owns; first, count: those windows' starts.
+    windows and checks: two independent identifiers of each window, the second on demand.
     """
 
+    def checks(self) -> np.ndarray:
+        if len(self.buf) < self.length:
+            return np.zeros(0, np.uint64)
+        return window_ids(gram_ids(self.buf, self.q, TABLE2, BASE2), len(self.buf) - self.length + 1, self.length, self.q)
+
     def __init__(self, texts: list[bytes], length: int, q: int) -> None:
         sizes = np.array([len(t) for t in texts], np.int64)
         self.begin = np.cumsum(sizes) - sizes
         buf = np.frombuffer(b"".join(texts), np.uint8)
+        self.buf, self.length, self.q = buf, length, q
         w = length - q + 1
         empty = np.zeros(0, np.int64)
         if len(buf) < length:
@@ -64,14 +83,8 @@ class Samples:
             self.doc, self.first, self.count, self.gram, self.context = empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
             return
         grams = gram_ids(buf, q)
-        # A window's identifier: its bucket refined by the buckets at later offsets.
         n = len(buf) - length + 1
-        with np.errstate(over="ignore"):
-            steps = list(range(q, length - q, q)) + [length - q]
-            h = mixed(grams[:n])
-            for s in steps:
-                h = mixed(h * np.uint64(5) + grams[s : s + n])
-        self.windows = h
+        self.windows = h = window_ids(grams, n, length, q)
         order = mixed(grams)
         # The smallest gram's hash; the place in the low bits makes the leftmost win and tells where it is.
         low = np.uint64(30)
