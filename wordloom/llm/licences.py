@@ -223,9 +223,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     model: what `train` returned; trained anew where not given.
     """
-    found = paragraphs(docs, id_col, text_col)
+    found = stored(paragraphs(docs, id_col, text_col))  # texts are searched once
     scored = cut(classified(found, model or train(docs.sparkSession)).where("class <> 'none'"))
-    held = stored(found.join(scored, "key"))
+    held = found.join(scored, "key")
     share = F.coalesce("share", F.lit(0.0))
     out = held.join(compared(held), "key", "left").withColumn("share", share)
     sure = (F.col("p") >= MIN_P) & (F.col("share") >= MIN_SHARE)
