@@ -89,6 +89,20 @@ def protected(terms: DataFrame) -> DataFrame:
     return terms.withColumn("protected", named | F.exists(w, lambda x: (F.char_length(x) == 1) & ~x.isin(ONE_LETTER)) | modal)
 
 
+# What an entry of the reviewed list may be.
+KINDS, STATUSES = ["word", "bigram", "trigram", "opening_2", "opening_3"], ["candidate", "accepted", "rejected"]
+
+
+def entry_problems(entries: DataFrame) -> DataFrame:
+    """term, problem: the first rule that an entry (term, kind, status, note, protected) breaks."""
+    c = F.col
+    problem = (
+        F.when(~c("kind").isin(KINDS), "unknown kind").when(~c("status").isin(STATUSES), "unknown status")
+        .when((c("status") == "accepted") & c("protected"), "a protected term is accepted").when((c("status") == "rejected") & (F.trim("note") == ""), "rejected without a reason")
+    )
+    return entries.select("term", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def heading_support(headings: DataFrame, documents: int, required: float = 0.8) -> DataFrame:
     """heading (without its number), share of documents that have it, required or expected, median line: a checklist learnt from examples."""
     h = headings.withColumn("heading", F.lower(F.trim(F.regexp_replace("heading", r"^(?:§\s*\d+[a-z]?\.?|[IVXLC]+\.|\d+(?:\.\d+)*[.)]?)\s*", "")))).where("heading <> ''")

@@ -98,6 +98,20 @@ def deontic_profile(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", P.count(t, PROHIBITION).alias("prohibitions"), P.count(left, PERMISSION).alias("permissions"), P.count(left, OBLIGATION).alias("obligations"))
 
 
+DUTY = OBLIGATION.replace("należy|", "")
+
+
+def signed_modality(docs: DataFrame) -> DataFrame:
+    """prohibitions, permissions, obligations, where a negation up to two words before turns a duty or a ban into a permission, and "należy" into a ban; "nie tylko" negates nothing."""
+    t = F.coalesce("text", F.lit(""))
+    left = F.regexp_replace(t, P.spark_pattern(PROHIBITION), " ")
+    negated = lambda spec, text: P.count(text, f"<nie_{spec[1:]}") + P.count(text, f"<nie_\\p{{L}}+_{spec[1:]}") - P.count(text, f"<nie_tylko_{spec[1:]}")
+    duty, must = negated(DUTY, left), negated("<należy>", left)
+    return docs.select(
+        "doc_id", (P.count(t, PROHIBITION) + must).alias("prohibitions"), (P.count(left, PERMISSION) + duty).alias("permissions"), (P.count(left, OBLIGATION) - duty - must).alias("obligations")
+    )
+
+
 def style_compliance(docs: DataFrame, forbidden: list[str], preferred: dict[str, str]) -> DataFrame:
     """Forbidden phrases that occur, and deprecated terms that occur without the preferred one."""
     t = F.lower(F.coalesce("text", F.lit("")))

@@ -137,6 +137,16 @@ def deadlines(deliveries: DataFrame, value: int = 14, unit: str = "day") -> Data
     return d.join(open_, "term_end", "left").select("id", "delivered", "term_end", "last_day", F.datediff("last_day", "term_end").alias("moved"))
 
 
+SOON = 7
+
+
+def deadline_status(found: DataFrame, today: Column) -> DataFrame:
+    """The deadlines with days_left and status at a day: passed, today, soon (a week) or open; unknown without a last day."""
+    left = F.datediff("last_day", today)
+    status = F.when(left.isNull(), "unknown").when(left < 0, "passed").when(left == 0, "today").when(left <= SOON, "soon").otherwise("open")
+    return found.select("id", "last_day", left.alias("days_left"), status.alias("status"))
+
+
 def document_facts(docs: DataFrame) -> DataFrame:
     """Counts of references and remedies for each document that has one."""
     n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")

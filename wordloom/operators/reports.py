@@ -18,6 +18,14 @@ def rule_decisions(decided: DataFrame) -> DataFrame:
     return e.groupBy(F.trim("rule").alias("rule")).agg(n("accepted"), n("rejected"), n("undecided"))
 
 
+def markdown(rows: DataFrame, title: str) -> DataFrame:
+    """One row, text: the rows as a Markdown table under a title. For reports, whose rows are few."""
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "\\|", "\\\\|"), "\n", " ")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in rows.columns]), F.lit(" |"))
+    head = f"# {title}\n\n| {' | '.join(rows.columns)} |\n|{' --- |' * len(rows.columns)}"
+    return rows.select(line.alias("line")).agg(F.concat_ws("\n", F.lit(head), F.sort_array(F.collect_list("line"))).alias("text"))
+
+
 def remaining(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """The items of a batch that an earlier run has not finished."""
     return items.join(done.select(key).distinct(), key, "left_anti")

@@ -141,6 +141,41 @@ def classify_category(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", category.alias("category"), best.alias("score"), F.when(category == "nieokreslony", 0.0).when(best >= 9, 0.92).otherwise(0.63).alias("confidence"))
 
 
+def check_document(docs: DataFrame) -> DataFrame:
+    """doc_id, missing_required, missing_expected, empty, numbering, order (counts), blocking: all checks of a document's sections together."""
+    n = lambda flag: F.coalesce(F.sum(flag.cast("long")), F.lit(0))
+    s = section_check(docs).groupBy("doc_id").agg(n(F.col("status") == "missing_required").alias("missing_required"), n(F.col("status") == "missing_expected").alias("missing_expected"))
+    per = lambda rows, name: rows.groupBy("doc_id").agg(F.count("*").alias(name))
+    for rows, name in ((section_bodies(docs).where("empty"), "empty"), (numbering_issues(docs), "numbering"), (order_issues(docs), "order")):
+        s = s.join(per(rows, name), "doc_id", "left")
+    return s.fillna(0, ["empty", "numbering", "order"]).withColumn("blocking", F.col("missing_required") + F.col("empty") > 0)
+
+
+# Corpora by the first title word that occurs in a document's first line, in this order.
+PARTITIONS = [("umowy", ["umowa", "umowy", "aneks"]), ("pisma", ["pozew", "wniosek", "odwołanie", "skarga"]), ("opinie", ["opinia", "warto", "kluczowe"]), ("regulaminy", ["regulamin", "polityka"])]
+REST = "inne"
+
+
+def partition(docs: DataFrame) -> DataFrame:
+    """doc_id and the part of the corpus that the first matching rule names, by the document's last line (its title here)."""
+    title = F.lower(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n+"), -1))
+    part = F.coalesce(*[F.when(F.greatest(*[F.contains(title, F.lit(w)) for w in words], F.lit(False)), F.lit(name)) for name, words in PARTITIONS], F.lit(REST))
+    return docs.select("doc_id", part.alias("part"))
+
+
+#: Shares of a template that decide before the signals do, and after them.
+SURE_SHARE, LIKELY_SHARE = 0.5, 0.25
+
+
+def classify_cascade(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """doc_id, category, by: a template that the document mostly holds, else its signals, else a template that it holds a quarter of."""
+    near = nearest_template(docs, templates, LIKELY_SHARE).select("doc_id", "item_id", "recall")
+    j = classify_category(docs).select("doc_id", "category").join(near, "doc_id", "left")
+    named = F.concat(F.lit("template:"), F.col("item_id").cast("string"))
+    by = F.when(F.col("recall") >= SURE_SHARE, "template").when(F.col("category") != "nieokreslony", "signals").when(F.col("item_id").isNotNull(), "template_share").otherwise("none")
+    return j.select("doc_id", F.when(by.startswith("template"), named).otherwise(F.col("category")).alias("category"), by.alias("by"))
+
+
 def pairs(text: Column) -> Column:
     """Distinct adjacent word pairs."""
     return F.array_distinct(T.ngrams(T.tokens(F.coalesce(text, F.lit(""))), 2))
@@ -154,6 +189,12 @@ def nearest_template(docs: DataFrame, templates: DataFrame, floor: float = 0.4)
     t = templates.select("item_id", pairs(F.col("text")).alias("ps"))
     d = docs.select("doc_id", pairs(F.col("text")).alias("ps"))
     posting = t.select("item_id", F.size("ps").alias("nt"), F.explode_outer("ps").alias("pair"))
+    # A pair of many templates is the last to be read: what shares `floor` of a template shares one of its rarest pairs.
+    held = posting.groupBy("pair").agg(F.count("*").alias("of"))
+    ranked = posting.join(held, "pair").withColumn("nth", F.row_number().over(W.partitionBy("item_id").orderBy("of", "pair")))
+    key = ranked.where(F.col("nth") <= F.col("nt") - F.ceil(F.col("nt") * floor) + 1).select("pair").distinct()
+    may = d.select("doc_id", F.explode_outer("ps").alias("pair")).join(key, "pair", "left_semi").select("doc_id").distinct()
+    d = d.join(may, "doc_id", "left_semi")
     flat = d.select("doc_id", F.size("ps").alias("nd"), F.explode_outer("ps").alias("pair"))
     shared = flat.join(posting, "pair").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.max("nt").alias("nt"), F.max("nd").alias("nd"))
     s = shared.where(F.col("k") / F.col("nt") >= floor).select("doc_id", "item_id", F.round(2 * F.col("k") / (F.col("nt") + F.col("nd")), 4).alias("f1"), F.round(F.col("k") / F.col("nt"), 4).alias("recall"))

@@ -110,6 +110,26 @@ def _backfilled(s: SparkSession, d: str) -> DataFrame:
     return reports.backfilled(old, _docs(s, d).select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("quality")), "doc_id", ["quality"])
 
 
+def _entries(s: SparkSession, d: str) -> DataFrame:
+    """Words of the documents as entries of a reviewed list, their review made up from their lengths."""
+    n, pick = F.char_length("term"), lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    e = corpus.protected(T.ngram_counts(_seeded(s, d), 1).select(F.col("ngram").alias("term")))
+    return corpus.entry_problems(e.select("term", pick(["word", "opening_2", "phrase"], n).alias("kind"), pick(["accepted", "rejected", "candidate", "lost"], n).alias("status"), pick(["", "usual", " "], n + 1).alias("note"), "protected"))
+
+
+def _deadline_status(s: SparkSession, d: str) -> DataFrame:
+    return legal.deadline_status(_deadlines("day", 14)(s, d), F.lit("1996-01-15").cast("date"))
+
+
+def _catalogue(s: SparkSession, d: str) -> DataFrame:
+    """How many documents hold each term of the catalogues."""
+    rows = [("section", n, p) for n, _, _, ps in structure.SECTIONS for p in ps] + [("family", n, p) for n, ps in structure.FAMILIES for p in ps] + [("category", n, p) for n, *pss in structure.CATEGORIES for ps in pss for p in ps]
+    terms = s.createDataFrame(sorted(set(rows)), "catalogue string, name string, term string")
+    docs = _seeded(s, d).select(F.lower(F.coalesce("text", F.lit(""))).alias("t"))
+    each = docs.select(F.explode(F.filter(F.array(*[F.lit(t) for t in sorted({r[2] for r in rows})]), lambda x: F.contains(F.col("t"), x))).alias("term"))
+    return terms.join(each.groupBy("term").agg(F.count("*").alias("documents")), "term", "left").select("catalogue", "name", "term", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
 def _protected(s: SparkSession, d: str) -> DataFrame:
     return corpus.protected(T.ngram_counts(_seeded(s, d), 2).select(F.col("ngram").alias("term"))).where("protected").select("term")
 
@@ -145,6 +165,8 @@ def queries() -> dict:
         "style_statistics": lambda s, d: outcomes.style_statistics(_docs(s, d)), "rule_separation": lambda s, d: outcomes.separation(_seeded(s, d), F.pmod("doc_id", F.lit(len(FRAGMENTS))) < 5),
         "protected_terms": _protected, "backfilled_labels": _backfilled, "family_profile": seed(structure.family_profile), "document_facts": seed(legal.document_facts),
         "roman_units": _unit_issues("roman"), "arabic_units": _unit_issues("arabic"), "paragraph_units": _unit_issues("paragraph"),
+        "document_check": seed(structure.check_document), "corpus_partition": seed(structure.partition), "classify_cascade": lambda s, d: structure.classify_cascade(_seeded(s, d), _table(s, d, "benchmark")),
+        "signed_modality": seed(features.signed_modality), "entry_problems": _entries, "deadline_status": _deadline_status, "catalogue_terms": _catalogue,
         "slugs": text(lambda t: T.slug(F.substring(t, 1, 200)), "slug"), "masked_excerpts": lambda s, d: _seeded(s, d).select("doc_id", T.masked_excerpt(F.coalesce("text", F.lit(""))).alias("excerpt")),
         "resume_remaining": lambda s, d: reports.remaining(_docs(s, d).select("doc_id", "source"), _table(s, d, "labels"), "doc_id"),
         "embedding_similarity": lambda s, d: reports.label_similarity(_table(s, d, "embeddings")),

@@ -144,7 +144,20 @@ ar AS (SELECT doc_id, article, CASE {forms} WHEN contains(form, 'cywiln') THEN '
 K = len(FRAGMENTS)
 
 
-def more() -> dict[str, str]:
+def terms_listed() -> list[tuple[str, str, str]]:
+    rows = [("section", n, p) for n, _, _, ps in structure.SECTIONS for p in ps] + [("family", n, p) for n, ps in structure.FAMILIES for p in ps]
+    return rows + [("category", n, p) for n, *pss in structure.CATEGORIES for ps in pss for p in ps]
+
+
+def signed_modality() -> str:
+    left = P.sql_bare(f"regexp_replace({P.sql_marked('text')}, '{P.sql_pattern(features.PROHIBITION)}', ' ', 'g')")
+    n = lambda spec, col="text": P.sql_count(col, spec)
+    negated = lambda spec: f"({n('<nie_' + spec[1:], 'l')} + {n('<nie_' + chr(92) + 'p{L}+_' + spec[1:], 'l')} - {n('<nie_tylko_' + spec[1:], 'l')})"
+    duty, must = negated(features.DUTY), negated("<należy>")
+    return f"WITH d AS ({S.SEEDED}), x AS (SELECT doc_id, text, {left} AS l FROM (SELECT doc_id, coalesce(text, '') AS text FROM d)) SELECT doc_id, ({n(features.PROHIBITION)} + {must})::INTEGER AS prohibitions, ({n(features.PERMISSION, 'l')} + {duty})::INTEGER AS permissions, ({n(features.OBLIGATION, 'l')} - {duty} - {must})::INTEGER AS obligations FROM x"
+
+
+def more(base: dict[str, str]) -> dict[str, str]:
     o, word = outcomes(), r"\p{L}\p{N}_"
     n = lambda flag: f"coalesce(sum(({flag})::INTEGER), 0)::BIGINT"
     total = lambda c, where="true": f"coalesce(sum(CASE WHEN {where} THEN {c} END), 0)::BIGINT AS {c}"
@@ -184,6 +197,15 @@ def more() -> dict[str, str]:
         "family_profile": f"SELECT doc_id, family, CASE WHEN family = 'filing_official' THEN 'profile:' || family ELSE 'uncalibrated' END AS profile FROM ({family()})",
         "document_facts": rf"WITH d AS ({seeded}), c AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:^|[^{word}])art\.\s*\d+'))::BIGINT AS articles, len(regexp_extract_all(text, '(?:^|[^{word}])[IVXLC]+\s+[A-Z][A-Za-z]{{0,4}}\s+\d{{1,6}}/(?:\d{{4}}|\d{{2}})(?:$|[^0-9])'))::BIGINT AS cases, {P.sql_count('text', remedy)}::BIGINT AS remedies FROM d) SELECT * FROM c WHERE articles + cases + remedies > 0",
         "roman_units": units("roman"), "arabic_units": units("arabic"), "paragraph_units": units("paragraph"),
+        "document_check": f"SELECT doc_id, missing_required, missing_expected, coalesce(e, 0) AS empty, coalesce(n, 0) AS numbering, coalesce(r, 0) AS order, missing_required + coalesce(e, 0) > 0 AS blocking FROM (SELECT doc_id, sum((status = 'missing_required')::INTEGER)::BIGINT AS missing_required, sum((status = 'missing_expected')::INTEGER)::BIGINT AS missing_expected FROM ({base['section_check']}) GROUP BY doc_id) "
+        f"LEFT JOIN (SELECT doc_id, count(*) AS e FROM ({base['section_bodies']}) WHERE empty GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({base['numbering_issues']}) GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS r FROM ({base['order_issues']}) GROUP BY doc_id) USING (doc_id)".replace("AS order,", 'AS "order",'),
+        "corpus_partition": f"WITH d AS ({seeded}), x AS (SELECT doc_id, lower(list_last(string_split_regex(coalesce(text, ''), '\\n+'))) AS t FROM d) SELECT doc_id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{name}'" for name, ws in structure.PARTITIONS) + f" ELSE '{structure.REST}' END AS part FROM x",
+        "classify_cascade": f"SELECT doc_id, CASE WHEN recall >= 0.5 OR (category = 'nieokreslony' AND item_id IS NOT NULL) THEN 'template:' || item_id ELSE category END AS category, CASE WHEN recall >= 0.5 THEN 'template' WHEN category <> 'nieokreslony' THEN 'signals' WHEN item_id IS NOT NULL THEN 'template_share' ELSE 'none' END AS by FROM ({base['classify_category']}) LEFT JOIN ({base['nearest_template'].replace('>= 0.4', '>= 0.25').replace('FROM documents)', f'FROM ({seeded}))')}) USING (doc_id)",
+        "signed_modality": signed_modality(),
+        "entry_problems": f"WITH t AS (SELECT DISTINCT unnest({TOK}) AS term FROM ({seeded})), e AS (SELECT term, ['word', 'opening_2', 'phrase'][len(term) % 3 + 1] AS kind, ['accepted', 'rejected', 'candidate', 'lost'][len(term) % 4 + 1] AS status, ['', 'usual', ' '][(len(term) + 1) % 3 + 1] AS note, term IN ({listed}) OR (len(term) = 1 AND term NOT IN ({one})) OR {modal} AS protected FROM t), "
+        "p AS (SELECT term, CASE WHEN kind = 'phrase' THEN 'unknown kind' WHEN status = 'lost' THEN 'unknown status' WHEN status = 'accepted' AND protected THEN 'a protected term is accepted' WHEN status = 'rejected' AND trim(note) = '' THEN 'rejected without a reason' END AS problem FROM e) SELECT * FROM p WHERE problem IS NOT NULL",
+        "deadline_status": f"SELECT id, last_day, (last_day - DATE '1996-01-15')::INTEGER AS days_left, CASE WHEN last_day < DATE '1996-01-15' THEN 'passed' WHEN last_day = DATE '1996-01-15' THEN 'today' WHEN last_day - DATE '1996-01-15' <= 7 THEN 'soon' ELSE 'open' END AS status FROM ({deadlines('14')})",
+        "catalogue_terms": f"WITH d AS (SELECT lower(coalesce(text, '')) AS t FROM ({seeded})), c AS (SELECT DISTINCT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{t}')" for a, b, t in terms_listed()) + ") v(catalogue, name, term)) SELECT catalogue, name, term, (SELECT count(*) FROM d WHERE contains(t, term)) AS documents FROM c",
         "slugs": f"SELECT doc_id, regexp_replace(left(regexp_replace(regexp_replace({plain}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), {T.SLUG}), '-$', '') AS slug FROM documents",
         "masked_excerpts": f"SELECT doc_id, regexp_replace({P.sql_bare(masked)}, {S.STRIP}) AS excerpt FROM ({seeded})",
         "strip_markup": f"SELECT page_id, {plain_markup('html')} AS plain FROM (SELECT page_id, coalesce(html, '') AS html FROM pages)",
@@ -216,7 +238,7 @@ def twins() -> dict[str, str]:
     listed = lambda xs: f"array_to_string(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL), ', ')"
     bad = listed(f"CASE WHEN contains(t, '{p}') THEN '{p}' END" for p in FORBIDDEN)
     old = listed(f"CASE WHEN contains(t, '{o}') AND NOT contains(t, '{p}') THEN '{o}' END" for o, p in PREFERRED.items())
-    return more() | {
+    base = {
         "common_terms": common("documents"),
         "merged_entries": f"SELECT coalesce(o.term, f.term) AS term, coalesce(f.n, o.n)::DOUBLE AS z, CASE WHEN o.term IS NULL THEN 'candidate' ELSE 'rejected' END AS status, CASE WHEN o.term IS NULL THEN '' ELSE 'seen' END AS note FROM ({common('benchmark')}) o FULL JOIN ({common('documents')}) f ON o.term = f.term",
         "heading_support": headings() + r", hs AS (SELECT doc_id, line, lower(trim(regexp_replace(heading, '^(?:§\s*\d+[a-z]?\.?|[IVXLC]+\.|\d+(?:\.\d+)*[.)]?)\s*', ''))) AS heading FROM h), ha AS (SELECT heading, count(DISTINCT doc_id) AS k, quantile_cont(line, 0.5)::DOUBLE AS median_line FROM hs WHERE heading <> '' GROUP BY heading HAVING k >= 2) SELECT heading, round(k / (SELECT count(*) FROM d), 4) AS share, CASE WHEN k / (SELECT count(*) FROM d) >= 0.8 THEN 'required' ELSE 'expected' END AS severity, median_line FROM ha",
@@ -256,3 +278,4 @@ SELECT doc_id, item_id, f1, recall FROM (SELECT *, row_number() OVER (PARTITION
         "embedding_similarity": "WITH f AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS k FROM embeddings), c AS (SELECT label, k, avg(x::DOUBLE) AS m FROM f GROUP BY ALL) SELECT vec_id, any_value(label) AS label, round(sum(x::DOUBLE * m) / (sqrt(sum(x::DOUBLE * x::DOUBLE)) * sqrt(sum(m * m))), 4) AS similarity FROM f JOIN c USING (label, k) GROUP BY vec_id",
         "answer_signal": S.sentences("SELECT conv_id * 10000 + turn AS doc_id, text FROM conversations WHERE role = 'assistant'") + S.found_cte() + S.SIGNAL + " SELECT * FROM ds",
     }
+    return base | more(base)

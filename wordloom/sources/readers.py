@@ -15,6 +15,13 @@ def text_files(spark: SparkSession, path: str, pattern: str = "*.{txt,md}") -> D
     return spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+def manifest(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """The rows of a JSON manifest (a list of objects with id and file), by id, with the text of each file below the folder; null where it lacks."""
+    rows = spark.read.option("multiLine", True).json(path)
+    files = text_files(spark, folder, "*").select(F.element_at(F.split("path", "/"), -1).alias("file"), "text")
+    return rows.join(files, "file", "left").orderBy("id")
+
+
 def halves(files: DataFrame) -> DataFrame:
     """files with half (train, holdout), by the checksum of the file's name."""
     name = F.element_at(F.split("path", "/"), -1)
