@@ -38,7 +38,7 @@ from .suffixes import Samples, mixed
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text that a task handles at once; samples of a bucket cell; bytes of a document cell.
-BATCH, CELL_SAMPLES, CELL_BYTES = 3_000_000, 1_000_000, 16_000_000
+BATCH, CELL_SAMPLES, CELL_BYTES = 2_000_000, 1_500_000, 16_000_000
 #: Contexts of one bucket in one batch from which the bucket is dealt out by context.
 HOT = 256
 #: Bytes of a bucket's identifier that travel.
