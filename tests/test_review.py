@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 from pyspark.sql import functions as F
-from wordloom.operators import corpus, features, legal, outcomes, reports, structure
+from wordloom.operators import corpus, detect, features, legal, outcomes, reports, structure
 from wordloom.sources import readers
 
 
@@ -84,6 +84,19 @@ def test_manifest_and_markdown(spark, tmp_path):
     assert text.split("\n") == ["# Review", "", "| name | n |", "| --- | --- |", "|  | 1 |", "| a\\|b | 2 |"]
 
 
+def test_slop_ngrams(spark):
+    d = frame(spark, ["— Każda, strona płaci. Tak każda strona płaci.", "Ponadto najemca: płaci czynsz. Najemca płacił.", "Podsumowując zawsze tak."])
+    got = sorted((r.doc_id, r.sentence_index, r.rule, r.start, r.end, r.evidence) for r in detect.slop_ngrams(d, [("opening_2", "każda strona"), ("bigram", "najemca płaci"), ("word", "podsumowując")]).collect())
+    assert got == [(0, 0, "slop.opening_2.każda_strona", 2, 15, "Każda, strona"), (1, 0, "slop.bigram.najemca_płaci", 8, 22, "najemca: płaci")]
+
+
+def test_style_profile_needs_five_of_a_kind(spark):
+    texts = ["Umowa najmu: strony i najemca."] * 5 + ["Regulamin."]
+    r = outcomes.style_profile(frame(spark, texts)).first()
+    assert (r.kind, r.documents, r.excluded, r.mean_document_words, r.warned) == ("contract", 5, 1, 5.0, False)
+    assert outcomes.style_profile(frame(spark, texts[:4])).count() == 0
+
+
 def test_cascade(spark):
     t = spark.createDataFrame([(7, "ala ma kota i psa w domu")], "item_id long, text string")
     d = frame(spark, ["Ala ma kota i psa w domu", "Najem lokalu: najemca płaci czynsz za lokal, najem trwa.", "ala ma kota oraz rybki", "nic"])

@@ -149,6 +149,30 @@ def findings(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n", repeated).where("ord <> 200 OR n >= 2").drop("n")
 
 
+#: Reviewed n-grams that models over-use, as (kind, term); openings stand at a sentence's start only.
+ACCEPTED = [("bigram", "najemca płaci"), ("opening_2", "każda strona"), ("bigram", "w terminie"), ("opening_3", "strony ustalają najem"), ("word", "zawsze")]
+
+
+def slop_ngrams(docs: DataFrame, entries: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Hits of the reviewed n-grams that touch no other finding of their sentence: they inform and never count in a score.
+
+    Words may stand apart by anything but letters; a hit starts at its first letter.
+    """
+    s = sentences(docs).where("text IS NOT NULL")
+    found = []
+    for kind, term in ACCEPTED if entries is None else entries:
+        body = r"\P{L}+".join(term.split())
+        pattern = rf"(?iu){'^' + chr(92) + 'P{L}*' if kind.startswith('opening') else '(?<!' + chr(92) + 'p{L})'}{body}(?!\p{{L}})"
+        lead = lambda x: F.char_length(F.regexp_extract(x["value"], r"^\P{L}*", 0))
+        hits = F.transform(P.spans(F.col("text"), pattern), lambda x: F.struct((x["start"] + lead(x)).alias("start"), x["end"].alias("end"), F.regexp_replace(x["value"], r"^\P{L}+", "").alias("value")))
+        free = F.filter(hits, lambda x: ~F.exists("f", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+        rule = F.lit(f"slop.{kind}.{term.replace(' ', '_')}")
+        named = F.transform(free, lambda x: F.struct(rule.alias("rule"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("evidence")))  # noqa: B023
+        found.append(F.when(F.col("text").rlike(pattern), named).otherwise(F.array().cast("array<struct<rule:string,start:int,end:int,evidence:string>>")))
+    rows = s.select(*PLACE, F.explode_outer(F.concat(*found)).alias("x")).where("x IS NOT NULL")
+    return rows.select(*PLACE, F.lit("slop_ngram").alias("family"), "x.rule", "x.start", "x.end", "x.evidence", F.lit(4).alias("weight10"))
+
+
 def lookaround_findings(docs: DataFrame) -> DataFrame:
     """Antitheses, and coordinated triples whose last two members have like numbers of words."""
     s = T.split_sentences(docs)

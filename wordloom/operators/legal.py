@@ -54,12 +54,17 @@ AMOUNT = r"(?iu)(\d{1,3}(?:[ .]\d{3})+(?:,\d{2})?|\d+(?:,\d{2})?)\s*(?:zł|PLN|E
 DATE = r"(?<!\d)(\d{1,2}\.\d{1,2}\.\d{4})(?!\d)"
 
 
+# Numbers that name a person, a company or a case, and units of statutes.
+IDENTIFIER = r"(?iu)((?:PESEL|NIP|REGON|KRS)\s*[:#]?\s*[0-9-]{6,20}|sygn\.\s*[IVXLC]+\s+[A-Z]{1,4}\s+\d{1,6}/\d{2,4})"
+UNIT = r"(?iu)(art\.\s*\d+[a-z]?(?:\s*§\s*\d+[a-z]?)?)"
+
+
 def letter_facts(docs: DataFrame) -> DataFrame:
-    """Distinct dates and amounts, in order of first appearance, and the first term with its unit and start."""
+    """Distinct dates, amounts, identifiers and units of statutes, in order of first appearance, and the first term with its unit and start."""
     text = F.coalesce("text", F.lit(""))
     joined = lambda p: F.array_join(F.array_distinct(F.regexp_extract_all(text, F.lit(p), 1)), "; ")
     null = lambda c: F.nullif(c, F.lit(""))
-    return docs.select("doc_id", joined(DATE).alias("dates"), joined(AMOUNT).alias("amounts"), null(F.regexp_extract(text, TERM, 1)).cast("int").alias("term_value"), null(F.regexp_extract(text, TERM, 2)).alias("term_unit"), null(F.regexp_extract(text, TERM, 3)).alias("term_start"))
+    return docs.select("doc_id", joined(DATE).alias("dates"), joined(AMOUNT).alias("amounts"), joined(IDENTIFIER).alias("identifiers"), joined(UNIT).alias("units"), null(F.regexp_extract(text, TERM, 1)).cast("int").alias("term_value"), null(F.regexp_extract(text, TERM, 2)).alias("term_unit"), null(F.regexp_extract(text, TERM, 3)).alias("term_start"))
 
 
 def remedies(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import patterns as P
 
-from . import detect
+from . import detect, documents, structure
 from . import text as T
 
 SEPARATION = 3.0
@@ -89,6 +89,21 @@ def style_statistics(docs: DataFrame) -> DataFrame:
     return values.crossJoin(F.broadcast(sizes)).select(share("tokens", "sentences", 2).alias("mean_sentence_words"), share("types", "tokens", 4).alias("type_token_ratio"), share("tokens", "documents", 2).alias("mean_document_words"))
 
 
+MIN_PROFILE, HIGH_SIGNAL = 5, 0.5
+
+
+def style_profile(docs: DataFrame) -> DataFrame:
+    """One row: the dominant kind of the documents, how many are of it and how many are left out, the style statistics of
+    its documents, and whether one of them has a high signal. No row below five documents of a kind; ties by name."""
+    kinds = structure.classify_family(docs).select("doc_id", "family")
+    counts = kinds.groupBy("family").agg(F.count("*").alias("documents"))
+    top = counts.orderBy(F.desc("documents"), "family").limit(1).where(F.col("documents") >= MIN_PROFILE)
+    total = counts.agg(F.sum("documents").alias("all"))
+    mine = docs.join(kinds.join(F.broadcast(top.select("family")), "family", "left_semi").select("doc_id"), "doc_id", "left_semi")
+    high = documents.document_signal(mine).agg(F.coalesce(F.max(F.col("signal_score") >= HIGH_SIGNAL), F.lit(False)).alias("warned"))
+    return top.withColumnRenamed("family", "kind").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(style_statistics(mine))).crossJoin(F.broadcast(high)).withColumn("excluded", F.col("all") - F.col("documents")).drop("all")
+
+
 def separation(docs: DataFrame, is_model: Column, ratio: float = SEPARATION) -> DataFrame:
     """rule, findings per 1,000 words of the models' and of human documents, ratio: the rules that tell them apart.
 

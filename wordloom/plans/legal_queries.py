@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.operators import corpus, documents, features, legal, outcomes, reports, rewrite, structure
+from wordloom.operators import corpus, detect, documents, features, legal, outcomes, reports, rewrite, structure
 from wordloom.operators import text as T
 
 from wordloom.functions.plans import table as _table
@@ -166,6 +166,7 @@ def queries() -> dict:
         "protected_terms": _protected, "backfilled_labels": _backfilled, "family_profile": seed(structure.family_profile), "document_facts": seed(legal.document_facts),
         "roman_units": _unit_issues("roman"), "arabic_units": _unit_issues("arabic"), "paragraph_units": _unit_issues("paragraph"),
         "document_check": seed(structure.check_document), "corpus_partition": seed(structure.partition), "classify_cascade": lambda s, d: structure.classify_cascade(_seeded(s, d), _table(s, d, "benchmark")),
+        "slop_ngrams": seed(detect.slop_ngrams), "style_profile": seed(outcomes.style_profile),
         "signed_modality": seed(features.signed_modality), "entry_problems": _entries, "deadline_status": _deadline_status, "catalogue_terms": _catalogue,
         "slugs": text(lambda t: T.slug(F.substring(t, 1, 200)), "slug"), "masked_excerpts": lambda s, d: _seeded(s, d).select("doc_id", T.masked_excerpt(F.coalesce("text", F.lit(""))).alias("excerpt")),
         "resume_remaining": lambda s, d: reports.remaining(_docs(s, d).select("doc_id", "source"), _table(s, d, "labels"), "doc_id"),

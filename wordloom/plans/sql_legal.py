@@ -202,6 +202,9 @@ def more(base: dict[str, str]) -> dict[str, str]:
         "corpus_partition": f"WITH d AS ({seeded}), x AS (SELECT doc_id, lower(list_last(string_split_regex(coalesce(text, ''), '\\n+'))) AS t FROM d) SELECT doc_id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{name}'" for name, ws in structure.PARTITIONS) + f" ELSE '{structure.REST}' END AS part FROM x",
         "classify_cascade": f"SELECT doc_id, CASE WHEN recall >= 0.5 OR (category = 'nieokreslony' AND item_id IS NOT NULL) THEN 'template:' || item_id ELSE category END AS category, CASE WHEN recall >= 0.5 THEN 'template' WHEN category <> 'nieokreslony' THEN 'signals' WHEN item_id IS NOT NULL THEN 'template_share' ELSE 'none' END AS by FROM ({base['classify_category']}) LEFT JOIN ({base['nearest_template'].replace('>= 0.4', '>= 0.25').replace('FROM documents)', f'FROM ({seeded}))')}) USING (doc_id)",
         "signed_modality": signed_modality(),
+        "style_profile": rf"WITH fa AS ({family()}), tp AS (SELECT family AS kind, count(*) AS documents FROM fa GROUP BY family HAVING count(*) >= 5 ORDER BY documents DESC, kind LIMIT 1), mi AS (SELECT * FROM ({seeded}) WHERE doc_id IN (SELECT doc_id FROM fa JOIN tp ON family = kind)), "
+        rf"x AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[A-Za-zĄ-ż]+') AS w, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[{S.B}]+', '\1' || chr(31), 'g'), chr(31)), lambda s: regexp_replace(s, {S.STRIP}) <> '')) AS s FROM mi), sg AS ({S.sentences('SELECT doc_id, text FROM mi') + S.found_cte() + S.SIGNAL} SELECT max(signal_score) AS m FROM ds) "
+        "SELECT kind, documents, (SELECT count(*) FROM fa) - documents AS excluded, (SELECT round(sum(len(w)) / sum(s), 2) FROM x) AS mean_sentence_words, (SELECT round((SELECT count(DISTINCT t) FROM (SELECT unnest(w) AS t FROM x)) / sum(len(w)), 4) FROM x) AS type_token_ratio, (SELECT round(sum(len(w)) / count(*), 2) FROM x) AS mean_document_words, (SELECT m >= 0.5 FROM sg) AS warned FROM tp",
         "entry_problems": f"WITH t AS (SELECT DISTINCT unnest({TOK}) AS term FROM ({seeded})), e AS (SELECT term, ['word', 'opening_2', 'phrase'][len(term) % 3 + 1] AS kind, ['accepted', 'rejected', 'candidate', 'lost'][len(term) % 4 + 1] AS status, ['', 'usual', ' '][(len(term) + 1) % 3 + 1] AS note, term IN ({listed}) OR (len(term) = 1 AND term NOT IN ({one})) OR {modal} AS protected FROM t), "
         "p AS (SELECT term, CASE WHEN kind = 'phrase' THEN 'unknown kind' WHEN status = 'lost' THEN 'unknown status' WHEN status = 'accepted' AND protected THEN 'a protected term is accepted' WHEN status = 'rejected' AND trim(note) = '' THEN 'rejected without a reason' END AS problem FROM e) SELECT * FROM p WHERE problem IS NOT NULL",
         "deadline_status": f"SELECT id, last_day, (last_day - DATE '1996-01-15')::INTEGER AS days_left, CASE WHEN last_day < DATE '1996-01-15' THEN 'passed' WHEN last_day = DATE '1996-01-15' THEN 'today' WHEN last_day - DATE '1996-01-15' <= 7 THEN 'soon' ELSE 'open' END AS status FROM ({deadlines('14')})",
@@ -212,7 +215,7 @@ def more(base: dict[str, str]) -> dict[str, str]:
         "drop_boilerplate": f"SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(coalesce(text, ''), '(?is){T.REASONING}', ''), chr(10)), lambda l: NOT regexp_matches(l, '(?i){boiler}')), chr(10)) AS body FROM documents",
         "anonymisation_rate": rf"SELECT doc_id, CASE WHEN n > 0 THEN round(k / n, 4) ELSE 0 END::DOUBLE AS rate FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\p{{L}}+')) AS n, len(regexp_extract_all(coalesce(text, ''), '{T.GAP}')) + len(regexp_extract_all(coalesce(text, ''), '(?:^|[^{word}]){T.INITIALS}')) AS k FROM documents)",
         "verify_references": articles() + ", un AS (SELECT * FROM (VALUES ('kc', '6'), ('kc', '415'), ('kpc', '187')) v(code, article)) SELECT doc_id, code, article, CASE WHEN EXISTS (SELECT 1 FROM un WHERE un.code = a.code AND un.article = a.article) THEN 'confirmed' WHEN a.code IN (SELECT code FROM un) THEN 'not_found' ELSE 'unknown_act' END AS status FROM (SELECT DISTINCT doc_id, code, article FROM ar) a",
-        "letter_facts": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM ({seeded})) SELECT doc_id, {distinct('(?:^|[^0-9])([0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4})(?:[^0-9]|$)')} AS dates, {distinct(amount)} AS amounts, nullif(regexp_extract(text, '{term}', 1), '')::INTEGER AS term_value, nullif(regexp_extract(text, '{term}', 2), '') AS term_unit, nullif(regexp_extract(text, '{term}', 3), '') AS term_start FROM d",
+        "letter_facts": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM ({seeded})) SELECT doc_id, {distinct('(?:^|[^0-9])([0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4})(?:[^0-9]|$)')} AS dates, {distinct(amount)} AS amounts, {distinct(legal.IDENTIFIER.replace('(?iu)', '(?i)'))} AS identifiers, {distinct(legal.UNIT.replace('(?iu)', '(?i)'))} AS units, nullif(regexp_extract(text, '{term}', 1), '')::INTEGER AS term_value, nullif(regexp_extract(text, '{term}', 2), '') AS term_unit, nullif(regexp_extract(text, '{term}', 3), '') AS term_start FROM d",
         "anchor_retention": S.sentences(S.SEEDED) + rf""", x AS (SELECT doc_id AS id, arg_min(text, paragraph_index * 1000000 + sentence_index) AS o, arg_max(text, paragraph_index * 1000000 + sentence_index) AS c FROM s GROUP BY doc_id),
 y AS (SELECT id, {anchors('o')} AS a, {anchors('c')} AS b FROM x) SELECT id, len(a)::INTEGER AS anchors, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(a), 4) ELSE 1 END::DOUBLE AS retention, array_to_string(list_sort(list_filter(a, lambda v: NOT list_contains(b, v))), ',') AS lost FROM y""",
     }
