@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import patterns as P
+from wordloom.functions.plans import cut
 
 from . import features
 from . import text as T
@@ -41,8 +42,12 @@ def log_odds(a: DataFrame, b: DataFrame, min_count: int = 5, prior_scale: float
 def auc(scored: DataFrame) -> DataFrame:
     """Area under the curve of score against label 0/1, by rank sums; scored has score, label."""
     per = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    below = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    won = per.withColumn("b", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    # Ranges of scores, kept as they fell: sums run within a range, and over the few ranges.
+    per = cut(per.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
+    ranges = per.groupBy("part").agg(F.sum("q").alias("all"))
+    ahead = ranges.select("part", F.coalesce(F.sum("all").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    below = W.partitionBy("part").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    won = per.join(F.broadcast(ahead), "part").withColumn("b", F.col("ahead") + F.coalesce(F.sum("q").over(below), F.lit(0)))
     t = won.agg(F.sum(F.col("p") * F.col("b") + 0.5 * F.col("p") * F.col("q")).alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return t.select(F.round(F.col("w") / (F.col("p") * F.col("q")), 4).alias("auc"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import patterns as P
+from wordloom.functions.plans import cut
 
 from . import features
 from . import text as T
@@ -164,5 +165,6 @@ def rewrite(docs: DataFrame, steps: int = 2) -> DataFrame:
         one = F.struct("sentence_index", F.concat(fresh, F.coalesce(F.get("between", F.col("sentence_index")), F.lit(""))).alias("t"))
         joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "")
         rows = s.groupBy("doc_id", "p").agg(F.first("gap").alias("gap"), joined(one).alias("t"))
-        docs = rows.groupBy("doc_id").agg(joined(F.struct("p", F.concat("t", "gap").alias("t"))).alias("text"))
+        # Kept after each step: the next one reads it twice.
+        docs = cut(rows.groupBy("doc_id").agg(joined(F.struct("p", F.concat("t", "gap").alias("t"))).alias("text")))
     return docs
