@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.operators import corpus, detect, documents, features, legal, outcomes, reports, rewrite, structure
+from wordloom.operators import corpus, detect, documents, features, legal, outcomes, references, reports, rewrite, structure
 from wordloom.operators import text as T
 
 from wordloom.functions.plans import table as _table
@@ -76,6 +76,16 @@ def _verified(s: SparkSession, d: str) -> DataFrame:
     return legal.verify(legal.statute_references(_seeded(s, d)), units)
 
 
+#: Units of two codes as trees, and which acts could be read.
+TREES = [("kc", '{"id": "kc", "children": [{"id": "chpt_1", "children": [{"id": "chpt_1-art_6"}, {"id": "chpt_1-art_415"}]}]}'), ("DU/2020/1740", None)]
+
+
+def _verdicts(s: SparkSession, d: str) -> DataFrame:
+    units = references.tree_units(s.createDataFrame(TREES, "act string, tree string"))
+    acts = s.createDataFrame([("kc", True), ("DU/2020/1740", False)], "act string, available boolean")
+    return references.verdicts(references.statutes(_seeded(s, d)), units, acts)
+
+
 def _outcomes(s: SparkSession, d: str) -> DataFrame:
     """Outcomes of a run, here made from the documents' numbers and sizes."""
     i, n = F.coalesce("doc_id", F.lit(0)), F.coalesce("n_chars", F.lit(0))
@@ -157,6 +167,7 @@ def queries() -> dict:
         "classify_family": seed(structure.classify_family), "classify_category": seed(structure.classify_category),
         "nearest_template": lambda s, d: structure.nearest_template(_docs(s, d), _table(s, d, "benchmark")),
         "statute_references": seed(legal.statute_references), "case_references": seed(legal.case_references), "verify_references": _verified, "letter_facts": seed(legal.letter_facts), "letter_remedies": seed(legal.remedies), "letter_parts": seed(legal.letter_parts),
+        "bound_statutes": seed(references.statutes), "case_numbers": seed(references.cases), "reference_verdicts": _verdicts,
         "holidays": lambda s, d: legal.holidays(_table(s, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()),
         "deadlines_days": _deadlines("day", 14), "deadlines_months": _deadlines("month", 1),
         "batch_summary": lambda s, d: reports.batch_summary(documents.document_signal(_seeded(s, d))), "rule_decisions": lambda s, d: reports.rule_decisions(_outcomes(s, d)),
