@@ -86,11 +86,11 @@ LINE_END = r"\r\n|\n|\r"
 INSTRUCTION = rf"^[{P.BLANK}]*(pouczeni[ea](?:[^\p{{L}}\p{{N}}_].*)?)\z"
 
 
-def letter_parts(docs: DataFrame) -> DataFrame:
+def letter_parts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, head, titles, instruction of a letter.
 
     The head is what stands above the title within the first lines that are not blank, or all of these without a title; titles are the short
-    lines of the beginning; the instruction starts at its heading, without one it is the sentences that grant a remedy. A null text is empty.
+    lines of the beginning; the instruction starts at its heading, without one it is the sentences that grant a remedy. A null text is empty. `more`: text, lines.
     """
     flat = lambda x: F.lower(T.strip(F.regexp_replace(x, f"[{P.BLANK}]+", " ")))
     is_title = lambda x: (F.char_length(flat(x)) <= TITLE_CHARS) & flat(x).rlike(rf"^(?:{'|'.join(TITLES)})(?!\p{{L}})")
@@ -102,7 +102,7 @@ def letter_parts(docs: DataFrame) -> DataFrame:
     granting = F.filter(F.split("text", T.SENTENCE_GAP, -1), lambda x: x.rlike(f"(?iu){'|'.join(GRANTS)}"))
     headed = F.regexp_extract("text", f"(?imsud){INSTRUCTION}", 1)
     instruction = F.when(headed != "", headed).otherwise(F.array_join(granting, " "))
-    return d.select("doc_id", F.array_join(head, "\n").alias("head"), F.array_join(F.transform(short, flat), " | ").alias("titles"), instruction.alias("instruction"))
+    return d.select("doc_id", F.array_join(head, "\n").alias("head"), F.array_join(F.transform(short, flat), " | ").alias("titles"), instruction.alias("instruction"), *more)
 
 
 # Public holidays of every year as (month, day).

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.operators.replies import Catalogue, Kind, Reply
+
 FRAGMENTS = [
     "Warto zauważyć, że strony zawarły umowę. Ponadto najemca zapłacił czynsz 1 500 zł w dniu 12.03.2021. Ponadto oddał klucze.",
     "Z jednej strony termin minął, a z drugiej strony dłużnik zapłacił. W praktyce oznacza to zwłokę. Kluczowe znaczenie ma data.",
@@ -34,3 +36,29 @@ def seeded(docs: DataFrame) -> DataFrame:
 def sql_seeded() -> str:
     listed = ", ".join("'" + f.replace("'", "''") + "'" for f in FRAGMENTS)
     return f"SELECT doc_id, text || chr(10) || [{listed}][doc_id % {len(FRAGMENTS)} + 1] AS text FROM documents"
+
+
+#: A small catalogue of our own for the reply queries; users bring theirs.
+CATALOGUE = Catalogue(
+    acts=[
+        Kind("decyzja", strong=("orzekam", "od decyzji"), weak=("organ",), headers=("decyzja",)),
+        Kind("wyrok_zaoczny", strong=("wyrok zaoczny",), headers=("wyrok zaoczny",)),
+        Kind("wyrok", strong=("zasądza",), weak=("powód", "pozwan"), headers=("wyrok",)),
+        Kind("wezwanie", strong=("wezwani",), weak=("usunąć wady",), headers=("wezwanie", "wezwanie do zapłaty")),
+    ],
+    senders=[
+        Kind("gmina", strong=("wójt",), weak=("wojewod",), procedure="kpa"),
+        Kind("sad", strong=("sąd rejonowy", "sąd okręgowy"), weak=("powód",), procedure="kpc"),
+    ],
+    procedures=[
+        Kind("kpa", strong=("k.p.a.", "kodeksu postępowania administracyjnego")),
+        Kind("kpc", strong=("k.p.c.", "kodeksu postępowania cywilnego")),
+    ],
+    replies=[
+        Reply("odwolanie", acts=("decyzja",), procedures=("kpa",), remedies=("odwołanie",), term=(14, "day"), ruled_out=("decyzja jest ostateczna",)),
+        Reply("skarga", acts=("decyzja",), remedies=("skarga", "skargę"), term=(30, "day"), instruction_only=True),
+        Reply("sprzeciw", acts=("wyrok_zaoczny",), remedies=("sprzeciw",), term=(14, "day")),
+        Reply("odpowiedz_na_wezwanie", acts=("wezwanie",), term_from_letter=True),
+        Reply("wniosek_ogolny"),
+    ],
+)
