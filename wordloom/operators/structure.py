@@ -181,8 +181,8 @@ def pairs(text: Column) -> Column:
     return F.array_distinct(T.ngrams(T.tokens(F.coalesce(text, F.lit(""))), 2))
 
 
-def nearest_template(docs: DataFrame, templates: DataFrame, floor: float = 0.4) -> DataFrame:
-    """doc_id, item_id, f1, recall of the template that shares most word pairs, if it shares at least `floor` of the template's.
+def nearest_template(docs: DataFrame, templates: DataFrame, floor: float = 0.4, top: int = 1) -> DataFrame:
+    """doc_id, item_id, f1, recall of the templates (`top` of them) that share most word pairs, if they share at least `floor` of the template's.
 
     An inverted index of the templates' pairs is joined with the documents' pairs.
     """
@@ -198,4 +198,4 @@ def nearest_template(docs: DataFrame, templates: DataFrame, floor: float = 0.4)
     flat = d.select("doc_id", F.size("ps").alias("nd"), F.explode_outer("ps").alias("pair"))
     shared = flat.join(posting, "pair").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.max("nt").alias("nt"), F.max("nd").alias("nd"))
     s = shared.where(F.col("k") / F.col("nt") >= floor).select("doc_id", "item_id", F.round(2 * F.col("k") / (F.col("nt") + F.col("nd")), 4).alias("f1"), F.round(F.col("k") / F.col("nt"), 4).alias("recall"))
-    return s.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("f1"), "item_id"))).where("r = 1").drop("r")
+    return s.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("f1"), "item_id"))).where(F.col("r") <= top).drop("r")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.operators import corpus, detect, documents, features, legal, outcomes, references, replies, reports, rewrite, structure
+from wordloom.operators import alignment, corpus, detect, documents, features, legal, outcomes, references, replies, reports, rewrite, structure
 from wordloom.operators import text as T
 
 from wordloom.functions.plans import table as _table
@@ -168,6 +168,7 @@ def queries() -> dict:
         "nearest_template": lambda s, d: structure.nearest_template(_docs(s, d), _table(s, d, "benchmark")),
         "statute_references": seed(legal.statute_references), "case_references": seed(legal.case_references), "verify_references": _verified, "letter_facts": seed(legal.letter_facts), "letter_remedies": seed(legal.remedies), "letter_parts": seed(legal.letter_parts),
         "bound_statutes": seed(references.statutes), "case_numbers": seed(references.cases), "reference_verdicts": _verdicts,
+        "match_template": lambda s, d: alignment.match_template(_docs(s, d), _table(s, d, "benchmark")), "check_category": lambda s, d: alignment.check_category(_seeded(s, d), _table(s, d, "benchmark")),
         "letter_kind": seed(lambda x: replies.letter_kind(x, CATALOGUE).drop("text", "instruction")), "offered_replies": seed(lambda x: replies.offered(x, CATALOGUE)),
         "holidays": lambda s, d: legal.holidays(_table(s, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()),
         "deadlines_days": _deadlines("day", 14), "deadlines_months": _deadlines("month", 1),
