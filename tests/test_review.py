@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 from pyspark.sql import functions as F
-from wordloom.operators import corpus, detect, features, legal, outcomes, reports, structure
+from wordloom.operators import corpus, detect, features, legal, outcomes, reports, rewrite, structure
 from wordloom.sources import readers
 
 
@@ -101,3 +101,14 @@ def test_cascade(spark):
     t = spark.createDataFrame([(7, "ala ma kota i psa w domu")], "item_id long, text string")
     d = frame(spark, ["Ala ma kota i psa w domu", "Najem lokalu: najemca płaci czynsz za lokal, najem trwa.", "ala ma kota oraz rybki", "nic"])
     assert [(r.category, r.by) for r in structure.classify_cascade(d, t).orderBy("doc_id").collect()] == [("template:7", "template"), ("umowa_najmu", "signals"), ("template:7", "template_share"), ("nieokreslony", "none")]
+
+
+def test_scores_by_hand(spark):
+    rows = [
+        ("Ala ma kota.", "Ala  ma kota.".replace("  ", " "), "cleanup:spacing", 0.1, 0.0),  # equal length and low risk: 0.1 + 0.05
+        ("Ala ma psa i kota oraz rybę.", "Ala.", "split_long", 0.5, 0.1),  # bonus 0.025, risk 0.1 + 0.12, penalty 0.08 + 0.06
+        ("Zob. art. 5 umowy.", "Zob. art. 6 umowy.", "legal_style:x", 0.6, 0.05),  # 0.05 gain; 0.05 + 0.015 + 0.02 + 0.18 risk
+    ]
+    d = spark.createDataFrame(rows, "original string, candidate string, rule string, score double, risk double")
+    got = {r.rule: (round(r.gain, 4), round(r.total_risk, 4), round(r.penalty, 4), r.final) for r in rewrite.scored(d).collect()}
+    assert got == {"cleanup:spacing": (0.05, 0.0, 0.0, 0.15), "split_long": (0.025, 0.22, 0.14, 0.165), "legal_style:x": (0.05, 0.265, 0.0, 0.385)}

@@ -26,6 +26,15 @@ LOW_SIGNAL = (
 SUFFIXES = "owanie owania owaniu owana owany owane ono ego emu ych ymi ami ach owi owa owy owe ona ony one enie ania anie ę ą a u e y i".split()
 
 
+def artifact_score(text: Column) -> Column:
+    """Transitions, vague words and nominalisations of a sentence as one score, as `sentence_features` has it."""
+    w = T.tokens(text)
+    n = F.greatest(F.size(w), F.lit(1))
+    vague = F.size(F.filter(w, lambda x: x.rlike(detect.VAGUE)))
+    nominal = F.size(F.filter(w, lambda x: (F.char_length(x) >= 7) & x.rlike(detect.NOMINAL)))
+    return F.least(F.lit(1.0), P.count(text, TRANSITION) * 0.18 + F.least(F.lit(0.30), vague / n) + F.least(F.lit(0.20), nominal / n * 2))
+
+
 def sentence_features(docs: DataFrame) -> DataFrame:
     """A row for each sentence: words, commas, negations, transitions, vague words, nominalisations, numbers, modality, density scores."""
     s = T.split_sentences(docs).withColumn("w", T.tokens(F.col("text"))).withColumn("n", F.size("w"))

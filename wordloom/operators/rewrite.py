@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import patterns as P
 from wordloom.functions.plans import cut
 
-from . import features
+from . import detect, features
 from . import text as T
 
 # Replacements as (rule, pattern, replacement, score, risk).
@@ -137,6 +137,42 @@ def gates(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("reason", F.coalesce(*[F.when(~ok, F.lit(name)) for name, ok in checks]))
 
 
+# Fixed values of the score: by a rule's family (gain, gain for each point of artifact score that goes, its cap, risk, penalty); limits of the change of length with
+# gain and penalty; (risk for each, cap) of references and norms; risks of changed norms, of lost references, of any reference; weight of lost anchors; strength by mode.
+FAMILIES = {"legal_style:comma_": (0.025, 0.0, 0.0, 0.0, 0.0), "cleanup:": (0.025, 0.0, 0.0, 0.0, 0.0), "split_": (0.0, 0.0, 0.0, 0.12, 0.08), "redundancy:": (0.0, 0.0, 0.0, 0.08, 0.0), "ai_artifact:": (0.0, 0.35, 0.08, 0.16, 0.0), "legal_ai_style:": (0.025, 0.25, 0.05, 0.05, 0.0)}
+LOW_RISK = ("legal_style:comma_", "cleanup:")
+SAME_LENGTH, OTHER_LENGTH = (0.04, 0.025), (0.18, 0.06)
+REFERENCE_RISK, NORM_RISK, NOMINAL_GAIN = (0.015, 0.10), (0.025, 0.08), (0.01, 0.05)
+CHANGED_NORM, LOST_REFERENCE, ANY_REFERENCE, LOST_ANCHOR = 0.25, 0.18, 0.02, 0.08
+STRENGTH = {"conservative": 25, "standard": 50, "strong": 70}
+
+
+def scored(pairs: DataFrame, mode: str = "standard") -> DataFrame:
+    """pairs (original, candidate, rule, score, risk) with gain, total_risk, penalty, final: the rule's score plus gains, less risks and penalties, within 0 and 1.
+
+    Terms that need a parse or a lexicon (depth, formality, passives, monotony of paragraphs) are 0.
+    """
+    o, c, rule = F.col("original"), F.col("candidate"), F.col("rule")
+    capped = lambda n, each_cap: F.least(n * each_cap[0], F.lit(each_cap[1]))
+    of = lambda k: F.coalesce(*[F.when(rule.startswith(f), v[k]) for f, v in FAMILIES.items()], F.lit(0.0))
+    low = F.greatest(*[rule.startswith(f) for f in LOW_RISK])
+    change = F.abs(F.char_length(c) - F.char_length(o)) / F.greatest(F.char_length(o), F.lit(1))
+    went = F.greatest(F.lit(0.0), features.artifact_score(o) - features.artifact_score(c))
+    nominal = F.size(F.filter(T.tokens(o), lambda w: (F.char_length(w) >= 7) & w.rlike(detect.NOMINAL)))
+    references = lambda t: F.regexp_extract_all(t, F.lit(features.INVENTORY["legal_references"]), 0)
+    norms = lambda t: [P.count(t, p) for p in DEONTIC]
+    share = lambda a, b: F.when(F.size(a) > 0, F.size(F.array_except(a, b)) / F.size(F.array_distinct(a))).otherwise(0.0)
+    n, changed = F.size(references(o)), F.greatest(*[a != b for a, b in zip(norms(o), norms(c))])
+    gain = F.when(change <= SAME_LENGTH[0], SAME_LENGTH[1]).otherwise(0.0) + of(0) + F.least(of(2), went * of(1)) + F.when(rule.startswith("kancelaryzm"), capped(nominal, NOMINAL_GAIN)).otherwise(0.0)
+    gain = gain + F.when(low, 0.0).otherwise((STRENGTH[mode] - 25) / 1000)
+    risk = F.col("risk") + of(3) + capped(n, REFERENCE_RISK) + capped(sum(norms(o), F.lit(0)), NORM_RISK) + F.when(changed, CHANGED_NORM).otherwise(0.0)
+    risk = risk + F.when((n > 0) & ~low, ANY_REFERENCE).otherwise(0.0) + share(references(o), references(c)) * LOST_REFERENCE
+    penalty = of(4) + F.when(change >= OTHER_LENGTH[0], OTHER_LENGTH[1]).otherwise(0.0)
+    final = F.col("score") + F.col("gain") - F.col("total_risk") - F.col("penalty") - share(features.anchors(o), features.anchors(c)) * LOST_ANCHOR
+    d = pairs.withColumns({"gain": F.round(gain, 6), "total_risk": F.round(risk, 6), "penalty": penalty})
+    return d.withColumn("final", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), final)), 4))
+
+
 def rewrite_best(docs: DataFrame) -> DataFrame:
     """The best passing candidate of each sentence that has one: highest score, then the rules' order."""
     g = gates(candidates(docs)).where("reason IS NULL")

@@ -162,7 +162,7 @@ def queries() -> dict:
         "usable_documents": lambda s, d: _docs(s, d).where(T.word_count(F.col("text")) >= 150).select("doc_id", T.word_count(F.col("text")).alias("words")),
         "protect_restore": _protection,
         "sentence_features": seed(features.sentence_features), "paragraph_features": seed(features.paragraph_features), "anchor_retention": _anchors, "sensitive_inventory": seed(features.sensitive_inventory),
-        "rewrite_candidates": seed(lambda x: rewrite.gates(rewrite.candidates(x)).drop("gen_order")), "rewrite_best": seed(rewrite.rewrite_best), "gate_reasons": _gate_reasons, "rewrite_documents": seed(rewrite.rewrite),
+        "rewrite_candidates": seed(lambda x: rewrite.gates(rewrite.candidates(x)).drop("gen_order")), "rewrite_best": seed(rewrite.rewrite_best), "gate_reasons": _gate_reasons, "scored_candidates": seed(lambda x: rewrite.scored(rewrite.candidates(x)).drop("gen_order")), "rewrite_documents": seed(rewrite.rewrite),
         "headings": seed(structure.headings), "numbering_issues": seed(structure.numbering_issues), "section_check": seed(structure.section_check), "order_issues": seed(structure.order_issues), "section_bodies": seed(structure.section_bodies),
         "classify_family": seed(structure.classify_family), "classify_category": seed(structure.classify_category),
         "nearest_template": lambda s, d: structure.nearest_template(_docs(s, d), _table(s, d, "benchmark")),

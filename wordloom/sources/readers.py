@@ -82,6 +82,80 @@ def docx_texts(units: DataFrame) -> DataFrame:
     return units.where("problem IS NULL").groupBy("path").agg(joined.alias("text"))
 
 
+XLSX = "path string, sheet string, row int, place int, value string, problem string"
+
+
+def xlsx_cells(spark: SparkSession, path: str) -> DataFrame:
+    """path, sheet, row and place (from 1), value of every cell of XLSX files that holds one; a formula's cell gives its stored value.
+
+    Lock files are skipped; a file that can't be read gives one row with the problem.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).where(~F.col("path").rlike(r"/~\$[^/]*$")).select("path", "content")
+
+    def cells(frames: Iterator) -> Iterator:
+        import io
+        import posixpath
+        import zipfile
+        from xml.etree import ElementTree
+
+        import pandas as pd
+
+        main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+        link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+        def joined(node) -> str:
+            return "".join(t.text or "" for t in node.iter(f"{main}t"))
+
+        def sheet_cells(book):
+            parse = lambda name: ElementTree.fromstring(book.read(name))
+            shared = [joined(x) for x in parse("xl/sharedStrings.xml").iter(f"{main}si")] if "xl/sharedStrings.xml" in book.namelist() else []
+            targets = {r.get("Id"): r.get("Target") for r in parse("xl/_rels/workbook.xml.rels")}
+            for sheet in parse("xl/workbook.xml").iter(f"{main}sheet"):
+                part = posixpath.normpath(posixpath.join("/xl", targets[sheet.get(link)])).lstrip("/")
+                row = 0
+                for line in parse(part).iter(f"{main}row"):
+                    row, place = int(line.get("r", row + 1)), 0
+                    for c in line.iter(f"{main}c"):
+                        letters = "".join(x for x in c.get("r", "") if x.isalpha())
+                        at = 0
+                        for x in letters:
+                            at = at * 26 + ord(x) - 64
+                        place = at or place + 1
+                        held = c.find(f"{main}v")
+                        value = joined(c) if c.get("t") == "inlineStr" else None if held is None else shared[int(held.text)] if c.get("t") == "s" else held.text
+                        if value is not None:
+                            yield sheet.get("name"), row, place, value
+
+        for frame in frames:
+            rows = []
+            for name, content in zip(frame["path"], frame["content"]):
+                try:
+                    rows += [(name, *x, None) for x in list(sheet_cells(zipfile.ZipFile(io.BytesIO(content))))]
+                except Exception as e:  # one broken file must not end a batch
+                    rows.append((name, None, None, None, None, f"{type(e).__name__}: {e}"))
+            out = pd.DataFrame(rows, columns=[x.split()[0] for x in XLSX.split(", ")])
+            yield out.astype({"row": "Int32", "place": "Int32"})
+
+    return files.mapInPandas(cells, XLSX)
+
+
+def xlsx_column(cells: DataFrame, wanted: str | int, header_row: int = 1) -> DataFrame:
+    """path, sheet, row, text of the column named by place, letter or header (without regard to case and blanks), below the header row.
+
+    A header wins over a letter; a sheet without the column gives no rows, and where several have the header the first counts.
+    """
+    plain = lambda x: F.lower(F.regexp_replace(x, r"\s+", ""))
+    by_place = int(wanted) if str(wanted).isdigit() else None
+    if by_place is None and str(wanted).isalpha() and str(wanted).isascii() and len(str(wanted)) <= 3:
+        by_place = 0
+        for x in str(wanted).upper():
+            by_place = by_place * 26 + ord(x) - 64
+    named = cells.where((F.col("row") == header_row) & (plain(F.col("value")) == "".join(str(wanted).lower().split())) & F.lit(not str(wanted).isdigit()))
+    named = named.groupBy("path", "sheet").agg(F.min("place").alias("at"))
+    j = cells.where(F.col("row") > header_row).join(named, ["path", "sheet"], "left")
+    return j.where(F.col("place") == F.coalesce("at", F.lit(by_place))).select("path", "sheet", "row", F.col("value").alias("text"))
+
+
 def column(df: DataFrame, wanted: str | int) -> Column:
     """A column by its 1-based place, its letter, or its header without regard to case and blanks."""
     names = df.columns
