@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of input up to which a table of fewer parts than cores is dealt out anew.
 SPREAD_BYTES = 1 << 30
@@ -33,6 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a table is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if a count shows no more rows than that, else df as it is (a shuffle join); rows should be of a few short values."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many parts as there are cores, if it is small and a scan would leave cores idle; a file of one row group is one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -180,27 +182,41 @@ def rewrite_best(docs: DataFrame) -> DataFrame:
     return g.withColumn("k", F.row_number().over(order)).where("k = 1").select("doc_id", "paragraph_index", "sentence_index", "original", "candidate", "rule", "score")
 
 
-def rewrite(docs: DataFrame, steps: int = 2) -> DataFrame:
-    """doc_id and text after `steps` rounds of single best edits; what stands between sentences and paragraphs stays as it was.
-
-    Rows go by doc_id, which has to be unique; a null text is empty.
-    """
+def _applied(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """doc_id and text with the best candidates in the places of their sentences; what stands between sentences and paragraphs stays as it was."""
     shown = lambda p: T.strip(p) != ""
-    for _ in range(steps):
-        text = F.coalesce("text", F.lit(""))
-        p = docs.select("doc_id", F.split(text, "\n+", -1).alias("ps"), F.regexp_extract_all(text, F.lit("\n+"), 0).alias("gaps"))
-        p = p.select("doc_id", "ps", "gaps", F.posexplode("ps").alias("p", "paragraph"))
-        p = p.select("doc_id", "p", "paragraph", F.coalesce(F.get("gaps", F.col("p")), F.lit("")).alias("gap"), (F.size(F.filter(F.slice("ps", F.lit(1), F.col("p") + 1), shown)) - 1).alias("paragraph_index"))
-        whole = F.regexp_extract(F.col("paragraph"), f"^[{T.BLANK}]*", 0)
-        s = p.select("doc_id", "p", "gap", "paragraph_index", "paragraph", whole.alias("indent"), T.sentence_gaps(F.col("paragraph")).alias("between"), F.posexplode_outer(F.split("paragraph", T.SENTENCE_GAP, -1)).alias("sentence_index", "raw"))
-        best = rewrite_best(docs).select("doc_id", "paragraph_index", "sentence_index", "candidate")
-        s = s.join(best, ["doc_id", "paragraph_index", "sentence_index"], "left")
-        # A sentence without its edges is what the candidate stands for; blank paragraphs have none.
-        edges = F.concat(F.regexp_extract("raw", f"^[{T.BLANK}]*", 0), F.col("candidate"), F.regexp_extract("raw", f"[{T.BLANK}]*$", 0))
-        fresh = F.when(F.col("candidate").isNotNull() & shown(F.col("paragraph")), edges).otherwise(F.col("raw"))
-        one = F.struct("sentence_index", F.concat(fresh, F.coalesce(F.get("between", F.col("sentence_index")), F.lit(""))).alias("t"))
-        joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "")
-        rows = s.groupBy("doc_id", "p").agg(F.first("gap").alias("gap"), joined(one).alias("t"))
-        # Kept after each step: the next one reads it twice.
-        docs = cut(rows.groupBy("doc_id").agg(joined(F.struct("p", F.concat("t", "gap").alias("t"))).alias("text")))
-    return docs
+    text = F.coalesce("text", F.lit(""))
+    p = docs.select("doc_id", F.split(text, "\n+", -1).alias("ps"), F.regexp_extract_all(text, F.lit("\n+"), 0).alias("gaps"))
+    p = p.select("doc_id", "ps", "gaps", F.posexplode("ps").alias("p", "paragraph"))
+    p = p.select("doc_id", "p", "paragraph", F.coalesce(F.get("gaps", F.col("p")), F.lit("")).alias("gap"), (F.size(F.filter(F.slice("ps", F.lit(1), F.col("p") + 1), shown)) - 1).alias("paragraph_index"))
+    s = p.select("doc_id", "p", "gap", "paragraph_index", "paragraph", T.sentence_gaps(F.col("paragraph")).alias("between"), F.posexplode_outer(F.split("paragraph", T.SENTENCE_GAP, -1)).alias("sentence_index", "raw"))
+    s = s.join(best.select("doc_id", "paragraph_index", "sentence_index", "candidate"), ["doc_id", "paragraph_index", "sentence_index"], "left")
+    # A sentence without its edges is what the candidate stands for; blank paragraphs have none.
+    edges = F.concat(F.regexp_extract("raw", f"^[{T.BLANK}]*", 0), F.col("candidate"), F.regexp_extract("raw", f"[{T.BLANK}]*$", 0))
+    fresh = F.when(F.col("candidate").isNotNull() & shown(F.col("paragraph")), edges).otherwise(F.col("raw"))
+    one = F.struct("sentence_index", F.concat(fresh, F.coalesce(F.get("between", F.col("sentence_index")), F.lit(""))).alias("t"))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "")
+    rows = s.groupBy("doc_id", "p").agg(F.first("gap").alias("gap"), joined(one).alias("t"))
+    return rows.groupBy("doc_id").agg(joined(F.struct("p", F.concat("t", "gap").alias("t"))).alias("text"))
+
+
+def stepped(docs: DataFrame, steps: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The texts after `steps` rounds of single best edits (row, doc_id, source, text), and the edits (row, doc_id, step, paragraph_index, sentence_index, before, after, rule).
+
+    Each row is a document of its own, whatever its doc_id; a null text is empty. Both tables are kept.
+    """
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    now, edits = rows.select(F.col("row").alias("doc_id"), "text"), []
+    for step in range(1, steps + 1):
+        best = cut(rewrite_best(now))
+        edits.append(best.select(F.col("doc_id").alias("row"), F.lit(step).alias("step"), "paragraph_index", "sentence_index", F.col("original").alias("before"), F.col("candidate").alias("after"), "rule"))
+        now = cut(_applied(now, best))  # the next round reads it twice
+    ids = rows.select("row", "doc_id")
+    texts = rows.withColumnRenamed("text", "source").join(now.withColumnRenamed("doc_id", "row"), "row")
+    made = reduce(DataFrame.unionByName, edits).join(ids, "row").select("row", "doc_id", *edits[0].columns[1:])
+    return texts, made
+
+
+def rewrite(docs: DataFrame, steps: int = 2) -> DataFrame:
+    """doc_id and text after `steps` rounds of single best edits, a row for each row of docs."""
+    return stepped(docs, steps)[0].select("doc_id", "text")

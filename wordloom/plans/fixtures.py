@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.operators.replies import Catalogue, Kind, Reply
@@ -26,10 +26,34 @@ FRAGMENTS = [
 ]
 
 
-def seeded(docs: DataFrame) -> DataFrame:
+#: Fragments that repeat themselves, and a small dictionary and doublets of our own for the rules that ask for them; users bring theirs.
+REDUNDANT = [
+    "Generalny wykonawca naprawia drogę gminną. Generalny wykonawca usuwa wady budynku. Generalny wykonawca usuwa szkody budynku.",
+    "Wykonawca naprawia drogę gminną w całości, oraz wykonawca usuwa wady. To cel i zamiar stron.",
+    "Zapis umowy jest klarowny i jasny. Zamawiający określa cenę. Zamawiający zapłacił cenę.",
+    "Należy dokonać analizy. Zarząd ma podjąć uchwałę, a potem dokonać zmiany oraz dokonać wyboru. Strona składa wniosek w celu skorzystania z ulgi.",
+    "Dokonano zmiany umowy. Organ sprawuje nadzór bez zwłoki. Spółka płaci w celu uniknięcia zwłoki i w celu spłaty.",
+]
+FORMS = [
+    ("wykonawca", "wykonawca", "subst:sg:nom:m1"), ("zamawiający", "zamawiający", "subst:sg:nom:m1"), ("generalny", "generalny", "adj:sg:nom:m1:pos"), ("naprawia", "naprawiać", "fin:sg:ter:imperf"), ("usuwa", "usuwać", "fin:sg:ter:imperf"), ("określa", "określać", "fin:sg:ter:imperf"),
+    ("zapłacił", "zapłacić", "praet:sg:m1:perf"), ("klarowny", "klarowny", "adj:sg:nom:m3:pos"), ("jasny", "jasny", "adj:sg:nom:m3:pos"), ("cel", "cel", "subst:sg:nom:m3"), ("zamiar", "zamiar", "subst:sg:nom:m3"), ("umowy", "umowa", "subst:sg:gen:f"),
+    ("składa", "składać", "fin:sg:ter:imperf"), ("płaci", "płacić", "fin:sg:ter:imperf"), ("skorzystania", "skorzystać", "ger:sg:gen:n:perf:aff"), ("uniknięcia", "uniknąć", "ger:sg:gen:n:perf:aff"), ("zwłoki", "zwłoka", "subst:sg:gen:f"), ("z", "z", "prep:gen"), ("bez", "bez", "prep:gen"), ("oraz", "oraz", "conj"),
+]
+DOUBLETS = [("adj", "klarowny", "jasny", False), ("noun", "cel", "zamiar", False)]
+
+
+def forms(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FORMS, "form string, lemma string, tag string")
+
+
+def doublets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(DOUBLETS, "kind string, a string, b string, strong boolean")
+
+
+def seeded(docs: DataFrame, fragments: list[str] = FRAGMENTS) -> DataFrame:
     """doc_id and text with fragment doc_id % K on lines of its own."""
-    k = len(FRAGMENTS)
-    fragment = F.element_at(F.array(*[F.lit(f) for f in FRAGMENTS]), (F.pmod("doc_id", F.lit(k)) + 1).cast("int"))
+    k = len(fragments)
+    fragment = F.element_at(F.array(*[F.lit(f) for f in fragments]), (F.pmod("doc_id", F.lit(k)) + 1).cast("int"))
     return docs.select("doc_id", F.concat("text", F.lit("\n"), fragment).alias("text"))
 
 

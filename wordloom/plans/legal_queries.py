@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.operators import alignment, corpus, detect, documents, features, legal, outcomes, references, replies, reports, rewrite, structure
+from wordloom.operators import alignment, changes, corpus, detect, documents, features, legal, outcomes, redundancy, references, replies, reports, rewrite, structure
 from wordloom.operators import text as T
 
 from wordloom.functions.plans import table as _table
 
+from . import fixtures
 from .fixtures import CATALOGUE, FRAGMENTS, seeded
 
 
@@ -144,6 +145,16 @@ def _protected(s: SparkSession, d: str) -> DataFrame:
     return corpus.protected(T.ngram_counts(_seeded(s, d), 2).select(F.col("ngram").alias("term"))).where("protected").select("term")
 
 
+def _redundant(s: SparkSession, d: str) -> DataFrame:
+    return seeded(_docs(s, d), fixtures.REDUNDANT)
+
+
+def _visible_changes(s: SparkSession, d: str) -> DataFrame:
+    edits = rewrite.stepped(_seeded(s, d))[1]
+    ids = edits.select("row", "doc_id").distinct()
+    return changes.visible_changes(edits).join(ids, "row").drop("row")
+
+
 def _heading_support(s: SparkSession, d: str) -> DataFrame:
     docs = _seeded(s, d)
     return corpus.heading_support(structure.headings(docs), docs.count())
@@ -179,6 +190,7 @@ def queries() -> dict:
         "protected_terms": _protected, "backfilled_labels": _backfilled, "family_profile": seed(structure.family_profile), "document_facts": seed(legal.document_facts),
         "roman_units": _unit_issues("roman"), "arabic_units": _unit_issues("arabic"), "paragraph_units": _unit_issues("paragraph"),
         "document_check": seed(structure.check_document), "corpus_partition": seed(structure.partition), "classify_cascade": lambda s, d: structure.classify_cascade(_seeded(s, d), _table(s, d, "benchmark")),
+        "redundancy_edits": lambda s, d: redundancy.edits(_redundant(s, d), fixtures.forms(s), fixtures.doublets(s)), "visible_changes": _visible_changes,
         "slop_ngrams": seed(detect.slop_ngrams), "style_profile": seed(outcomes.style_profile),
         "signed_modality": seed(features.signed_modality), "entry_problems": _entries, "deadline_status": _deadline_status, "catalogue_terms": _catalogue,
         "slugs": text(lambda t: T.slug(F.substring(t, 1, 200)), "slug"), "masked_excerpts": lambda s, d: _seeded(s, d).select("doc_id", T.masked_excerpt(F.coalesce("text", F.lit(""))).alias("excerpt")),
