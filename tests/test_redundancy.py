@@ -73,8 +73,8 @@ def test_subject_and_doubles_inside_a_sentence(spark):
 
 def test_null_and_repeated_ids_stay_apart(spark):
     text = "Generalny wykonawca naprawia drogę. Generalny wykonawca usuwa wady."
-    out = R.chosen(docs(spark, [(None, text), (None, text), (5, text), (5, "Inny tekst."), (6, None), (7, "")]), *tables(spark)).collect()
-    assert len(out) == 7 and len({r.row for r in out}) == 4 and sum(r.rule is not None for r in out) == 3
+    out = R.chosen(docs(spark, [(None, text), (None, text), (5, text), (5, "Inny tekst.\nDrugi akapit."), (6, None), (7, "")]), *tables(spark)).collect()
+    assert len(out) == 8 and len({r.row for r in out}) == 4 and sum(r.rule is not None for r in out) == 3
 
 
 def plain_loop(paragraphs, mode):

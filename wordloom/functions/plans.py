@@ -34,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """row (a number for each row of docs, whatever its doc_id), doc_id and text. The number is made before any explode: beside one it would count the exploded rows."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+
+
 #: Rows up to which a table is broadcast.
 BROADCAST_ROWS = 200_000
 

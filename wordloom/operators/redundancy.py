@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import patterns as P
-from wordloom.functions.plans import checked, cut
+from wordloom.functions.plans import checked, cut, with_rows
 
 from . import features, lexicon, rewrite
 from . import text as T
@@ -62,7 +62,7 @@ def sentence_case(text: Column) -> Column:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """The sentences of all rows, kept: row (a number for each row of docs), doc_id, paragraph_index, sentence_index, text."""
-    p = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode_outer(T.paragraph_list(F.col("text"))).alias("paragraph_index", "text")).where("text IS NOT NULL")
+    p = with_rows(docs).select("row", "doc_id", F.posexplode_outer(T.paragraph_list(F.col("text"))).alias("paragraph_index", "text")).where("text IS NOT NULL")
     return cut(p.select("row", "doc_id", "paragraph_index", F.posexplode_outer(T.sentence_list(F.col("text"))).alias("sentence_index", "text")).where("text IS NOT NULL"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import patterns as P
-from wordloom.functions.plans import cut
+from wordloom.functions.plans import cut, with_rows
 
 from . import detect, features
 from . import text as T
@@ -205,7 +205,7 @@ def stepped(docs: DataFrame, steps: int = 2) -> tuple[DataFrame, DataFrame]:
 
     Each row is a document of its own, whatever its doc_id; a null text is empty. Both tables are kept.
     """
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
+    rows = cut(with_rows(docs))
     now, edits = rows.select(F.col("row").alias("doc_id"), "text"), []
     for step in range(1, steps + 1):
         best = cut(rewrite_best(now))
