@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are encoded together, and characters after which a text is cut at the next certain word end.
-BATCH_BYTES, PIECE = 24 << 20, 1 << 20
+BATCH_BYTES, PIECE = 8 << 20, 1 << 20
 #: Words, and their tokens, that a task remembers.
 REMEMBERED, REMEMBERED_TOKENS = 1 << 19, 1 << 23
 #: The classes of characters, as `re` has them, that byte-level vocabularies cut text by.
@@ -245,14 +245,15 @@ class Encoder:
         return np.split(ids, np.append(0, ends)[np.cumsum(per_text)][:-1]) if texts else []
 
 
-def batches(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[slice]:
-    """Slices of texts of about `limit` characters, one text at least."""
+def batches(texts: list, limit: int | None = None) -> Iterator[slice]:
+    """Slices of texts (or bytes, or nulls) of about `limit` characters, BATCH_BYTES if none is given, one text at least."""
     begin = held = 0
     for i, t in enumerate(texts):
-        if held and held + len(t) > limit:
+        n = len(t or "")
+        if held and held + n > (limit or BATCH_BYTES):
             yield slice(begin, i)
             begin, held = i, 0
-        held += len(t)
+        held += n
     if begin < len(texts):
         yield slice(begin, len(texts))
 
@@ -281,10 +282,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") ->
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = dict(enumerate(vocabulary.tokens)).get
         for table in tables:
-            texts = [b"".join([token(i, b"") for i in np.frombuffer(x or b"", "<u4").tolist()]).decode("utf-8", "replace") for x in table.column(at).to_pylist()]
-            for part in batches(texts):
+            packed = table.column(at).to_pylist()
+            for part in batches(packed):
+                texts = [b"".join([token(i, b"") for i in np.frombuffer(x or b"", "<u4").tolist()]).decode("utf-8", "replace") for x in packed[part]]
                 given = [table.column(i)[part.start : part.stop] for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*given, pa.array(texts[part], pa.string())], [*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*given, pa.array(texts, pa.string())], [*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{schema}, decoded string")
