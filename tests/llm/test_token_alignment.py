@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 from wordloom.llm import token_alignment as T
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -46,13 +47,14 @@ def test_intervals_and_groups_equal_all_pairs(seed):
     assert [al.a_group.tolist().count(g) for g in range(al.groups)] == [len(x) for x, _ in groups]
     assert list(zip(*(x.tolist() for x in al.products()))) == [(i, j) for x, y in groups for i in x for j in y]
     text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups).encode()
-    assert T.GroupText(99, 99).of(np.arange(len(a)), np.arange(len(b)), al) == text
+    assert b"".join(T.GroupText(99, 99).pieces(np.arange(len(a)), np.arange(len(b)), al))[:-1] == text
 
 
 def brute(sides, rows):
-    linked, out = [], []
+    linked, out, library = [], [], Tokenizer.from_file(A)
+    library.encode_special_tokens = True
     for _, text in rows:
-        a = sides.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        a = library.encode(" " + text, add_special_tokens=False).ids if text else []
         b = sides.b.encode(text) if text else []
         ab, bb = [sides.a_bytes[i] for i in a], [sides.b_bytes[i] for i in b]
         if not text or b"".join(ab) != b"".join(bb) or b"".join(ab) != (" " + text).encode():

@@ -165,14 +165,19 @@ def merged(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     rank = order[found[at]] if len(keys) else found
     by_rank = np.argsort(rank, kind="stable")
     active, first = np.unique(rank[by_rank], return_index=True)
-    index = {r: p.tolist() for r, p in zip(active.tolist(), np.split(at[by_rank], first[1:]))}
+    at, first = at[by_rank], np.append(first, len(at)).tolist()
+    begun = {r: at[i:j] for r, i, j in zip(active.tolist(), first, first[1:])}  # positions at the start, ascending
+    later: dict[int, list] = {}  # those that merges add
     todo = active.tolist()  # ascending, so a heap
     sym, after, before = chain, np.arange(1, len(chain) + 1), np.arange(-1, len(chain) - 1)
-    keys = keys[order]
+    keys, table = keys[order], merges.tolist()
     while todo:
         r = heapq.heappop(todo)
-        a, b, made = merges[r]
-        p = np.array(sorted({*index.pop(r)}))
+        a, b, made = table[r]
+        p = begun.get(r)
+        if r in later:
+            more = np.concatenate(later.pop(r))
+            p = np.unique(more if p is None else np.concatenate([p, more]))
         q = after[p]
         alive = (sym[p] == a) & (sym[q] == b)
         p, q = p[alive], q[alive]
@@ -181,19 +186,30 @@ def merged(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
             joined = np.append(False, p[1:] == q[:-1])
             alive = (i - np.maximum.accumulate(np.where(joined, 0, i))) % 2 == 0
             p, q = p[alive], q[alive]
+        if not len(p):
+            continue
         right = after[q]
         sym[p], sym[q] = made, -1
         after[p], before[right] = right, p
         left = before[p]
-        pairs = np.concatenate([sym[left] << 32 | made, made << 32 | sym[right]])
-        found = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        real = keys[found] == pairs
-        for new, place in zip(order[found[real]].tolist(), np.concatenate([left, p])[real].tolist()):
-            if new in index:
-                index[new].append(place)
+        places, pairs = np.concatenate([left, p]), np.concatenate([sym[left] << 32 | made, made << 32 | sym[right]])
+        found = keys.searchsorted(pairs)
+        real = keys.take(found, mode="clip") == pairs
+        if not real.any():
+            continue
+        new, places = order[found[real]], places[real]
+        if len(new) > 1:
+            by_new = new.argsort(kind="stable")
+            new, places = new[by_new], places[by_new]
+        cuts = [0, *(np.flatnonzero(new[1:] != new[:-1]) + 1).tolist(), len(new)]
+        for i, j in zip(cuts, cuts[1:]):
+            n_r = int(new[i])
+            if n_r in later:
+                later[n_r].append(places[i:j])
             else:
-                index[new] = [place]
-                heapq.heappush(todo, new)
+                later[n_r] = [places[i:j]]
+                if n_r not in begun:
+                    heapq.heappush(todo, n_r)
     real = (sym >= 0) & (sym != wall)
     counts = np.diff(np.append(np.cumsum(real)[starts - 1], real.sum())) if len(n) else n
     return sym[real], counts

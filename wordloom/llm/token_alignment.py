@@ -20,10 +20,9 @@ an empty result. Memory grows with the longest text alone.
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import batches, byte_symbols
+from .bpe import Encoder, Vocabulary, batches
 from .common import stored
 
 #: Characters of text in a bundle.
@@ -42,26 +41,18 @@ SPACE_MARK = "▁"
 
 @dataclass
 class Sides:
-    """The two tokenizers, as the contents of their files, opened where they are used."""
+    """The two tokenizers: A as a vocabulary for our own encoder, B as the content of its file, opened where it is used."""
 
-    a_file: bytes
+    a: Vocabulary
     b_file: bytes
 
     @classmethod
     def read(cls, a_path: str, b_path: str) -> Sides:
-        with open(a_path, "rb") as a, open(b_path, "rb") as b:
-            return cls(a.read(), b.read())
+        with open(b_path, "rb") as b:
+            return cls(replace(Vocabulary.read(a_path), added={}), b.read())  # special tokens' strings are plain text
 
     def __getstate__(self) -> dict:
-        return {"a_file": self.a_file, "b_file": self.b_file}
-
-    @cached_property
-    def a(self):  # noqa: ANN201
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(self.a_file.decode())
-        tokenizer.encode_special_tokens = True  # their strings are plain text
-        return tokenizer
+        return {"a": self.a, "b_file": self.b_file}
 
     @cached_property
     def b(self):  # noqa: ANN201
@@ -69,16 +60,10 @@ class Sides:
 
         return SentencePieceProcessor(model_proto=self.b_file)
 
-    @cached_property
+    @property
     def a_bytes(self) -> list[bytes]:
         """Bytes of each A id."""
-        spec = json.loads(self.a_file)
-        of = {c: bytes([b]) for b, c in enumerate(byte_symbols())}
-        ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
-        out = [b""] * (max(ids.values()) + 1)
-        for name, i in ids.items():
-            out[i] = b"".join(of.get(c, c.encode()) for c in name)
-        return out
+        return self.a.tokens
 
     @cached_property
     def b_bytes(self) -> list[bytes]:
@@ -90,17 +75,15 @@ class Sides:
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """A and B ids of each text; none if either side's bytes are not space and text."""
+    def encode(self, texts: list[str], encoder: Encoder) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """A and B ids of each text; none if B's bytes are not space and text (A's always are: each of its tokens is the bytes that it was merged from)."""
         none = np.zeros(0, np.int64)
-        for text in texts:
-            if not text:
-                yield none, none
-                continue
-            a, b = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
-            whole = f" {text}".encode()
-            fits = all(b"".join(map(side.__getitem__, ids)) == whole for side, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-            yield (np.array(a, np.int64), np.array(b, np.int64)) if fits else (none, none)
+        a_ids = encoder.encode([f" {t}" if t else "" for t in texts])
+        b_ids = self.b.encode(texts, num_threads=1)
+        for i, (text, b) in enumerate(zip(texts, b_ids)):
+            fits = text and b"".join(map(self.b_bytes.__getitem__, b)) == f" {text}".encode()
+            a_ids[i], b_ids[i] = (a_ids[i], np.array(b, np.int64)) if fits else (none, none)
+        return a_ids, b_ids
 
 
 @dataclass
@@ -130,20 +113,21 @@ def align(a_lengths: np.ndarray, b_lengths: np.ndarray) -> Alignment:
 
 
 class GroupText:
-    """Writes groups as `a1,a2|b1;a3|b2,b3`."""
+    """Writes groups as `a1,a2|b1;a3|b2,b3;`."""
 
     def __init__(self, n_a: int, n_b: int) -> None:
-        self.tables = [np.array([f"{i}{mark}".encode() for i in range(n)], object) for n, mark in ((n_a, ","), (n_a, "|"), (n_b, ","), (n_b, ";"))]
+        written = lambda n, marks: np.array([f"{i}{mark}".encode() for mark in marks for i in range(n)], object)
+        self.a, self.b = written(n_a, ",|"), written(n_b, ",;")
 
-    def of(self, a: np.ndarray, b: np.ndarray, al: Alignment) -> bytes:
-        a_more, a_last, b_more, b_last = self.tables
+    def pieces(self, a: np.ndarray, b: np.ndarray, al: Alignment) -> list[bytes]:
+        """The text of each token with the mark after it, in order."""
         out = np.empty(len(a) + len(b), object)
-        for ids, own, other, shift, more, last in ((a, al.a_group, al.b_group, 0, a_more, a_last), (b, al.b_group, al.a_group, 1, b_more, b_last)):
+        for ids, own, other, shift, table in ((a, al.a_group, al.b_group, 0, self.a), (b, al.b_group, al.a_group, 1, self.b)):
             # Before a token: its own side's earlier ones, and the other side's of earlier groups (for B, of its own group too).
-            at = np.arange(len(ids)) + np.searchsorted(other, own + shift)
-            ends = np.append(own[1:] != own[:-1], True)
-            out[at] = np.where(ends, last[ids], more[ids])
-        return b"".join(out.tolist())[:-1]
+            held = np.append(0, np.cumsum(np.bincount(other, minlength=al.groups)))
+            ends = np.append(own[1:] != own[:-1], True)[: len(own)]
+            out[np.arange(len(ids)) + held[own + shift]] = table[ids + ends * (len(table) // 2)]
+        return out.tolist()
 
 
 BUNDLES = "bundle string, {keep}n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, sha array<string>, n_pairs array<bigint>, pair_at binary, times binary, pairs array<struct<a:int,b:int,docs:bigint>>"
@@ -162,39 +146,37 @@ def bundles(docs: DataFrame, sides: Sides, text_col: str = "text", keep: tuple =
     schema = BUNDLES.format(keep="".join(f"`{n}` array<{t.simpleString()}>, " for n, t in types.items()))
     pair_type = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("docs", pa.int64())])
 
+    def bundle(texts: list[str], encoder: Encoder, group_text: GroupText) -> list:
+        """What a bundle's row has after the kept columns. All its documents are aligned at once: they end where both sides end."""
+        a_ids, b_ids = sides.encode(texts, encoder)
+        a, b = np.concatenate(a_ids), np.concatenate(b_ids)
+        al = align(sides.lengths[0][a], sides.lengths[1][b])
+        a_upto, b_upto = (np.cumsum([len(x) for x in ids]) for ids in (a_ids, b_ids))
+        groups_upto = np.append(0, al.a_group + 1)[a_upto]
+        links_upto = np.append(0, np.searchsorted(al.a_at, a_upto))
+        each = lambda upto: np.diff(upto, prepend=0)
+        pieces = group_text.pieces(a, b, al)
+        bounds = np.append(0, a_upto + b_upto).tolist()
+        sha = [hashlib.sha256(b"".join(pieces[i:j])[:-1]).hexdigest() if j > i else "" for i, j in zip(bounds, bounds[1:])]
+        width = len(sides.lengths[1])
+        keys = a[al.a_at] * width + b[al.b_at]
+        own = [np.unique(keys[i:j], return_counts=True) for i, j in zip(links_upto[:-1].tolist(), links_upto[1:].tolist())]
+        pairs, at, held = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True, return_counts=True)
+        numbers = [each(a_upto), each(b_upto), each(groups_upto), np.diff(links_upto)]
+        pair_rows = pa.StructArray.from_arrays([pa.array(pairs // width, pa.int32()), pa.array(pairs % width, pa.int32()), pa.array(held, pa.int64())], fields=list(pair_type))
+        packed = lambda x: pa.array([x.astype("<u4").tobytes()], pa.binary())
+        return [
+            *[pa.array([x.tolist()], pa.list_(pa.int64())) for x in numbers], pa.array([sha], pa.list_(pa.string())), pa.array([[len(k) for k, _ in own]], pa.list_(pa.int64())),
+            packed(at), packed(np.concatenate([n for _, n in own])), pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pair_rows),
+        ]
+
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group_text = GroupText(len(sides.a_bytes), len(sides.b_bytes))
-        a_length, b_length = sides.lengths
-        width = len(b_length)
+        encoder, group_text = Encoder(sides.a), GroupText(len(sides.a_bytes), len(sides.b_bytes))
         for table in tables:
             texts = table.column(len(keep)).to_pylist()
             for part in batches(texts, BUNDLE):
-                rows, keys, times = [], [], []
-                for a, b in sides.encode(texts[part]):
-                    if not len(a):
-                        rows.append((0, 0, 0, 0, "", 0))
-                        continue
-                    al = align(a_length[a], b_length[b])
-                    key, n = np.unique(a[al.a_at] * width + b[al.b_at], return_counts=True)
-                    keys.append(key)
-                    times.append(n)
-                    rows.append((len(a), len(b), al.groups, len(al.a_at), hashlib.sha256(group_text.of(a, b, al)).hexdigest(), len(key)))
-                pairs, at, held = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
-                columns = list(zip(*rows))
-                pair_rows = pa.StructArray.from_arrays([pa.array(pairs // width, pa.int32()), pa.array(pairs % width, pa.int32()), pa.array(held, pa.int64())], fields=list(pair_type))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([uuid.uuid4().hex]),
-                        *[pa.array([table.column(i)[part.start : part.stop].to_pylist()], pa.list_(table.schema.field(i).type)) for i in range(len(keep))],
-                        *[pa.array([columns[i]], pa.list_(pa.int64())) for i in range(4)],
-                        pa.array([columns[4]], pa.list_(pa.string())),
-                        pa.array([columns[5]], pa.list_(pa.int64())),
-                        pa.array([at.astype("<u4").tobytes()], pa.binary()),
-                        pa.array([np.concatenate([*times, np.zeros(0, np.int64)]).astype("<u4").tobytes()], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pair_rows),
-                    ],
-                    ["bundle", *keep, "n_a", "n_b", "n_groups", "n_links", "sha", "n_pairs", "pair_at", "times", "pairs"],
-                )
+                given = [pa.array([table.column(i)[part.start : part.stop].to_pylist()], pa.list_(table.schema.field(i).type)) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *given, *bundle(texts[part], encoder, group_text)], ["bundle", *keep, "n_a", "n_b", "n_groups", "n_links", "sha", "n_pairs", "pair_at", "times", "pairs"])
 
     return kept.mapInArrow(run, schema)
 
