@@ -84,6 +84,9 @@ def test_digest(spark, library, monkeypatch):
     got = [tuple(x) for x in bpe.bpe_digest(docs, PATH).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert bpe.bpe_digest(docs.where("doc_id = -1"), PATH).count() == 0
+    v = bpe.Vocabulary.read(PATH)
+    two = bpe.decode(bpe.encode(docs, v, keep=("doc_id", "text")), v).collect()
+    assert len(two) == len(rows) and all(r.decoded == (r.text or "") for r in two)
 
 
 def test_decode_of_broken_bytes(spark, vocabulary, library):

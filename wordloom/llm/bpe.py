@@ -27,13 +27,14 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are encoded together, and characters after which a text is cut at the next certain word end.
 BATCH_BYTES, PIECE = 8 << 20, 1 << 20
 #: Words, and their tokens, that a task remembers.
-REMEMBERED, REMEMBERED_TOKENS = 1 << 19, 1 << 23
+REMEMBERED, REMEMBERED_TOKENS = 1 << 18, 1 << 22
 #: The classes of characters, as `re` has them, that byte-level vocabularies cut text by.
 CLASSES = {"letter": r"[^\W\d_]", "number": r"\d", "other": r"(?:[^\s\w]|_)", "space": r"\s"}
 #: The endings that are words of their own, and the added tokens' flags that change a match.
@@ -261,48 +262,59 @@ class Encoder:
         return np.split(ids, np.append(0, ends)[np.cumsum(per_text)][:-1]) if texts else []
 
 
-def batches(texts: list, limit: int | None = None) -> Iterator[slice]:
-    """Slices of texts (or bytes, or nulls) of about `limit` characters, BATCH_BYTES if none is given, one text at least."""
+def batches(column: pa.Array, limit: int | None = None) -> Iterator[slice]:
+    """Slices of a column of texts or bytes of about `limit` bytes (BATCH_BYTES if none is given), one value at least."""
     begin = held = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for i, n in enumerate(lengths):
         if held and held + n > (limit or BATCH_BYTES):
             yield slice(begin, i)
             begin, held = i, 0
         held += n
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+    if begin < len(lengths):
+        yield slice(begin, len(lengths))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: tuple = ("doc_id",)) -> DataFrame:
-    """The kept columns, n_tokens, and ids: the text's token ids as little-endian unsigned 32-bit integers, behind each other."""
+def part_of(column: pa.Array, part: slice) -> list:
+    return column.slice(part.start, part.stop - part.start).to_pylist()
+
+
+def text_of(ids: np.ndarray, tokens: list[bytes]) -> str:
+    """The text of token ids; ids without a token have no bytes."""
+    n = len(tokens)
+    return b"".join([tokens[i] if i < n else b"" for i in ids.tolist()]).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: tuple = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """The kept columns, n_tokens, and ids: the text's token ids as little-endian unsigned 32-bit integers, behind each other; with `decoded` also the text that they decode to, without a second pass."""
     kept = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    names = [*keep, "n_tokens", "ids", *(["decoded"] if decoded else [])]
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         for table in tables:
-            texts = table.column(len(keep)).to_pylist()
-            for part in batches(texts):
-                ids = encoder.encode(texts[part])
-                given = [table.column(i)[part.start : part.stop] for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*given, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], [*keep, "n_tokens", "ids"])
+            column = table.column(len(keep))
+            for part in batches(column):
+                ids = encoder.encode(part_of(column, part))
+                made = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+                if decoded:
+                    made.append(pa.array([text_of(x, vocabulary.tokens) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*[table.column(i)[part.start : part.stop] for i in range(len(keep))], *made], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{schema}{', ' if keep else ''}n_tokens bigint, ids binary")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
+    return kept.mapInArrow(run, f"{schema}n_tokens bigint, ids binary{', decoded string' if decoded else ''}")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
-    """encoded with a column `decoded`: the text of its ids (as encode() gives them); ids without a token have no bytes."""
-    names, at = encoded.columns, encoded.columns.index(ids_col)
+    """encoded with a column `decoded`: the text of its ids (as encode() gives them)."""
+    names, at, tokens = encoded.columns, encoded.columns.index(ids_col), vocabulary.tokens
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = dict(enumerate(vocabulary.tokens)).get
         for table in tables:
-            packed = table.column(at).to_pylist()
-            for part in batches(packed):
-                texts = [b"".join([token(i, b"") for i in np.frombuffer(x or b"", "<u4").tolist()]).decode("utf-8", "replace") for x in packed[part]]
-                given = [table.column(i)[part.start : part.stop] for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*given, pa.array(texts, pa.string())], [*names, "decoded"])
+            column = table.column(at)
+            for part in batches(column):
+                texts = [text_of(np.frombuffer(x or b"", "<u4"), tokens) for x in part_of(column, part)]
+                yield pa.RecordBatch.from_arrays([*[table.column(i)[part.start : part.stop] for i in range(len(names))], pa.array(texts, pa.string())], [*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{schema}, decoded string")
@@ -310,6 +322,5 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") ->
 
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
     """The contract's columns: counts, and the hashes of the ids and of the text that they decode to."""
-    vocabulary = Vocabulary.read(path)
-    out = decode(encode(docs, vocabulary), vocabulary)
+    out = encode(docs, Vocabulary.read(path), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, Vocabulary, batches
+from .bpe import Encoder, Vocabulary, batches, part_of
 from .common import stored
 
-#: Characters of text in a bundle.
+#: Bytes of text in a bundle.
 BUNDLE = 4 << 20
 SPACE_MARK = "▁"
 
@@ -173,10 +173,10 @@ def bundles(docs: DataFrame, sides: Sides, text_col: str = "text", keep: tuple =
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, group_text = Encoder(sides.a), GroupText(len(sides.a_bytes), len(sides.b_bytes))
         for table in tables:
-            texts = table.column(len(keep)).to_pylist()
-            for part in batches(texts, BUNDLE):
+            column = table.column(len(keep))
+            for part in batches(column, BUNDLE):
                 given = [pa.array([table.column(i)[part.start : part.stop].to_pylist()], pa.list_(table.schema.field(i).type)) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *given, *bundle(texts[part], encoder, group_text)], ["bundle", *keep, "n_a", "n_b", "n_groups", "n_links", "sha", "n_pairs", "pair_at", "times", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *given, *bundle(part_of(column, part), encoder, group_text)], ["bundle", *keep, "n_a", "n_b", "n_groups", "n_links", "sha", "n_pairs", "pair_at", "times", "pairs"])
 
     return kept.mapInArrow(run, schema)
 
