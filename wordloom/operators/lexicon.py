@@ -18,15 +18,15 @@ PRESENT = ["fin", "bedzie"]
 NOMINAL = ["subst", "ger", "depr", "adj", "pact", "ppas", "num", "ppron3"]
 NO_SUBJECT = ["pred", "part", "qub", "impt", "conj", "comp", "prep", "adv", "interj"]
 NOUNS, ADJECTIVES = ["subst", "depr", "ger"], ["adj", "adja", "adjp", "adjc"]
+BREAKS, GENITIVE = ["prep", "conj", "comp"], "gen"
 PREDICATIVES = ["można", "trzeba", "warto", "wiadomo", "wolno"]
 #: Copies of the lexicon among which a frequent word's rows are dealt, if it is too large for a broadcast.
 SALT = 16
 
-INFO = "struct<subject:boolean,third:boolean,finite:boolean,adjectives:array<string>,nouns:array<string>>"
-
 
 def readings(forms: DataFrame) -> DataFrame:
-    """word and info of each form: whether it can open a subject, is a third-person predicate, is finite; its adjective and noun lemmas."""
+    """word and info of each form: whether it can open a subject, is a third-person predicate, is finite, is nominal, is genitive, begins a new phrase; its
+    adjective and noun lemmas; the infinitive that it is a gerund of, and whether that takes an object (has a passive participle)."""
     part = lambda i: F.get(F.split("tag", ":"), i)
     kind, case, person = part(0), F.split(F.coalesce(part(2), F.lit("")), r"\."), part(2)
     nominative = kind.isin(NOMINAL) & F.array_contains(case, "nom")
@@ -34,8 +34,12 @@ def readings(forms: DataFrame) -> DataFrame:
     finite = kind.isin(FINITE) | ((kind == "pred") & (F.col("word").isin(PREDICATIVES) | F.col("lemma").isin(PREDICATIVES)))
     lemmas = lambda kinds: F.array_sort(F.collect_set(F.when(kind.isin(kinds), F.col("lemma"))))
     r = forms.where("form IS NOT NULL AND tag IS NOT NULL").select(F.lower("form").alias("word"), "lemma", "tag")
-    a = r.groupBy("word").agg(F.bool_or(nominative).alias("n"), F.bool_or(kind.isin(NO_SUBJECT)).alias("no"), F.bool_or(third).alias("third"), F.bool_or(finite).alias("finite"), lemmas(ADJECTIVES).alias("adjectives"), lemmas(NOUNS).alias("nouns"))
-    return a.select("word", F.struct((F.col("n") & ~F.col("no")).alias("subject"), "third", "finite", "adjectives", "nouns").alias("info"))
+    passive = r.where(kind == "ppas").select("lemma", F.lit(True).alias("object")).distinct()
+    r = r.join(passive, "lemma", "left")
+    genitive = kind.isin(NOMINAL) & F.array_contains(case, GENITIVE)
+    gerund = F.when(kind == "ger", F.struct("lemma", F.coalesce("object", F.lit(False)).alias("object")))
+    a = r.groupBy("word").agg(F.bool_or(kind.isin([*NOMINAL, "brev"])).alias("nominal"), F.bool_or(kind.isin(BREAKS)).alias("breaks"), F.bool_or(genitive).alias("genitive"), F.min(gerund).alias("gerund"), F.bool_or(nominative).alias("n"), F.bool_or(kind.isin(NO_SUBJECT)).alias("no"), F.bool_or(third).alias("third"), F.bool_or(finite).alias("finite"), lemmas(ADJECTIVES).alias("adjectives"), lemmas(NOUNS).alias("nouns"))
+    return a.select("word", F.struct((F.col("n") & ~F.col("no")).alias("subject"), "third", "finite", "nominal", "breaks", "genitive", "adjectives", "nouns", "gerund").alias("info"))
 
 
 def looked_up(rows: DataFrame, keys: list[str], words: Column, forms: DataFrame) -> DataFrame:
