@@ -4,16 +4,7 @@ import random
 
 import pytest
 from wordloom.operators import layout, layout_check as C
-
-TEMPLATE = "\n".join([
-    "UMOWA NAJMU LOKALU MIESZKALNEGO", "zawarta w dniu …… r. w ………… (miejscowość)", "§ 1. Przedmiot umowy", "1. Wynajmujący oddaje najemcy lokal przy ulicy …………", "2. Czynsz wynosi …… zł miesięcznie.", "3. Umowa trwa …… dni / …… miesięcy / czas nieoznaczony",
-    "Uwagi stron do umowy:", "………………", "………………", "Dane najemcy", "………………", "(imię i nazwisko)", "§ 2. Postanowienia końcowe", "Wszelkie zmiany umowy wymagają formy pisemnej pod rygorem nieważności.", "Pełnomocnik stron działa osobiście …………… (jeżeli dotyczy)", "…………\t…………", "Wynajmujący\t\tNajemca",
-])
-FILLED = "\n".join([
-    "UMOWA NAJMU LOKALU MIESZKALNEGO", "zawarta w dniu 5 maja 2024 r. w Krakowie", "§ 1. Przedmiot umowy", "1. Wynajmujący oddaje najemcy lokal przy ulicy Polnej 7", "2. Czynsz wynosi 2000 zł miesięcznie.", "3. Umowa trwa 12 miesięcy",
-    "Uwagi stron do umowy:", "Strony nie mają uwag.", "Najemca obejrzał lokal.", "Dane najemcy", "Jan Kowalski,", "(imię i nazwisko)", "§ 2. Postanowienia końcowe", "Wszelkie zmiany umowy wymagają formy pisemnej pod rygorem nieważności.", "…………\t…………", "Wynajmujący\t\tNajemca",
-])
-
+from wordloom.plans.fixtures import FILLED, TEMPLATE
 
 def run(spark, text, template=TEMPLATE):
     docs, templates = layout.blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")), layout.blocks(spark.createDataFrame([(9, template)], "doc_id long, text string"))

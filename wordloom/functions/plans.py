@@ -34,9 +34,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Marks a column `row` as made by with_rows; a user's own column of that name has no such mark.
+NUMBERED = "wordloom.row"
+
+
+def has_rows(docs: DataFrame) -> bool:
+    return "row" in docs.columns and bool(docs.schema["row"].metadata.get(NUMBERED))
+
+
 def with_rows(docs: DataFrame) -> DataFrame:
-    """row (a number for each row of docs, whatever its doc_id), doc_id and text. The number is made before any explode: beside one it would count the exploded rows."""
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    """row (a number for each row of docs, whatever its doc_id), doc_id and text; docs that have been numbered stay as they are. The number is made before any explode: beside one it would count the exploded rows."""
+    return docs if has_rows(docs) else docs.select(F.monotonically_increasing_id().alias("row", metadata={NUMBERED: True}), "doc_id", "text")
 
 
 #: Rows up to which a table is broadcast.

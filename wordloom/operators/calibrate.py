@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wordloom.functions.plans import cut, with_rows
+
 from . import detect, documents, metrics
 
 THRESHOLD, BAND, FLOOR = 0.25, 0.035, 0.5
@@ -27,11 +29,11 @@ def exceedance_low(observed: Column, p50: Column) -> Column:
 
 
 def observations(table: DataFrame) -> DataFrame:
-    """doc_id, half, signal, value of each document with words: family rates (0 where it lacks the family) and metrics."""
+    """row, doc_id, half, signal, value of each document with words: family rates (0 where it lacks the family) and metrics."""
     names = [s for s, _, _ in SIGNALS] + ["opening_diversity"]
     rate = lambda f: F.round(F.size(F.filter("found", lambda x: x["family"] == f)) / F.col("words") * 1000, 4)
     values = [F.struct(F.lit(f"family:{f}").alias("signal"), rate(f).alias("value")) for f in FAMILIES] + [F.struct(F.lit(n).alias("signal"), F.col(n).alias("value")) for n in names]
-    return table.where("words > 0").select("doc_id", half().alias("half"), F.explode(F.array(*values)).alias("o")).select("doc_id", "half", "o.signal", "o.value")
+    return table.where("words > 0").select("row", "doc_id", half().alias("half"), F.explode(F.array(*values)).alias("o")).select("row", "doc_id", "half", "o.signal", "o.value")
 
 
 def half() -> Column:
@@ -51,8 +53,8 @@ def crossed(table: DataFrame) -> DataFrame:
     return observations(table).join(F.broadcast(profile), ["half", "signal"])  # at most two rows for each signal
 
 
-def calibrate(table: DataFrame) -> DataFrame:
-    """doc_id, signal, observed, baseline, exceedance, weight of each document's signals, against the other half's profile."""
+def exceedances(table: DataFrame) -> DataFrame:
+    """row, doc_id, signal, observed, baseline, exceedance, weight of each document's signals, against the other half's profile."""
     o = crossed(table)
     weight = F.when(F.col("signal").startswith("family:"), 1.0)
     side = F.when(F.col("signal").startswith("family:"), "high")
@@ -62,24 +64,30 @@ def calibrate(table: DataFrame) -> DataFrame:
     # A baseline that says nothing takes no part.
     o = o.where("signal NOT IN ('sentence_burstiness', 'paragraph_shape_cv') OR p50 > 0").where("signal <> 'paragraph_shape_cv' OR value > 0")
     e = F.when(F.col("side") == "high", exceedance_high(F.col("value"), F.col("p95"))).when(F.col("side") == "low", exceedance_low(F.col("value"), F.col("p50"))).otherwise(0.0)
-    return o.select("doc_id", "signal", F.col("value").alias("observed"), F.when(F.col("side") == "low", F.col("p50")).otherwise(F.col("p95")).alias("baseline"), e.alias("exceedance"), "weight")
+    return o.select("row", "doc_id", "signal", F.col("value").alias("observed"), F.when(F.col("side") == "low", F.col("p50")).otherwise(F.col("p95")).alias("baseline"), e.alias("exceedance"), "weight")
+
+
+def calibrate(table: DataFrame) -> DataFrame:
+    """doc_id, signal, observed, baseline, exceedance, weight."""
+    return exceedances(table).drop("row")
 
 
 def verdicts(signals: DataFrame) -> DataFrame:
-    """score and verdict of each document."""
+    """row, doc_id, score and verdict of each document; signals as exceedances() gives them."""
     # In integers (weights are halves), so that ties round alike everywhere.
-    s = signals.groupBy("doc_id").agg(F.sum(F.round(F.col("exceedance") * F.col("weight") * 10000).cast("long")).alias("n"), F.sum((F.col("weight") * 2).cast("long")).alias("w2"))
-    s = s.select("doc_id", F.least(F.lit(1.0), F.expr("(4 * n + w2) div (2 * w2)") / 10000.0).alias("score"))
+    s = signals.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum(F.round(F.col("exceedance") * F.col("weight") * 10000).cast("long")).alias("n"), F.sum((F.col("weight") * 2).cast("long")).alias("w2"))
+    s = s.select("row", "doc_id", F.least(F.lit(1.0), F.expr("(4 * n + w2) div (2 * w2)") / 10000.0).alias("score"))
     return s.withColumn("verdict", F.when(F.abs(F.col("score") - THRESHOLD) <= BAND, "borderline").when(F.col("score") >= THRESHOLD, "above_human_range").otherwise("within_human_range"))
 
 
 def review(docs: DataFrame) -> DataFrame:
     """doc_id, score, violations, first_family, needs_revision: the gate for answers."""
-    signals = calibrate(documents.document_table(docs))
+    docs = cut(with_rows(docs))
+    signals = exceedances(documents.document_table(docs))
     order = F.struct("paragraph_index", "sentence_index", "start", "ord")
-    first = detect.findings(docs).groupBy("doc_id").agg(F.min_by("family", order).alias("first_family"))
+    first = detect.findings(docs).groupBy("row").agg(F.min_by("family", order).alias("first_family"))
     over = F.sum((F.col("exceedance") > 0).cast("long")).alias("violations")
-    out = verdicts(signals).join(signals.groupBy("doc_id").agg(over), "doc_id").join(first, "doc_id", "left")
+    out = verdicts(signals).join(signals.groupBy("row").agg(over), "row").join(first, "row", "left")
     return out.select("doc_id", "score", "violations", "first_family", (F.col("score") >= THRESHOLD).alias("needs_revision"))
 
 
@@ -95,5 +103,5 @@ def tone(table: DataFrame) -> DataFrame:
 def diagnosis(table: DataFrame) -> DataFrame:
     """The flagship: counts, raw and calibrated score, verdict of each document; metrics are null without a sentence."""
     m = ["sentences", "mean_sentence_words", "sentence_length_cv", "sentence_burstiness", "opening_diversity"]
-    shown = documents.signal(table, *[F.when(F.col("sentences") > 0, F.col(c)).alias(c) for c in m])
-    return shown.join(verdicts(calibrate(table)), "doc_id", "left")
+    shown = documents.signal(table, "row", *[F.when(F.col("sentences") > 0, F.col(c)).alias(c) for c in m])
+    return shown.join(verdicts(exceedances(table)).drop("doc_id"), "row", "left").drop("row")

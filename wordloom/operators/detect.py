@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import patterns as P
+from wordloom.functions.plans import has_rows, with_rows
 
 from . import text as T
 
@@ -123,9 +124,9 @@ def sentences(docs: DataFrame, *keep: str) -> DataFrame:
 PLACE = ("doc_id", "paragraph_index", "sentence_index")
 
 
-def _rows(s: DataFrame, found: Column) -> DataFrame:
-    s = s.select(*PLACE, F.explode_outer(found).alias("x")).where("x IS NOT NULL")
-    return s.select(*PLACE, "x.family", "x.rule", "x.start", "x.end", "x.evidence", "x.weight10", "x.rewritable", "x.ord")
+def _rows(s: DataFrame, found: Column, *keep: str) -> DataFrame:
+    s = s.select(*keep, *PLACE, F.explode_outer(found).alias("x")).where("x IS NOT NULL")
+    return s.select(*keep, *PLACE, "x.family", "x.rule", "x.start", "x.end", "x.evidence", "x.weight10", "x.rewritable", "x.ord")
 
 
 def sentence_findings(docs: DataFrame) -> DataFrame:
@@ -136,17 +137,17 @@ def sentence_findings(docs: DataFrame) -> DataFrame:
 def repeated_openings(docs: DataFrame) -> DataFrame:
     """Sentences that open with a frame which opens another sentence of the document too."""
     key = F.lower(F.regexp_replace(F.regexp_substr(F.col("text"), F.lit(P.spark_pattern(OPENING))), f"[{P.BLANK}]+", " "))
-    s = T.split_sentences(docs).where(F.col("text").rlike(P.spark_pattern(OPENING))).withColumn("key", key)
-    s = s.withColumn("n", F.count("*").over(W.partitionBy("doc_id", "key"))).where("n >= 2")
+    s = T.split_sentences(with_rows(docs)).where(F.col("text").rlike(P.spark_pattern(OPENING))).withColumn("key", key)
+    s = s.withColumn("n", F.count("*").over(W.partitionBy("row", "key"))).where("n >= 2")
     return s.select(*PLACE, "key", F.col("n").cast("long").alias("n"))
 
 
 def findings(docs: DataFrame) -> DataFrame:
     """All findings with a stable order inside each document, in one pass: openings come along as findings and stay where they repeat."""
     opened = F.struct(F.lit(200).alias("ord"), F.lit("repeated_opening").alias("family"), F.lit("repeated_frame").alias("rule"), F.lit(0).alias("start"), F.char_length("key").cast("int").alias("end"), F.col("key").alias("evidence"), F.lit(6).alias("weight10"), F.lit(False).alias("rewritable"))
-    rows = _rows(sentences(docs), F.when(F.col("key").isNull(), F.col("f")).otherwise(F.concat("f", F.array(opened))))
-    repeated = F.count("*").over(W.partitionBy("doc_id", F.when(F.col("ord") == 200, F.col("evidence"))))
-    return rows.withColumn("n", repeated).where("ord <> 200 OR n >= 2").drop("n")
+    rows = _rows(sentences(with_rows(docs), "row"), F.when(F.col("key").isNull(), F.col("f")).otherwise(F.concat("f", F.array(opened))), "row")
+    repeated = F.count("*").over(W.partitionBy("row", F.when(F.col("ord") == 200, F.col("evidence"))))
+    return rows.withColumn("n", repeated).where("ord <> 200 OR n >= 2").drop("n", *([] if has_rows(docs) else ["row"]))
 
 
 #: Reviewed n-grams that models over-use, as (kind, term); openings stand at a sentence's start only.
@@ -191,5 +192,5 @@ def score(weight: Column, words: Column) -> Column:
 def paragraph_diagnosis(docs: DataFrame) -> DataFrame:
     """words, sentences, findings inside sentences, and score of each paragraph."""
     weight = F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + x["weight10"])
-    s = sentences(docs).where("text IS NOT NULL").groupBy("doc_id", "paragraph_index").agg(F.sum("words").cast("long").alias("words"), F.count("*").alias("sentences"), F.sum(F.size("f")).cast("long").alias("findings"), F.sum(weight).alias("w"))
+    s = sentences(with_rows(docs), "row").where("text IS NOT NULL").groupBy("row", "paragraph_index").agg(F.first("doc_id").alias("doc_id"), F.sum("words").cast("long").alias("words"), F.count("*").alias("sentences"), F.sum(F.size("f")).cast("long").alias("findings"), F.sum(weight).alias("w"))
     return s.select("doc_id", "paragraph_index", "words", "sentences", "findings", score(F.col("w"), F.col("words")).alias("signal_score"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import patterns as P
-from wordloom.functions.plans import cut
+from wordloom.functions.plans import cut, with_rows
 
 from . import detect, metrics
 
@@ -23,24 +23,27 @@ def _entropy(bins: Column) -> Column:
 
 
 def document_table(docs: DataFrame) -> DataFrame:
-    """The row of each doc_id, kept in the shared folder: sizes, rhythm, diversity, found (family, weight10, rewritable of each finding)."""
+    """One row for each row of docs (numbered: row), kept in the shared folder: sizes, rhythm, diversity, found (family, weight10, rewritable of each finding)."""
     text = F.coalesce("text", F.lit(""))
-    s = detect.sentences(docs.select("doc_id", "text", P.count(text, metrics.CONNECTIVE).alias("connectives")), "connectives")
+    s = detect.sentences(with_rows(docs).select("row", "doc_id", "text", P.count(text, metrics.CONNECTIVE).alias("connectives")), "row", "connectives")
     has = F.when(F.col("words") > 0, F.col("words"))
     opening = F.array_join(F.slice(F.split(F.lower("text"), f"[{P.BLANK}]+", 3), 1, 2), " ")
     first = F.col("sentence_index") == 0
     small = F.transform("f", lambda x: F.struct(x["family"].alias("family"), x["weight10"].alias("weight10"), x["rewritable"].alias("rewritable")))
-    a = s.groupBy("doc_id").agg(
+    a = s.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
         F.sum("words").cast("long").alias("words"), F.count("text").alias("sentences"), F.avg(has).alias("m0"), F.stddev_pop(has).alias("sd0"), F.count(has).alias("k"),
         F.size(F.collect_set(F.xxhash64(opening))).alias("openings"), F.collect_list(F.when(F.col("words") > 0, F.floor(F.col("words") / 5))).alias("bins"),
         F.count(F.when(first, 1)).alias("paragraphs"), F.avg(F.when(first, F.col("of"))).alias("pm"), F.stddev_pop(F.when(first, F.col("of"))).alias("psd"),
-        F.max("connectives").alias("connectives"), F.flatten(F.collect_list(F.when(F.size("f") > 0, small))).alias("inside"), F.collect_list("key").alias("keys"),
+        F.max("connectives").alias("connectives"), F.flatten(F.collect_list(F.when(F.size("f") > 0, small))).alias("inside"), F.array_sort(F.collect_list("key")).alias("keys"),
     )
     m, sd = F.coalesce("m0", F.lit(0.0)), F.coalesce("sd0", F.lit(0.0))
-    again = F.filter("keys", lambda k: F.size(F.filter("keys", lambda j: j == k)) >= 2)
+    # Sorted, what repeats stands beside its like.
+    beside = lambda k, i: F.coalesce((i > 0) & (F.get("keys", i - 1) == k), F.lit(False)) | F.coalesce(F.get("keys", i + 1) == k, F.lit(False))
+    again = F.filter("keys", beside)
     opened = F.transform(again, lambda k: F.struct(F.lit("repeated_opening").alias("family"), F.lit(6).alias("weight10"), F.lit(False).alias("rewritable")))
     return cut(a.select(
-        "doc_id", "words", "sentences", F.round(m, 4).alias("mean_sentence_words"), F.when(m > 0, F.round(sd / m, 4)).otherwise(0.0).alias("sentence_length_cv"),
+        "row", "doc_id", "words", "sentences", F.round(m, 4).alias("mean_sentence_words"), F.when(m > 0, F.round(sd / m, 4)).otherwise(0.0).alias("sentence_length_cv"),
         F.when((F.col("k") >= 3) & (sd + m > 0), F.round((sd - m) / (sd + m), 4)).otherwise(0.0).alias("sentence_burstiness"), F.when(F.col("sentences") > 0, F.round(F.col("openings") / F.col("sentences"), 4)).alias("opening_diversity"),
         _entropy(F.col("bins")).alias("sentence_entropy"), F.when(F.col("paragraphs") >= 3, F.round(F.col("psd") / F.col("pm"), 4)).otherwise(0.0).alias("paragraph_shape_cv"),
         F.when(F.col("words") > 0, F.round(F.col("connectives") / F.col("words") * 1000, 4)).otherwise(0.0).alias("connective_density"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import patterns as P
+from wordloom.functions.plans import with_rows
 
 from . import text as T
 
@@ -23,11 +24,11 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
 
 def sentence_metrics(docs: DataFrame) -> DataFrame:
     """A row for each document with a sentence: words, sentences, mean, cv, burstiness, opening diversity."""
-    s = sentence_rows(docs)
+    s = sentence_rows(with_rows(docs))
     has = F.when(F.col("words") > 0, F.col("words"))
     opening = F.array_join(F.slice(F.split(F.lower(F.col("text")), f"[{P.BLANK}]+"), 1, 2), " ")
-    a = s.groupBy("doc_id").agg(
-        F.sum("words").cast("long").alias("words"), F.count("*").alias("sentences"), F.avg(has).alias("m"), F.stddev_pop(has).alias("sd"), F.count(has).alias("k"), F.countDistinct(opening).alias("o")
+    a = s.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.sum("words").cast("long").alias("words"), F.count("*").alias("sentences"), F.avg(has).alias("m"), F.stddev_pop(has).alias("sd"), F.count(has).alias("k"), F.countDistinct(opening).alias("o")
     )
     m, sd = F.coalesce("m", F.lit(0.0)), F.coalesce("sd", F.lit(0.0))
     return a.select(
@@ -38,15 +39,15 @@ def sentence_metrics(docs: DataFrame) -> DataFrame:
 
 def sentence_entropy(docs: DataFrame, width: int = 5) -> DataFrame:
     """Shannon bits of the sentence lengths in bins of five words."""
-    bins = sentence_rows(docs).where("words > 0").groupBy("doc_id", F.floor(F.col("words") / width).alias("bin")).agg(F.count("*").alias("n"))
-    total = bins.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    bins = sentence_rows(with_rows(docs)).where("words > 0").groupBy("row", F.floor(F.col("words") / width).alias("bin")).agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    total = bins.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     return total.select("doc_id", F.round(F.log2("t") - F.col("s") / F.col("t"), 4).alias("sentence_entropy"))
 
 
 def paragraph_shape(docs: DataFrame) -> DataFrame:
     """cv of sentences per paragraph; 0 below three paragraphs."""
-    per = sentence_rows(docs).groupBy("doc_id", "paragraph_index").agg(F.count("*").alias("n"))
-    a = per.groupBy("doc_id").agg(F.count("*").alias("k"), F.avg("n").alias("m"), F.stddev_pop("n").alias("sd"))
+    per = sentence_rows(with_rows(docs)).groupBy("row", "paragraph_index").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    a = per.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("k"), F.avg("n").alias("m"), F.stddev_pop("n").alias("sd"))
     return a.select("doc_id", F.when(F.col("k") >= 3, F.round(F.col("sd") / F.col("m"), 4)).otherwise(0.0).alias("paragraph_shape_cv"))
 
 

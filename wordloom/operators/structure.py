@@ -157,8 +157,9 @@ REST = "inne"
 
 
 def partition(docs: DataFrame) -> DataFrame:
-    """doc_id and the part of the corpus that the first matching rule names, by the document's last line (its title here)."""
-    title = F.lower(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n+"), -1))
+    """doc_id and the part of the corpus that the first matching rule names, by the document's title, its first line that is not blank."""
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n+"), lambda x: T.strip(x) != "")
+    title = F.lower(F.coalesce(F.get(lines, F.lit(0)), F.lit("")))
     part = F.coalesce(*[F.when(F.greatest(*[F.contains(title, F.lit(w)) for w in words], F.lit(False)), F.lit(name)) for name, words in PARTITIONS], F.lit(REST))
     return docs.select("doc_id", part.alias("part"))
 

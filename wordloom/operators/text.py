@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.patterns import BLANK
+from wordloom.functions.plans import has_rows
 
 LETTERS = r"\p{L}+"
 EDGES = f"^[{BLANK}]+|[{BLANK}]+$"
@@ -48,15 +49,16 @@ def sentence_gaps(paragraph: Column) -> Column:
 
 
 def split_paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph_index (from 0), text of each non-blank paragraph; a null text has none."""
+    """doc_id, paragraph_index (from 0), text of each non-blank paragraph; a null text has none. A column `row` of docs comes along."""
+    keep = ["row"] if has_rows(docs) else []
     # Outer, with the empty row dropped after: an inner explode would have the optimizer split each text twice, to drop empty lists.
-    return docs.select("doc_id", F.posexplode_outer(paragraph_list(F.col("text"))).alias("paragraph_index", "text")).where("text IS NOT NULL")
+    return docs.select(*keep, "doc_id", F.posexplode_outer(paragraph_list(F.col("text"))).alias("paragraph_index", "text")).where("text IS NOT NULL")
 
 
 def split_sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph_index, sentence_index, text of each sentence."""
-    p = split_paragraphs(docs)
-    return p.select("doc_id", "paragraph_index", F.posexplode_outer(sentence_list(F.col("text"))).alias("sentence_index", "text")).where("text IS NOT NULL")
+    """doc_id, paragraph_index, sentence_index, text of each sentence; a column `row` of docs comes along."""
+    p, keep = split_paragraphs(docs), ["row"] if has_rows(docs) else []
+    return p.select(*keep, "doc_id", "paragraph_index", F.posexplode_outer(sentence_list(F.col("text"))).alias("sentence_index", "text")).where("text IS NOT NULL")
 
 
 def ngram_counts(docs: DataFrame, n: int) -> DataFrame:

@@ -42,6 +42,22 @@ FORMS = [
 DOUBLETS = [("adj", "klarowny", "jasny", False), ("noun", "cel", "zamiar", False)]
 
 
+#: A template of our own, and a copy that somebody filled in.
+TEMPLATE = "\n".join([
+    "UMOWA NAJMU LOKALU MIESZKALNEGO", "zawarta w dniu …… r. w ………… (miejscowość)", "§ 1. Przedmiot umowy", "1. Wynajmujący oddaje najemcy lokal przy ulicy …………", "2. Czynsz wynosi …… zł miesięcznie.", "3. Umowa trwa …… dni / …… miesięcy / czas nieoznaczony",
+    "Uwagi stron do umowy:", "………………", "………………", "Dane najemcy", "………………", "(imię i nazwisko)", "§ 2. Postanowienia końcowe", "Wszelkie zmiany umowy wymagają formy pisemnej pod rygorem nieważności.", "Pełnomocnik stron działa osobiście …………… (jeżeli dotyczy)", "…………\t…………", "Wynajmujący\t\tNajemca",
+])
+FILLED = "\n".join([
+    "UMOWA NAJMU LOKALU MIESZKALNEGO", "zawarta w dniu 5 maja 2024 r. w Krakowie", "§ 1. Przedmiot umowy", "1. Wynajmujący oddaje najemcy lokal przy ulicy Polnej 7", "2. Czynsz wynosi 2000 zł miesięcznie.", "3. Umowa trwa 12 miesięcy",
+    "Uwagi stron do umowy:", "Strony nie mają uwag.", "Najemca obejrzał lokal.", "Dane najemcy", "Jan Kowalski,", "(imię i nazwisko)", "§ 2. Postanowienia końcowe", "Wszelkie zmiany umowy wymagają formy pisemnej pod rygorem nieważności.", "…………\t…………", "Wynajmujący\t\tNajemca",
+])
+#: Copies that documents get: filled, the template itself, one that lost a clause and has a note left, one in another order.
+COPIES = [
+    FILLED, TEMPLATE, "\n".join(x for x in FILLED.split("\n") if not x.startswith("2. ")) + "\n(należy opisać powód zgodnie z art. 5 ustawy)",
+    "\n".join([FILLED.split("\n")[13], *(x for i, x in enumerate(FILLED.split("\n")) if i != 13)]),
+]
+
+
 def forms(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FORMS, "form string, lemma string, tag string")
 
@@ -50,16 +66,17 @@ def doublets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DOUBLETS, "kind string, a string, b string, strong boolean")
 
 
-def seeded(docs: DataFrame, fragments: list[str] = FRAGMENTS) -> DataFrame:
-    """doc_id and text with fragment doc_id % K on lines of its own."""
+def seeded(docs: DataFrame, fragments: list[str] = FRAGMENTS, first: bool = False) -> DataFrame:
+    """doc_id and text with fragment doc_id % K on lines of its own, below or (first) above the text."""
     k = len(fragments)
     fragment = F.element_at(F.array(*[F.lit(f) for f in fragments]), (F.pmod("doc_id", F.lit(k)) + 1).cast("int"))
-    return docs.select("doc_id", F.concat("text", F.lit("\n"), fragment).alias("text"))
+    return docs.select("doc_id", (F.concat(fragment, F.lit("\n"), "text") if first else F.concat("text", F.lit("\n"), fragment)).alias("text"))
 
 
-def sql_seeded() -> str:
+def sql_seeded(first: bool = False) -> str:
     listed = ", ".join("'" + f.replace("'", "''") + "'" for f in FRAGMENTS)
-    return f"SELECT doc_id, text || chr(10) || [{listed}][doc_id % {len(FRAGMENTS)} + 1] AS text FROM documents"
+    parts = ["text", f"[{listed}][doc_id % {len(FRAGMENTS)} + 1]"]
+    return f"SELECT doc_id, {' || chr(10) || '.join(parts[::-1] if first else parts)} AS text FROM documents"
 
 
 #: A small catalogue of our own for the reply queries; users bring theirs.

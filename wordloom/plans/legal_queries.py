@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.operators import alignment, changes, corpus, detect, documents, features, legal, outcomes, redundancy, references, replies, reports, rewrite, structure
+from wordloom.operators import alignment, changes, corpus, detect, documents, features, layout, layout_check, legal, nominal, outcomes, redundancy, references, replies, reports, rewrite, structure
 from wordloom.operators import text as T
 
+from wordloom.functions.plans import cut, with_rows
 from wordloom.functions.plans import table as _table
 
 from . import fixtures
@@ -149,6 +150,33 @@ def _redundant(s: SparkSession, d: str) -> DataFrame:
     return seeded(_docs(s, d), fixtures.REDUNDANT)
 
 
+def _copies(s: SparkSession, d: str) -> DataFrame:
+    return seeded(_docs(s, d), fixtures.COPIES)
+
+
+def _template_check(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of documents with the template that they were written from, the findings of each, and the documents' ids by row."""
+    templates = s.createDataFrame([(1, fixtures.TEMPLATE)], "item_id long, text string")
+    docs = cut(with_rows(_copies(s, d)))
+    ours = layout.blocks(docs)
+    theirs = cut(layout.blocks(templates.withColumnRenamed("item_id", "doc_id")))
+    # The matcher goes by ids; here each row is one of its own.
+    found = alignment.match_template(docs.select(F.col("row").alias("doc_id"), "text"), templates)
+    items = theirs.select(F.col("row").alias("item"), F.col("doc_id").alias("item_id")).distinct()
+    pairs = cut(found.select(F.col("doc_id").alias("row"), "item_id").join(items, "item_id").select("row", "item"))
+    return pairs, layout_check.findings(pairs, ours, theirs), docs.select("row", "doc_id")
+
+
+def _template_findings(s: SparkSession, d: str) -> DataFrame:
+    _, found, ids = _template_check(s, d)
+    return found.join(ids, "row").drop("row", "item")
+
+
+def _template_verdicts(s: SparkSession, d: str) -> DataFrame:
+    pairs, found, ids = _template_check(s, d)
+    return layout_check.verdicts(pairs, found).join(ids, "row").drop("row", "item")
+
+
 def _visible_changes(s: SparkSession, d: str) -> DataFrame:
     edits = rewrite.stepped(_seeded(s, d))[1]
     ids = edits.select("row", "doc_id").distinct()
@@ -189,11 +217,14 @@ def queries() -> dict:
         "style_statistics": lambda s, d: outcomes.style_statistics(_docs(s, d)), "rule_separation": lambda s, d: outcomes.separation(_seeded(s, d), F.pmod("doc_id", F.lit(len(FRAGMENTS))) < 5),
         "protected_terms": _protected, "backfilled_labels": _backfilled, "family_profile": seed(structure.family_profile), "document_facts": seed(legal.document_facts),
         "roman_units": _unit_issues("roman"), "arabic_units": _unit_issues("arabic"), "paragraph_units": _unit_issues("paragraph"),
-        "document_check": seed(structure.check_document), "corpus_partition": seed(structure.partition), "classify_cascade": lambda s, d: structure.classify_cascade(_seeded(s, d), _table(s, d, "benchmark")),
+        "document_check": seed(structure.check_document), "corpus_partition": lambda s, d: structure.partition(seeded(_docs(s, d), first=True)), "classify_cascade": lambda s, d: structure.classify_cascade(_seeded(s, d), _table(s, d, "benchmark")),
         "redundancy_edits": lambda s, d: redundancy.edits(_redundant(s, d), fixtures.forms(s), fixtures.doublets(s)), "visible_changes": _visible_changes,
+        "nominal_edits": lambda s, d: nominal.edits(_redundant(s, d), fixtures.forms(s)),
+        "layout_blocks": lambda s, d: layout.blocks(_copies(s, d)).drop("row", "slots", "inline", "hint"), "layout_slots": lambda s, d: layout.slots(layout.blocks(_copies(s, d))).drop("row"),
+        "template_findings": _template_findings, "template_verdicts": _template_verdicts,
         "slop_ngrams": seed(detect.slop_ngrams), "style_profile": seed(outcomes.style_profile),
         "signed_modality": seed(features.signed_modality), "entry_problems": _entries, "deadline_status": _deadline_status, "catalogue_terms": _catalogue,
-        "slugs": text(lambda t: T.slug(F.substring(t, 1, 200)), "slug"), "masked_excerpts": lambda s, d: _seeded(s, d).select("doc_id", T.masked_excerpt(F.coalesce("text", F.lit(""))).alias("excerpt")),
+        "slugs": text(lambda t: T.slug(t), "slug"), "masked_excerpts": lambda s, d: _seeded(s, d).select("doc_id", T.masked_excerpt(F.coalesce("text", F.lit(""))).alias("excerpt")),
         "resume_remaining": lambda s, d: reports.remaining(_docs(s, d).select("doc_id", "source"), _table(s, d, "labels"), "doc_id"),
         "embedding_similarity": lambda s, d: reports.label_similarity(_table(s, d, "embeddings")),
         "answer_signal": lambda s, d: documents.document_signal(_table(s, d, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 10000 + F.col("turn")).alias("doc_id"), "text")),

@@ -7,7 +7,7 @@ from wordloom.operators import corpus, detect, features, legal, structure
 from wordloom.operators import text as T
 
 from . import sql_text as S
-from .fixtures import FRAGMENTS
+from .fixtures import FRAGMENTS, sql_seeded
 from .legal_queries import FORBIDDEN, PREFERRED, STATUSES
 
 TOK = r"regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')"
@@ -180,7 +180,8 @@ def more(base: dict[str, str]) -> dict[str, str]:
     masked = P.sql_marked(first)
     for pattern, mask in ((email, "[EMAIL]"), (number, "[LICZBA]"), (name, "[PODMIOT] ")):
         masked = f"regexp_replace({masked}, '{pattern}', '{mask}', 'g')"
-    plain = f"translate(lower(substr(coalesce(text, ''), 1, 200)), '{T.MARKED}', '{T.PLAIN}')"
+    titled = sql_seeded(first=True)
+    plain = f"translate(lower(coalesce(text, '')), '{T.MARKED}', '{T.PLAIN}')"
     return {
         "rule_decisions": o + ", e AS (SELECT unnest(rules) AS rule, decision FROM o) SELECT rule, " + ", ".join(f"{n(f'decision = {chr(39)}{x}{chr(39)}')} AS {x}" for x in ("accepted", "rejected", "undecided")) + " FROM e GROUP BY rule",
         "readiness": o + " SELECT doc_id, readiness FROM rd",
@@ -199,7 +200,7 @@ def more(base: dict[str, str]) -> dict[str, str]:
         "roman_units": units("roman"), "arabic_units": units("arabic"), "paragraph_units": units("paragraph"),
         "document_check": f"SELECT doc_id, missing_required, missing_expected, coalesce(e, 0) AS empty, coalesce(n, 0) AS numbering, coalesce(r, 0) AS order, missing_required + coalesce(e, 0) > 0 AS blocking FROM (SELECT doc_id, sum((status = 'missing_required')::INTEGER)::BIGINT AS missing_required, sum((status = 'missing_expected')::INTEGER)::BIGINT AS missing_expected FROM ({base['section_check']}) GROUP BY doc_id) "
         f"LEFT JOIN (SELECT doc_id, count(*) AS e FROM ({base['section_bodies']}) WHERE empty GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({base['numbering_issues']}) GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS r FROM ({base['order_issues']}) GROUP BY doc_id) USING (doc_id)".replace("AS order,", 'AS "order",'),
-        "corpus_partition": f"WITH d AS ({seeded}), x AS (SELECT doc_id, lower(list_last(string_split_regex(coalesce(text, ''), '\\n+'))) AS t FROM d) SELECT doc_id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{name}'" for name, ws in structure.PARTITIONS) + f" ELSE '{structure.REST}' END AS part FROM x",
+        "corpus_partition": f"WITH d AS ({titled}), x AS (SELECT doc_id, lower(coalesce(list_filter(string_split_regex(coalesce(text, ''), '\\n+'), lambda l: regexp_replace(l, {S.STRIP}) <> '')[1], '')) AS t FROM d) SELECT doc_id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{name}'" for name, ws in structure.PARTITIONS) + f" ELSE '{structure.REST}' END AS part FROM x",
         "classify_cascade": f"SELECT doc_id, CASE WHEN recall >= 0.5 OR (category = 'nieokreslony' AND item_id IS NOT NULL) THEN 'template:' || item_id ELSE category END AS category, CASE WHEN recall >= 0.5 THEN 'template' WHEN category <> 'nieokreslony' THEN 'signals' WHEN item_id IS NOT NULL THEN 'template_share' ELSE 'none' END AS by FROM ({base['classify_category']}) LEFT JOIN ({base['nearest_template'].replace('>= 0.4', '>= 0.25').replace('FROM documents)', f'FROM ({seeded}))')}) USING (doc_id)",
         "signed_modality": signed_modality(),
         "style_profile": rf"WITH fa AS ({family()}), tp AS (SELECT family AS kind, count(*) AS documents FROM fa GROUP BY family HAVING count(*) >= 5 ORDER BY documents DESC, kind LIMIT 1), mi AS (SELECT * FROM ({seeded}) WHERE doc_id IN (SELECT doc_id FROM fa JOIN tp ON family = kind)), "

@@ -46,7 +46,7 @@ def queries() -> dict:
         "paragraph_diagnosis": seed(detect.paragraph_diagnosis),
         "reference_profile": whole(calibrate.reference_profile),
         "calibration_signals": whole(calibrate.calibrate),
-        "calibration": whole(lambda t: calibrate.verdicts(calibrate.calibrate(t))),
+        "calibration": whole(lambda t: calibrate.verdicts(calibrate.exceedances(t)).drop("row")),
         "review_gate": seed(calibrate.review),
         "tone": whole(calibrate.tone),
         "document_diagnosis": whole(calibrate.diagnosis),
