@@ -51,7 +51,7 @@ RULES = [
 ONLY_IF = {"juz": r"=^<Już_z_\p{L}+_wynika>"}
 #: Characters around a hit that its evidence shows.
 AROUND = {"em_dash": 10}
-#: Rules that need look-around or lazy matching, without a twin in RE2.
+# Rules that need look-around or lazy matching, without a twin in RE2, and openings.
 LOOKAROUND = [("antithesis", "nie_lecz", r"(?iu)(?<![\p{L}\p{N}_])nie\s+(?:chodzi|jest\s+to)(?![\p{L}\p{N}_])[^.;]{3,80}?(?<![\p{L}\p{N}_])lecz(?![\p{L}\p{N}_])", 7)]
 TRICOLON = r"(?iu)(?<![,;:])(?<![\p{L}\p{N}_])\p{L}[^,;:.()]{10,70}?,\s+(\p{L}[^,;:.()]{10,70}?)\s+(?:oraz|a\s+także|i)\s+(\p{L}[^,;:.()]{10,70}?)(?=[.,;]|$)"
 OPENING = f"^<(?:warto_{SAY}|należy_{SAY}|ponadto|dodatkowo|co_więcej|z_kolei|oznacza_to|duże_znaczenie_ma|istotne_znaczenie_ma)>"

@@ -49,7 +49,7 @@ OFFICE = [
     ("<w_przedmiocie>", "w sprawie"), ("<albowiem>", "ponieważ"), ("<aczkolwiek>", "choć"), ("<jednakowoż>", "jednak"), ("<każdorazowo>", "zawsze"),
 ]
 OFFICE_SCORE, OFFICE_RISK = 0.6, 0.1
-#: Roles that somebody plays: the frame with what stands in it, and the plain verb.
+# Roles that somebody plays (the frame with what stands in it, and the plain verb), and openings that may go.
 ROLES = [("legal_style:duze_znaczenie_maja", "odgrywają", "mają"), ("legal_style:duze_znaczenie_ma", "odgrywa", "ma")]
 DROPS = [
     ("ai_artifact:drop_discourse_intro", "^<(?:warto|należy)_(?:również_)?(?:wskazać|zauważyć|podkreślić|odnotować|zaznaczyć)>(?: ?, ?| )<że> +", 0.57, 0.20),
