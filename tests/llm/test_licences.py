@@ -45,21 +45,44 @@ HELD = [
 ]
 
 
+# Notices of licences that are no family, and claims of rights; none may be lost. Written by hand, apart from training and from the bound's notices.
+OTHER = [
+    "This file is licensed under the zlib license.", "Boost Software License, version 1", "Licensed under the EUPL-1.2", "Microsoft Public License (MS-PL)", "Python Software Foundation License 2", "Copyrighted.", "Licensees must redistribute nothing", "Lizenz: GNU FDL 1.3", "Released under the Ruby License",
+    "Code is under the Sleepycat License", "Licensed under LPPL 1.3c", "SPDX-License-Identifier: BlueOak-1.0.0", "License: ODbL-1.0", "Distributed under the NASA Open Source Agreement license", "The model weights have a community license", "Licencia: propia del autor", "Licence : CeCILL-B", "Lizenziert unter der Deutschen Freien Softwarelizenz",
+    "Copyright 1998-2004 Lumen Labs", "Copyright Lumen Labs. All rights reserved worldwide.", "May be redistributed with written consent only", "Redistribution in any form is forbidden", "Licensed to the school for internal use", "Proprietary license, ask the vendor", "License: none of the usual ones", "This package uses the Perl license",
+    "Licensed under the terms of the Quartz Agreement", "The maps are under the Open Government Licence", "Released under the Hippocratic License 2.1", "Licensed under the Parity Public License",
+]
+# Prose with a word of licences that names none; reporting it as unknown costs a reader's time, so it is counted.
+PROSE = [
+    "The museum renewed its alcohol license in May", "He forgot his driving license at home", "A teaching license takes two years", "The shop sells licensed toys", "My grandmother had a licence for her radio", "Copyright in letters belongs to the writer, the judge said", "The guard asked the trucker for a license", "No warranty covers a flooded cellar",
+    "The senate debated copyright reform until midnight", "Sie hat den Führerschein, aber keine Lizenz zum Fliegen", "La policía pidió la licencia de conducir", "Un permis n'est pas une licence", "Their license to fish was revoked", "She holds a pilot license and a warrant.", "The gnu herd crossed the river", "A search warrant was signed at noon",
+]
+
+
 def test_held_out_notices_written_by_hand(spark):
     rows = [(i, t) for i, (t, _) in enumerate(HELD)]
     found = {r.doc_id: r.family for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    wrong = [(t, found.get(i), want) for i, (t, want) in enumerate(HELD) if found.get(i) != want and not (want == "unknown" and found.get(i) is None)]
+    lost = [t for i, (t, want) in enumerate(HELD) if want and found.get(i) is None]
+    assert not lost
+    wrong = [(t, found.get(i), want) for i, (t, want) in enumerate(HELD) if want not in (None, "unknown") and found.get(i) != want]
     assert len(wrong) <= 2, wrong
-    assert all(found.get(i) not in ("MIT", "CC-BY", "BSD") for i, (t, w) in enumerate(HELD) if w in (None, "CC-BY-ND", "0BSD")), found
+    assert all(found.get(i) in (None, "unknown") for i, (t, w) in enumerate(HELD) if w in (None, "unknown")), found
+
+
+def test_no_other_licence_is_lost(spark):
+    rows = list(enumerate(OTHER + PROSE))
+    found = {r.doc_id: r.family for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(t, found.get(i)) for i, t in rows[: len(OTHER)] if found.get(i) != "unknown"] == []
+    assert all(found.get(i) in (None, "unknown") for i, _ in rows[len(OTHER) :])
+    assert sum(i in found for i, _ in rows[len(OTHER) :]) <= 8
 
 
 def test_no_cued_paragraph_is_lost(spark):
-    """Every paragraph with a cue is scored, also one without a known n-gram."""
+    """Every paragraph with a cue is scored, also one without a known n-gram, and the trained model loses none of them."""
     texts = ["Lizenz: zqx licenseeism", "copyrightish zzz", "licensure qqqq", "x" * 200000 + " licence"]
-    flat = L.paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert flat.count() == len(texts)
-    model = (["none", "unknown"], spark.createDataFrame([], "gram string, w array<double>"), [0.0, 1.0])
-    got = L.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=model).collect()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert L.paragraphs(docs).count() == len(texts)
+    got = L.scan(docs).collect()
     assert len(got) == len(texts) and all(r.family == "unknown" and not r.confirmed for r in got)
 
 

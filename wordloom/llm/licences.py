@@ -8,7 +8,9 @@ here on notices that a rule builds from the families' names and usual sentences,
 `none`). A temperature, fitted on sentences and names that training leaves out, calibrates the
 probabilities; a prediction below `MIN_P` becomes `unknown`. A family is confirmed if the paragraph
 holds at least `MIN_SHARE` of the n-grams of one of the family's templates; a family that no template
-confirms becomes `unknown` too.
+confirms becomes `unknown` too. Class none needs more than the most likely class: its probability has to be
+above a bound, the highest one that the model gives to any notice of other licences which training has
+not seen (`UNSEEN`, written by hand, not by the rule of the training notices); below it a paragraph is `unknown`.
 
 Only paragraphs with a cue are scored. Cues are general words (licence, copyright, ...) and, by a cover
 computed from the templates, words and word pairs without which no paragraph can hold `MIN_SHARE` of
@@ -39,7 +41,7 @@ TOKEN = r"[\p{L}\p{N}]+(?:[.+][\p{L}\p{N}]+)*"
 TOKENS = re.compile(r"[^\W_]+(?:[.+][^\W_]+)*")
 #: A line end inside a sentence: after a line of wrapping width that no sentence ends, or before a small letter.
 WRAP = r"\r?\n(?<=(?:^|\n)[^\n]{59,100}[^\n.!?:;]\n)(?=[\p{L}\p{N}(])|\r?\n(?<=[\p{L},][\r\n]{1,2})(?=\p{Ll})"
-GENERAL = r"licen[sc]|copyright|copyleft|spdx|public domain|creative commons|\bcc[ -]?(?:by|0)\b|all rights reserved|redistribut|warrant|\bgnu\b|\bgpl|permission is hereby"
+GENERAL = r"li[cz]en[scz]|copyright|copyleft|spdx|public domain|creative commons|\bcc[ -]?(?:by|0)\b|all rights reserved|redistribut|warrant|\bgnu\b|\bgpl|permission is hereby"
 
 # The names under which licences are known.
 NAMES = {
@@ -63,6 +65,16 @@ NAMES = {
 }
 # Sentences in which notices name a licence.
 OPENERS = ["Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "Distributed under the terms of the {}.", "This project is available under the {}.", "SPDX-License-Identifier: {}", "License: {}", "The code in this repository is covered by the {}; see LICENSE for details.", "You may use this file under the {} license.", "Copyright (c) 2020 the authors. Released under {}."]
+# Names of licences that are no family here (class unknown).
+OTHERS = ["zlib license", "Artistic License 2.0", "Eclipse Public License 2.0", "EPL-2.0", "Academic Free License v3.0", "Open Data Commons Attribution License", "SIL Open Font License 1.1", "OFL-1.1", "CeCILL v2.1", "GNU Free Documentation License 1.3", "GNU FDL", "Common Development and Distribution License", "CDDL-1.1", "PHP License 3.01", "PostgreSQL License", "NCSA Open Source License", "Business Source License 1.1", "Server Side Public License v1", "Elastic License 2.0", "Vim License"]
+# Notices in the other languages of documents.
+ABROAD = ["Lizenziert unter {}.", "Lizenz: {}", "Veröffentlicht unter der {}.", "Licencia: {}", "Publicado bajo la licencia {}.", "Licence : {}", "Publié sous licence {}.", "Licencja: {}"]
+# Notices of other licences and of rights kept, written by hand. Training doesn't see them; the bound of class none comes from them.
+UNSEEN = [
+    "Boost Software License 1.0", "You may share this under the WTFPL", "The tables are under the Open Database License", "Licensed under EUPL v1.2 or later", "Microsoft Reciprocal License applies", "Python Software Foundation License Version 2", "Copyrighted material", "Copyright by the editors", "(c) 2011 Some Press, all rights reserved",
+    "Licensees may not redistribute", "No licence is granted", "Redistribution only with consent", "Lizenz: Datenlizenz Deutschland 2.0", "Licencia de uso propia, versión 2", "Licence Ouverte 2.0", "The fonts come with their own license, see FONTS", "License terms: see the vendor's site", "Subject to the Acme Sample Code License",
+    "Proprietary license. Do not copy.", "Governed by the Open Government Licence v3.0", "Die Software steht unter einer freien Lizenz", "Mit Lizenz der Stadt Bonn gedruckt", "Con licencia de la editorial", "Sous licence libre",
+]
 # Sentences that say a licence does not hold (class none).
 NEGATED = ["The {} does not apply.", "The {} does not apply to this file.", "This file is not licensed under the {}.", "It is no longer available under the {}.", "Not released under the {}."]
 # Short forms in which a name of one word stands as a template.
@@ -88,12 +100,12 @@ SENTENCES = {
     "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
-    "unknown": ["All rights reserved. No part of this publication may be reproduced without written permission of the publisher", "Copyright 2019 Example Press. All rights reserved.", "Use of this material is subject to the license agreement you signed", "Redistribution of this archive is not permitted"],
-    "none": ["He renewed his driving licence at the town hall", "The committee discussed copyright law and its history", "The warranty covers parts and labour for two years", "She asked whether the restaurant had a license to serve wine", "A fishing license costs nine dollars a season", "The lecture explains why copyright terms grew longer", "Licensing talks between the two studios failed", "He works at MIT and lives near the river", "The Apache river valley is dry in the summer", "The gnu is an antelope of the southern plains", "There is no warrant for such a claim", "The library moved its public domain books to the second floor", "The ministry plans to redistribute land among farmers", "Police had a search warrant for the flat"],
+    "unknown": ["All rights reserved. No part of this publication may be reproduced without written permission of the publisher", "Copyright 2019 Example Press. All rights reserved.", "Use of this material is subject to the license agreement you signed", "Redistribution of this archive is not permitted", "Licensees agree to these terms", "The licensee may not copy the program", "No license is given to the reader", "Copyright held by the firm", "Copyright by the author", "Copyrighted work", "Proprietary and confidential", "Proprietary software. Do not distribute.", "Governed by the licence below", "See the license file for terms", "The images have their own license", "The files have a separate license", "This data has a custom license", "The code has a permissive license"],
+    "none": ["The bar lost its license after the fire", "Her fishing licence was valid until spring", "Drivers without a licence pay a fine", "The court ruled that copyright ends seventy years after death", "A warrant was issued on Monday", "He asked for a copy of his marriage license", "The museum licenses pictures to newspapers", "Poetic license is allowed in songs", "They voted on a new copyright bill", "The machine is still under warranty", "Die Kneipe verlor nach dem Brand ihre Lizenz", "Der Pilot hat eine Lizenz zum Segelfliegen", "Der Trainer braucht eine Lizenz vom Verband", "El bar perdió su licencia", "El taxista mostró la licencia de taxi a la policía", "La licencia de obras tardó un año", "Il a perdu sa licence de pêche", "Elle a une licence de lettres", "Le club paie la licence de ses joueurs", "The license of the tavern was revoked", "Songs fall out of copyright in time", "He renewed his driving licence at the town hall", "The committee discussed copyright law and its history", "The warranty covers parts and labour for two years", "She asked whether the restaurant had a license to serve wine", "A fishing license costs nine dollars a season", "The lecture explains why copyright terms grew longer", "Licensing talks between the two studios failed", "He works at MIT and lives near the river", "The Apache river valley is dry in the summer", "The gnu is an antelope of the southern plains", "There is no warrant for such a claim", "The library moved its public domain books to the second floor", "The ministry plans to redistribute land among farmers", "Police had a search warrant for the flat"],
 }
 # Words from which prose is built that only mentions licences.
 WHO = ["She", "He", "My neighbour", "The driver", "A student", "The company"]
-DID = ["holds a pilot license", "lost the driving licence", "applied for a hunting license", "read about copyright", "signed a warranty for the car", "talked about a search warrant", "asked the city for a trade license"]
+DID = ["holds a pilot license", "lost the driving licence", "applied for a hunting license", "read about copyright", "signed a warranty for the car", "talked about a search warrant", "asked the city for a trade license", "renewed the liquor license", "keeps a fishing licence", "sued over a copyright", "got a marriage license", "lost the taxi licence", "studied copyright at college", "paid for a dog licence", "makes licensed football shirts", "had the licence revoked", "writes on copyright reform"]
 
 
 def notices() -> list[tuple[str, str, bool]]:
@@ -101,7 +113,9 @@ def notices() -> list[tuple[str, str, bool]]:
     named = [(family, opener.format(name), (k + j) % 4 == 3) for family, names in NAMES.items() for k, name in enumerate(names) for j, opener in enumerate(OPENERS)]
     denied = [("none", x.format(name), (k + j) % 4 == 3) for family, names in NAMES.items() if family != "unknown" for k, name in enumerate(names) for j, x in enumerate(NEGATED)]
     prose = [("none", f"{who} {did}{end}", (i + j) % 4 == 3) for i, who in enumerate(WHO) for j, did in enumerate(DID) for end in (" last year.", " and a permit.")]
-    return named + denied + prose + [(family, s, False) for family, several in SENTENCES.items() for s in several for _ in range(4)]
+    other = [("unknown", x.format(name), False) for k, name in enumerate(OTHERS) for j, x in enumerate(OPENERS + ABROAD) if (k + j) % 3 == 0]
+    abroad = [(family, x.format(name), False) for family, names in NAMES.items() if family != "unknown" for k, name in enumerate(names) for j, x in enumerate(ABROAD) if (k + j) % 4 == 0]
+    return named + denied + prose + other + abroad + [(family, s, False) for family, several in SENTENCES.items() for s in several for _ in range(4)]
 
 
 def template_texts() -> list[tuple[str, str]]:
@@ -160,8 +174,8 @@ def grams(text: Column) -> Column:
     return F.element_at(F.transform(F.array(w), lambda t: F.array_distinct(F.concat(of(t, 1), of(t, 2), of(t, 3)))), 1)
 
 
-def train(spark: SparkSession) -> tuple[list[str], DataFrame, list[float]]:
-    """Classes, weights (gram, w: a weight for each class, over the temperature), and the classes' offsets."""
+def train(spark: SparkSession) -> tuple[list[str], DataFrame, list[float], float]:
+    """Classes, weights (gram, w: a weight for each class, over the temperature), the classes' offsets, and the bound of class none."""
     rows = [(i, family, text, held) for i, (family, text, held) in enumerate(notices())]
     data = spark.createDataFrame(rows, "i long, family string, text string, held boolean").withColumn("grams", grams(F.col("text")))
     classes = sorted({f for _, f, _, _ in rows})
@@ -183,7 +197,9 @@ def train(spark: SparkSession) -> tuple[list[str], DataFrame, list[float]]:
     weights = spark.createDataFrame([(g, matrix[:, k].tolist()) for k, g in enumerate(vectorizer.vocabulary)], "gram string, w array<double>")
     data.unpersist()
     logits.unpersist()
-    return classes, weights, offsets
+    unseen = spark.createDataFrame(list(enumerate(UNSEEN)), "key long, line string")
+    bound = classified(unseen, (classes, weights, offsets, 0.0)).agg(F.max("none")).first()[0]
+    return classes, weights, offsets, bound
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -199,16 +215,18 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return cued.select(F.xxhash64("doc_id", "p.paragraph", "p.line").alias("key"), "doc_id", "p.paragraph", "p.line")
 
 
-def classified(found: DataFrame, model: tuple[list[str], DataFrame, list[float]]) -> DataFrame:
-    """key, class, p of each paragraph (key, line). Only numbers are shuffled; a key of several rows counts once."""
-    classes, weights, offsets = model
+def classified(found: DataFrame, model: tuple[list[str], DataFrame, list[float], float]) -> DataFrame:
+    """key, class, p, none (the probability of class none) of each paragraph (key, line). Only numbers are shuffled; a key of several rows counts once."""
+    classes, weights, offsets, bound = model
     flat = found.select("key", F.posexplode_outer(grams(F.col("line"))).alias("k", "gram")).join(F.broadcast(weights), "gram", "left")  # at most MAX_GRAMS rows
     rows = F.sum((F.coalesce("k", F.lit(0)) == 0).cast("int"))
     sums = [(F.coalesce(F.sum(F.col("w")[k]), F.lit(0.0)) / rows + F.lit(offsets[k])).alias(f"z{k}") for k in range(len(classes))]
     scored = flat.groupBy("key").agg(*sums).select("key", F.array(*[F.col(f"z{k}") for k in range(len(classes))]).alias("z"))
     p = 1 / F.aggregate(F.transform("z", lambda x: F.exp(x - F.array_max("z"))), F.lit(0.0), lambda s, x: s + x)
     best = F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("z", F.array_max("z")).cast("int"))
-    return scored.select("key", best.alias("class"), p.alias("p"))
+    scored = scored.select("key", best.alias("class"), p.alias("p"), (F.exp(F.col("z")[classes.index("none")] - F.array_max("z")) * p).alias("none"))
+    doubtful = (F.col("class") == "none") & (F.col("none") <= bound)
+    return scored.select("key", F.when(doubtful, "unknown").otherwise(F.col("class")).alias("class"), F.when(doubtful, 1 - F.col("none")).otherwise(F.col("p")).alias("p"), "none")
 
 
 def compared(found: DataFrame) -> DataFrame:
@@ -218,13 +236,13 @@ def compared(found: DataFrame) -> DataFrame:
     return flat.groupBy("key", "template").agg((F.count("*") / F.max("size")).alias("share")).groupBy("key").agg(F.max("share").alias("share"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[list[str], DataFrame, list[float]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[list[str], DataFrame, list[float], float] | None = None) -> DataFrame:
     """doc_id, paragraph, text, family, p, share (of the best template of the family), confirmed; a row for each licence-like paragraph.
 
     model: what `train` returned; trained anew where not given.
     """
     found = stored(paragraphs(docs, id_col, text_col))  # texts are searched once
-    scored = cut(classified(found, model or train(docs.sparkSession)).where("class <> 'none'"))
+    scored = cut(classified(found, model or train(docs.sparkSession)).where("class <> 'none'").drop("none"))
     held = found.join(scored, "key")
     share = F.coalesce("share", F.lit(0.0))
     out = held.join(compared(held), "key", "left").withColumn("share", share)
