@@ -62,6 +62,23 @@ def test_rows_without_ids_of_a_huge_group_are_split(spark):
     assert len(out) == 6000 and set(n) == set(range(16)) and max(n.values()) <= 1.5 * 6000 / 16
 
 
+def test_repeats_of_one_id_and_text_are_split_and_reruns_agree(spark, monkeypatch):
+    rows = [(7, "one and the same text " * 30)] * 3000 + [(i, f"text {i}") for i in range(10, 310)]
+    out = digest(spark, rows)
+    sizes = Counter()
+    for r in out:
+        sizes[r.shard] += r.size
+    assert len(out) == 3300 and max(sizes.values()) <= 1.25 * sum(sizes.values()) / 16
+    monkeypatch.setattr(S, "SLOT_ROWS", 256)  # repeats are counted in parts
+    again = digest(spark, rows[::-1])
+    assert len(again) == 3300 and Counter((r.doc_id, r.size, r.shard) for r in again) == Counter((r.doc_id, r.size, r.shard) for r in out)
+
+
+def test_string_ids(spark):
+    out = S.shard_digest(spark.createDataFrame([("a", "x y"), ("b", "z"), (None, None)], "doc_id string, text string")).collect()
+    assert {r.doc_id for r in out} == {"a", "b", None}
+
+
 def test_reruns_agree_and_empty(spark):
     rows = [(i, "abc " * (i % 50)) for i in range(500)]
     assert sorted(map(tuple, digest(spark, rows)), key=repr) == sorted(map(tuple, digest(spark, rows[::-1])), key=repr)

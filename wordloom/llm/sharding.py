@@ -8,8 +8,8 @@ number of bundles, by a hash of the text. Only a group that alone exceeds a whol
 a hash of its rows, into pieces of 1/64 of a shard: no shard could hold it beside the law of near-equal bytes.
 
 Defined results: a null text counts no bytes and is grouped with the empty text; repeated rows
-are rows of their own with slots of their own; an empty table gives an empty result; other columns
-are not read. Shards are numbered from 0, slots from 0 without gaps within a shard.
+(of one id and text too) are rows of their own with slots of their own, and are split as others are; an empty table
+gives an empty result; other columns are not read. Shards are numbered from 0, slots from 0 without gaps within a shard.
 """
 
 from __future__ import annotations
@@ -41,6 +41,24 @@ def pack(units: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def numbered(base: DataFrame, parts: int) -> DataFrame:
+    """base with row: a number made of a row's id and text and its place among the rows that repeat both.
+
+    Rows that repeat are alike, so which of them gets which place doesn't show and reruns agree. They are
+    counted in parts, so that no task gets all of them.
+    """
+    same = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "g")
+    base = base.withColumn("same", same).withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(parts)))
+    nth = F.row_number().over(W.partitionBy("same", "part").orderBy("mark")).cast("long")  # the hash below goes by the type too
+    if parts == 1:
+        placed = base.withColumn("nth", nth)
+    else:
+        held = base.groupBy("same", "part").agg(F.count("*").alias("k"))
+        held = held.withColumn("before", F.sum("k").over(W.partitionBy("same").orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("k")).drop("k")
+        placed = base.withColumn("nth", nth).join(held.where("before > 0"), ["same", "part"], "left").withColumn("nth", F.col("nth") + F.coalesce("before", F.lit(0))).drop("before")
+    return cut(placed.withColumn("row", F.xxhash64("same", "nth")).drop("same", "part", "nth", "mark"))
+
+
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, tokens, text_crc32, shard and slot of every row."""
     spark = docs.sparkSession
@@ -49,7 +67,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     base = cut(
         docs.select(
             F.col(id_col).alias("doc_id"),
-            F.coalesce(F.col(id_col).cast("long"), F.monotonically_increasing_id()).alias("row"),
+            F.monotonically_increasing_id().alias("mark"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
             F.crc32(text).alias("text_crc32"),
@@ -60,6 +78,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     total = base.agg(*sums).first()
     if not total["rows"]:
         return spark.createDataFrame([], "doc_id long, size long, tokens long, text_crc32 long, shard int, slot long")
+    base = numbered(base, max(1, total["rows"] // SLOT_ROWS))
     share = F.greatest(*[F.col(d) * shards / max(1, total[d]) for d in DIMENSIONS])
     groups = base.groupBy("g", "text_crc32").agg(*sums).withColumn("share", share)
     large = cut(groups.where(F.col("share") * ALONE > 1).select("g", "text_crc32", F.when(F.col("share") > 1, F.ceil(F.col("share") * ALONE)).otherwise(1).cast("int").alias("pieces")))
