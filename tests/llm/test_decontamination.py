@@ -60,3 +60,10 @@ def test_proximity(spark):
     d = spark.createDataFrame([(1, "alpha x x beta x gamma"), (2, "alpha x x x x x x x x x beta gamma"), (3, "gamma beta alpha"), (4, "alpha beta")], "doc_id long, text string")
     b = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
     assert {r.doc_id for r in D.near_hits(d, b, 6).collect()} == {1, 3}
+
+
+def test_string_item_ids(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([("b-1", "two three"), ("a", "one")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.items_sha256) for r in D.contamination_digest(docs, items).collect()}
+    assert got[1] == (3, __import__("hashlib").sha256(b"a,b-1").hexdigest()) and got[2][0] == 0

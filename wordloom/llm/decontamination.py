@@ -96,7 +96,7 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col:
     joined = base.join(per_doc, base.key == per_doc.found_id, "left").withColumn("doc", words(F.col("body")))
     hit = F.transform("cands", lambda c: F.struct(c["item_id"].alias("item_id"), c["at"].alias("at"), c["len"].alias("len"), _windows(c, _span(c, F.col("doc"))).alias("wins")))
     joined = joined.withColumn("n_words", F.size("doc").cast("long")).withColumn("m", F.when(F.col("cands").isNotNull(), F.filter(hit, lambda h: F.size(h["wins"]) > 0)))
-    hits = F.coalesce(F.flatten(F.transform("m", lambda h: F.transform(h["wins"], lambda s: F.struct(h["item_id"].alias("item_id"), (h["at"] + s).alias("start"), h["len"].alias("len"))))), F.array().cast("array<struct<item_id:bigint,start:int,len:int>>"))
+    hits = F.coalesce(F.flatten(F.transform("m", lambda h: F.transform(h["wins"], lambda s: F.struct(h["item_id"].alias("item_id"), (h["at"] + s).alias("start"), h["len"].alias("len"))))), F.array().cast(f"array<struct<item_id:{items.schema[item_id].dataType.simpleString()},start:int,len:int>>"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1)))))
     return joined.withColumn("hits", hits).select("doc_id", "n_words", "hits", covered.alias("hit_words"), *[F.col("body" if c == text_col else f"kept_{c}").alias(c) for c in keep or []])
 
