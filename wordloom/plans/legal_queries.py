@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.operators import alignment, changes, corpus, detect, documents, features, layout, layout_check, legal, nominal, outcomes, redundancy, references, replies, reports, rewrite, structure
+from wordloom.operators import alignment, changes, corpus, detect, documents, features, layout, layout_check, legal, nominal, outcomes, redundancy, references, replies, reports, rewrite, sections, structure
 from wordloom.operators import text as T
 
 from wordloom.functions.plans import cut, with_rows
@@ -193,6 +193,7 @@ def queries() -> dict:
     text = lambda f, name: lambda s, d: _docs(s, d).select("doc_id", f(F.coalesce("text", F.lit(""))).alias(name))
     return {
         "common_terms": lambda s, d: corpus.common_terms(_docs(s, d)), "merged_entries": _merged, "heading_support": _heading_support,
+        "learnt_sections": seed(sections.sections), "learnt_numbering": seed(sections.numbering),
         "deontic_profile": seed(features.deontic_profile), "style_compliance": seed(lambda x: features.style_compliance(x, FORBIDDEN, PREFERRED)),
         "log_odds": _log_odds, "model_support": _model_support, "slop_candidates": _candidates, "detector_auc": _auc,
         "strip_markup": lambda s, d: _table(s, d, "pages").select("page_id", T.strip_markup(F.coalesce("html", F.lit(""))).alias("plain")),

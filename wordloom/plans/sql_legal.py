@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wordloom.functions import patterns as P
-from wordloom.operators import corpus, detect, features, legal, structure
+from wordloom.operators import corpus, detect, features, legal, sections, structure
 from wordloom.operators import text as T
 
 from . import sql_text as S
@@ -65,6 +65,14 @@ def headings() -> str:
   OR (NOT regexp_matches(heading, ':\s*\S|_{{4,}}|\.{{4,}}') AND NOT regexp_matches(heading, '[.,;:]$') AND regexp_matches(heading, '^\p{{Lu}}'))))"""
 
 
+def learnt_numbering() -> str:
+    flags = ", ".join(f"bool_or(regexp_matches(x, '{p}'))::BIGINT AS {u}" for u, p in sections.UNITS.items())
+    sums = ", ".join(f"coalesce(sum({u}), 0)::BIGINT AS {u}" for u in sections.UNITS)
+    return f"""WITH d AS ({S.SEEDED}), l AS (SELECT doc_id, regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), {S.STRIP}) AS x FROM d), f AS (SELECT {flags} FROM l GROUP BY doc_id),
+k AS (SELECT count(*) AS documents, {sums} FROM f), b AS (SELECT *, greatest({', '.join(sections.UNITS)}) AS m FROM k)
+SELECT documents, {', '.join(sections.UNITS)}, CASE WHEN documents = 0 OR m / documents < {sections.REQUIRED} THEN NULL WHEN roman = m THEN 'roman' WHEN paragraph = m THEN 'paragraph' ELSE 'arabic' END AS numbering FROM b"""
+
+
 def section_bodies() -> str:
     phrases = ", ".join(f"('{name}', {j}, '{p}')" for name, _, _, listed in structure.SECTIONS for j, p in enumerate(listed))
     return headings() + rf""", ln AS (SELECT p.doc_id, p.paragraph_index AS line, p.text, h.heading IS NOT NULL AS is_h, len(regexp_extract_all(p.text, '[^{S.B}]+')) AS n FROM p LEFT JOIN h ON h.doc_id = p.doc_id AND h.line = p.paragraph_index),
@@ -263,6 +271,7 @@ SELECT *, round(least(1.0, transitions * 0.18 + least(0.3, vague / greatest(word
         "paragraph_features": f + """, z AS (SELECT *, lag(l) OVER (PARTITION BY doc_id, paragraph_index ORDER BY sentence_index) AS pv FROM x), j AS (SELECT *, len(l) AS n, CASE WHEN pv IS NOT NULL AND len(list_distinct(list_concat(l, pv))) > 0 THEN len(list_intersect(list_distinct(l), list_distinct(pv))) / len(list_distinct(list_concat(l, pv))) END AS jc FROM z)
 SELECT doc_id, paragraph_index, sum(n)::BIGINT AS words, round(avg(n), 4) AS mean_words, round(var_pop(n), 4) AS var_words, round(coalesce(avg(jc), 0), 4) AS topic_continuity FROM j GROUP BY ALL""",
         "sensitive_inventory": f"WITH d AS ({S.SEEDED}) SELECT doc_id, {', '.join(inventory(c) for c in features.INVENTORY)} FROM d",
+        "learnt_numbering": learnt_numbering(),
         "headings": headings() + " SELECT * FROM h",
         "numbering_issues": headings() + r", v AS (SELECT doc_id, line, regexp_extract(heading, '^§\s*(\d{1,9})', 1)::BIGINT AS value FROM h WHERE regexp_matches(heading, '^§\s*\d')), g AS (SELECT *, lag(value) OVER (PARTITION BY doc_id ORDER BY line) AS b FROM v) SELECT doc_id, line, value, b + 1 AS expected, CASE WHEN value <= b THEN 'repeat' ELSE 'gap' END AS issue FROM g WHERE value <> b + 1",
         "section_check": sections() + " SELECT * FROM sc",
