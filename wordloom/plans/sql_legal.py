@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from wordloom.functions import patterns as P
-from wordloom.operators import corpus, detect, features, legal, sections, structure
+from wordloom.operators import corpus, detect, features, legal, structure
+from wordloom.operators import sections as learnt
 from wordloom.operators import text as T
 
 from . import sql_text as S
@@ -66,11 +67,11 @@ def headings() -> str:
 
 
 def learnt_numbering() -> str:
-    flags = ", ".join(f"bool_or(regexp_matches(x, '{p}'))::BIGINT AS {u}" for u, p in sections.UNITS.items())
-    sums = ", ".join(f"coalesce(sum({u}), 0)::BIGINT AS {u}" for u in sections.UNITS)
+    flags = ", ".join(f"bool_or(regexp_matches(x, '{p}'))::BIGINT AS {u}" for u, p in learnt.UNITS.items())
+    sums = ", ".join(f"coalesce(sum({u}), 0)::BIGINT AS {u}" for u in learnt.UNITS)
     return f"""WITH d AS ({S.SEEDED}), l AS (SELECT doc_id, regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), {S.STRIP}) AS x FROM d), f AS (SELECT {flags} FROM l GROUP BY doc_id),
-k AS (SELECT count(*) AS documents, {sums} FROM f), b AS (SELECT *, greatest({', '.join(sections.UNITS)}) AS m FROM k)
-SELECT documents, {', '.join(sections.UNITS)}, CASE WHEN documents = 0 OR m / documents < {sections.REQUIRED} THEN NULL WHEN roman = m THEN 'roman' WHEN paragraph = m THEN 'paragraph' ELSE 'arabic' END AS numbering FROM b"""
+k AS (SELECT count(*) AS documents, {sums} FROM f), b AS (SELECT *, greatest({', '.join(learnt.UNITS)}) AS m FROM k)
+SELECT documents, {', '.join(learnt.UNITS)}, CASE WHEN documents = 0 OR m / documents < {learnt.REQUIRED} THEN NULL WHEN roman = m THEN 'roman' WHEN paragraph = m THEN 'paragraph' ELSE 'arabic' END AS numbering FROM b"""
 
 
 def section_bodies() -> str:
