@@ -80,15 +80,28 @@ def _first(text: Column, spec: str, with_: str) -> Column:
     return out if with_ else F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, F.lit(2), F.char_length(rest)))
 
 
+def _any_word() -> str:
+    """A pattern that holds wherever a rule of words may match; it looks at word starts only, with one look-behind for all rules."""
+    specs = [x[1] for x in DROPS + STYLE + REPLACEMENTS] + [x for x, _ in OFFICE]
+    return P.spark_pattern("<(?:" + "|".join(x.lstrip("^")[1:] for x in specs) + ")|zczególną rolę")
+
+
+#: Holds wherever spacing or a dash may be mended.
+ANY_SIGN = r"—|--| {2}|[ \t][,;:!?.]|[,;:]\p{L}"
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """All rule candidates of each sentence, in the rules' order (gen_order)."""
-    s = T.split_sentences(docs)
-    before = W.partitionBy("doc_id", "paragraph_index").orderBy("sentence_index").rowsBetween(W.unboundedPreceding, -1)
+    """All rule candidates of each sentence, in the rules' order (gen_order); each row of docs is read by itself."""
     opener = P.spark_pattern(DROPS[1][1])
-    s = s.withColumn("opened", F.coalesce(F.max(F.col("text").rlike(opener)).over(before), F.lit(False)))
+    p = T.split_paragraphs(docs).select("doc_id", "paragraph_index", T.sentence_list(F.col("text")).alias("list"))
+    # The first sentence of the paragraph that opens so, counted from 1; 0 for none. Sentences after it are `opened`.
+    p = p.select("doc_id", "paragraph_index", "list", F.array_position(F.transform("list", lambda x: x.rlike(opener)), True).alias("opener"))
+    s = p.select("doc_id", "paragraph_index", "opener", F.posexplode_outer("list").alias("sentence_index", "text")).where("text IS NOT NULL")
+    s = s.select("doc_id", "paragraph_index", "sentence_index", "text", ((F.col("opener") > 0) & (F.col("sentence_index") >= F.col("opener"))).alias("opened"))
     t = F.col("text")
     spaced = T.normalize_spacing(t)
-    made = [("cleanup:spacing", spaced != t, spaced, 0.1, 0.0), ("cleanup:em_dash", t.rlike(r"—|--"), T.plain_dashes(t), 0.5, 0.05)]
+    signs = [("cleanup:spacing", spaced != t, spaced, 0.1, 0.0), ("cleanup:em_dash", t.rlike(r"—|--"), T.plain_dashes(t), 0.5, 0.05)]
+    made = []
     for rule, spec, score, risk in DROPS:
         hit = t.rlike(P.spark_pattern(spec))
         made.append((rule, hit & F.col("opened") if "transition" in rule else hit, _first(t, spec, ""), score, risk))
@@ -98,9 +111,11 @@ def candidates(docs: DataFrame) -> DataFrame:
         frame = rf"(?u)^(.*?)(?<![{P.WORDCHAR}])([Ss])zczególną rolę(\s+[^,.]{{3,80}}?)?\s+{verb}\s+(?=[^,.])"
         fresh = F.regexp_replace(t, frame, f"$1<$2>uże znaczenie$3 {plain} ")
         made.append((rule, t.rlike(frame), F.replace(F.replace(fresh, F.lit("<S>"), F.lit("D")), F.lit("<s>"), F.lit("d")), 0.56, 0.1))
-    each = F.array(*[F.when(hit, F.struct(F.lit(i).alias("gen_order"), F.lit(rule).alias("rule"), out.alias("candidate"), F.lit(score).alias("score"), F.lit(risk).alias("risk"))) for i, (rule, hit, out, score, risk) in enumerate(made)])
-    any_hit = t.rlike("|".join([r"—|--| {2}|[ \t][,;:!?.]|[,;:]\p{L}", *[f"(?:{P.spark_pattern(x[1])})" for x in DROPS + STYLE + REPLACEMENTS], *[f"(?:{P.spark_pattern(x)})" for x, _ in OFFICE], "(?:zczególną rolę)"]))
-    s = s.where(any_hit).select("doc_id", "paragraph_index", "sentence_index", F.col("text").alias("original"), F.explode_outer(F.filter(each, lambda c: c.isNotNull())).alias("c")).where("c IS NOT NULL")
+    listed = lambda rules, first: F.array(*[F.when(hit, F.struct(F.lit(i).alias("gen_order"), F.lit(rule).alias("rule"), out.alias("candidate"), F.lit(score).alias("score"), F.lit(risk).alias("risk"))) for i, (rule, hit, out, score, risk) in enumerate(rules, first)])
+    # Most sentences match neither pattern; those with signs only are spared the rules of words.
+    word = t.rlike(_any_word())
+    each = F.when(word, F.concat(listed(signs, 0), listed(made, len(signs)))).otherwise(listed(signs, 0))
+    s = s.where(t.rlike(ANY_SIGN) | word).select("doc_id", "paragraph_index", "sentence_index", F.col("text").alias("original"), F.explode_outer(F.filter(each, lambda c: c.isNotNull())).alias("c")).where("c IS NOT NULL")
     return s.select("doc_id", "paragraph_index", "sentence_index", "original", "c.gen_order", "c.rule", "c.candidate", "c.score", "c.risk")
 
 
@@ -183,40 +198,52 @@ def rewrite_best(docs: DataFrame) -> DataFrame:
 
 
 def _applied(docs: DataFrame, best: DataFrame) -> DataFrame:
-    """doc_id and text with the best candidates in the places of their sentences; what stands between sentences and paragraphs stays as it was."""
+    """docs (doc_id, one row each; text) with the best candidates in the places of their sentences and `edited`; what stands between sentences and paragraphs stays as it was.
+
+    Only texts that an edit changes are taken apart, each by itself.
+    """
     shown = lambda p: T.strip(p) != ""
-    text = F.coalesce("text", F.lit(""))
-    p = docs.select("doc_id", F.split(text, "\n+", -1).alias("ps"), F.regexp_extract_all(text, F.lit("\n+"), 0).alias("gaps"))
-    p = p.select("doc_id", "ps", "gaps", F.posexplode("ps").alias("p", "paragraph"))
-    p = p.select("doc_id", "p", "paragraph", F.coalesce(F.get("gaps", F.col("p")), F.lit("")).alias("gap"), (F.size(F.filter(F.slice("ps", F.lit(1), F.col("p") + 1), shown)) - 1).alias("paragraph_index"))
-    s = p.select("doc_id", "p", "gap", "paragraph_index", "paragraph", T.sentence_gaps(F.col("paragraph")).alias("between"), F.posexplode_outer(F.split("paragraph", T.SENTENCE_GAP, -1)).alias("sentence_index", "raw"))
-    s = s.join(best.select("doc_id", "paragraph_index", "sentence_index", "candidate"), ["doc_id", "paragraph_index", "sentence_index"], "left")
-    # A sentence without its edges is what the candidate stands for; blank paragraphs have none.
-    edges = F.concat(F.regexp_extract("raw", f"^[{T.BLANK}]*", 0), F.col("candidate"), F.regexp_extract("raw", f"[{T.BLANK}]*$", 0))
-    fresh = F.when(F.col("candidate").isNotNull() & shown(F.col("paragraph")), edges).otherwise(F.col("raw"))
-    one = F.struct("sentence_index", F.concat(fresh, F.coalesce(F.get("between", F.col("sentence_index")), F.lit(""))).alias("t"))
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "")
-    rows = s.groupBy("doc_id", "p").agg(F.first("gap").alias("gap"), joined(one).alias("t"))
-    return rows.groupBy("doc_id").agg(joined(F.struct("p", F.concat("t", "gap").alias("t"))).alias("text"))
+    within = best.groupBy("doc_id", "paragraph_index").agg(F.map_from_entries(F.collect_list(F.struct("sentence_index", "candidate"))).alias("m"))
+    made = within.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("paragraph_index", "m"))).alias("made"))
+    d = docs.withColumn("text", F.coalesce("text", F.lit(""))).join(made, "doc_id", "left")
+    has = F.col("made").isNotNull()
+    d = d.withColumns({"ps": F.when(has, F.split("text", "\n+", -1)), "gaps": F.when(has, F.regexp_extract_all("text", F.lit("\n+"), 0))})
+    # Blank paragraphs are not counted: the k-th shown one stands at spots[k].
+    d = d.withColumn("spots", F.when(has, F.filter(F.transform("ps", lambda p, i: F.when(shown(p), i)), lambda i: i.isNotNull())))
+    d = d.withColumn("made", F.when(has, F.transform_keys("made", lambda k, m: F.get("spots", k))))
+    # A sentence without its edges is what the candidate stands for.
+    edges = lambda raw, c: F.concat(F.regexp_extract(raw, f"^[{T.BLANK}]*", 0), c, F.regexp_extract(raw, f"[{T.BLANK}]*$", 0))
+    fresh = lambda raws, m: F.transform(raws, lambda raw, j: F.when(F.map_contains_key(m, j), edges(raw, F.try_element_at(m, j))).otherwise(raw))
+    zipped = lambda a, b: F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+    paragraph = lambda p, m: zipped(fresh(F.split(p, T.SENTENCE_GAP, -1), m), T.sentence_gaps(p))
+    ps = F.transform("ps", lambda p, i: F.when(F.map_contains_key(F.col("made"), i), paragraph(p, F.try_element_at(F.col("made"), i))).otherwise(p))
+    return d.select(*[F.when(has, zipped(ps, F.col("gaps"))).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "edited"], has.alias("edited"))
+
+
+def _steps(docs: DataFrame, steps: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of docs by number, their texts after `steps` rounds (doc_id: the row's number; id, text), and the edits."""
+    rows = cut(with_rows(docs))
+    now, edits = rows.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("id"), "text", F.lit(True).alias("edited")), []
+    for step in range(1, steps + 1):
+        # A text that a round left as it was has no edit in the next one either.
+        best = cut(rewrite_best(now.where("edited")))
+        edits.append(best.select(F.col("doc_id").alias("row"), F.lit(step).alias("step"), "paragraph_index", "sentence_index", F.col("original").alias("before"), F.col("candidate").alias("after"), "rule"))
+        now = _applied(now, best)
+        now = cut(now) if step < steps else now  # the next round reads it twice
+    return rows, now, reduce(DataFrame.unionByName, edits)
 
 
 def stepped(docs: DataFrame, steps: int = 2) -> tuple[DataFrame, DataFrame]:
     """The texts after `steps` rounds of single best edits (row, doc_id, source, text), and the edits (row, doc_id, step, paragraph_index, sentence_index, before, after, rule).
 
-    Each row is a document of its own, whatever its doc_id; a null text is empty. Both tables are kept.
+    Each row is a document of its own, whatever its doc_id; a null text is empty.
     """
-    rows = cut(with_rows(docs))
-    now, edits = rows.select(F.col("row").alias("doc_id"), "text"), []
-    for step in range(1, steps + 1):
-        best = cut(rewrite_best(now))
-        edits.append(best.select(F.col("doc_id").alias("row"), F.lit(step).alias("step"), "paragraph_index", "sentence_index", F.col("original").alias("before"), F.col("candidate").alias("after"), "rule"))
-        now = cut(_applied(now, best))  # the next round reads it twice
-    ids = rows.select("row", "doc_id")
-    texts = rows.withColumnRenamed("text", "source").join(now.withColumnRenamed("doc_id", "row"), "row")
-    made = reduce(DataFrame.unionByName, edits).join(ids, "row").select("row", "doc_id", *edits[0].columns[1:])
+    rows, now, edits = _steps(docs, steps)
+    texts = rows.withColumnRenamed("text", "source").join(now.select(F.col("doc_id").alias("row"), "text"), "row")
+    made = edits.join(rows.select("row", "doc_id"), "row").select("row", "doc_id", *edits.columns[1:])
     return texts, made
 
 
 def rewrite(docs: DataFrame, steps: int = 2) -> DataFrame:
     """doc_id and text after `steps` rounds of single best edits, a row for each row of docs."""
-    return stepped(docs, steps)[0].select("doc_id", "text")
+    return _steps(docs, steps)[1].select(F.col("id").alias("doc_id"), "text")
