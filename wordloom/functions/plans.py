@@ -66,3 +66,13 @@ def spread(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table of that name below sf_dir."""
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+#: Parts for each core that slow work on few bytes is dealt to.
+DEALT = 4
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df over a fixed number of parts, for work in Python: parts by bytes alone would leave a table of small rows to one task."""
+    spark = df.sparkSession
+    return df.repartition(max(DEALT * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

@@ -26,7 +26,7 @@ PLACEHOLDER = r"(?iu)\[[^\]\n]{0,60}(?:uzupełnij|do uzupełnienia|wpisz|tbd)[^\
 CAPTION = r"\([^()]+\)|\[[^\[\]]+\]"
 CONDITIONAL = r"(?iu)dotyczy|nie jest obowiązkow|w przypadku|jeżeli|jeśli|tylko |opcjonaln|rekomenduje|fakultatyw|o ile |skreślić|niepotrzebne"
 INSTRUCTION = r"(?iu)należy|o której mowa|o którym mowa|art\.|dotyczy|nie jest obowiązkow|rekomenduje|np\.|w przypadku|jeżeli|jeśli|zgodnie z"
-ALIAS = r"(?<![\p{L}\p{N}_])[zZ]wan\p{L}*\s+(?:łącznie\s+)?(?:(?:dalej(?:\s+jako)?|w\s+(?:dalszej\s+)?(?:treści|części)\s+\p{L}+)\s+)?(?:łącznie\s+)?[„\"]?(\p{Lu}[\p{L}\p{N}]+(?:\s+(?:nr\s+)?(?:\d+|[A-Z])(?![\p{L}\p{N}]))?)"
+ALIAS = r"[zZ](?<![\p{L}\p{N}_].)wan\p{L}*\s+(?:łącznie\s+)?(?:(?:dalej(?:\s+jako)?|w\s+(?:dalszej\s+)?(?:treści|części)\s+\p{L}+)\s+)?(?:łącznie\s+)?[„\"]?(\p{Lu}[\p{L}\p{N}]+(?:\s+(?:nr\s+)?(?:\d+|[A-Z])(?![\p{L}\p{N}]))?)"
 SIGNATURE = r"(?iu)(?<![\p{L}\p{N}_])podpis(?:u|y|ie|em|ów|ami|ach|om)?(?![\p{L}\p{N}_])"
 PARTY_CELL = r"(?u)^(?:Za\s+)?\p{Lu}[\p{L}\p{N}]*(?:\s+(?:nr\s+)?[\p{L}\p{N}]+){0,2}\s*[:,]?$"
 CLOSING = r"(?iu)^z\s+(?:wyrazami\s+)?(?:poważaniem|szacunkiem)\s*[,.]?$"
@@ -54,6 +54,8 @@ BLANKS = rf"(?:(?:(?<=\s)|^)(?:\.{{2,3}}|…|\.[-–]\.){MORE}{GAP})?{STRONG}(?:
 LONE = r"^(?:\s*\(?[0-9a-z]{1,3}[.)]\s+|\s*)(…|\.{2,3})\s*$"
 TAIL = r"(?:…|\.{3,}|_{3,})\s*$"
 SPACER, HINT, DEPENDENT = "spacer", "hint", ["hint", "blank_line", "signature_line"]
+#: What a line has to hold for a blank or a placeholder, and for a caption; most lines hold neither and are not searched.
+MAY_BLANK, MAY_CAPTION = r"[….]{2}|…|\.[-–]\.|__|\[", r"[(\[]"
 ANCHORS = ["title", "body", "item", "clause_heading", "field", "field_header", "party_alias", "party_connector"]
 
 
@@ -63,21 +65,24 @@ def blanks(text: Column) -> Column:
     lone = F.regexp_extract(text, LONE, 1)
     at = F.char_length(F.rtrim(text)) - F.char_length(lone)
     one = F.array(F.struct(at.cast("int").alias("start"), (at + F.char_length(lone)).cast("int").alias("end"), lone.alias("value")))
-    found = F.when(F.size(found) > 0, found).when(lone != "", one).otherwise(found)
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["value"].startswith("["), "placeholder").otherwise("blank").alias("kind"), x["value"].alias("value")))
+    # A lone run is too weak to be a blank of the other kind, so a line has one or the other.
+    found = F.when(lone != "", one).otherwise(found)
+    made = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["value"].startswith("["), "placeholder").otherwise("blank").alias("kind"), x["value"].alias("value")))
+    return F.when(text.rlike(MAY_BLANK), made).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>"))
 
 
 def captions(text: Column) -> Column:
     """array<struct<start, end, value>>: bracketed texts that are no placeholders; value without its brackets."""
     found = F.filter(P.spans(text, CAPTION), lambda x: ~x["value"].rlike(f"^(?:{PLACEHOLDER})$"))
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.trim(F.substring(x["value"], F.lit(2), F.char_length(x["value"]) - 2)).alias("value")))
+    made = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.trim(F.substring(x["value"], F.lit(2), F.char_length(x["value"]) - 2)).alias("value")))
+    return F.when(text.rlike(MAY_CAPTION), made).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 def without(text: Column, marks: Column) -> Column:
     """The text with spaces in the place of marked spans (array of structs with start and end, ascending)."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda s, m: F.struct(m["end"].alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, m["start"] - s["at"]), F.repeat(F.lit(" "), m["end"] - m["start"])).alias("out"))
-    return F.aggregate(marks, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    return F.when(F.size(marks) > 0, F.aggregate(marks, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))).otherwise(text)
 
 
 def groups_of(text: Column) -> Column:
@@ -132,7 +137,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     role = (
         F.when(~F.col("shown"), SPACER).when(F.col("is_hint"), HINT).when(bare & F.col("label").isNull(), F.when((n >= 2) & t.contains("\t"), "signature_line").otherwise("blank_line"))
         .when((F.col("label_fmt") == "paragraph") & (F.char_length(body) <= HEADING_CHARS), "clause_heading").when(F.col("label").isNotNull(), "item").when(t.rlike(ALIAS), "party_alias")
-        .when(F.lower(F.trim(F.translate(body, ".,:", ""))).isin(CONNECTORS) & (F.char_length(body) <= 10), "party_connector")
+        .when((F.char_length(body) <= 10) & F.lower(F.trim(F.translate(body, ".,:", ""))).isin(CONNECTORS), "party_connector")
         .when((named != "") & (n > 0) & ~after.startswith("(") & (F.get("slots", F.lit(0))["start"] >= F.instr(t, ":") - 1), "field").when(body.endswith(":") & (F.char_length(body) <= LABEL_CHARS) & (n == 0), "field_header").otherwise("body")
     )
     joined = F.array_join("groups", " ")
@@ -155,7 +160,8 @@ def _beside(text: Column, c: Column) -> Column:
 def _alternatives(text: Column) -> Column:
     """Parts of a choice "a / b / c" of which two have blanks; 0 for none."""
     parts = F.split(F.regexp_replace(text, CAPTION, " "), r"\s*/\s*", -1)
-    return F.when((F.size(parts) >= 3) & (F.size(F.filter(parts, lambda x: x.rlike(f"{PLACEHOLDER}|{BLANKS}"))) >= 2), F.size(parts)).otherwise(0)
+    some = F.when((F.size(parts) >= 3) & (F.size(F.filter(parts, lambda x: x.rlike(f"{PLACEHOLDER}|{BLANKS}"))) >= 2), F.size(parts)).otherwise(0)
+    return F.when(F.contains(text, F.lit("/")), some).otherwise(0)
 
 
 def _bound(d: DataFrame, up, down) -> DataFrame:  # noqa: ANN001
@@ -193,7 +199,7 @@ def _bound(d: DataFrame, up, down) -> DataFrame:  # noqa: ANN001
 def slots(made: DataFrame) -> DataFrame:
     """A row for each blank of blocks(): row, doc_id, p, k, start, end, kind, value, hint, label, context, type, id (readable, unique in its document), optional."""
     t = F.col("text")
-    s = made.where(F.size("slots") > 0).select("*", F.posexplode("slots").alias("k", "s")).select("*", "s.start", "s.end", "s.kind", "s.value")
+    s = _signed(made).where(F.size("slots") > 0).select("*", F.posexplode("slots").alias("k", "s")).select("*", "s.start", "s.end", "s.kind", "s.value")
     others = F.filter("slots", lambda o: o["start"] != F.col("start"))
     caps = F.filter(captions(t), lambda c: ~((c["start"] <= F.col("start")) & (F.col("start") < c["end"])))
     marks = F.array_sort(F.concat(F.transform(others, lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"))), F.transform(caps, lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end")))))
@@ -222,15 +228,16 @@ def slots(made: DataFrame) -> DataFrame:
     s = s.withColumn("name", F.when(name == "", "pole").otherwise(name))
     again = F.row_number().over(W.partitionBy("row", "name").orderBy("p", "k"))
     ident = F.when(again > 1, F.concat("name", F.lit("_"), again)).otherwise(F.col("name"))
-    s = s.join(_signed(made), ["row", "p"], "left").withColumn("type", F.when(F.col("signs") & F.col("hint_").isNull(), "signature").otherwise(F.col("type")))
+    s = s.withColumn("type", F.when(F.col("signs") & F.col("hint_").isNull(), "signature").otherwise(F.col("type")))
     return s.select("row", "doc_id", "p", "k", "start", "end", "kind", "value", F.col("hint_").alias("hint"), F.col("label_").alias("label"), "context", "type", ident.alias("id"), "optional", "role")
 
 
 def _signed(made: DataFrame) -> DataFrame:
-    """row, p, signs: lines of dots alone, below the last clause heading, beside a line that names who signs: two parties in columns, the word itself, or a closing above."""
+    """made with signs: lines of dots alone, below the last clause heading, beside a line that names who signs: two parties in columns, the word itself, or a closing above."""
     by = W.partitionBy("row").orderBy("p")
     up, down = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(1, W.unboundedFollowing)
-    d = made.where(F.col("role") != SPACER).withColumn("words", T.strip(without(F.col("text"), F.col("slots"))))
+    # Empty lines are passed over: they hold no words, blanks or headings.
+    d = made.withColumn("words", T.strip(without(F.col("text"), F.col("slots"))))
     dotted = (F.size("slots") > 0) & ~F.col("words").rlike(r"[\p{L}\p{N}_]")
     cells = F.filter(F.split("words", r"\t+|\s{2,}"), lambda c: c != "")
     parties = (F.size(cells) >= 2) & ~F.exists(cells, lambda c: ~F.trim(c).rlike(PARTY_CELL))
@@ -240,4 +247,4 @@ def _signed(made: DataFrame) -> DataFrame:
     above, below = F.last(other, ignorenulls=True).over(up), F.first(other, ignorenulls=True).over(down)
     heading = F.max(F.when(F.col("role") == "clause_heading", F.col("p"))).over(W.partitionBy("row"))
     signs = F.col("dotted") & (F.col("p") > F.coalesce(heading, F.lit(-1))) & (F.coalesce(above["says"] | above["closes"], F.lit(False)) | F.coalesce(below["says"], F.lit(False)))
-    return d.select("row", "p", signs.alias("signs")).where("signs")
+    return d.select(*made.columns, signs.alias("signs"))

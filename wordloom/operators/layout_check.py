@@ -13,6 +13,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.functions.plans import cut
+from wordloom.functions.plans import cut, dealt
 
 from . import layout
 from . import text as T
@@ -46,7 +47,20 @@ def _fixed(chunk: Column) -> Column:
 def _marks(d: DataFrame) -> Column:
     """Blanks and captions beside them, in order; those inside the list marker are none."""
     mark = lambda a, slot: F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(slot).alias("slot")))
-    return F.filter(F.array_sort(F.concat(mark(F.col("slots"), True), mark(F.col("inline"), False))), lambda m: m["start"] >= F.col("body_start"))
+    both = F.filter(F.array_sort(F.concat(mark(F.col("slots"), True), mark(F.col("inline"), False))), lambda m: m["start"] >= F.col("body_start"))
+    return F.when(F.size("slots") + F.size("inline") > 0, both).otherwise(F.array().cast("array<struct<start:int,end:int,slot:boolean>>"))
+
+
+def _words(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), 0)
+
+
+def seen(blocks: DataFrame) -> DataFrame:
+    """Of a document's blocks what is compared with a template: row, p, text, role, body_start, hint_kind, slots, words (of the text without blanks and captions), all_words (of the body)."""
+    body = lambda c: F.substring(c, F.col("body_start") + 1, F.char_length("text"))
+    d = blocks.withColumn("marks", _marks(blocks)).withColumn("all_words", _words(body(F.col("text"))))
+    own = F.when(F.size("marks") > 0, _words(body(layout.without(F.col("text"), F.col("marks"))))).otherwise(F.col("all_words"))
+    return d.select("row", "p", "text", "role", "body_start", "hint_kind", "slots", own.alias("words"), "all_words")
 
 
 def shaped(blocks: DataFrame) -> DataFrame:
@@ -58,7 +72,7 @@ def shaped(blocks: DataFrame) -> DataFrame:
     step = lambda s, m: F.struct(m["end"].alias("at"), F.concat(s["out"], _fixed(F.substring(t, s["at"] + 1, m["start"] - s["at"])), filler(m)).alias("out"))
     rest = lambda s: F.substring(t, s["at"] + 1, F.char_length(t))
     pattern = F.aggregate("marks", start, step, lambda s: F.concat(s["out"], F.when(T.strip(rest(s)) != "", _fixed(rest(s))).otherwise(r"\s*$")))
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    words = _words
     body = lambda c: F.substring(c, F.col("body_start") + 1, F.char_length(t))
     d = d.withColumn("static", body(layout.without(t, F.col("marks"))))
     parts = F.transform(F.split("static", r"\s*/\s*"), lambda x: F.size(words(x)))
@@ -71,19 +85,39 @@ def shaped(blocks: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=4096)
+def _pattern(spec: str) -> regex.Pattern:
+    return regex.compile(r"(?s)\s*" + spec)
+
+
+def _places(held: list[dict], words: str) -> dict[str, set[int]]:
+    """The blocks that hold each word."""
+    out: dict[str, set[int]] = {}
+    for j, c in enumerate(held):
+        for w in c[words]:
+            out.setdefault(w, set()).add(j)
+    return out
+
+
+def _met(b: dict, places: dict[str, set[int]], n: int) -> list[int]:
+    """The blocks that b may be like: those with a word of it, or all where a pattern decides."""
+    return list(range(n)) if b["by_pattern"] else sorted(set().union(*[places.get(w, ()) for w in b["bag"]]))
+
+
 def likeness(b: dict, c: dict, strict: bool = False) -> float:
     """How well block c of a document carries the fixed words of template block b; strict: how equal both sides' fixed words are."""
     want, held = b["words"], c["words"] if strict else c["all_words"]
     if not want:
         return 0.0
-    if b["by_pattern"] and regex.match(r"(?s)\s*" + b["pattern"], c["body"]):
+    if b["by_pattern"] and _pattern(b["pattern"]).match(c["body"]):
         return 1.0
     if len(want) <= LABEL_WORDS:  # a label or a tail has to stand where the template has it
         heads, tails = held[: len(want)] == want, held[-len(want) :] == want
         if b["ends"] != b["starts"]:
             return float(heads if b["ends"] else tails)
         return float(heads and len(held) <= len(want) + LABEL_SLACK)
-    if sum((Counter(want) & Counter(held)).values()) < CHANGED * b["need"]:
+    bag = c["bag"] if not strict else c["own_bag"]
+    if sum(min(k, bag[w]) for w, k in b["bag"].items()) < CHANGED * b["need"]:
         return 0.0
     common = in_order(want, held)
     if not strict:
@@ -108,7 +142,11 @@ def rising(values: list[int]) -> set[int]:
 
 def assigned(wanted: list[dict], held: list[dict]) -> tuple[list[dict], list[int]]:
     """Places of template blocks in a document (matched in order, or changed), and the template blocks that stand elsewhere in the order."""
-    sims = {(i, j): s for i, b in enumerate(wanted) for j, c in enumerate(held) if (s := likeness(b, c)) >= CHANGED}
+    # Words are counted once for each block, not once for each pair.
+    wanted = [b | {"bag": Counter(b["words"])} for b in wanted]
+    held = [c | {"bag": Counter(c["all_words"]), "own_bag": Counter(c["words"])} for c in held]
+    among, own = _places(held, "all_words"), _places(held, "words")
+    sims = {(i, j): s for i, b in enumerate(wanted) for j in _met(b, among, len(held)) if (s := likeness(b, held[j])) >= CHANGED}
     matched = heaviest({(i, j): s * len(wanted[i]["words"]) for (i, j), s in sims.items() if s >= MATCH}, len(wanted), len(held))
     used, out = set(matched.values()), []
     for i in range(len(wanted)):
@@ -117,7 +155,7 @@ def assigned(wanted: list[dict], held: list[dict]) -> tuple[list[dict], list[int
         elif near := max(((s, j) for (k, j), s in sims.items() if k == i and j not in used), default=None):
             used.add(near[1])
             out.append((i, near[1], "changed"))
-    best = [max(((likeness(b, c, strict=True), -j) for j, c in enumerate(held)), default=(0.0, 0)) for b in wanted]
+    best = [max(((likeness(b, held[j], strict=True), -j) for j in _met(b, own, len(held))), default=(0.0, 0)) for b in wanted]
     free = [(i, -j) for i, (s, j) in enumerate(best) if s >= SAME]
     kept = rising([j for _, j in free])
     places = [{"t": wanted[i]["p"], "c": held[j]["p"], "state": state, "sim": sims[i, j]} for i, j, state in out]
@@ -125,7 +163,7 @@ def assigned(wanted: list[dict], held: list[dict]) -> tuple[list[dict], list[int
 
 
 def placed(pairs: DataFrame, docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """pairs (row, item) with places and turned; docs and templates are shaped blocks, the latter with their row as item."""
+    """pairs (row, item) with places and turned; docs are seen blocks, templates shaped ones with their row as item."""
     text_of = F.substring("text", F.col("body_start") + 1, F.char_length("text"))
     anchor = F.col("role").isin(layout.ANCHORS)
     by_pattern = (F.col("alternatives") == 0) & (F.size("words") <= PATTERN_WORDS) & (F.size("slots") + F.size("inline") > 0)
@@ -140,7 +178,7 @@ def placed(pairs: DataFrame, docs: DataFrame, templates: DataFrame) -> DataFrame
             done = [assigned(w or [], h or []) for w, h in zip(table.column(2).to_pylist(), table.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([table.column(0), table.column(1), pa.array([x for x, _ in done], kind), pa.array([x for _, x in done], pa.list_(pa.int32()))], ["row", "item", "places", "turned"])
 
-    return both.mapInArrow(run, f"row bigint, item bigint, places {PLACES}, turned array<int>")
+    return dealt(both, "row").mapInArrow(run, f"row bigint, item bigint, places {PLACES}, turned array<int>")
 
 
 def _state(value: Column, kind: Column) -> Column:
@@ -155,7 +193,7 @@ def findings(pairs: DataFrame, docs: DataFrame, templates: DataFrame) -> DataFra
     (text is the blank's id). caption_missing: its captions. extra, residue_note, residue_blank: blocks of the document.
     pairs: row, item, the numbers that layout.blocks gave to both sides; docs and templates: what it made of them.
     """
-    doc, tpl = cut(shaped(docs)), cut(shaped(templates).withColumnRenamed("row", "item"))
+    doc, tpl = cut(seen(docs)), cut(shaped(templates).withColumnRenamed("row", "item"))
     ids = cut(layout.slots(templates).select(F.col("row").alias("item"), F.col("p").alias("template_p"), "k", "id", "type"))
     place = cut(placed(pairs, doc, tpl))
     at = place.select("row", "item", F.explode("places").alias("x")).select("row", "item", F.col("x.t").alias("template_p"), F.col("x.c").alias("document_p"), "x.state", "x.sim")

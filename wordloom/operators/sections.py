@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.functions.plans import cut, with_rows
+from wordloom.functions.plans import cut, dealt, with_rows
 
 from . import structure
 from . import text as T
@@ -111,7 +111,7 @@ def links(wordings: DataFrame) -> DataFrame:
             both = [(x, y) for p, q in zip(f["a"], f["b"]) for x, y in ((p, q), (q, p)) if alike(x, y)]
             yield pd.DataFrame(both, columns=["wording", "like"])
 
-    found = met.mapInPandas(judge, "wording string, like string")
+    found = dealt(met).mapInPandas(judge, "wording string, like string")
     return cut(found.union(inside).union(inside.select("b", "a")).distinct())
 
 
