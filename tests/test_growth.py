@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from wordloom.operators import rewrite
+from wordloom.functions.plans import dealt
+from wordloom.operators import layout, rewrite, sections
 
 
 def plan(df):
@@ -30,3 +31,26 @@ def test_a_round_without_edits_is_the_last_of_a_text(spark):
     got = rewrite._applied(docs.where("doc_id IS NOT NULL AND text <> 'Bez zmian. '"), best)
     assert {(r.doc_id, r.text, r.edited) for r in got.collect()} == {(1, "\n A.  \n\nZawsze tak.  Ponieważ nie. \n", True), (2, "x", False)}
     assert sorted((str(r.doc_id), r.text) for r in rewrite.rewrite(docs).collect()) == [("1", "\n A.  \n\nZawsze tak.  Ponieważ nie. \n"), ("1", "Bez zmian. "), ("2", "x"), ("None", "")]
+
+
+def test_the_bound_on_letters_loses_no_alike_wordings():
+    import random
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcd ") for _ in range(r.randint(1, 12))) for _ in range(400)] + ["umowa najmu", "umowy najmu lokalu", "x", "kara umowna", "kary umowne"]
+    alike = [(a, b) for a in words for b in words if sections.alike(a, b)]
+    assert alike and all(sections.may_be_alike(a, b) and sections.may_be_alike(b, a) for a, b in alike)
+    assert not sections.may_be_alike("postanowienia", "wynagrodzenie stron")
+
+
+def test_python_steps_keep_their_parts(spark):
+    few = dealt(spark.range(100).select("id"), "id")
+    few.collect()
+    assert few.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_slots_read_their_blocks_once(spark):
+    docs = spark.createDataFrame([(1, "§ 1. Umowa\n\n………… \t …………\nWynajmujący\t\tNajemca")], "doc_id long, text string")
+    made = layout.slots(layout.blocks(docs))
+    assert "Join" not in plan(made)
+    assert [r.type for r in made.orderBy("k").collect()] == ["signature", "signature"]

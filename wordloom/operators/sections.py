@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,6 +85,26 @@ def alike(a: str, b: str) -> bool:
     return a in b or b in a or SequenceMatcher(None, a, b, autojunk=False).ratio() >= SAME
 
 
+@lru_cache(maxsize=1024)
+def _letters(text: str) -> dict[str, int]:
+    """Of each letter the places, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def may_be_alike(a: str, b: str) -> bool:
+    """Whether the letters that both have in order suffice; matching blocks never hold more, so what fails is not alike in either order."""
+    places, full = _letters(a), (1 << len(a)) - 1
+    v = full
+    for c in b:
+        u = v & places.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    common = len(a) - v.bit_count()
+    return 2 * common >= SAME * (len(a) + len(b)) or common == min(len(a), len(b))
+
+
 def links(wordings: DataFrame) -> DataFrame:
     """wording, like: every ordered pair of different wordings of which the first is alike to the second."""
     n = F.char_length("wording")
@@ -108,7 +129,7 @@ def links(wordings: DataFrame) -> DataFrame:
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            both = [(x, y) for p, q in zip(f["a"], f["b"]) for x, y in ((p, q), (q, p)) if alike(x, y)]
+            both = [(x, y) for p, q in zip(f["a"], f["b"]) if may_be_alike(p, q) for x, y in ((p, q), (q, p)) if alike(x, y)]
             yield pd.DataFrame(both, columns=["wording", "like"])
 
     found = dealt(met).mapInPandas(judge, "wording string, like string")
