@@ -3,13 +3,38 @@
 from pyspark.sql import functions as F
 
 from wordloom.functions.plans import dealt
-from wordloom.operators import layout, rewrite, sections
+from wordloom.operators import layout, nominal, redundancy, rewrite, sections
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def kept_rows(monkeypatch, *modules):
+    """The numbers of rows that the modules keep from now on."""
+    counts, real = [], redundancy.cut
+
+    def counted(df):
+        made = real(df)
+        counts.append(made.count())
+        return made
+
+    for m in modules:
+        monkeypatch.setattr(m, "cut", counted)
+    return counts
+
+
+FORMS = [("wykonawca", "wykonawca", "subst:sg:nom:m1"), ("usuwa", "usuwać", "fin:sg:ter:imperf"), ("naprawia", "naprawiać", "fin:sg:ter:imperf")]
+
+
+def test_nominal_keeps_only_sentences_with_a_phrase(spark, monkeypatch):
+    text = " ".join(["Strony podpisały protokół."] * 30 + ["Należy dokonać zmiany."])
+    kept = kept_rows(monkeypatch, redundancy, nominal)
+    got = nominal.edits(spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string"), None).collect()
+    assert sorted((r.sentence_index, r.after) for r in got) == [(30, "Należy zmienić.")] * 2
+    assert max(kept) == 2
+
+
 def test_candidates_read_each_row_by_itself(spark):
     docs = spark.createDataFrame([(1, "Ponadto termin minął."), (1, "Ponadto dłużnik zapłacił.")], "doc_id long, text string")
     made = rewrite.candidates(docs)

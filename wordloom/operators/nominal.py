@@ -25,6 +25,8 @@ from wordloom.functions.plans import cut
 from . import lexicon, rewrite
 from .redundancy import KEY, numbered
 
+PLACE = [*KEY, "doc_id"]
+
 # Phrases with their verbs, risks and modes, scores and risks, words that attach to the noun before, and conjunctions.
 PHRASES = [
     ("dokonać analizy", "przeanalizować", 0.10, "both"), ("dokonywać analizy", "analizować", 0.10, "both"), ("dokonano analizy", "przeanalizowano", 0.08, "both"), ("dokonać zmiany", "zmienić", 0.10, "both"),
@@ -90,6 +92,8 @@ class Trie:
 
     def find(self, text: str) -> list[dict]:
         """Where phrases stand whose words are parted by white space only: start, end, rule, and the word right after."""
+        if self.root.keys().isdisjoint(map(str.lower, WORD.findall(text))):
+            return []
         tokens = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
         out = []
         for i, (word, start, _) in enumerate(tokens):
@@ -105,26 +109,27 @@ class Trie:
 
 
 def found(sentences: DataFrame, phrases: list[Phrase]) -> DataFrame:
-    """The sentences that have a phrase: KEY, text, spans."""
+    """The sentences that have a phrase or a purpose: KEY, doc_id, text, purpose (whether it has one), spans."""
     trie = Trie.of(phrases)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("rule", pa.int32()), ("next", pa.string())]))
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tables:
-            spans = [trie.find(t) for t in table.column(3).to_pylist()]
-            kept = pa.array([i for i, s in enumerate(spans) if s], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[c.take(kept) for c in table.columns], pa.array([s for s in spans if s], kind)], [*KEY, "text", "spans"])
+            spans = [trie.find(t) for t in table.column("text").to_pylist()]
+            kept = [i for i, (s, purpose) in enumerate(zip(spans, table.column("purpose").to_pylist())) if s or purpose]
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(kept, pa.int64())) for c in table.columns], pa.array([spans[i] for i in kept], kind)], [*PLACE, "text", "purpose", "spans"])
 
-    return sentences.select(*KEY, "text").mapInArrow(run, f"row bigint, paragraph_index int, sentence_index int, text string, spans {SPANS}")
+    id_type = sentences.schema["doc_id"].dataType.simpleString()
+    return sentences.select(*PLACE, "text", F.col("text").rlike(IN_ORDER_TO).alias("purpose")).mapInArrow(run, f"row bigint, paragraph_index int, sentence_index int, doc_id {id_type}, text string, purpose boolean, spans {SPANS}")
 
 
 def _known(word: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at("known", F.lower(word))[name], F.lit(False))
 
 
-def _reduced(s: DataFrame, forms: DataFrame | None, phrases: list[Phrase]) -> DataFrame:
+def _reduced(hits: DataFrame, forms: DataFrame | None, phrases: list[Phrase]) -> DataFrame:
     """All phrases of a sentence replaced at once, and each one by itself at its first place."""
-    hits = cut(found(s, phrases))
+    hits = hits.where(F.size("spans") > 0)
     if forms is None:
         hits = hits.withColumn("known", F.lit(None).cast("map<string,struct<breaks:boolean,nominal:boolean>>"))
         follows = lambda w: w.isNotNull()
@@ -141,24 +146,24 @@ def _reduced(s: DataFrame, forms: DataFrame | None, phrases: list[Phrase]) -> Da
         return F.when((F.upper(head) == head) & (F.lower(head) != head), F.concat(F.upper(F.substring(verb, 1, 1)), F.substring(verb, F.lit(2), F.char_length(verb)))).otherwise(verb)
 
     spans = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rule"].alias("rule"), fresh(x).alias("fresh"), entry(x)["risk"].alias("risk"), entry(x)["words"].alias("words"), (~follows(x["next"])).alias("free")))
-    d = hits.select(*KEY, "text", spans.alias("spans"))
+    d = hits.select(*PLACE, "text", spans.alias("spans"))
     free = F.filter("spans", lambda x: x["free"])
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda st, x: F.struct(x["end"].alias("at"), F.concat(st["out"], F.substring(t, st["at"] + 1, x["start"] - st["at"]), x["fresh"]).alias("out"))
     whole = F.aggregate(free, begin, step, lambda st: F.concat(st["out"], F.substring(t, st["at"] + 1, F.char_length(t))))
-    combined = d.where(F.size(free) > 0).select(*KEY, F.lit(0).alias("gen_order"), "text", whole.alias("candidate"), F.lit("nominalizacja:combined").alias("rule"), F.lit(COMBINED).alias("score"), F.array_max(F.transform(free, lambda x: x["risk"])).alias("risk"))
-    each = d.select(*KEY, "text", F.explode("spans").alias("x")).groupBy(*KEY, "x.rule").agg(F.min_by(F.struct("text", "x"), "x.start").alias("f")).select(*KEY, "f.text", "f.x").where("x.free")
+    combined = d.where(F.size(free) > 0).select(*PLACE, F.lit(0).alias("gen_order"), "text", whole.alias("candidate"), F.lit("nominalizacja:combined").alias("rule"), F.lit(COMBINED).alias("score"), F.array_max(F.transform(free, lambda x: x["risk"])).alias("risk"))
+    each = d.select(*PLACE, "text", F.explode("spans").alias("x")).groupBy(*PLACE, "x.rule").agg(F.min_by(F.struct("text", "x"), "x.start").alias("f")).select(*PLACE, "f.text", "f.x").where("x.free")
     alone = F.concat(F.substring(t, F.lit(1), F.col("x.start")), F.col("x.fresh"), F.substring(t, F.col("x.end") + 1, F.char_length(t)))
-    single = each.select(*KEY, (F.col("x.rule") + 1).alias("gen_order"), "text", alone.alias("candidate"), F.concat(F.lit("nominalizacja:"), F.col("x.words")).alias("rule"), F.lit(SINGLE).alias("score"), "x.risk")
+    single = each.select(*PLACE, (F.col("x.rule") + 1).alias("gen_order"), "text", alone.alias("candidate"), F.concat(F.lit("nominalizacja:"), F.col("x.words")).alias("rule"), F.lit(SINGLE).alias("score"), "x.risk")
     return combined.unionByName(single)
 
 
-def _purposes(s: DataFrame, forms: DataFrame) -> DataFrame:
+def _purposes(hits: DataFrame, forms: DataFrame) -> DataFrame:
     """"w celu" and a gerund as a clause: only after a main clause with a finite verb, where nothing that the gerund governs follows and its verb needs no object."""
     t = F.col("text")
-    hits = s.where(t.rlike(IN_ORDER_TO)).select(*KEY, "text")
+    hits = hits.where("purpose").select(*PLACE, "text")
     hits = hits.join(lexicon.looked_up(hits, KEY, F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+"), 0), forms), KEY)
-    d = hits.select(*KEY, "text", "known", F.posexplode(F.arrays_zip(P.spans(t, IN_ORDER_TO).alias("at"), F.regexp_extract_all(t, F.lit(IN_ORDER_TO), 1).alias("noun"))).alias("n", "m"))
+    d = hits.select(*PLACE, "text", "known", F.posexplode(F.arrays_zip(P.spans(t, IN_ORDER_TO).alias("at"), F.regexp_extract_all(t, F.lit(IN_ORDER_TO), 1).alias("noun"))).alias("n", "m"))
     d = d.withColumns({"lead": F.regexp_replace(F.substring(t, F.lit(1), F.col("m.at.start")), rf"[{P.BLANK}]+$", ""), "tail": F.substring(t, F.col("m.at.end") + 1, F.char_length(t)), "gerund": F.try_element_at("known", F.lower("m.noun"))["gerund"]})
     after = F.regexp_extract("tail", r"^\s+(\p{L}+)", 1)
     finite = F.exists(F.regexp_extract_all(F.lower("lead"), F.lit(r"\p{L}+"), 0), lambda w: _known(w, "finite"))
@@ -167,17 +172,18 @@ def _purposes(s: DataFrame, forms: DataFrame) -> DataFrame:
     lacks = F.col("gerund.object") & (F.lower(after) != REFLEXIVE)
     good = F.col("gerund").isNotNull() & F.col("lead").rlike(r"[\p{L}\p{N},)_]$") & finite & ~governed & ~joined & ~lacks
     fresh = F.concat("lead", F.when(F.col("lead").endswith(","), " ").otherwise(", "), F.lit("aby "), "gerund.lemma", "tail")
-    return d.where(good).select(*KEY, (F.col("n") + 100_000).cast("int").alias("gen_order"), "text", fresh.alias("candidate"), F.lit("nominalizacja:w_celu_ger").alias("rule"), F.lit(PURPOSE).alias("score"), F.lit(PURPOSE_RISK).alias("risk"))
+    return d.where(good).select(*PLACE, (F.col("n") + 100_000).cast("int").alias("gen_order"), "text", fresh.alias("candidate"), F.lit("nominalizacja:w_celu_ger").alias("rule"), F.lit(PURPOSE).alias("score"), F.lit(PURPOSE_RISK).alias("risk"))
 
 
 def candidates(docs: DataFrame, forms: DataFrame | None, mode: str = "standard", phrases: list[Phrase] | None = None) -> DataFrame:
     """row, doc_id, paragraph_index, sentence_index, gen_order, original, candidate, rule, score, risk of all candidates."""
-    s = numbered(docs)
     active = [p for p in (RULES if phrases is None else phrases) if mode in p.modes]
-    made = _reduced(s, forms, active)
+    # One pass over the sentences; only those that have something to rewrite are kept.
+    hits = cut(found(numbered(docs), active))
+    made = _reduced(hits, forms, active)
     if forms is not None and mode != "conservative":
-        made = made.unionByName(_purposes(s, forms))
-    return made.withColumnRenamed("text", "original").join(s.select(*KEY, "doc_id"), KEY)
+        made = made.unionByName(_purposes(hits, forms))
+    return made.withColumnRenamed("text", "original")
 
 
 def edits(docs: DataFrame, forms: DataFrame | None, mode: str = "standard") -> DataFrame:

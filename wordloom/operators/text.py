@@ -9,12 +9,14 @@ from wordloom.functions.patterns import BLANK
 from wordloom.functions.plans import has_rows
 
 LETTERS = r"\p{L}+"
-EDGES = f"^[{BLANK}]+|[{BLANK}]+$"
-SENTENCE_GAP = rf"(?<=[.!?])[{BLANK}]+(?=\p{{Lu}}|__PROTECTED_)"
+#: The characters of BLANK.
+BLANKS = " \t\n\x0b\f\r\xa0"
+#: Blanks after a sign of an end; the sign is looked for behind the first blank, so that most characters fail at once.
+SENTENCE_GAP = rf"[{BLANK}](?<=[.!?][{BLANK}])[{BLANK}]*(?=\p{{Lu}}|__PROTECTED_)"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, EDGES, "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def tokens(text: Column) -> Column:
@@ -36,7 +38,7 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def paragraph_list(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n+"), lambda p: strip(p) != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n+"), lambda p: p.rlike(f"[^{BLANK}]"))
 
 
 def sentence_list(paragraph: Column) -> Column:
