@@ -79,3 +79,23 @@ def test_slots_read_their_blocks_once(spark):
     made = layout.slots(layout.blocks(docs))
     assert "Join" not in plan(made)
     assert [r.type for r in made.orderBy("k").collect()] == ["signature", "signature"]
+
+
+def test_redundancy_keeps_only_sentences_with_known_words(spark, monkeypatch):
+    plain = ["Strony podpisały protokół."] * 30
+    texts = [" ".join([*plain, "Stary wykonawca naprawia drogę gminną.", "Wykonawca naprawia drogę.", "Wykonawca usuwa wady."]), " ".join(plain)]
+    forms = spark.createDataFrame(FORMS, "form string, lemma string, tag string")
+    pairs = spark.createDataFrame([], "kind string, a string, b string, strong boolean")
+    kept = kept_rows(monkeypatch, redundancy)
+    got = redundancy.edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forms, pairs, "strong").collect()
+    assert [(r.doc_id, r.sentence_index, r.after) for r in got] == [(0, 32, "Usuwa wady.")]
+    assert max(kept) == 3
+
+
+def test_an_opening_is_compared_with_a_sentence_without_known_words(spark):
+    forms = spark.createDataFrame(FORMS, "form string, lemma string, tag string")
+    pairs = spark.createDataFrame([], "kind string, a string, b string, strong boolean")
+    # "Wykonawcy" has the same stem but no readings, so only the second sentence of the first text is looked at.
+    docs = spark.createDataFrame([(1, "Wykonawcy stoją. Wykonawca naprawia drogę."), (2, "Budynki stoją. Wykonawca naprawia drogę.")], "doc_id long, text string")
+    got = redundancy.edits(docs, forms, pairs, "strong").collect()
+    assert [(r.doc_id, r.after) for r in got] == [(1, "Naprawia drogę.")]

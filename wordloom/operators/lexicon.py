@@ -45,11 +45,14 @@ def readings(forms: DataFrame) -> DataFrame:
 def looked_up(rows: DataFrame, keys: list[str], words: Column, forms: DataFrame) -> DataFrame:
     """keys and `known`, a map from each of the row's words that has readings to its info; rows without any are left out.
 
-    Only the readings of words that occur take part in the join.
+    Of a table too large for a broadcast, only the readings of words that occur take part in the join.
     """
-    asked = rows.select(*keys, F.explode(F.array_distinct(words)).alias("word"))
-    lexicon = readings(forms).join(asked.select("word").distinct(), "word", "left_semi")
+    asked = rows.select(*keys, F.explode_outer(F.array_distinct(words)).alias("word")).where("word IS NOT NULL")
+    lexicon = readings(forms)
     sent = checked(lexicon)
+    if sent is lexicon:
+        lexicon = lexicon.join(asked.select("word").distinct(), "word", "left_semi")
+        sent = checked(lexicon)
     if sent is lexicon:
         lexicon = lexicon.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         found = asked.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALT)).cast("int")).join(lexicon, ["word", "salt"])
