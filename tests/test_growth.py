@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from wordloom.functions import patterns as P
 from wordloom.functions.plans import dealt
-from wordloom.operators import layout, nominal, redundancy, rewrite, sections
+from wordloom.operators import calibrate, detect, layout, metrics, nominal, outcomes, redundancy, replies, rewrite, sections
+from wordloom.operators import text as T
 
 
 def plan(df):
@@ -99,3 +101,15 @@ def test_an_opening_is_compared_with_a_sentence_without_known_words(spark):
     docs = spark.createDataFrame([(1, "Wykonawcy stoją. Wykonawca naprawia drogę."), (2, "Budynki stoją. Wykonawca naprawia drogę.")], "doc_id long, text string")
     got = redundancy.edits(docs, forms, pairs, "strong").collect()
     assert [(r.doc_id, r.after) for r in got] == [(1, "Naprawia drogę.")]
+
+
+def test_style_profile_shuffles_no_texts_and_keeps_repeated_ids(spark, monkeypatch):
+    contract, other = "Umowa wiąże strony. Najemca płaci.", "Zupełnie inny list."
+    rows = [*((i, contract) for i in range(6)), (3, other), (90, other), (None, contract)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, real = [], outcomes.style_statistics
+    monkeypatch.setattr(outcomes, "style_statistics", lambda d: (seen.append(d), real(d))[1])
+    r = outcomes.style_profile(docs).first()
+    assert (r.kind, r.documents, r.excluded) == ("contract", 7, 2)
+    assert sorted((x.doc_id, x.text) for x in seen[0].collect()) == sorted([*rows[:6], (3, other)])
+    assert "SortMergeJoin" not in plan(seen[0]) and "Exchange hashpartitioning" not in plan(seen[0])

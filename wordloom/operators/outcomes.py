@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import patterns as P
+from wordloom.functions.plans import checked, cut
 
 from . import detect, documents, structure
 from . import text as T
@@ -80,7 +81,7 @@ STYLE_WORD = "[A-Za-zĄ-ż]+"
 def style_statistics(docs: DataFrame) -> DataFrame:
     """One row over all documents: mean words of a sentence, distinct words over words, mean words of a document."""
     text = F.coalesce("text", F.lit(""))
-    parts = F.filter(F.split(text, rf"(?<=[.!?])[{P.BLANK}]+"), lambda s: T.strip(s) != "")
+    parts = F.filter(F.split(text, rf"[{P.BLANK}](?<=[.!?][{P.BLANK}])[{P.BLANK}]*"), lambda s: T.strip(s) != "")
     d = docs.select(F.regexp_extract_all(F.lower(text), F.lit(STYLE_WORD), 0).alias("w"), F.size(parts).alias("s"))
     # Words are counted once by value and once by document: two small tables instead of a distinct over all words.
     values = d.select(F.explode_outer("w").alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n")).agg(F.count("*").alias("types"), F.sum("n").alias("tokens"))
@@ -95,11 +96,17 @@ MIN_PROFILE, HIGH_SIGNAL = 5, 0.5
 def style_profile(docs: DataFrame) -> DataFrame:
     """One row: the dominant kind of the documents, how many are of it and how many are left out, the style statistics of
     its documents, and whether one of them has a high signal. No row below five documents of a kind; ties by name."""
-    kinds = structure.classify_family(docs).select("doc_id", "family")
+    kinds = cut(structure.classify_family(docs).select("doc_id", "family"))
     counts = kinds.groupBy("family").agg(F.count("*").alias("documents"))
     top = counts.orderBy(F.desc("documents"), "family").limit(1).where(F.col("documents") >= MIN_PROFILE)
     total = counts.agg(F.sum("documents").alias("all"))
-    mine = docs.join(kinds.join(F.broadcast(top.select("family")), "family", "left_semi").select("doc_id"), "doc_id", "left_semi")
+    found = top.select("family").first()
+    kind = F.lit(found["family"] if found else None).cast("string")
+    # Texts are told by what they say themselves, so they are not shuffled; an id that other rows have too brings those along.
+    ids = kinds.where(F.col("family") == kind).select("doc_id").distinct()
+    more = checked(cut(kinds.where(F.col("family") != kind).join(ids, "doc_id", "left_semi").select("doc_id").distinct()))
+    own = structure.classify_family(docs, "text").select("doc_id", "text", (F.col("family") == kind).alias("own"))
+    mine = own.join(more.withColumn("also", F.lit(True)), "doc_id", "left").where("doc_id IS NOT NULL AND (own OR also)").select("doc_id", "text")
     high = documents.document_signal(mine).agg(F.coalesce(F.max(F.col("signal_score") >= HIGH_SIGNAL), F.lit(False)).alias("warned"))
     return top.withColumnRenamed("family", "kind").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(style_statistics(mine))).crossJoin(F.broadcast(high)).withColumn("excluded", F.col("all") - F.col("documents")).drop("all")
 

@@ -110,14 +110,14 @@ def order_issues(docs: DataFrame) -> DataFrame:
     return bad.groupBy("doc_id").agg(F.min_by(F.struct("section", "next_section"), "position").alias("b")).select("doc_id", F.col("b.section").alias("section"), F.col("b.next_section").alias("before"))
 
 
-def classify_family(docs: DataFrame) -> DataFrame:
-    """family and confidence by matched terms; ties keep the list's order; without any term client_communication."""
+def classify_family(docs: DataFrame, *more: str) -> DataFrame:
+    """family and confidence by matched terms; ties keep the list's order; without any term client_communication. Columns `more` come along."""
     t = F.lower(F.coalesce("text", F.lit("")))
     made = F.array(*[F.struct(sum((F.contains(t, F.lit(x)).cast("int") for x in terms), F.lit(0)).alias("n"), F.lit(-i).alias("rank"), F.lit(f).alias("family")) for i, (f, terms) in enumerate(FAMILIES)])
-    d = docs.select("doc_id", F.reverse(F.array_sort(made)).alias("r"))
+    d = docs.select("doc_id", *more, F.reverse(F.array_sort(made)).alias("r"))
     best, second = F.col("r")[0]["n"], F.col("r")[1]["n"]
     conf = F.round(F.least(F.lit(0.98), 0.52 + 0.08 * best + 0.08 * F.greatest(F.lit(0), best - second)), 2)
-    return d.select("doc_id", F.when(best > 0, F.col("r")[0]["family"]).otherwise("client_communication").alias("family"), F.when(best > 0, conf).otherwise(0.34).alias("confidence"))
+    return d.select("doc_id", *more, F.when(best > 0, F.col("r")[0]["family"]).otherwise("client_communication").alias("family"), F.when(best > 0, conf).otherwise(0.34).alias("confidence"))
 
 
 #: Families that have a profile to be measured against.
