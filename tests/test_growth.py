@@ -113,3 +113,13 @@ def test_style_profile_shuffles_no_texts_and_keeps_repeated_ids(spark, monkeypat
     assert (r.kind, r.documents, r.excluded) == ("contract", 7, 2)
     assert sorted((x.doc_id, x.text) for x in seen[0].collect()) == sorted([*rows[:6], (3, other)])
     assert "SortMergeJoin" not in plan(seen[0]) and "Exchange hashpartitioning" not in plan(seen[0])
+
+
+def test_phrases_are_looked_for_as_characters_first(spark):
+    cat = replies.Catalogue(acts=[replies.Kind("a", strong=("od decyzji",), weak=("org.",))], senders=[], procedures=[replies.Kind("kpa", strong=("k.p.a.",))])
+    made = replies.letter_kind(spark.createDataFrame([(1, "Odwołanie od decyzji, zob. k.p.a. i k.p.a.; org. a"), (2, "org.an, xk.p.a.")], "doc_id long, text string"), cat)
+    assert "Contains(" in made._jdf.queryExecution().optimizedPlan().toString() or "contains(" in made._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {r.doc_id: (r.act_score, r.procedure, r.cited) for r in made.collect()}
+    assert got[1] == (4, "kpa", 2) and got[2] == (0, None, 0)
+    t = spark.createDataFrame([("Proszę w terminie zapłacić, a w terminie 14 dni oddać; w ciągu tygodnia.",), ("xw terminie 3 dni",), ("W  Terminie dwudziestu jeden dni",)], "t string")
+    assert [r.v and tuple(r.v) for r in t.select(replies.term(T.F.col("t")).alias("v")).collect()] == [(14, "day"), None, (21, "day")]

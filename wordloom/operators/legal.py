@@ -95,13 +95,15 @@ def letter_parts(docs: DataFrame, *more: str) -> DataFrame:
     flat = lambda x: F.lower(T.strip(F.regexp_replace(x, f"[{P.BLANK}]+", " ")))
     is_title = lambda x: (F.char_length(flat(x)) <= TITLE_CHARS) & flat(x).rlike(rf"^(?:{'|'.join(TITLES)})(?!\p{{L}})")
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("lines", F.split("text", LINE_END, -1))
-    d = d.withColumn("first", F.slice(F.filter("lines", lambda x: T.strip(x) != ""), 1, HEAD_LINES))
+    d = d.withColumn("first", F.slice(F.filter("lines", lambda x: x.rlike(f"[^{P.BLANK}]")), 1, HEAD_LINES))
     d = d.withColumn("title_at", F.array_position(F.transform("first", is_title), True).cast("int"))
     head = F.when(F.col("title_at") > 0, F.slice("first", F.lit(1), F.greatest(F.col("title_at") - 1, F.lit(0)))).otherwise(F.col("first"))
     short = F.filter(F.slice("lines", 1, TITLE_LINES), lambda x: F.char_length(T.strip(x)).between(1, TITLE_CHARS))
-    granting = F.filter(F.split("text", T.SENTENCE_GAP, -1), lambda x: x.rlike(f"(?iu){'|'.join(GRANTS)}"))
+    grants = f"(?iu)(?:{'|'.join(GRANTS)})"
+    granting = F.filter(F.split("text", T.SENTENCE_GAP, -1), lambda x: x.rlike(grants))
     headed = F.regexp_extract("text", f"(?imsud){INSTRUCTION}", 1)
-    instruction = F.when(headed != "", headed).otherwise(F.array_join(granting, " "))
+    # Texts that grant nothing are not split.
+    instruction = F.when(headed != "", headed).when(F.col("text").rlike(grants), F.array_join(granting, " ")).otherwise("")
     return d.select("doc_id", F.array_join(head, "\n").alias("head"), F.array_join(F.transform(short, flat), " | ").alias("titles"), instruction.alias("instruction"), *more)
 
 

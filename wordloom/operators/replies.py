@@ -23,6 +23,10 @@ NUMBERS = {"jednego": 1, "dwóch": 2, "dwu": 2, "trzech": 3, "czterech": 4, "pi
 ADJECTIVES = {"tygodniowym": (1, "week"), "dwutygodniowym": (2, "week"), "miesięcznym": (1, "month"), "siedmiodniowym": (7, "day"), "czternastodniowym": (14, "day"), "trzydziestodniowym": (30, "day")}
 UNITS = {"dni": "day", "dnia": "day", "tygodni": "week", "tygodnia": "week", "tygodnie": "week", "miesięcy": "month", "miesiąca": "month", "miesiące": "month"}
 WINDOW = 400
+#: A time limit: a length in one word, or a number and a unit.
+GAP = f"[{P.BLANK}]+"
+_NUMBERS, _UNITS = "|".join(n.replace(" ", GAP) for n in sorted(NUMBERS, key=len, reverse=True)), "|".join(sorted(UNITS, key=len, reverse=True))
+TERM = rf"(?iu)w(?<![{P.WORDCHAR}]w){GAP}(?:terminie|ciągu){GAP}(?:(\d+-dniowym|{'|'.join(ADJECTIVES)})|(?:(\d+|{_NUMBERS}){GAP})?({_UNITS}))(?![{P.WORDCHAR}])"
 
 
 @dataclass(frozen=True)
@@ -75,11 +79,20 @@ def _once(d: DataFrame) -> DataFrame:
     return d.select(F.explode_outer(F.array(F.struct("*"))).alias("x")).select("x.*")
 
 
+def _holds(text: Column, phrase: str) -> Column:
+    """Whether text has the phrase: looked for as plain characters first, which is much cheaper than its pattern."""
+    return F.contains(text, F.lit(phrase)) & text.rlike(phrase_pattern(phrase))
+
+
+def _times(text: Column, phrase: str) -> Column:
+    return F.when(F.contains(text, F.lit(phrase)), F.regexp_count(text, F.lit(phrase_pattern(phrase)))).otherwise(0)
+
+
 def _score(kind: Kind, head: Column, lowered: Column, factor: int) -> Column:
     points = F.lit(0)
     for weight, phrases in ((STRONG, kind.strong), (WEAK, kind.weak)):
-        for p in map(phrase_pattern, phrases):
-            points = points + F.when(head.rlike(p), weight * factor).when(lowered.rlike(p), weight).otherwise(0)
+        for p in phrases:
+            points = points + F.when(_holds(head, p), weight * factor).when(_holds(lowered, p), weight).otherwise(0)
     return points
 
 
@@ -107,7 +120,7 @@ def letter_kind(docs: DataFrame, cat: Catalogue) -> DataFrame:
     sender = _best(cat.senders, [_score(x, F.col("head"), F.col("lowered"), HEAD) for x in cat.senders])
     d = _once(d.withColumn("a", act).withColumn("s", sender))
     own = F.coalesce(*[F.when(F.col("s.id") == x.id, F.lit(x.procedure)) for x in cat.senders], F.lit(None).cast("string"))
-    times = [F.struct(sum((F.regexp_count("lowered", F.lit(phrase_pattern(p))) for p in k.strong), F.lit(0)).cast("int").alias("n"), F.lit(-i).alias("rank"), F.lit(k.id).alias("id")) for i, k in enumerate(cat.procedures)]
+    times = [F.struct(sum((_times(F.col("lowered"), p) for p in k.strong), F.lit(0)).cast("int").alias("n"), F.lit(-i).alias("rank"), F.lit(k.id).alias("id")) for i, k in enumerate(cat.procedures)]
     nothing = F.struct(F.lit(0).alias("n"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("id"))
     d = _once(d.withColumn("own", own).withColumn("ps", F.array(nothing, *times)))
     of_own = F.coalesce(F.get(F.filter("ps", lambda x: (x["id"] == F.col("own")) & (x["n"] > 0)), F.lit(0))["n"], F.lit(0)) if cat.procedures else F.lit(0)
@@ -121,16 +134,12 @@ def letter_kind(docs: DataFrame, cat: Catalogue) -> DataFrame:
 
 def term(window: Column) -> Column:
     """(value, unit) of the first time limit that a passage states, else null."""
-    b = f"[{P.BLANK}]+"
-    numbers = "|".join(n.replace(" ", b) for n in sorted(NUMBERS, key=len, reverse=True))
-    units = "|".join(sorted(UNITS, key=len, reverse=True))
-    p = rf"(?iu)(?<![{P.WORDCHAR}])w{b}(?:terminie|ciągu){b}(?:(\d+-dniowym|{'|'.join(ADJECTIVES)})|(?:(\d+|{numbers}){b})?({units}))(?![{P.WORDCHAR}])"
-    g = lambda i: F.lower(F.regexp_replace(F.regexp_extract(window, p, i), b, " "))
+    g = lambda i: F.lower(F.regexp_replace(F.regexp_extract(window, TERM, i), GAP, " "))
     by = lambda table: F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)])
     number = F.when(g(2) == "", 1).when(g(2).rlike(r"^\d{1,9}$"), F.expr("1") * F.regexp_extract(g(2), r"^\d{1,9}$", 0).try_cast("int")).otherwise(by(NUMBERS)[g(2)])
     value = F.when(g(1).endswith("-dniowym"), F.regexp_extract(g(1), r"^\d{1,9}", 0).try_cast("int")).when(g(1) != "", by({k: v for k, (v, _) in ADJECTIVES.items()})[g(1)]).otherwise(number)
     unit = F.when(g(1).endswith("-dniowym"), "day").when(g(1) != "", by({k: u for k, (_, u) in ADJECTIVES.items()})[g(1)]).otherwise(by(UNITS)[g(3)])
-    found = F.regexp_extract(window, p, 0) != ""
+    found = F.regexp_extract(window, TERM, 0) != ""
     return F.when(found & value.isNotNull(), F.struct(value.cast("int").alias("value"), unit.alias("unit")))
 
 
@@ -152,14 +161,16 @@ def offered(docs: DataFrame, cat: Catalogue) -> DataFrame:
     upto = lambda x, i: F.coalesce(F.get("found", i + 1)["start"], F.char_length("lowered"))
     window = lambda x, i: F.substring("instruction", x["start"] + 1, F.least(F.lit(WINDOW), upto(x, i) - x["start"]))
     d = d.withColumn("remedies", F.transform("found", lambda x, i: F.struct(x["value"].alias("phrase"), term(window(x, i)).alias("term"))))
-    d = _once(d.withColumn("told", term(F.col("text"))))
+    # The first passage is found once, and only it is taken apart.
+    d = _once(d.withColumn("passage", F.regexp_substr("text", F.lit(TERM))))
+    d = _once(d.withColumn("told", F.when(F.col("passage").isNotNull(), term(F.col("passage")))))
 
     among = lambda name, wanted: F.coalesce(F.col(name).isin(list(wanted)), F.lit(False)) if wanted else F.lit(True)
     told = F.col("told")
     no_term = F.lit(None).cast("struct<value:int,unit:string>")
     rows = []
     for i, r in enumerate(cat.replies):
-        open_ = ~F.greatest(*[F.col("lowered").rlike(phrase_pattern(p)) for p in r.ruled_out], F.lit(False), F.lit(False))
+        open_ = ~F.greatest(*[_holds(F.col("lowered"), p) for p in r.ruled_out], F.lit(False), F.lit(False))
         statute = F.struct(F.lit(r.term[0]).alias("value"), F.lit(r.term[1]).alias("unit")) if r.term else no_term
         own = told if r.term_from_letter else statute
         rows.append(
