@@ -103,6 +103,20 @@ def test_an_opening_is_compared_with_a_sentence_without_known_words(spark):
     assert [(r.doc_id, r.after) for r in got] == [(1, "Naprawia drogę.")]
 
 
+def test_review_reads_the_texts_once(spark, monkeypatch):
+    called, real = [], detect.sentences
+    monkeypatch.setattr(detect, "sentences", lambda *a: (called.append(1), real(*a))[1])
+    texts = ["Ponadto tak było. Strony mają czas.\nPonadto ma istotne znaczenie.", "Zwykły tekst stron.", "Ponadto — tak.", None, "Umowa ma istotne znaczenie. Ponadto tak."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.first_family for r in calibrate.review(docs).collect()}
+    assert len(called) == 1
+    order = ["paragraph_index", "sentence_index", "start", "ord"]
+    want = {}
+    for r in detect.findings(docs).orderBy("doc_id", *order).collect():
+        want.setdefault(r.doc_id, r.family)
+    assert {i: f for i, f in got.items() if f} == want and got[1] is None and 3 not in got
+
+
 def test_style_profile_shuffles_no_texts_and_keeps_repeated_ids(spark, monkeypatch):
     contract, other = "Umowa wiąże strony. Najemca płaci.", "Zupełnie inny list."
     rows = [*((i, contract) for i in range(6)), (3, other), (90, other), (None, contract)]
