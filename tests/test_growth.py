@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from wordloom.functions import patterns as P
 from wordloom.functions.plans import dealt
-from wordloom.operators import calibrate, detect, layout, metrics, nominal, outcomes, redundancy, replies, rewrite, sections
+from wordloom.operators import calibrate, detect, layout, nominal, outcomes, redundancy, replies, rewrite, sections
 from wordloom.operators import text as T
 
 
@@ -117,6 +116,17 @@ def test_review_reads_the_texts_once(spark, monkeypatch):
     assert {i: f for i, f in got.items() if f} == want and got[1] is None and 3 not in got
 
 
+def test_signal_equals_that_of_the_document_table(spark):
+    from wordloom.operators import documents
+
+    texts = ["Ponadto tak było. Strony mają czas.\nPonadto ma istotne znaczenie.", "Zwykły tekst stron.", None, "", "Ponadto raz. Dodatkowo dwa. Ponadto trzy. Dodatkowo cztery."]
+    docs = spark.createDataFrame([*enumerate(texts), (1, texts[0]), (None, texts[4])], "doc_id long, text string")
+    made = documents.document_signal(docs)
+    assert "collect_set" not in plan(made)  # openings and bins are for metrics only
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(made) == rows(documents.signal(documents.document_table(docs)))
+
+
 def test_style_profile_shuffles_no_texts_and_keeps_repeated_ids(spark, monkeypatch):
     contract, other = "Umowa wiąże strony. Najemca płaci.", "Zupełnie inny list."
     rows = [*((i, contract) for i in range(6)), (3, other), (90, other), (None, contract)]
@@ -137,3 +147,10 @@ def test_phrases_are_looked_for_as_characters_first(spark):
     assert got[1] == (4, "kpa", 2) and got[2] == (0, None, 0)
     t = spark.createDataFrame([("Proszę w terminie zapłacić, a w terminie 14 dni oddać; w ciągu tygodnia.",), ("xw terminie 3 dni",), ("W  Terminie dwudziestu jeden dni",)], "t string")
     assert [r.v and tuple(r.v) for r in t.select(replies.term(T.F.col("t")).alias("v")).collect()] == [(14, "day"), None, (21, "day")]
+
+
+def test_fragments_are_known_by_their_first_characters(spark):
+    assert T.PROTECT.startswith(r"(?ium)(?:(?=[")
+    texts = ["„x” art. 5 ART. 7 § 3 xart. 4 12.03.2021 5 zł K) x\nſ) a) b\nK) c\n  1. d", "uſt. 3 UST. 4 pKt 5 Dz. U. 2020, poz. 1", '1 500,50 zł "a" 2020 r. 12%', ""]
+    same = F.regexp_extract_all("text", F.lit(T.PROTECT), F.lit(0)) == F.regexp_extract_all("text", F.lit("(?ium)" + "|".join(T.PROTECTED)), F.lit(0))
+    assert all(r.same for r in spark.createDataFrame([(x,) for x in texts], "text string").select(same.alias("same")).collect())
