@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of input up to which a table of fewer parts than cores is dealt out anew.
@@ -34,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet in the shared folder and read back; for large tables."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/wordloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Marks a column `row` as made by with_rows; a user's own column of that name has no such mark.
 NUMBERED = "wordloom.row"
 
@@ -51,9 +61,14 @@ def with_rows(docs: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if a count shows no more rows than that, else df as it is (a shuffle join); rows should be of a few short values."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Bytes up to which a table whose sizes are known is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def checked(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """df marked for broadcast if a count shows no more rows than that (and sizes of at most BROADCAST_BYTES), else df as it is (a shuffle join); without sizes rows should be of a few short values."""
+    n, held = df.select((F.lit(0) if size is None else size).cast("long").alias("size")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -68,11 +83,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-#: Parts for each core that slow work on few bytes is dealt to.
-DEALT = 4
+#: Parts for each core that slow work on few bytes is dealt to; bytes of a part where a size is known, and parts at most for that; a size from which it counts as unknown.
+DEALT, PART_BYTES, MOST_PARTS, UNKNOWN = 4, 4 << 20, 4096, 1 << 50
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """df over a fixed number of parts, for work in Python: parts by bytes alone would leave a table of small rows to one task."""
+def dealt(df: DataFrame, *keys: str, by_size: bool = False) -> DataFrame:
+    """df over a fixed number of parts, for work in Python: parts by bytes alone would leave a table of small rows to one task. by_size: more of them for a large table, whose rows grow in what follows."""
     spark = df.sparkSession
-    return df.repartition(max(DEALT * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    parts = max(DEALT * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if by_size:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        parts = max(parts, min(MOST_PARTS, ceil(size / PART_BYTES))) if size < UNKNOWN else parts
+    return df.repartition(parts, *keys)

@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.functions.plans import cut, shared_dir, table  # noqa: F401  (used from here by the operators)
+from wordloom.functions.plans import cut, shared_dir, stored, table  # noqa: F401  (used from here by the operators)
 
 #: Code points that the contracts count as white space: space, tab, line feed, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read back; for large tables."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wordloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Bytes up to which a table with a size column is broadcast.
 BROADCAST_BYTES = 64 << 20
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.functions import patterns as P
-from wordloom.functions.plans import with_rows
+from wordloom.functions.plans import dealt, with_rows
 
 from . import text as T
 
@@ -106,9 +106,13 @@ def lines(docs: DataFrame) -> DataFrame:
     return d.select("row", "doc_id", "p", "text", "label", fmt.alias("label_fmt"), level.alias("level"), "body_start", T.strip(F.substring(t, F.col("body_start") + 1, F.char_length(t))).alias("body"), blanks(t).alias("slots"), captions(t).alias("caps"), groups_of(t).alias("groups"))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """A row for each line: row, doc_id, p, text, role, label, label_fmt, level, body_start, slots, alias, field_label, header, hint_kind, hint_for, hint (captions of the blanks), inline (captions beside blanks), optional, condition, alternatives."""
-    d, t = lines(docs), F.col("text")
+def blocks(docs: DataFrame, by_row: bool = False) -> DataFrame:
+    """A row for each line, and a document's lines in one part: row, doc_id, p, text, role, label, label_fmt, level, body_start, slots, alias, field_label, header, hint_kind, hint_for, hint (captions of the blanks), inline (captions beside blanks), optional, condition, alternatives.
+
+    by_row: docs are numbered and dealt by row already.
+    """
+    # Texts are dealt before they are split, so that no window moves the lines with all that is known of them.
+    d, t = lines(docs if by_row else dealt(with_rows(docs), "row", by_size=True)), F.col("text")
     by_line = W.partitionBy("row").orderBy("p")
     up, down = by_line.rowsBetween(W.unboundedPreceding, -1), by_line.rowsBetween(1, W.unboundedFollowing)
     shown = T.strip(t) != ""

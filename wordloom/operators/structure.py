@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wordloom.functions.plans import BROADCAST_ROWS, cut
+
 from . import text as T
 
 NUMBERED = r"(?iu)^(?:§\s*\d+[a-z]?\.?|[IVXLC]+\.|\d+(?:\.\d+)*[.)]?|art\.\s*\d+[a-z]?\.?)(?:\s+\S.*)?$"
@@ -185,17 +187,20 @@ def pairs(text: Column) -> Column:
 def nearest_template(docs: DataFrame, templates: DataFrame, floor: float = 0.4, top: int = 1) -> DataFrame:
     """doc_id, item_id, f1, recall of the templates (`top` of them) that share most word pairs, if they share at least `floor` of the template's.
 
-    An inverted index of the templates' pairs is joined with the documents' pairs.
+    An inverted index of the templates' pairs is joined with the documents' pairs, which are not moved for an index that can be broadcast. Rows without an id have no row.
     """
     t = templates.select("item_id", pairs(F.col("text")).alias("ps"))
-    d = docs.select("doc_id", pairs(F.col("text")).alias("ps"))
-    posting = t.select("item_id", F.size("ps").alias("nt"), F.explode_outer("ps").alias("pair"))
-    # A pair of many templates is the last to be read: what shares `floor` of a template shares one of its rarest pairs.
-    held = posting.groupBy("pair").agg(F.count("*").alias("of"))
-    ranked = posting.join(held, "pair").withColumn("nth", F.row_number().over(W.partitionBy("item_id").orderBy("of", "pair")))
-    key = ranked.where(F.col("nth") <= F.col("nt") - F.ceil(F.col("nt") * floor) + 1).select("pair").distinct()
-    may = d.select("doc_id", F.explode_outer("ps").alias("pair")).join(key, "pair", "left_semi").select("doc_id").distinct()
-    d = d.join(may, "doc_id", "left_semi")
+    d = docs.where("doc_id IS NOT NULL").select("doc_id", pairs(F.col("text")).alias("ps"))
+    posting = cut(t.select("item_id", F.size("ps").alias("nt"), F.explode_outer("ps").alias("pair")))
+    if posting.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        posting = F.broadcast(posting)
+    else:
+        # A pair of many templates is the last to be read: what shares `floor` of a template shares one of its rarest pairs.
+        held = posting.groupBy("pair").agg(F.count("*").alias("of"))
+        ranked = posting.join(held, "pair").withColumn("nth", F.row_number().over(W.partitionBy("item_id").orderBy("of", "pair")))
+        key = ranked.where(F.col("nth") <= F.col("nt") - F.ceil(F.col("nt") * floor) + 1).select("pair").distinct()
+        may = d.select("doc_id", F.explode_outer("ps").alias("pair")).join(key, "pair", "left_semi").select("doc_id").distinct()
+        d = d.join(may, "doc_id", "left_semi")
     flat = d.select("doc_id", F.size("ps").alias("nd"), F.explode_outer("ps").alias("pair"))
     shared = flat.join(posting, "pair").groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.max("nt").alias("nt"), F.max("nd").alias("nd"))
     s = shared.where(F.col("k") / F.col("nt") >= floor).select("doc_id", "item_id", F.round(2 * F.col("k") / (F.col("nt") + F.col("nd")), 4).alias("f1"), F.round(F.col("k") / F.col("nt"), 4).alias("recall"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wordloom.operators import alignment, changes, corpus, detect, documents, features, layout, layout_check, legal, nominal, outcomes, redundancy, references, replies, reports, rewrite, sections, structure
 from wordloom.operators import text as T
 
-from wordloom.functions.plans import cut, with_rows
+from wordloom.functions.plans import cut, dealt, stored, with_rows
 from wordloom.functions.plans import table as _table
 
 from . import fixtures
@@ -157,13 +157,13 @@ def _copies(s: SparkSession, d: str) -> DataFrame:
 def _template_check(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of documents with the template that they were written from, the findings of each, and the documents' ids by row."""
     templates = s.createDataFrame([(1, fixtures.TEMPLATE)], "item_id long, text string")
-    docs = cut(with_rows(_copies(s, d)))
-    ours = layout.blocks(docs)
+    docs = stored(with_rows(_copies(s, d)))
     theirs = cut(layout.blocks(templates.withColumnRenamed("item_id", "doc_id")))
     # The matcher goes by ids; here each row is one of its own.
     found = alignment.match_template(docs.select(F.col("row").alias("doc_id"), "text"), templates)
     items = theirs.select(F.col("row").alias("item"), F.col("doc_id").alias("item_id")).distinct()
-    pairs = cut(found.select(F.col("doc_id").alias("row"), "item_id").join(items, "item_id").select("row", "item"))
+    pairs = cut(found.select(F.col("doc_id").alias("row"), "item_id").join(F.broadcast(items), "item_id").select("row", "item"))
+    ours = layout.blocks(dealt(docs, "row", by_size=True).join(pairs.select("row"), "row", "left_semi"), by_row=True)
     return pairs, layout_check.findings(pairs, ours, theirs), docs.select("row", "doc_id")
 
 
