@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wordloom.operators import layout, structure
+from wordloom.operators import layout, layout_check, structure
 from wordloom.plans.fixtures import FILLED, TEMPLATE
 
 
@@ -26,3 +26,12 @@ def test_word_pairs_are_not_moved_for_few_templates(spark, monkeypatch):
     moved = structure.nearest_template(docs, templates, top=2)
     assert "SortMergeJoin" in plan(moved)
     assert sorted(map(repr, near.collect())) == sorted(map(repr, moved.collect())) and near.count() > 4
+
+
+def test_findings_move_only_texts_and_pairs(spark):
+    docs = spark.createDataFrame([(1, FILLED), (2, TEMPLATE)], "doc_id long, text string")
+    templates = spark.createDataFrame([(1, TEMPLATE)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, 0)], "row long, item long")
+    p = plan(layout_check.findings(pairs, layout.blocks(docs), layout.blocks(templates)))
+    assert p.count("Exchange hashpartitioning") == 2  # one of the texts, one of the pairs
+    assert p.count("Generate ") == 2 and "Union" not in p  # lines and findings are made once
