@@ -9,10 +9,11 @@ like it, and only at the wording's next place. So the places where a wording ent
 round settles every entry whose causes are settled, and a state that a round leaves unchanged is
 that of the sequential reading.
 
-Links are found exactly. Wordings with a ratio of 0.75 share at least an eighth of their joint
-length, less one, in pairs of neighbouring letters, so only the rarest pairs of each are joined
-(wordings of five letters or fewer go by single letters too); a contained wording is
-joined by its rarest pair alone.
+Links are found exactly. A contained wording is joined by its rarest pair of letters alone. For the
+ratio any two wordings may be alike, so all are compared, block by block: wordings are dealt to
+chunks by a hash, and each pair of chunks is a task of bounded size. There the counts of their
+letters bound the ratio, then the letters that both have in order do; few pairs are left for the
+comparison itself.
 
 Defined results: documents are read by doc_id (nulls last), then by text; rows that repeat are
 documents of their own; null and empty texts have no headings; an empty table gives no sections.
@@ -23,7 +24,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from math import ceil
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,8 +44,12 @@ NUMBER = r"^(?:§\s*\d+[a-z]?\s*[.)]?|[IVXLC]+(?:[.)]|(?=\s))|\d+(?:\.\d+)*\s*[.
 UNITS = {"paragraph": r"^§\s*\d+", "roman": r"^[IVXLC]+[.)]\s+\p{Lu}", "arabic": r"^\d+[.)]\s+\p{Lu}"}
 #: Parts that the places of one wording are dealt to, so that a wording of every document is many tasks' work.
 SALT = 16
-#: Wordings up to this length may be alike without a common pair of letters.
-SHORT = 5
+#: Wordings of a chunk, and how many chunks there are at least and at most; beyond that chunks grow.
+CHUNK, LEAST, MOST = 2048, 8, 64
+#: Classes of letters, the last one of none; rare letters share one, which never lessens a bound.
+CLASSES = 64
+#: Pairs whose common letters are counted at once.
+STEP = 1 << 17
 
 
 def unit_flags(line: Column) -> list[Column]:
@@ -105,34 +112,104 @@ def may_be_alike(a: str, b: str) -> bool:
     return 2 * common >= SAME * (len(a) + len(b)) or common == min(len(a), len(b))
 
 
+def _coded(wordings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """codes (of each wording its letters' classes, then that of none), lengths, and counts of each class."""
+    size = np.array([len(w) for w in wordings], np.int64)
+    flat = np.frombuffer("".join(wordings).encode("utf-32-le", "surrogatepass"), np.uint32)
+    names, at, often = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.minimum(np.arange(len(names)), CLASSES - 2)
+    row = np.repeat(np.arange(len(size)), size)
+    codes = np.full((len(size), max(1, int(size.max(initial=0)))), CLASSES - 1, np.uint8)
+    codes[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = rank[at]
+    counts = np.bincount(row * CLASSES + rank[at], minlength=len(size) * CLASSES).reshape(-1, CLASSES)
+    return codes, size, np.minimum(counts, 255).astype(np.uint8)
+
+
+def _bits(codes: np.ndarray) -> np.ndarray:
+    """Of each wording and class the places as bits: row, class, word of 64."""
+    out = np.zeros((len(codes), CLASSES, -(-codes.shape[1] // 64)), np.uint64)
+    row = np.arange(len(codes))
+    for k in range(codes.shape[1]):
+        out[row, codes[:, k], k // 64] |= np.uint64(1 << k % 64)
+    out[:, CLASSES - 1] = 0
+    return out
+
+
+def _in_order(bits: np.ndarray, codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many letters the wordings a and b have in order, at most; with each letter of b the last places lose bits that it reaches."""
+    v = np.full((bits.shape[2], len(a)), np.iinfo(np.uint64).max)
+    for k in range(codes.shape[1]):
+        m = bits[a, codes[b, k]]
+        carry = np.zeros(len(a), np.uint64)
+        for w in range(len(v)):
+            u = v[w] & m[:, w]
+            total = v[w] + u
+            over = total < v[w]
+            total += carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            v[w] = total | (v[w] - u)
+    return np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
+
+
+def near_pairs(wordings: list[str], first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places of the pairs, one of `first` and one of `second` (a pair of both once), whose ratio the letters do not rule out."""
+    codes, size, counts = _coded(wordings)
+    bits = _bits(codes)
+    second = second[np.argsort(size[second], kind="stable")]
+    lengths, held = size[second], counts[second]
+    shares = np.zeros(len(size), bool)
+    shares[np.intersect1d(first, second)] = True
+    left: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def judged() -> Iterator[tuple[int, int]]:
+        a, b = (np.concatenate(x) for x in zip(*left))
+        ok = 2 * _in_order(bits, codes, a, b) >= SAME * (size[a] + size[b])
+        yield from zip(a[ok].tolist(), b[ok].tolist())
+        left.clear()
+
+    for i in first:
+        # Both have as many letters in common as the shorter at most.
+        n = size[i]
+        lo, hi = np.searchsorted(lengths, SAME / (2 - SAME) * n - 0.5, "left"), np.searchsorted(lengths, n * (2 - SAME) / SAME + 0.5, "right")
+        common = np.minimum(held[lo:hi], counts[i]).sum(axis=1, dtype=np.int64)
+        j = second[lo:hi][2 * common >= SAME * (n + lengths[lo:hi])]
+        j = j[j != i] if not shares[i] else j[(j > i) | ~shares[j]]
+        left.append((np.full(len(j), i), j))
+        waiting += len(j)
+        if waiting >= STEP:
+            yield from judged()
+            waiting = 0
+    if left:
+        yield from judged()
+
+
 def links(wordings: DataFrame) -> DataFrame:
     """wording, like: every ordered pair of different wordings of which the first is alike to the second."""
     n = F.char_length("wording")
     letters = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("wording"), i, F.lit(1)))
     pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("wording"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    w = cut(wordings.select("wording", n.alias("n"), _numbered(pairs).alias("pairs"), F.array_distinct(letters).alias("letters")))
+    w = cut(wordings.select("wording", _numbered(pairs).alias("pairs"), F.array_distinct(letters).alias("letters")))
+    # A contained wording has all its pairs in the other.
     often = w.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("k"))
-    ranked = w.select("wording", F.explode("pairs").alias("pair")).join(often, "pair").groupBy("wording").agg(F.sort_array(F.collect_list(F.struct("k", "pair"))).alias("r"))
-    w = w.join(ranked, "wording", "left").withColumn("r", F.coalesce(F.transform("r", lambda x: x["pair"]), F.array().cast("array<string>")))
-    # At least n / 5 - 1 pairs are common to two wordings that are alike, the shorter having 0.6 of the longer's letters.
-    common = F.greatest(F.lit(1), F.ceil(F.col("n") / 5 - 1)).cast("int")
-    head = F.slice("r", 1, F.greatest(F.lit(0), F.size("r") - common + 1))
-    w = cut(w.select("wording", "n", "pairs", "letters", F.when(F.col("n") <= SHORT, F.concat(head, "letters")).otherwise(head).alias("head"), F.coalesce(F.get("r", F.lit(0)), F.get("letters", F.lit(0))).alias("rarest")))
-    one = w.select(F.col("wording").alias("a"), F.col("n").alias("na"), F.col("head").alias("ha"), F.explode("head").alias("token"))
-    two = w.select(F.col("wording").alias("b"), F.col("n").alias("nb"), F.col("head").alias("hb"), F.explode("head").alias("token"))
-    met = one.join(two, "token").where((F.col("a") < F.col("b")) & (5 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")))
-    # A pair of wordings that meets at several tokens is judged at the first of them.
-    met = met.where(F.element_at(F.array_intersect("ha", "hb"), 1) == F.col("token")).select("a", "b")
-    part = w.select(F.col("wording").alias("a"), F.col("rarest").alias("token"))
+    ranked = w.select("wording", F.explode("pairs").alias("pair")).join(often, "pair").groupBy("wording").agg(F.min(F.struct("k", "pair"))["pair"].alias("rarest"))
+    part = w.join(ranked, "wording", "left").select(F.col("wording").alias("a"), F.coalesce("rarest", F.get("letters", F.lit(0))).alias("token"))
     rest = w.select(F.col("wording").alias("b"), F.explode(F.concat("pairs", "letters")).alias("token"))
     inside = part.join(rest, "token").where((F.col("a") != F.col("b")) & F.contains(F.col("b"), F.col("a"))).select("a", "b")
-
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            both = [(x, y) for p, q in zip(f["a"], f["b"]) if may_be_alike(p, q) for x, y in ((p, q), (q, p)) if alike(x, y)]
-            yield pd.DataFrame(both, columns=["wording", "like"])
-
-    found = dealt(met).mapInPandas(judge, "wording string, like string")
+    chunks = min(MOST, max(LEAST, ceil(w.count() / CHUNK)))
+    own = F.pmod(F.xxhash64("wording"), F.lit(chunks)).cast("int")
+    block = F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), lambda j: F.least("own", j) * chunks + F.greatest("own", j))
+    blocks = w.select("wording", own.alias("own")).select("wording", "own", F.explode(block).alias("block"))
+
+    def judge(frame: pd.DataFrame) -> pd.DataFrame:
+        x, y = divmod(int(frame["block"].iloc[0]), chunks)
+        words, of = frame["wording"].tolist(), frame["own"].to_numpy()
+        near = near_pairs(words, np.flatnonzero(of == x), np.flatnonzero(of == y))
+        both = [(p, q) for i, j in near for p, q in ((words[i], words[j]), (words[j], words[i])) if alike(p, q)]
+        return pd.DataFrame(both, columns=["wording", "like"])
+
+    found = dealt(blocks, "block").groupBy("block").applyInPandas(judge, "wording string, like string")
     return cut(found.union(inside).union(inside.select("b", "a")).distinct())
 
 
